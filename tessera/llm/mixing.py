@@ -52,15 +52,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mixing_plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix takes the row)."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    sized = docs.select(*own).withColumn("size", n_words(F.col("text")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+    # Sizes and draws are taken before the join, so that a query without the text doesn't shuffle it.
+    sized = docs.select(*own).withColumns({"size": n_words(F.col("text")), "__draw": draw})
     targets = source_targets(sized.select("source", "size")).withColumnRenamed("source", "__source")
     # One row per source, and sources are few: the optimizer broadcasts this side while it is small.
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    draw = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
-    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumn("rate", rate).withColumn("copies", copies.cast("long"))
+    copies = F.floor("rate") + F.when(F.col("__draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return joined.withColumn("rate", rate).withColumn("copies", copies.cast("long")).drop("__draw")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:

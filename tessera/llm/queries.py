@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .chat import op5_chat
+from .decontamination import op10_decontamination
 from .jaccard import op3_jaccard
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op9_quality
 from .repetition import op2_repetition
 from .warc import op8_warc
 
-QUERIES = {"op2_repetition": op2_repetition, "op3_jaccard": op3_jaccard, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_quality": op9_quality}
+QUERIES = {"op2_repetition": op2_repetition, "op3_jaccard": op3_jaccard, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
 SQL = {"op6_mixing": OP6_SQL}

@@ -1,7 +1,8 @@
 """WARC archives: writing pages as records and reading records back.
 
 Writing uses Spark's text writer with CRLF CRLF as its line separator: each
-value is a record's header and block, so every part file is a WARC/1.0 file.
+value is a record's header and block, so every part file is a WARC/1.0 file,
+compressed whole with gzip.  Offsets are those of the uncompressed archive.
 
 Reading verifies record boundaries by their chain.  Tasks scan files for every
 `WARC/1.0` at a file's start or after CRLF CRLF and emit the offset with the
@@ -17,6 +18,7 @@ their own.  Empty tables give empty archives, which have no records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ CRLF = "\r\n"
 GAP = CRLF * 2
 MAGIC = "WARC/1.0" + CRLF
 FILE_RECORDS = 20_000
+GZIP = b"\x1f\x8b"
 FOUND = "file string, offset long, successor long, type string, record_id string, refers_to string, digest string, stated_digest string, payload_bytes long, payload binary"
 
 
@@ -65,7 +68,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit(CRLF + "WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit(CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.octet_length(block).cast("string"), F.lit(GAP), block,
     )
-    rows.select(value.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(value.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _candidates(with_payload: bool):
@@ -94,7 +97,8 @@ def _candidates(with_payload: bool):
         names = [f.split()[0] for f in FOUND.split(", ")]
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                rows = list(scan(name.as_py(), data.as_py()))
+                data = data.as_py()
+                rows = list(scan(name.as_py(), gzip.decompress(data) if data[:2] == GZIP else data))
                 for k in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names=names)
 
@@ -133,13 +137,14 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
-    return digest(read_warc(spark, path, payload=False))
+    return digest(spark, read_warc(spark, path, payload=False))
 
 
-def digest(records: DataFrame) -> DataFrame:
+def digest(spark: SparkSession, records: DataFrame) -> DataFrame:
     """Per record: page_id, and the full payload's size and digest, of revisits from the response they name."""
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     rows = records.select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "digest", "payload_bytes")
     responses = rows.where("type = 'response' and page_id is not null").groupBy("page_id").agg(F.first("digest").alias("d"), F.first("payload_bytes").alias("n")).withColumnRenamed("page_id", "id")
-    joined = rows.join(responses, F.col("refers_to") == F.col("id"), "left")
+    # Written first, so that the join deals both sides itself and AQE can split a response with very many revisits.
+    joined = rows.join(written(responses, spark), F.col("refers_to") == F.col("id"), "left")
     return joined.select("page_id", F.coalesce("n", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")

@@ -95,7 +95,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(k, f"http://a/{k}\r\nX", h, "x") for k, h in enumerate(html)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").coalesce(2)
     warc.write_warc(pages, f"file://{tmp_path}/w")
-    got = {r.page_id: tuple(r)[1:] for r in warc.digest(warc.read_warc(spark, f"file://{tmp_path}/w", payload=False)).collect()}
+    got = {r.page_id: tuple(r)[1:] for r in warc.digest(spark, warc.read_warc(spark, f"file://{tmp_path}/w", payload=False)).collect()}
     last = {h or "": k for k, h in enumerate(html)}
     assert len(got) == len(rows)
     for k, h in enumerate(html):
@@ -111,5 +111,5 @@ def test_warc_empty_and_null_ids(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
     odd = spark.createDataFrame([(None, None, "a"), (3, "u", "a"), (3, "u", "a")], "page_id long, url string, html string")
     warc.write_warc(odd, f"file://{tmp_path}/o")
-    got = sorted((r.page_id is None, r.record_type) for r in warc.digest(warc.read_warc(spark, f"file://{tmp_path}/o")).collect())
+    got = sorted((r.page_id is None, r.record_type) for r in warc.digest(spark, warc.read_warc(spark, f"file://{tmp_path}/o")).collect())
     assert got == [(False, "response"), (False, "response"), (True, "response")]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import table, written
-from .textkit import mix, shingle_sets
+from .textkit import mix, portions, shingle_sets
 
 NUM, DEN = 3, 4  # the similarity, 75 / 100
 HUB_DF = 48
@@ -78,7 +78,7 @@ def needed(na, nb):
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         ids = batch["doc_id"].cast(pa.int64())
         ns, cs, maps = [], [], []
         for _, s in shingle_sets(batch["text"]):
@@ -116,7 +116,7 @@ def _hub_counts(bits: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             low = [s[: np.searchsorted(s, np.uint64(1 << 63))] for _, s in _distinct_sets(batch)]
             if low and len(every := np.concatenate(low)):
                 yield _split(((every >> np.uint64(31 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), (every >> np.uint64(63 - bits)).astype(np.int64))
@@ -144,7 +144,7 @@ def hubs(spark: SparkSession, docs: DataFrame, total: int) -> np.ndarray:
 def _postings(sent, hub_bits: int, block_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in portions(batches):
             found = []
             for c, s in _distinct_sets(batch):
                 if len(known):
@@ -222,7 +222,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wanted.value if wanted is not None else None
-        for batch in batches:
+        for batch in portions(batches):
             if ids is not None and len(ids):
                 got = batch["doc_id"].cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, got), len(ids) - 1)

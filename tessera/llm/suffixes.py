@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 from .textkit import _CODES as CODES
-from .textkit import _power_tables, chunks, mix, text_bytes
+from .textkit import _power_tables, chunks, mix, portions, text_bytes
 
 SIZE = 50
 GRAM = 24
@@ -106,7 +106,7 @@ def _anchor_keys(bits: int):
     """Each document's distinct anchors as 32-bit keys by bucket, none more than twice from a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             data, offsets = text_bytes(batch["text"])
             found = []
             for i, j in chunks(offsets):
@@ -181,7 +181,7 @@ def _sent_segments(sent, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, press = sent.value, zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in portions(batches):
             data, offsets = text_bytes(batch["text"])
             doc = batch["doc_id"].cast(pa.int64()).fill_null(int(LAST)).to_numpy()
             row = batch["row"].to_numpy()
@@ -340,7 +340,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: the text's bytes without its spans, and the counts."""
-    for batch in batches:
+    for batch in portions(batches):
         out = []
         for text, spans in zip(batch["text"], batch["spans"], strict=True):
             raw = (text.as_py() or "").encode()

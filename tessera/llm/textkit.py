@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+PORTION_BYTES = 4 << 20
 SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
@@ -66,6 +67,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def portions(batches: Iterator[pa.RecordBatch], limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each are of about `limit` bytes; a longer text stands alone."""
+    for batch in batches:
+        _, offsets = text_bytes(batch["text"])
+        for i, j in chunks(offsets, limit):
+            yield batch.slice(i, j - i)
+
+
 @dataclass
 class Words:
     """Words of a chunk: byte ranges, text number of each, first word of each text (n + 1)."""

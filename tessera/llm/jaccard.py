@@ -13,10 +13,11 @@ left are summed over blocks, then discarded when the bits in which two folded
 bitmaps differ already exceed the allowed difference, and the exact overlap
 count decides.  Documents with equal sets are one row of the incidence.
 
-Columns with more than `WIDE` rows are first linked along neighbours and to one
-row; only pairs whose rows are then still in different components are
-multiplied out, so large groups of near copies stay linear and no link between
-different components is lost.
+Columns with more than `WIDE` rows are first paired with `CENTERS` of their own
+rows only, those that stand in the most wide columns: in a group of near copies
+these are the ones with the fewest edits.  Only pairs whose rows are then still
+in different components are multiplied out, so large groups of near copies stay
+close to linear and no link between different components is lost.
 
 Nulls and odd rows: a null or blank text has the empty set, links with nothing
 and is its own component; fewer than five words make one shingle.  Repeated
@@ -41,6 +42,7 @@ NUM, DEN = 3, 4  # the similarity, 75 / 100
 HUB_DF = 48
 MOST_HUBS = 1 << 20
 WIDE = 32
+CENTERS = 4
 BLOCK_POSTINGS = 1 << 19
 MOST_SENT_IDS = 1 << 21
 
@@ -110,16 +112,14 @@ def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _hub_counts(bits: int):
-    """Shingles of the lower half of the hash range by block: 32-bit keys, each set of a batch once.
-
-    The upper half comes last in every row's order, behind at least half of it, where prefixes rarely reach.
-    """
+    """All shingles by block of the hash range, as 32-bit keys, each set of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            low = [s[: np.searchsorted(s, np.uint64(1 << 63))] for _, s in _distinct_sets(batch)]
-            if low and len(every := np.concatenate(low)):
-                yield _split(((every >> np.uint64(31 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), (every >> np.uint64(63 - bits)).astype(np.int64))
+            sets = [s for _, s in _distinct_sets(batch)]
+            if sets:
+                every = np.concatenate(sets)
+                yield _split(((every >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), (every >> np.uint64(64 - bits)).astype(np.int64))
 
     return run
 
@@ -136,7 +136,7 @@ def _frequent(bits: int, least: int):
 
 def hubs(spark: SparkSession, docs: DataFrame, total: int) -> np.ndarray:
     """Sorted keys of the shingles in more than HUB_DF sets, the MOST_HUBS most frequent if there are more."""
-    bits = max(6, min(24, (total // (4 * BLOCK_POSTINGS)).bit_length()))
+    bits = max(6, min(24, (total // (2 * BLOCK_POSTINGS)).bit_length()))
     counted = docs.select("text").mapInArrow(_hub_counts(bits), "block long, data binary").groupBy("block").applyInArrow(_frequent(bits, HUB_DF), "key long, df long")
     return np.sort(counted.orderBy(F.col("df").desc(), "key").limit(MOST_HUBS).toArrow()["key"].to_numpy()), bits
 
@@ -148,9 +148,9 @@ def _postings(sent, hub_bits: int, block_bits: int):
             found = []
             for c, s in _distinct_sets(batch):
                 if len(known):
-                    keys = (s >> np.uint64(31 - hub_bits)).astype(np.int64)
+                    keys = (s >> np.uint64(32 - hub_bits)).astype(np.int64)
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hub = (known[at] == keys) & (s < np.uint64(1 << 63))
+                    hub = known[at] == keys
                     s = np.concatenate([s[~hub], s[hub]])
                 p = prefix_length(len(s))
                 rows = np.empty(p, POSTING)
@@ -158,14 +158,14 @@ def _postings(sent, hub_bits: int, block_bits: int):
                 found.append(rows)
             if found:
                 rows = np.concatenate(found)
-                # Prefixes are the low end of the hash range: blocks are dealt by mixed hashes to be even.
+                # Prefixes are mostly the low end of the hash range: blocks are dealt by mixed hashes to be even.
                 yield _split(rows, (mix(rows["h"]) >> np.uint64(64 - block_bits)).astype(np.int64))
 
     return run
 
 
 def _column_pairs(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The product of one block: pairs of narrow columns, link candidates and rows of wide ones."""
+    """The product of one block: pairs of narrow columns and rows of wide ones."""
     p = np.concatenate([np.frombuffer(d.as_py(), POSTING) for d in rows["data"]])
     p = p[np.lexsort((p["c"], p["n"], p["h"]))]
     new = np.r_[True, (p["h"][1:] != p["h"][:-1]) | (p["c"][1:] != p["c"][:-1])]
@@ -180,13 +180,6 @@ def _column_pairs(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
             break
         first.append(i)
         second.append(i + d)
-    wide = np.flatnonzero(width > WIDE)
-    for k in wide:
-        at = np.arange(edge[k], edge[k + 1])
-        middle = np.full(len(at) - 1, (edge[k] + edge[k + 1]) // 2)
-        others = at[at != middle[0]]
-        first += [at[:-1], at[:-2], others]
-        second += [at[1:], at[2:], middle]
     a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (first, second))
     x, y = p[a], p[b]
     na, nb = x["n"].astype(np.int64), y["n"].astype(np.int64)
@@ -254,6 +247,24 @@ def linked(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Data
     return whole.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long")
 
 
+def center_pairs(wide: DataFrame) -> DataFrame:
+    """Candidates (a, b) of wide columns' rows (c, h, n, at) with their column's centers.
+
+    A column's centers are the rows in the most wide columns, one of each of CENTERS hash classes.
+    """
+    often = wide.groupBy("c").agg(F.count("*").alias("columns")).withColumnRenamed("c", "row")
+    ranked = wide.join(often, F.col("c") == F.col("row")).withColumn("r", F.struct((-F.col("columns")).alias("order"), "c", "n", "at"))
+    group = F.pmod(F.xxhash64("c"), F.lit(CENTERS))
+    # Minima are taken map-side: one row per column and task is shuffled.
+    centers = ranked.groupBy(F.col("h").alias("of")).agg(F.array_compact(F.array(*[F.min(F.when(group == k, F.col("r"))) for k in range(CENTERS)])).alias("centers"))
+    fits = lambda x: (
+        (x["c"] != F.col("c")) & (DEN * F.least(x["n"], "n") >= NUM * F.greatest(x["n"], "n"))
+        & ((NUM + DEN) * F.least(x["n"] - x["at"], F.col("n") - F.col("at")) >= NUM * (x["n"] + F.col("n")))
+    )
+    near = wide.join(centers, F.col("h") == F.col("of")).select("c", F.transform(F.filter("centers", fits), lambda x: x["c"]).alias("near"))
+    return near.select("c", F.explode("near").alias("x")).select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     docs = docs.select("doc_id", "text")
@@ -266,9 +277,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     block_bits = max(6, min(20, (total // DEN // BLOCK_POSTINGS).bit_length() + 1))
     blocks = docs.select("text").mapInArrow(_postings(sent, hub_bits, block_bits), "block long, data binary")
     product = written(blocks.groupBy("block").applyInArrow(_column_pairs, "a long, b long, h long, n int, at int"), spark)
-    edges = written(linked(spark, docs, classes, product.where("b is not null").select("a", "b").distinct()), spark)
+    pairs = product.where("b is not null").select("a", "b")
     wide = product.where("h is not null").select(F.col("a").alias("c"), "h", "n", "at")
-    if not wide.isEmpty():
+    some = not wide.isEmpty()
+    if some:
+        pairs = pairs.unionByName(center_pairs(wide))
+    edges = written(linked(spark, docs, classes, pairs.distinct()), spark)
+    if some:
         label = components(spark, edges)
         wide = wide.join(label, F.col("c") == F.col("node"), "left").select("c", "h", "n", "at", F.coalesce("component", "c").alias("part"))
         open_columns = wide.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("h").alias("oh"))

@@ -77,11 +77,12 @@ class PQModel:
         vector = vector if order is None else F.transform(F.array(*[F.lit(c) for c in order]), lambda c: F.get(vector, c))
         w = self.dimension // self.parts
         to = metric(self.by)
-        codes = []
-        for m in range(self.parts):
+
+        def code(m: int) -> Column:
             sv = F.transform(F.slice(vector, m * w + 1, w), lambda x: x.cast("double"))
-            codes.append(F.array_min(F.transform(F.array(*books[m]), lambda c, sv=sv: F.struct(to(sv, c["centroid"]).alias("d"), c["k"].alias("k"))))["k"])
-        return F.array(*codes)
+            return F.array_min(F.transform(F.array(*books[m]), lambda c: F.struct(to(sv, c["centroid"]).alias("d"), c["k"].alias("k"))))["k"]
+
+        return F.array(*[code(m) for m in range(self.parts)])
 
     def tables(self, queries: DataFrame, by: str | None = None) -> DataFrame:
         """(qid, lut) of queries (qid, embedding)."""

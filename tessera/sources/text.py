@@ -24,7 +24,7 @@ def file_name(path: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str, exclude: str | None = None) -> DataFrame:
     """(file, pos, line) of the lines that are not blank; pos counts those."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     if exclude:
         files = files.where(~file_name(F.col("file")).rlike(exclude))
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")

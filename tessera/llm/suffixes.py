@@ -45,7 +45,7 @@ SIZE = 50
 GRAM = 24
 PERIOD = 16
 SCREEN_BITS = 27
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 LAST = np.int64(2**63 - 1)
 
 HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("off", "u1"), ("len", "u1")])
@@ -172,6 +172,36 @@ def _first_holders(head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.n
     return same, head["doc"] > least[same]
 
 
+def _by_byte(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: equal high bytes stand together."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def head_bytes(head: np.ndarray) -> bytes:
+    """A packet's heads by field, without keys, which the bodies' anchors give again."""
+    return _by_byte(np.diff(head["doc"], prepend=np.int64(0))) + _by_byte(head["start"]) + head["row"].tobytes() + head["off"].tobytes() + head["len"].tobytes()
+
+
+def head_of(raw: bytes) -> np.ndarray:
+    """The heads of a packet, with keys still 0."""
+    n = len(raw) // 26
+    head = np.zeros(n, HEAD)
+    by_byte = np.frombuffer(raw, np.uint8, 16 * n).reshape(2, 8, n)
+    head["doc"] = np.cumsum(np.ascontiguousarray(by_byte[0].T).view("<i8").ravel())
+    head["start"] = np.ascontiguousarray(by_byte[1].T).view("<i8").ravel()
+    head["row"] = np.frombuffer(raw, "<i8", n, 16 * n)
+    head["off"], head["len"] = np.frombuffer(raw, np.uint8, 2 * n, 24 * n).reshape(2, n)
+    return head
+
+
+def anchor_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of the grams that start at the given places."""
+    up, down = _power_tables(len(body) + 1)
+    total = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(CODES[body] * up[: len(body)], out=total[1:])
+    return mix((total[at + GRAM] - total[at]) * down[at]) >> np.uint64(6)
+
+
 def _spans(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
     return [pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
 
@@ -180,7 +210,7 @@ def _sent_segments(sent, bits: int):
     """Segments that pass the screen, packed by bucket; and, bucket -1, spans that equal segments of the batch decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, press = sent.value, zstandard.ZstdCompressor(level=1)
+        bitmap, press = sent.value, zstandard.ZstdCompressor(level=3)
         for batch in portions(batches):
             data, offsets = text_bytes(batch["text"])
             doc = batch["doc_id"].cast(pa.int64()).fill_null(int(LAST)).to_numpy()
@@ -206,7 +236,7 @@ def _sent_segments(sent, bits: int):
             begin = np.cumsum(length) - length
             left = np.flatnonzero(~later)
             packed = [(b, at) for b, at in _deal(left, (mix(head["key"][left]) >> np.uint64(64 - bits)).astype(np.int64))]
-            blobs = [(head[at].tobytes(), press.compress(_gather(body, begin[at], length[at]).tobytes())) for _, at in packed]
+            blobs = [(press.compress(head_bytes(head[at])), press.compress(_gather(body, begin[at], length[at]).tobytes())) for _, at in packed]
             if len(gone):
                 spans = np.stack([gone["row"], gone["start"], gone["start"] + gone["len"]], 1)
                 # Decided spans need no bucket: they are dealt by the number of their first row.
@@ -295,9 +325,11 @@ def _bucket(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         spans = np.concatenate([np.frombuffer(h.as_py(), np.int64) for h in rows["head"]]).reshape(-1, 3)
         return pa.Table.from_arrays(_spans(*spans.T), names=names)
-    head = np.concatenate([np.frombuffer(h.as_py(), HEAD) for h in rows["head"]])
     undo = zstandard.ZstdDecompressor()
+    head = np.concatenate([head_of(undo.decompress(h.as_py())) for h in rows["head"]])
     body = np.concatenate([np.frombuffer(undo.decompress(b.as_py()), np.uint8) for b in rows["body"]])
+    stop = np.cumsum(head["len"], dtype=np.int64)
+    head["key"] = anchor_keys(body, stop - head["len"] + head["off"])
     same, later = _first_holders(head, body)
     out = [(head["row"][later], head["start"][later], head["start"][later] + head["len"][later])]
     # One row a distinct segment, for anchors that have two of them or more.
@@ -338,12 +370,21 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(_bucket, SPANS)
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts as zstd frames, for the shuffle that meets them with their spans."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in portions(batches):
+        frames = [press.compress((t.as_py() or "").encode()) for t in batch["text"]]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["row"], pa.array(frames, pa.binary())], names=["doc_id", "row", "frame"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: the text's bytes without its spans, and the counts."""
-    for batch in portions(batches):
+    undo = zstandard.ZstdDecompressor()
+    for batch in batches:
         out = []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            raw = (text.as_py() or "").encode()
+        for frame, spans in zip(batch["frame"], batch["spans"], strict=True):
+            raw = undo.decompress(frame.as_py())
             kept, removed, runs, at = [], 0, 0, 0
             ends = sorted((s["start"], s["stop"]) for s in spans.as_py() or ())
             for start, stop in ends:
@@ -358,15 +399,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(raw), removed, runs, b"".join(kept)))
         columns = list(zip(*out, strict=True)) if out else [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedupe_strings(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the bytes left, which need not be whole characters."""
     docs = with_row(docs)
     spans = repeated_spans(spark, docs).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("row", "at")
-    joined = docs.join(spans, F.col("row") == F.col("at"), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = docs.mapInArrow(_pressed, "doc_id long, row long, frame binary")
+    joined = texts.join(spans, F.col("row") == F.col("at"), "left")
+    return joined.select("doc_id", "frame", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

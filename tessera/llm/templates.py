@@ -9,14 +9,17 @@ is parsed `DEEP` words deep instead; a leaf still larger merges equal lines
 only, which bounds a task's work without leaving any line out.
 
 A template recurs if it stands in at least `MIN_DOCS` documents that differ
-otherwise: documents are told apart by the smallest shingle hash, which copies
-of one document mostly share, and at least `DIFFERENT` of the template's
-documents must differ so.  Copies of whole documents therefore keep their
-lines, for the near-duplicate operator to find.  All lines of recurring
-templates are dropped.  Lines under `MIN_WORDS` words are never dropped.
-
-Lines travel as hashes.  Leaves with fewer than MIN_DOCS lines cannot hold a
-recurring template and go before words are shuffled.  Both prunings are joins;
+otherwise.  For each of its lines a document has `SKETCHES` sketches: smallest
+hashes, in as many orders, of the shingles inside its other lines; the line
+judged has no part in them.  Documents equal in all of them are one row.  A row
+counts 1/n, where n rows of the template, itself included, have its sketch in
+common, by the `NTH` smallest n of its sketches; so copies of a document, edited
+or not, count as one together, whatever their number, and keep their lines for
+the near-duplicate operator to find.  All lines of recurring templates are
+dropped.  Lines under `MIN_WORDS` words are never dropped.
+
+Lines travel as hashes.  Leaves with fewer than MIN_DOCS lines, or of copies of
+one text only, cannot hold a recurring template and go before words are shuffled.  Both prunings are joins;
 while there are at most MOST_SENT keys they are also broadcast, to filter
 before the shuffle.
 
@@ -43,13 +46,16 @@ DEEP = 8
 AGREE = 0.8
 MIN_WORDS = 3
 MIN_DOCS = 5
-DIFFERENT = 0.5
+SKETCHES = 12
+NTH = 6
 LEAF_LINES = 2048
 MOST_SENT = 1 << 21
 
 _DIGIT = np.zeros(256, np.int8)
 _DIGIT[48:58] = 1
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
+_ORDERS = np.random.default_rng(41).integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NONE = np.uint64(2**64 - 1)
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -69,23 +75,61 @@ class Lines:
         stop = np.append(start[1:], len(data))
         first = np.searchsorted(w.start, start)
         count = np.diff(np.append(first, len(w.start)))
+        self.first, self.count = first, count
+        lines = self._leading(None)
+        text = np.searchsorted(offsets[1:], start, "right")
         full = count >= MIN_WORDS
-        self.start, self.stop, self.first, self.count = start[full], stop[full], first[full], count[full]
-        self.text = np.searchsorted(offsets[1:], self.start, "right")
-        self.leaf, self.deep = self._leading(DEPTH), self._leading(DEEP)
-        self.line = self._leading(None)
-        # The smallest shingle hash of each text tells documents apart.
-        rolled = roll(w.hash, SHINGLE)
-        self.sketch = np.zeros(len(offsets) - 1, np.uint64)
-        size = np.diff(w.first)
-        long = np.flatnonzero(size >= SHINGLE)
-        if len(long):
-            inside = np.ones(len(rolled) + 1, bool)
-            for k in range(1, SHINGLE):
-                at = w.first[1:] - k
-                inside[at[(at >= 0) & (at < len(inside))]] = False
-            low = np.where(inside, np.append(rolled, np.uint64(2**64 - 1)), np.uint64(2**64 - 1))
-            self.sketch[long] = np.minimum.reduceat(low, w.first[:-1][long])
+        self.start, self.stop, self.text, self.line = start[full], stop[full], text[full], lines[full]
+        self._of_sketch = w.hash, first[count > 0], count[count > 0], text[count > 0], lines[count > 0]
+        self.first, self.count = first[full], count[full]
+        self.leaf = self._leading(DEPTH)
+
+    @property
+    def deep(self) -> np.ndarray:
+        return self._leading(DEEP)
+
+    def wholes(self) -> np.ndarray:
+        """Of each line, the hash of its text's words."""
+        hashes, first, count, text, _ = self._of_sketch
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        at = np.arange(len(hashes)) - np.repeat(first[np.searchsorted(text, text)], count)
+        np.cumsum(mix(hashes + mix(at.astype(np.uint64))), out=total[1:])
+        low, high = np.searchsorted(text, self.text), np.searchsorted(text, self.text, "right") - 1
+        return total[first[high] + count[high]] - total[first[low]]
+
+    def sketches(self) -> np.ndarray:
+        """Of each line, SKETCHES smallest shingle hashes of its text's other lines; copies of the line have no part."""
+        hashes, first, count, text, line = self._of_sketch
+        out = np.empty((len(self.line), SKETCHES), np.uint32)
+        if not len(self.line):
+            return out
+        # Shingles inside lines; a line of fewer words is one shingle.
+        inside = np.zeros(len(hashes), bool)
+        place = np.arange(len(hashes)) - np.repeat(first, count)
+        inside[place + SHINGLE <= np.repeat(count, count)] = True
+        value = np.zeros(len(hashes), np.uint64)
+        rolled = roll(hashes, SHINGLE)
+        value[: len(rolled)] = rolled
+        short = count < SHINGLE
+        a, c = first[short], count[short]
+        h = c.astype(np.uint64)
+        for k in range(SHINGLE - 1):
+            h = np.where(k < c, mix(h + hashes[np.minimum(a + k, len(hashes) - 1)]), h)
+        value[a], inside[a] = h, True
+        at = np.flatnonzero(inside)
+        value, edge = value[at], np.searchsorted(at, first)
+        top = np.searchsorted(text, np.unique(text))
+        mine = np.searchsorted(text[top], self.text)
+        size = np.diff(np.append(top, len(text)))
+        for j, order in enumerate(_ORDERS):
+            low = np.minimum.reduceat(value * order, edge)
+            least = np.minimum.reduceat(low, top)
+            holds = np.flatnonzero(low == np.repeat(least, size))
+            owner = line[holds[np.searchsorted(text[holds], text[top])]]
+            other = np.minimum.reduceat(np.where(line == np.repeat(owner, size), _NONE, low), top)
+            # The smallest hashes have leading zeros: mixed before they are cut to 32 bits.
+            out[:, j] = mix(np.where(self.line == owner[mine], other[mine], least[mine])) >> np.uint64(32)
+        return out
 
     def _leading(self, depth: int | None) -> np.ndarray:
         """Hash of a line's word count and leading (all, if None) masked words, from one running sum."""
@@ -109,12 +153,16 @@ def _line_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines]]:
         yield i, Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, deep, line, sketch) once per text and distinct line."""
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, n, lo, hi): per chunk and leaf the lines, counted once a text, and the least and largest hash of their texts."""
     for batch in portions(batches):
         for _, x in _line_chunks(batch):
             _, at = np.unique(mix(x.line + mix(x.text.astype(np.uint64))), return_index=True)
-            yield pa.RecordBatch.from_arrays([_i64(v[at]) for v in (x.leaf, x.deep, x.line)] + [_i64(x.sketch[x.text[at]])], names=["leaf", "deep", "line", "sketch"])
+            if len(at):
+                at = at[np.argsort(x.leaf[at], kind="stable")]
+                leaf, first, n = np.unique(x.leaf[at], return_index=True, return_counts=True)
+                whole = x.wholes()[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([_i64(leaf), pa.array(n, pa.int64()), pa.array(np.minimum.reduceat(whole, first)), pa.array(np.maximum.reduceat(whole, first))], names=["leaf", "n", "lo", "hi"])
 
 
 def _among(sent, values: np.ndarray) -> np.ndarray:
@@ -126,16 +174,24 @@ def _among(sent, values: np.ndarray) -> np.ndarray:
 
 
 def _worded(sent):
-    """(leaf, deep, line, words as 16-bit codes) once per batch and distinct line of the leaves sent (all, if None)."""
+    """(leaf, deep, line, kind, codes) once per text and distinct line of the leaves sent (all, if None).
+
+    kind has the text's sketches for the line.  codes has the words as 16-bit codes from 1, once per chunk and line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             for _, x in _line_chunks(batch):
-                _, at = np.unique(x.line, return_index=True)
+                _, at = np.unique(mix(x.line + mix(x.text.astype(np.uint64))), return_index=True)
                 at = at[_among(sent, x.leaf[at])] if sent is not None else at
-                code = (x.masked >> np.uint64(48)).astype(np.uint16)
-                codes = [code[a : a + n].tobytes() for a, n in zip(x.first[at], x.count[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([_i64(v[at]) for v in (x.leaf, x.deep, x.line)] + [pa.array(codes, pa.binary())], names=["leaf", "deep", "line", "codes"])
+                if not len(at):
+                    continue
+                code = np.maximum(x.masked >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+                new = np.zeros(len(at), bool)
+                new[np.unique(x.line[at], return_index=True)[1]] = True
+                codes = [code[a : a + n].tobytes() if k else None for a, n, k in zip(x.first[at], x.count[at], new, strict=True)]
+                kind = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * SKETCHES), pa.array(x.sketches()[at].ravel().view(np.int32)))
+                yield pa.RecordBatch.from_arrays([_i64(x.leaf[at]), _i64(x.deep[at]), _i64(x.line[at]), kind, pa.array(codes, pa.binary())], names=["leaf", "deep", "line", "kind", "codes"])
 
     return run
 
@@ -175,26 +231,39 @@ def _bounded(spark: SparkSession, keys: DataFrame):
     return spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
 
 
-def recurring_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(line, template, n_docs): hashes of the masked lines whose template recurs, and the template's documents."""
-    text = docs.select("text")
-    seen = text.mapInArrow(_seen, "leaf long, deep long, line long, sketch long")
-    # One row per distinct line and kind of document, with the number of documents.
-    seen = written(seen.groupBy("leaf", "deep", "line", "sketch").agg(F.count("*").alias("n")), spark)
-    leaves = written(seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("sketch").alias("hi"), F.min("sketch").alias("lo")).where(f"n >= {MIN_DOCS} and lo <> hi").select("leaf"), spark)
-    lines = text.mapInArrow(_worded(_bounded(spark, leaves)), "leaf long, deep long, line long, codes binary")
-    lines = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "deep", "line").agg(F.first("codes").alias("codes"))
-    lines = written(lines, spark)
+def parsed_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(line, template) of distinct lines (leaf, deep, line, codes)."""
     large = lines.groupBy("leaf").count().where(f"count > {LEAF_LINES}").select(F.col("leaf").alias("large"))
     keyed = lines.join(large, F.col("leaf") == F.col("large"), "left").select(F.when(F.col("large").isNull(), F.col("leaf")).otherwise(F.col("deep")).alias("key"), "line", "codes")
     wide = keyed.groupBy("key").count().where(f"count > {LEAF_LINES}").select(F.col("key").alias("wide"))
     keyed = keyed.join(wide, F.col("key") == F.col("wide"), "left")
     small = keyed.where("wide is null").select("key", "line", "codes").groupBy("key").applyInArrow(_parsed, "line long, template long")
-    named = small.unionByName(keyed.where("wide is not null").select("line", F.col("line").alias("template"))).withColumnRenamed("line", "named")
-    named = written(named, spark)
-    kinds = seen.join(named, F.col("line") == F.col("named")).groupBy("template", "sketch").agg(F.sum("n").alias("n"))
-    found = kinds.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("kinds"))
-    found = found.where((F.col("kinds") >= MIN_DOCS) & (F.col("kinds") >= DIFFERENT * F.col("n_docs"))).withColumnRenamed("template", "recurring")
+    return written(small.unionByName(keyed.where("wide is not null").select("line", F.col("line").alias("template"))), spark)
+
+
+def differing(kinds: DataFrame) -> DataFrame:
+    """(template, n_docs) of the templates that stand in MIN_DOCS documents that differ otherwise; kinds: template, kind, n."""
+    rows = kinds.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("rows")).where(f"rows >= {MIN_DOCS}").select(F.col("template").alias("often"), "n_docs")
+    each = kinds.join(rows, F.col("template") == F.col("often"), "left_semi").select("template", "kind", F.posexplode("kind").alias("j", "s"))
+    shared = each.groupBy("template", "j", "s").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    sizes = each.join(shared, ["template", "j", "s"], "left").groupBy("template", "kind").agg(F.sort_array(F.collect_list(F.coalesce("n_rows", F.lit(1)))).alias("sizes"))
+    # Where a sum of fractions should be whole, rounding must not keep it below.
+    found = sizes.groupBy("template").agg(F.sum(1 / F.col("sizes")[NTH - 1]).alias("differ")).where(f"differ >= {MIN_DOCS - 1e-6}")
+    return found.join(rows, F.col("template") == F.col("often")).select("template", "n_docs")
+
+
+def recurring_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(line, template, n_docs): hashes of the masked lines whose template recurs, and the template's documents."""
+    text = docs.select("text")
+    leaves = text.mapInArrow(_leaves, "leaf long, n long, lo long, hi long").groupBy("leaf").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    leaves = written(leaves.where(f"n >= {MIN_DOCS} and lo <> hi").select("leaf"), spark)
+    seen = text.mapInArrow(_worded(sent := _bounded(spark, leaves)), "leaf long, deep long, line long, kind array<int>, codes binary")
+    seen = written(seen if sent is not None else seen.join(leaves, "leaf", "left_semi"), spark)
+    lines = written(seen.where("codes is not null").groupBy("leaf", "deep", "line").agg(F.first("codes").alias("codes")), spark)
+    named = parsed_lines(spark, lines).withColumnRenamed("line", "named")
+    # One row per template and kind of document, with the number of documents.
+    kinds = seen.join(named, F.col("line") == F.col("named")).groupBy("template", "kind").agg(F.count("*").alias("n"))
+    found = differing(written(kinds, spark)).withColumnRenamed("template", "recurring")
     return named.join(found, F.col("template") == F.col("recurring")).select(F.col("named").alias("line"), "template", "n_docs")
 
 

@@ -79,3 +79,24 @@ def test_line_hashes_follow_masked_words():
 def test_merge():
     lines = [np.array(v) for v in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [1, 2, 8, 7, 6], [1, 2, 3, 4, 7])]
     assert tp.merge_templates(lines) == [0, 0, 1, 0]
+
+
+@pytest.mark.parametrize("n_docs,n_passage,n_other", [(20, 60, 100), (20, 150, 100), (5, 60, 250)])
+def test_long_passages_in_short_documents(spark, n_docs, n_passage, n_other):
+    rnd = random.Random(n_passage)
+    passages = [prose(rnd, n_passage) for _ in range(12)]
+    docs = [(0, "\n".join([prose(rnd, n_other // 2), p, prose(rnd, n_other - n_other // 2)])) for p in passages for _ in range(n_docs)]
+    out = tp.dedupe_lines(spark, spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 1 and not any(p in r.text for p in passages) for r in out)
+
+
+def test_passage_beside_large_copy_groups(spark):
+    rnd = random.Random(8)
+    passage = prose(rnd, 60)
+    docs = [f"{prose(rnd, 60)}\n{passage}\n{prose(rnd, 60)}" for _ in range(20)]
+    copies = ["\n".join([prose(rnd, 30), passage, *(prose(rnd, 20) for _ in range(8))])] * 200
+    # Near copies: a word of another line differs.
+    lines = [prose(rnd, 25) for _ in range(8)]
+    near = ["\n".join([*lines[:3], lines[3] + " " + prose(rnd, 1), *lines[4:]]) for _ in range(200)]
+    out = tp.dedupe_lines(spark, spark.createDataFrame(list(enumerate(docs + copies + near)), "doc_id long, text string")).collect()
+    assert all(r.n_dropped == (r.doc_id < 220) for r in out)

@@ -5,8 +5,9 @@ it: first by word count, then by `DEPTH` leading masked words.  In a leaf the
 distinct masked lines are merged in order into templates: a line joins the
 template that agrees with it in most positions, `AGREE` of them at least, and
 positions that differ become variable.  A leaf of more than `LEAF_LINES` lines
-is parsed `DEEP` words deep instead; a leaf still larger merges equal lines
-only, which bounds a task's work without leaving any line out.
+is merged in blocks of about so many, then its blocks' templates by their forms
+in the same way, while rounds lessen them by a fifth or more; what is left of a
+leaf is merged together.  No line or template is left out at any size.
 
 A template recurs if it stands in at least `MIN_DOCS` documents that differ
 otherwise.  For each of its lines a document has `SKETCHES` sketches: smallest
@@ -32,6 +33,7 @@ results.  All columns are kept; n_chars follows the text where it is present.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +176,7 @@ def _among(sent, values: np.ndarray) -> np.ndarray:
 
 
 def _worded(sent):
-    """(leaf, deep, line, kind, codes) once per text and distinct line of the leaves sent (all, if None).
+    """(leaf, line, kind, codes) once per text and distinct line of the leaves sent (all, if None).
 
     kind has the text's sketches for the line.  codes has the words as 16-bit codes from 1, once per chunk and line.
     """
@@ -191,37 +193,84 @@ def _worded(sent):
                 new[np.unique(x.line[at], return_index=True)[1]] = True
                 codes = [code[a : a + n].tobytes() if k else None for a, n, k in zip(x.first[at], x.count[at], new, strict=True)]
                 kind = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * SKETCHES), pa.array(x.sketches()[at].ravel().view(np.int32)))
-                yield pa.RecordBatch.from_arrays([_i64(x.leaf[at]), _i64(x.deep[at]), _i64(x.line[at]), kind, pa.array(codes, pa.binary())], names=["leaf", "deep", "line", "kind", "codes"])
+                yield pa.RecordBatch.from_arrays([_i64(x.leaf[at]), _i64(x.line[at]), kind, pa.array(codes, pa.binary())], names=["leaf", "line", "kind", "codes"])
 
     return run
 
 
-def merge_templates(lines: list[np.ndarray]) -> list[int]:
-    """The template number of each line of a leaf, all of one length, merged in order."""
+def merged(lines: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    """The template number of each line or form of a leaf, all of one length, merged in order, and the templates' forms.
+
+    Variable positions are negative.  Words past the leaf's are cut into one part more than positions may differ, so
+    that a line equals its template in one of them: only templates that share a part with it are compared.
+    """
     if not lines:
-        return []
-    form = np.empty((len(lines), len(lines[0])), np.int32)
+        return [], np.empty((0, 0), np.int32)
+    size = len(lines[0])
+    most = sum((size - k) / size >= AGREE for k in range(1, size + 1))
+    cuts = np.linspace(min(DEPTH, size), size, most + 2).astype(int).tolist()
+    form = np.empty((len(lines), size), np.int32)
+    known: dict[tuple[int, bytes], list[int]] = {}
     out, n = [], 0
     for line in lines:
-        same = (form[:n] == line).mean(1) if n else np.zeros(0)
-        best = int(same.argmax()) if n else -1
-        if n and same[best] >= AGREE:
+        parts = [(k, line[i:j].tobytes()) for k, (i, j) in enumerate(pairwise(cuts)) if (line[i:j] >= 0).all()]
+        near = np.array(sorted({t for part in parts for t in known.get(part, ())}), np.int64)
+        same = ((form[near] == line) & (line >= 0)).mean(1) if len(near) else np.zeros(0)
+        if len(near) and same.max() >= AGREE:
+            best = int(near[same.argmax()])
             form[best][form[best] != line] = -1
         else:
             form[n] = line
+            for part in parts:
+                known.setdefault(part, []).append(n)
             best, n = n, n + 1
         out.append(best)
-    return out
+    return out, form[:n]
+
+
+def merge_templates(lines: list[np.ndarray]) -> list[int]:
+    """The template number of each line of a leaf, all of one length, merged in order."""
+    return merged(lines)[0]
 
 
-def _parsed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("line")
-    line = rows["line"].to_pylist()
-    if len(line) > LEAF_LINES:
-        return pa.table({"line": rows["line"], "template": rows["line"]})
-    number = merge_templates([np.frombuffer(c.as_py(), np.uint16).astype(np.int32) for c in rows["codes"]])
-    first = {}
-    return pa.table({"line": rows["line"], "template": pa.array([first.setdefault(t, k) for t, k in zip(number, line, strict=True)], pa.int64())})
+def _parsed(rows: pa.Table) -> pa.Table:
+    """(leaf, item, template, codes) of one block; codes, 0 where variable, stand at the item that names the template."""
+    rows = rows.sort_by("item")
+    item = rows["item"].to_pylist()
+    coded = [np.frombuffer(c.as_py(), np.uint16).astype(np.int32) for c in rows["codes"]]
+    number, form = merged([np.where(c > 0, c, -1) for c in coded])
+    first: dict[int, int] = {}
+    named = [first.setdefault(t, k) for t, k in zip(number, item, strict=True)]
+    codes = [np.maximum(form[t], 0).astype(np.uint16).tobytes() if k == first[t] else None for t, k in zip(number, item, strict=True)]
+    return pa.table({"leaf": rows["leaf"], "item": rows["item"], "template": pa.array(named, pa.int64()), "codes": pa.array(codes, pa.binary())})
+
+
+def parsed_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(line, template) of distinct lines (leaf, line, codes)."""
+    schema = "leaf long, item long, template long, codes binary"
+    items, named, before = lines.select("leaf", F.col("line").alias("item"), "codes"), None, None
+    while True:
+        large = written(items.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {LEAF_LINES}").withColumnRenamed("leaf", "large"), spark)
+        left = large.agg(F.sum("n")).first()[0] or 0
+        last = left == 0 or (before is not None and left > 0.8 * before)
+        if last:
+            done = items.groupBy("leaf").applyInArrow(_parsed, schema)
+        else:
+            keyed = items.join(large, F.col("leaf") == F.col("large"))
+            # Another deal each round: block numbers follow the number of items left.
+            keyed = keyed.withColumn("block", F.pmod(F.xxhash64("item", "n"), F.ceil(F.col("n") / LEAF_LINES)))
+            done = keyed.select("leaf", "block", "item", "codes").groupBy("leaf", "block").applyInArrow(_parsed, schema)
+            rest = items.join(large, F.col("leaf") == F.col("large"), "left_anti")
+            done = done.unionByName(rest.select("leaf", "item", F.col("item").alias("template"), "codes"))
+        done = written(done, spark)
+        to = done.select("item", F.col("template").alias("to"))
+        if named is None:
+            named = to.select(F.col("item").alias("line"), F.col("to").alias("template"))
+        else:
+            named = written(named.join(to, F.col("template") == F.col("item")).select("line", F.col("to").alias("template")), spark)
+        if last:
+            return named
+        items, before = done.where("codes is not null").select("leaf", "item", "codes"), left
 
 
 def _bounded(spark: SparkSession, keys: DataFrame):
@@ -231,16 +280,6 @@ def _bounded(spark: SparkSession, keys: DataFrame):
     return spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
 
 
-def parsed_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(line, template) of distinct lines (leaf, deep, line, codes)."""
-    large = lines.groupBy("leaf").count().where(f"count > {LEAF_LINES}").select(F.col("leaf").alias("large"))
-    keyed = lines.join(large, F.col("leaf") == F.col("large"), "left").select(F.when(F.col("large").isNull(), F.col("leaf")).otherwise(F.col("deep")).alias("key"), "line", "codes")
-    wide = keyed.groupBy("key").count().where(f"count > {LEAF_LINES}").select(F.col("key").alias("wide"))
-    keyed = keyed.join(wide, F.col("key") == F.col("wide"), "left")
-    small = keyed.where("wide is null").select("key", "line", "codes").groupBy("key").applyInArrow(_parsed, "line long, template long")
-    return written(small.unionByName(keyed.where("wide is not null").select("line", F.col("line").alias("template"))), spark)
-
-
 def differing(kinds: DataFrame) -> DataFrame:
     """(template, n_docs) of the templates that stand in MIN_DOCS documents that differ otherwise; kinds: template, kind, n."""
     rows = kinds.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("rows")).where(f"rows >= {MIN_DOCS}").select(F.col("template").alias("often"), "n_docs")
@@ -257,9 +296,9 @@ def recurring_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = docs.select("text")
     leaves = text.mapInArrow(_leaves, "leaf long, n long, lo long, hi long").groupBy("leaf").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     leaves = written(leaves.where(f"n >= {MIN_DOCS} and lo <> hi").select("leaf"), spark)
-    seen = text.mapInArrow(_worded(sent := _bounded(spark, leaves)), "leaf long, deep long, line long, kind array<int>, codes binary")
+    seen = text.mapInArrow(_worded(sent := _bounded(spark, leaves)), "leaf long, line long, kind array<int>, codes binary")
     seen = written(seen if sent is not None else seen.join(leaves, "leaf", "left_semi"), spark)
-    lines = written(seen.where("codes is not null").groupBy("leaf", "deep", "line").agg(F.first("codes").alias("codes")), spark)
+    lines = written(seen.where("codes is not null").groupBy("leaf", "line").agg(F.first("codes").alias("codes")), spark)
     named = parsed_lines(spark, lines).withColumnRenamed("line", "named")
     # One row per template and kind of document, with the number of documents.
     kinds = seen.join(named, F.col("line") == F.col("named")).groupBy("template", "kind").agg(F.count("*").alias("n"))

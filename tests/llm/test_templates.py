@@ -100,3 +100,28 @@ def test_passage_beside_large_copy_groups(spark):
     near = ["\n".join([*lines[:3], lines[3] + " " + prose(rnd, 1), *lines[4:]]) for _ in range(200)]
     out = tp.dedupe_lines(spark, spark.createDataFrame(list(enumerate(docs + copies + near)), "doc_id long, text string")).collect()
     assert all(r.n_dropped == (r.doc_id < 220) for r in out)
+
+
+def test_large_leaves_keep_templates(spark, monkeypatch):
+    monkeypatch.setattr(tp, "LEAF_LINES", 8)
+    rnd = random.Random(5)
+    docs = [f"Posted on Monday by {prose(rnd, 1)} in our news section\n{prose(rnd, 40)}\nPosted on Monday {prose(rnd, 6)}" for _ in range(150)]
+    out = tp.dedupe_lines(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 1 and "in our news section" not in r.text for r in out)
+
+
+def test_merge_compares_all_templates_that_can_fit():
+    rnd = np.random.default_rng(3)
+    for size in range(3, 16):
+        lines = [rnd.integers(1, 4, size).astype(np.int32) for _ in range(300)]
+        form, want = [], []
+        for line in lines:
+            same = [(f == line).mean() for f in form]
+            if form and max(same) >= tp.AGREE:
+                best = int(np.argmax(same))
+                form[best] = np.where(form[best] == line, line, -1)
+            else:
+                best = len(form)
+                form.append(line.copy())
+            want.append(best)
+        assert tp.merge_templates(lines) == want

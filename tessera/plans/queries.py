@@ -255,7 +255,9 @@ def dbscan_codebook(spark, sf):
 
 def kmeans_converged(spark, sf):
     sub = subs(spark, sf)
-    done = qz.train(sub, qz.first_centroids(sub, KS), max_steps=30)
+    done = qz.train(sub, qz.first_centroids(sub, KS))
+    if not done.converged:
+        raise RuntimeError(f"k-means has not converged in {done.steps} steps")
     return done.codes.select("vec_id", "m", "k")
 
 
@@ -285,7 +287,9 @@ def customer_adc_gjaccard(spark, sf):
 def model_search(spark, sf):
     """Fit, encode and search through the model's interface."""
     vectors = embeddings(spark, sf)
-    model = PQModel(DIM, parts=4, ks=8, max_steps=5).fit(vectors)
+    model = PQModel(DIM, parts=4, ks=KS).fit(vectors)
+    if not model.converged:
+        raise RuntimeError("the model's training has not converged")
     return shown(model.search(model.encode(vectors), as_queries(vectors), TOP))
 
 

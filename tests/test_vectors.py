@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import metrics as mt
 from tessera.functions import vectors as vc
 from tessera.operators import evaluate, medoids, quantize, search
+from tessera.plans import queries
 from tessera.plans.model import PQModel
 from tessera.sources import text, vecs
 
@@ -43,6 +44,26 @@ def test_kmeans_smoke(spark):
     assert [r.k for r in done.codes.orderBy("vec_id").collect()] == [0, 0, 1, 1, 0, 1, -1]
 
 
+def test_kmeans_converges_beyond_30_steps(spark, tmp_path, monkeypatch):
+    # Integers on a line, all 16 centroids at its low end: the same in each of the 8 subspaces.
+    data = np.random.default_rng(0).permutation(90).astype(float)
+    centers, codes, steps = np.sort(data)[:16], None, 0
+    while True:
+        steps += 1
+        now = np.abs(data[:, None] - centers).argmin(1)
+        if codes is not None and (now == codes).all():
+            break
+        codes, centers = now, np.array([data[now == k].mean() for k in range(16)])
+    assert steps > 30
+    spark.createDataFrame([(i, [x] + [0.0] * 7) for i, x in enumerate(data.tolist())], "vec_id long, e array<double>").select("vec_id", F.flatten(F.array_repeat("e", 8)).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.kmeans_converged(spark, str(tmp_path)).collect()
+    assert len(got) == 8 * 90 and all(r.k == codes[r.vec_id] for r in got)
+    train = quantize.train
+    monkeypatch.setattr(quantize, "train", lambda sub, book: train(sub, book, max_steps=3))
+    with pytest.raises(RuntimeError, match="not converged"):
+        queries.kmeans_converged(spark, str(tmp_path))
+
+
 def test_search_matches_numpy(spark):
     rng = np.random.default_rng(4)
     data, k = rng.normal(size=(60, 8)), 5

@@ -61,8 +61,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages before the mix have kept."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), spark)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, kept(spark, sf_dir), sf_dir)
+
+
+def run_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus itself: each kept document once per copy that run() plans for it, and none without copies."""
+    return mixing.mix(kept(spark, sf_dir))

@@ -1,3 +1,8 @@
+import hashlib
+import re
+from collections import Counter
+
+import __spark_entry__ as se
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 from test_decontamination import brute as brute_leaks
@@ -47,3 +52,37 @@ def test_odd_rows_pass(spark, sf_dir):
     for _, stage in cp.STAGES:
         empty = written(stage(spark, empty, sf_dir), spark)
     assert empty.count() == 0
+
+
+def brute_mix(rows):
+    """(doc_id, copy, size, target) of each copy of rows (doc_id, source, text)."""
+    sizes = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, _, t in rows}
+    total = Counter()
+    for d, source, _ in rows:
+        total[source] += sizes[d]
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(total))}
+    target, free, left = {}, set(total), mixing.SHARE * sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > mixing.MOST * total[s]}
+        for s in full or free:
+            target[s] = mixing.MOST * total[s] if full else level * weight[s]
+            left -= target[s]
+        free -= full or free
+    out = []
+    for d, source, _ in rows:
+        rate = target[source] / total[source]
+        draw = int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:12], 16) / 2**48
+        out += [(d, k, sizes[d], round(target[source], 3)) for k in range(int(rate) + (draw < rate % 1))]
+    return out
+
+
+def test_mix_emits_copies(spark, sf_dir):
+    docs = cp.kept(spark, sf_dir)
+    want = brute_mix([tuple(r) for r in docs.select("doc_id", "source", "text").collect()])
+    got = se.queries()["pipeline_mix"](spark, sf_dir)
+    assert set(docs.columns) < set(got.columns)
+    assert sorted((r.doc_id, r.copy, r["size"], round(r.target, 3)) for r in got.collect()) == sorted(want)
+    # Some documents are out and some are in twice.
+    times = Counter(d for d, *_ in want)
+    assert max(times.values()) > 1 and len(times) < docs.count()

@@ -13,10 +13,12 @@ Labelled pages are pages whose elements carry data-y="1" (content) or "0";
 others can be passed to `train`.  data-y is no trait.
 
 White space inside a block becomes one space, blocks are trimmed and joined in
-page order by a line break, and character references are decoded.
+page order by a line break, and character references are decoded.  Scripts,
+styles, titles, form fields and embedded media, drawings and frames hold no text.
 
 Nulls and odd rows: a null or blank html has empty text; broken markup is read
-as far as it goes (unclosed elements end with their parent); repeated rows are
+as far as it goes (unclosed elements end with their parent, scripts, styles,
+titles and text fields with the page, embedded ones at once); repeated rows are
 extracted alike; empty tables give no rows.  Only page_id, url and html are
 read.
 """
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,10 +62,14 @@ HINTS = {
 }
 _HINT = {w: kind for kind, ws in reversed(HINTS.items()) for w in ws.split()}
 _ORDER = {kind: k for k, kind in enumerate(HINTS)}
+#: Comments, and elements of raw text, run to the end of the page if unclosed.
+_RAW = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+#: Elements that hold no text of the page; of an unclosed one only the tag goes.
+_EMBEDDED = r"(noscript|template|svg|iframe|object|select|audio|video|canvas)(?=[\s/>])([^>]*)>"
+_EMBEDDED_TAG = re.compile(r"</?" + _EMBEDDED, re.I)
+_NESTING = re.compile(_RAW + r"|<(/?)" + _EMBEDDED, re.S | re.I)
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title|math|audio|video|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
+    _RAW + r"|<" + _EMBEDDED + r"|<[!?][^>]*>"
     r"|</([a-zA-Z][^\s>/]*)[^>]*>"
     r"|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.S | re.I,
@@ -104,6 +111,38 @@ def _hint(attributes: str) -> tuple[str, int | None]:
     return found, label
 
 
+def _embedded(page: str) -> dict[int, int]:
+    """Where each embedded element of a page starts and ends, for those that are closed."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    n_open: Counter[str] = Counter()
+    if not _EMBEDDED_TAG.search(page):
+        return ends
+    at = 0
+    while m := _NESTING.search(page, at):
+        at = m.end()
+        if m.group(1) and n_open["svg"]:
+            # Inside SVG, a title or style may close itself.
+            tag_end = page.index(">", m.start()) + 1
+            if page[tag_end - 2] == "/":
+                at = tag_end
+        elif m.group(3):
+            tag = m.group(3).lower()
+            if not m.group(2):
+                if not (tag == "svg" and m.group(4).endswith("/")):
+                    opened.append((tag, m.start()))
+                    n_open[tag] += 1
+            elif n_open[tag]:
+                # What is still open inside ends unclosed.
+                while True:
+                    last, start = opened.pop()
+                    n_open[last] -= 1
+                    if last == tag:
+                        break
+                ends[start] = at
+    return ends
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page in page order, parents first; text runs have tag #text."""
     nodes = [Node("#root", -1)]
@@ -122,15 +161,16 @@ def parse(page: str) -> list[Node]:
         close_run()
         del stack[depth:]
 
+    embedded = _embedded(page)
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             run.append(piece)
             if inside_link:
                 linked += len(piece.strip())
-        at = m.end()
-        opened, closed = m.group(3), m.group(2)
+        at = embedded.get(m.start(), m.end()) if m.group(2) else m.end()
+        opened, closed = m.group(5), m.group(4)
         if opened:
             tag = opened.lower()
             if tag == "a":
@@ -150,7 +190,7 @@ def parse(page: str) -> list[Node]:
                             break
                 elif (nodes[stack[-1]].tag == "p" and tag not in ("button", "label", "caption", "legend", "optgroup")) or (tag[0] == "h" and nodes[stack[-1]].tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
                     pop_to(len(stack) - 1)
-                hint, label = _hint(m.group(4) or "")
+                hint, label = _hint(m.group(6) or "")
                 nodes.append(Node(tag, stack[-1], hint, nodes[stack[-1]].label if label is None else label))
                 stack.append(len(nodes) - 1)
         elif closed:

@@ -78,3 +78,36 @@ def test_odd_rows(spark, model):
     out = hx.extract(df, model).collect()
     assert sorted(r.n_chars for r in out)[:2] == [0, 0] and max(r.n_chars for r in out) == 3000 * len(LONG) + 2999
     assert hx.extract(df.limit(0), model).count() == 0
+
+
+def runs(page):
+    return [n.text for n in hx.parse(page) if n.tag == "#text"]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>a</p><svg-icon></svg-icon><p>rest of article</p>", ["a", "rest of article"]),
+        ("<p>a</p><video-player src=x>b</video-player><object-card/><title-bar>c</title-bar><p>rest</p>", ["a", "bc", "rest"]),
+        ("<p>a<svg/></p><p>rest</p>", ["a", "rest"]),
+        ("<p>a<svg class='x' /></p><p>rest</p><svg><path/></svg><p>end</p>", ["a", "rest", "end"]),
+        ("<p>a<svg><title/><svg>x</svg>y</svg></p><p>rest</p>", ["a", "rest"]),
+        ("<p>a<math/> b</p><p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>", ["a b", "if x=1 then"]),
+        ("<p>a</p><video src=x><p>rest</p><video>no</video><p>end</p>", ["a", "rest", "end"]),
+        ("<p>a</p><template>x<template>y</template>z</template><select><option>o</select><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><canvas><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><textarea>x<p>y</p>", ["a"]),
+        ("<script>'<svg>'</script><p>a</p><script src=x>if (a<b) '</svg>'</script><p>rest</p><style>p{}", ["a", "rest"]),
+    ],
+)
+def test_markup_that_ends_no_page(page, want):
+    assert runs(page) == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert len("".join(runs("<video>a" * 50_000))) == 50_000
+
+
+def test_article_beside_icons(model):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><svg-icon name=x></svg-icon><p>{LONG}<svg/></p><video-player></video-player><p>{LONG}</p></article>"
+    assert model.text(page) == f"Title\n{LONG}\n{LONG}\n{LONG}"

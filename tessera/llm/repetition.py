@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
-from .textkit import Words, _power_tables, chunks, mix, roll, text_bytes, words
-from .textkit import _CODES as CODES
+from .textkit import Words, chunks, mix, range_sums, roll, text_bytes, tidy, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -146,10 +145,7 @@ def line_repeats(data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
     if not len(start):
         return np.zeros(len(offsets) - 1, np.int64)
     end = end - (data[end - 1] == 10)
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * up[: len(data)], out=total[1:])
-    key = mix((total[end] - total[start]) * down[start] + mix((end - start).astype(np.uint64)))
+    key = mix(range_sums(data, start, end) + mix((end - start).astype(np.uint64)))
     key = mix(key + mix(text.astype(np.uint64) + np.uint64(7)))
     _, first = np.unique(key, return_index=True)
     return np.bincount(text, minlength=len(offsets) - 1) - np.bincount(text[first], minlength=len(offsets) - 1)

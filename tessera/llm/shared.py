@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,29 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset (tests only)."""
+    """A new folder below spark.checkpoint.dir, which executors and driver share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def sent(spark: SparkSession, value) -> Iterator[Broadcast]:
+    """A broadcast that lasts as long as the block; what uses it must be written inside."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that shared_dir() has named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there."""
     path = shared_dir(spark)

@@ -2,18 +2,22 @@
 
 Words are runs of bytes other than space and 0x09-0x0D, so UTF-8 never needs
 decoding.  A word's hash is a polynomial over random 64-bit byte codes, taken
-from one running sum per chunk, then mixed; hashes are the same in every task.
+from running sums over at most a chunk, then mixed; hashes are the same in
+every task.  What is held per byte of a text, however long, is a few flags.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 PORTION_BYTES = 4 << 20
 SHINGLE = 5
 
@@ -21,23 +25,43 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODES = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_CODES = _CODES[_LOWER]
+CODES = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER_CODES = CODES[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _ROLL = np.uint64(0x94D049BB133111EB)
 
-_powers: list[np.ndarray] = []
+_up = np.cumprod(np.r_[np.uint64(1), np.full(CHUNK_BYTES, _BASE, np.uint64)])
+_down = np.cumprod(np.r_[np.uint64(1), np.full(CHUNK_BYTES, _BASE_INV, np.uint64)])
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+_released = [0.0]
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 5 // 4)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+
+def release(every: float = 2.0) -> None:
+    """Give memory that is free back to the system, where the C library can, at most once in so many seconds."""
+    if time.monotonic() - _released[0] >= every:
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+        _released[0] = time.monotonic()
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of Arrow batches that leaves no free memory with its worker, which the next task may not need."""
+
+    @wraps(run)
+    def batches(*args):
+        for out in run(*args):
+            yield out
+            release()
+        release(0.0)
+
+    return batches
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,6 +71,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def running_sums(data: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
+    """Sums of codes times powers of the base before each of at most CHUNK_BYTES bytes, and after the last."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * _up[: len(data)], out=total[1:])
+    return total
+
+
+def range_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
+    """The polynomial hash, not mixed, of each of ascending byte ranges; equal bytes have equal hashes wherever they stand."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, "right")))
+        low = int(start[i])
+        if end[j - 1] - low <= CHUNK_BYTES:
+            total = running_sums(data[low : int(end[j - 1])], codes)
+            out[i:j] = (total[end[i:j] - low] - total[start[i:j] - low]) * _down[start[i:j] - low]
+        else:  # one range longer than a chunk
+            for at in range(low, int(end[i]), CHUNK_BYTES):
+                part = running_sums(data[at : min(at + CHUNK_BYTES, int(end[i]))], codes)[-1:]
+                out[i : i + 1] += part * np.array([pow(_BASE, at - low, 2**64)], np.uint64)
+        i = j
+    return out
+
+
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` bytes at each place of at most CHUNK_BYTES bytes."""
+    total = running_sums(data)
+    return mix((total[size:] - total[:-size]) * _down[: max(0, len(data) - size + 1)])
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array (null: empty) and the n + 1 offsets into them."""
     if isinstance(texts, pa.ChunkedArray):
@@ -87,8 +142,8 @@ class Words:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    n = len(data)
     inside = ~_SPACE[data]
+    n = len(data)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = offsets[:-1][offsets[:-1] < n]
@@ -97,10 +152,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     after[ends] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(start, offsets, "left")
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_CODES if lower else _CODES)[data] * up[:n], out=total[1:])
-    return Words(start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first, mix((total[end] - total[start]) * down[start]))
+    return Words(start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first, mix(range_sums(data, start, end, _LOWER_CODES if lower else CODES)))
 
 
 def roll(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -3,22 +3,26 @@
 For a benchmark item of n words the windows are the n successive words at every
 position of a document (the whole document if it is shorter).  Words have ASCII
 letters lower-cased.  Each window's 64-bit SimHash over word counts is looked
-up in a multi-index: the fingerprints are cut into RADIUS + 1 blocks, so any
-item within RADIUS bits agrees on a block.  Candidates within the radius are
-verified by the exact weighted five-word-shingle similarity, sum of minima over
-sum of maxima of the shingle counts, which must reach SIMILARITY.
+up in a multi-index of BLOCKS blocks of 16 bits.  Fingerprints within RADIUS
+bits differ in at most FLIPS bits of some block, and items stand in the index
+under all values of each block that are so near, so one exact look-up a block
+finds all items within the radius.  These candidates are verified by the exact
+weighted five-word-shingle similarity, sum of minima over sum of maxima of the
+shingle counts, which must reach SIMILARITY.
 
 A window without any shingle of an item has similarity 0, so windows are only
 fingerprinted around positions that hold an item's shingle; this screen loses
-nothing and leaves most documents untouched.
+nothing and leaves most documents untouched.  Texts under five words make one
+shingle of the whole sequence, so shorter items are found where a document has
+exactly their words in a row.
 
 The benchmark is read in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS
-characters on average, each broadcast in turn; documents are never shuffled.
+characters on average, each broadcast in turn and then dropped; documents are
+never shuffled.  Sums of a long text are made a span of words at a time.
 
-Nulls and odd rows: items and documents without words match nothing; texts
-under five words make one shingle of the whole sequence, so such an item only
-matches documents that consist of it; repeated items and documents are matched each; null ids
-are kept as null.  Only the text and id columns are read.
+Nulls and odd rows: items and documents without words match nothing; repeated
+items and documents are matched each; null ids are kept as null; empty tables
+give no rows.  Only the text and id columns are read.
 """
 
 from __future__ import annotations
@@ -26,23 +30,28 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
-from .textkit import SHINGLE, Words, chunks, roll, text_bytes, words
+from .shared import sent, table, written
+from .textkit import SHINGLE, Words, chunks, portions, roll, text_bytes, tidy, words
 
 SIMILARITY = 0.75
 RADIUS = 15
-BLOCKS = RADIUS + 1
-BLOCK_ITEMS = 20_000
+BLOCKS = 4
+FLIPS = RADIUS // BLOCKS
+BLOCK_ITEMS = 2_000
+SPAN = 1 << 14
 BLOCK_CHARS = 32 << 20
 FOUND = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
 
 _BLOCK_BITS = 64 // BLOCKS
+_TABLE_BITS = 20
 
 
 def shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -61,18 +70,44 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def signs(hashes: np.ndarray) -> np.ndarray:
     """A row of 64 values +1 or -1 per word."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.int32) * 2 - 1
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def block_keys(prints: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(window, block) keys made of size, block number and block value."""
+def window_prints(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The fingerprints of windows of words, sorted by start, from running sums over about SPAN words at a time."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        over = np.flatnonzero(stop[i:] > low + SPAN)
+        j = i + (int(over[0]) if len(over) else len(start) - i)
+        if j == i:  # one window longer than a span
+            total = sum(signs(hashes[at : min(at + SPAN, int(stop[i]))]).sum(0, dtype=np.int64) for at in range(low, int(stop[i]), SPAN))
+            out[i], j = fingerprints(total[None])[0], i + 1
+        else:
+            high = int(stop[i:j].max())
+            total = np.zeros((high - low + 1, 64), np.int32)
+            np.cumsum(signs(hashes[low:high]), axis=0, dtype=np.int32, out=total[1:])
+            out[i:j] = fingerprints(total[stop[i:j] - low] - total[start[i:j] - low])
+        i = j
+    return out
+
+
+@cache
+def near_values() -> np.ndarray:
+    """Differences of at most FLIPS bits between two values of a block."""
+    return np.array([sum(1 << b for b in bits) for n in range(FLIPS + 1) for bits in combinations(range(_BLOCK_BITS), n)], np.int64)
+
+
+def block_keys(prints: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """(print, block) keys made of a number (that of the window's size), block and value."""
     shifts = np.arange(BLOCKS, dtype=np.uint64) * np.uint64(_BLOCK_BITS)
     values = ((prints[:, None] >> shifts) & np.uint64((1 << _BLOCK_BITS) - 1)).astype(np.int64)
-    return ((sizes[:, None] * BLOCKS + np.arange(BLOCKS)) << _BLOCK_BITS) | values
+    return ((number[:, None] * BLOCKS + np.arange(BLOCKS)) << _BLOCK_BITS) | values
 
 
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +123,7 @@ class Index:
 
     ids: list
     sizes: np.ndarray
+    distinct: np.ndarray  # sizes, ascending
     shingles: list[np.ndarray]
     prints: np.ndarray
     anchor: np.ndarray
@@ -105,36 +141,37 @@ def build_index(ids: list, texts: list) -> Index:
     own = [own[k] for k in keep]
     shingles = [shingles_of(h) for h in own]
     sizes = np.array([len(h) for h in own], np.int64)
-    prints = np.concatenate([fingerprints(signs(h).sum(0, keepdims=True)) for h in own]) if own else np.zeros(0, np.uint64)
+    zero = np.zeros(1, np.int64)
+    prints = np.concatenate([window_prints(h, zero, zero + len(h)) for h in own]) if own else np.zeros(0, np.uint64)
     pairs = np.unique(np.array([(int(s), k) for k, ss in enumerate(shingles) for s in ss.tolist()], dtype=[("s", "<u8"), ("k", "<i8")]))
-    filled = np.zeros(1 << 20, bool)
-    filled[(pairs["s"] >> np.uint64(44)).astype(np.int64)] = True
-    keys = block_keys(prints, sizes)
-    order = np.argsort(keys.ravel(), kind="stable")
-    return Index([ids[k] for k in keep], sizes, shingles, prints, pairs["s"], pairs["k"], filled, keys.ravel()[order], order // BLOCKS)
+    filled = np.zeros(1 << _TABLE_BITS, bool)
+    filled[(pairs["s"] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+    distinct = np.unique(sizes)
+    near = near_values()
+    keys = (block_keys(prints, np.searchsorted(distinct, sizes))[:, :, None] ^ near).astype(np.uint32).ravel()
+    order = np.argsort(keys, kind="stable")
+    return Index([ids[k] for k in keep], sizes, distinct, shingles, prints, pairs["s"], pairs["k"], filled, keys[order], (order // (BLOCKS * len(near))).astype(np.int32))
 
 
 def anchored_windows(index: Index, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (start, item size) of the windows that hold a shingle of an item of that size."""
-    n, count = len(w.hash), np.diff(w.first)
-    full = roll(w.hash, SHINGLE)
-    same = w.text[: len(full)] == w.text[SHINGLE - 1 :] if len(full) else np.zeros(0, bool)
-    at = np.flatnonzero(same & index.table[(full >> np.uint64(44)).astype(np.int64)]) if len(full) else np.zeros(0, np.int64)
-    value = full[at]
-    short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    if len(short):
-        at = np.concatenate([at, w.first[short]])
-        value = np.concatenate([value, *[shingles_of(w.hash[w.first[k] : w.first[k + 1]]) for k in short]])
+    """Distinct (start, item size), sorted, of the windows that hold a shingle of an item of that size."""
+    places, values = [], []
+    for n in [*(k for k in range(1, SHINGLE) if k in index.distinct), SHINGLE]:
+        run = roll(w.hash, n) if n == SHINGLE else roll(w.hash, n) ^ np.uint64(n)
+        at = np.flatnonzero((w.text[: len(run)] == w.text[n - 1 :]) & index.table[(run >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]) if len(run) else np.zeros(0, np.int64)
+        places.append(at)
+        values.append(run[at])
+    at, value = np.concatenate(places), np.concatenate(values)
     if not len(at):
         return at, at
     hit, place = spread(np.searchsorted(index.anchor, value, "left"), np.searchsorted(index.anchor, value, "right"))
     at, size = at[hit], index.sizes[index.anchor_item[place]]
     first, end = w.first[:-1][w.text[at]], w.first[1:][w.text[at]]
-    lo = np.maximum(first, at + np.minimum(SHINGLE, end - first) - size)
+    lo = np.maximum(first, at + np.minimum(SHINGLE, size) - size)
     hi = np.maximum(np.minimum(at, end - size), first)
     which, start = spread(np.minimum(lo, hi), hi + 1)
-    code = np.unique(start * np.int64(1 << 20) + np.minimum(size[which], (1 << 20) - 1)) if n else np.zeros(0, np.int64)
-    return code >> 20, code & ((1 << 20) - 1)
+    found = np.unique(np.stack([start, size[which]], 1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+    return found[:, 0], found[:, 1]
 
 
 def matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int, float]]:
@@ -148,11 +185,9 @@ def matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int, float
         own = text == t
         s, n = start[own], size[own]
         first, end = int(w.first[t]), int(w.first[t + 1])
-        total = np.zeros((end - first + 1, 64), np.int32)
-        np.cumsum(signs(w.hash[first:end]), axis=0, out=total[1:])
         stop = np.minimum(s + n, end)
-        prints = fingerprints(total[stop - first] - total[s - first])
-        keys = block_keys(prints, n).ravel()
+        prints = window_prints(w.hash, s, stop)
+        keys = block_keys(prints, np.searchsorted(index.distinct, n)).astype(np.uint32).ravel()
         lookup, place = spread(np.searchsorted(index.keys, keys, "left"), np.searchsorted(index.keys, keys, "right"))
         pairs = np.unique(np.stack([lookup // BLOCKS, index.key_item[place]], 1), axis=0)
         apart = np.bitwise_count(prints[pairs[:, 0]] ^ index.prints[pairs[:, 1]])
@@ -163,57 +198,75 @@ def matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int, float
     return [(t, item, b[2], b[3], b[4], -b[0]) for (t, item), b in sorted(best.items())]
 
 
-def indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes of the benchmark's blocks."""
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """An index of each of the benchmark's blocks."""
     items = benchmark.select("item_id", "text").where("text is not null")
     rows, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-rows // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        yield spark.sparkContext.broadcast(build_index(part["item_id"].to_pylist(), part["text"].to_pylist()))
+        yield build_index(part["item_id"].to_pylist(), part["text"].to_pylist())
+
+
+def _found(shared):
+    """For each chunk of texts its number in the batch, the batch and the matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        index = shared.value
+        for batch in portions(batches):
+            data, offsets = text_bytes(batch["text"])
+            found = []
+            for i, j in chunks(offsets):
+                w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
+                found += [(i + t, *rest) for t, *rest in matches(index, w)]
+            yield batch, found
+
+    return run
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """FOUND rows: per document and benchmark item that it holds, the best window (ties: the first)."""
 
-    def search(sent):
+    def search(shared):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                data, offsets = text_bytes(batch["text"])
-                for i, j in chunks(offsets):
-                    w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-                    found = matches(index, w)
-                    ids = batch["doc_id"].slice(i, j - i).cast(pa.int64()).to_pylist() if found else []
-                    rows = [(ids[t], index.ids[item], *rest) for t, item, *rest in found]
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-                    columns = zip(*rows, strict=True) if rows else [()] * 6
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
+            for batch, found in _found(shared)(batches):
+                ids = batch["doc_id"].cast(pa.int64()).to_pylist() if found else []
+                rows = [(ids[t], shared.value.ids[item], *rest) for t, item, *rest in found]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                columns = zip(*rows, strict=True) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
 
         return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
     out = None
-    for sent in indexes(spark, benchmark):
-        out = search(sent) if out is None else out.unionByName(search(sent))
+    for index in indexes(benchmark):
+        with sent(spark, index) as shared:
+            one = written(search(shared), spark)
+        out = one if out is None else out.unionByName(one)
     return out
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item, all columns kept; a map over the documents per block."""
-    for sent in indexes(spark, benchmark):
+    """docs without those that hold a benchmark item, all columns kept; a map over the documents per block, written if more follow."""
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                data, offsets = text_bytes(batch["text"])
+    def cleaned(docs: DataFrame, shared) -> DataFrame:
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, found in _found(shared)(batches):
                 keep = np.ones(batch.num_rows, bool)
-                for i, j in chunks(offsets):
-                    w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-                    keep[[i + m[0] for m in matches(index, w)]] = False
+                keep[[m[0] for m in found]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    every = indexes(benchmark)
+    index = next(every)
+    for following in every:
+        with sent(spark, index) as shared:
+            docs = written(cleaned(docs, shared), spark)
+        index = following
+    return cleaned(docs, spark.sparkContext.broadcast(index))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

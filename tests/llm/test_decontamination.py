@@ -23,7 +23,7 @@ def brute(docs, items):
         w = ws(text)
         for i, item in items:
             v = ws(item)
-            if not v or not w or (len(v) < 5 and v != w):
+            if not v or not w:
                 continue
             g, best = grams(v), (0, 0)
             for s in range(max(1, len(w) - len(v) + 1)):
@@ -79,13 +79,42 @@ def test_blocks_and_clean_documents(spark, monkeypatch):
 
 def test_within_radius_share_a_block():
     rng = np.random.default_rng(0)
+    zero = np.zeros(1, np.int64)
     for _ in range(50):
         a = rng.integers(0, 2**63, 1, dtype=np.uint64)
         b = a.copy()
         for bit in rng.choice(64, dc.RADIUS, replace=False):
             b ^= np.uint64(1) << np.uint64(bit)
-        one = np.ones(1, np.int64)
-        assert (dc.block_keys(a, one) == dc.block_keys(b, one)).any()
+        near = dc.block_keys(a, zero)[:, :, None] ^ dc.near_values()
+        assert (near == dc.block_keys(b, zero)[:, :, None]).any()
+    # The index selects: few of all values are near.
+    a, b = (rng.integers(0, 2**63, 2000, dtype=np.uint64) for _ in range(2))
+    apart = dc.block_keys(a, np.zeros(2000, np.int64)) ^ dc.block_keys(b, np.zeros(2000, np.int64))
+    assert np.isin(apart & 0xFFFF, dc.near_values()).any(1).mean() < 0.06
+
+
+def test_short_items_inside_documents(spark):
+    docs = spark.createDataFrame([(1, "what is the Capital of France today"), (2, "the capital of a France"), (3, "yes"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "capital of france"), (8, "yes")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.start_word) for r in dc.contaminated(spark, docs, items).collect()} == {(1, 7, 3), (3, 8, 0)}
+
+
+def test_spans_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    start = np.sort(rng.integers(0, 2500, 400))
+    stop = np.minimum(start + rng.integers(1, 700, 400), 3000)
+    want = dc.window_prints(hashes, start, stop)
+    assert want.tolist() == [int(dc.fingerprints(dc.signs(hashes[a:b]).sum(0, dtype=np.int64)[None])[0]) for a, b in zip(start, stop, strict=True)]
+    monkeypatch.setattr(dc, "SPAN", 100)
+    assert (dc.window_prints(hashes, start, stop) == want).all()
+
+
+def test_items_of_any_length(spark):
+    text = " ".join(f"w{k % 997}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, "before it " + text + " after it"), (2, text[: len(text) // 2])], "doc_id long, text string")
+    found = dc.contaminated(spark, docs, spark.createDataFrame([(5, text)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.n_words, r.similarity) for r in found] == [(1, 40_000, 1.0)]
 
 
 def test_tables(spark, sf_dir):

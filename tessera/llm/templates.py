@@ -6,8 +6,10 @@ distinct masked lines are merged in order into templates: a line joins the
 template that agrees with it in most positions, `AGREE` of them at least, and
 positions that differ become variable.  A leaf of more than `LEAF_LINES` lines
 is merged in blocks of about so many, then its blocks' templates by their forms
-in the same way, while rounds lessen them by a fifth or more; what is left of a
-leaf is merged together.  No line or template is left out at any size.
+in the same way, while rounds lessen them by a fifth or more.  What is left of a
+large leaf is merged part by part: lines that agree in AGREE of their positions
+are equal in one of the parts that `cuts` names, so only those that share a part
+meet in a task.  No line or template is left out at any size.
 
 A template recurs if it stands in at least `MIN_DOCS` documents that differ
 otherwise.  For each of its lines a document has `SKETCHES` sketches: smallest
@@ -33,6 +35,7 @@ results.  All columns are kept; n_chars follows the text where it is present.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -40,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
-from .textkit import SHINGLE, Words, chunks, mix, portions, roll, text_bytes, words
+from .shared import sent, table, written
+from .textkit import SHINGLE, Words, chunks, mix, portions, roll, text_bytes, tidy, words
 
 DEPTH = 3
 DEEP = 8
@@ -155,6 +158,7 @@ def _line_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, Lines]]:
         yield i, Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
+@tidy
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(leaf, n, lo, hi): per chunk and leaf the lines, counted once a text, and the least and largest hash of their texts."""
     for batch in portions(batches):
@@ -167,28 +171,29 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([_i64(leaf), pa.array(n, pa.int64()), pa.array(np.minimum.reduceat(whole, first)), pa.array(np.maximum.reduceat(whole, first))], names=["leaf", "n", "lo", "hi"])
 
 
-def _among(sent, values: np.ndarray) -> np.ndarray:
-    known = sent.value
+def _among(shared, values: np.ndarray) -> np.ndarray:
+    known = shared.value
     if not len(known):
         return np.zeros(len(values), bool)
     v = values.view(np.int64)
     return known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v
 
 
-def _worded(sent):
+def _worded(shared):
     """(leaf, line, kind, codes) once per text and distinct line of the leaves sent (all, if None).
 
-    kind has the text's sketches for the line.  codes has the words as 16-bit codes from 1, once per chunk and line.
+    kind has the text's sketches for the line.  codes has the words as 63-bit codes from 1, once per chunk and line.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             for _, x in _line_chunks(batch):
                 _, at = np.unique(mix(x.line + mix(x.text.astype(np.uint64))), return_index=True)
-                at = at[_among(sent, x.leaf[at])] if sent is not None else at
+                at = at[_among(shared, x.leaf[at])] if shared is not None else at
                 if not len(at):
                     continue
-                code = np.maximum(x.masked >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+                code = np.maximum(x.masked >> np.uint64(1), np.uint64(1))
                 new = np.zeros(len(at), bool)
                 new[np.unique(x.line[at], return_index=True)[1]] = True
                 codes = [code[a : a + n].tobytes() if k else None for a, n, k in zip(x.first[at], x.count[at], new, strict=True)]
@@ -198,22 +203,26 @@ def _worded(sent):
     return run
 
 
+@cache
+def cuts(size: int) -> list[int]:
+    """Where a line's words past the leaf's are cut: into one part more than positions may differ, so that a line equals its template in one of them."""
+    most = sum((size - k) / size >= AGREE for k in range(1, size + 1))
+    return np.linspace(min(DEPTH, size), size, most + 2).astype(int).tolist()
+
+
 def merged(lines: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
     """The template number of each line or form of a leaf, all of one length, merged in order, and the templates' forms.
 
-    Variable positions are negative.  Words past the leaf's are cut into one part more than positions may differ, so
-    that a line equals its template in one of them: only templates that share a part with it are compared.
+    Variable positions are negative.  Only templates that share a part with a line are compared with it.
     """
     if not lines:
-        return [], np.empty((0, 0), np.int32)
+        return [], np.empty((0, 0), np.int64)
     size = len(lines[0])
-    most = sum((size - k) / size >= AGREE for k in range(1, size + 1))
-    cuts = np.linspace(min(DEPTH, size), size, most + 2).astype(int).tolist()
-    form = np.empty((len(lines), size), np.int32)
+    form = np.empty((len(lines), size), np.int64)
     known: dict[tuple[int, bytes], list[int]] = {}
     out, n = [], 0
     for line in lines:
-        parts = [(k, line[i:j].tobytes()) for k, (i, j) in enumerate(pairwise(cuts)) if (line[i:j] >= 0).all()]
+        parts = [(k, line[i:j].tobytes()) for k, (i, j) in enumerate(pairwise(cuts(size))) if (line[i:j] >= 0).all()]
         near = np.array(sorted({t for part in parts for t in known.get(part, ())}), np.int64)
         same = ((form[near] == line) & (line >= 0)).mean(1) if len(near) else np.zeros(0)
         if len(near) and same.max() >= AGREE:
@@ -237,47 +246,72 @@ def _parsed(rows: pa.Table) -> pa.Table:
     """(leaf, item, template, codes) of one block; codes, 0 where variable, stand at the item that names the template."""
     rows = rows.sort_by("item")
     item = rows["item"].to_pylist()
-    coded = [np.frombuffer(c.as_py(), np.uint16).astype(np.int32) for c in rows["codes"]]
+    coded = [np.frombuffer(c.as_py(), np.int64) for c in rows["codes"]]
     number, form = merged([np.where(c > 0, c, -1) for c in coded])
     first: dict[int, int] = {}
     named = [first.setdefault(t, k) for t, k in zip(number, item, strict=True)]
-    codes = [np.maximum(form[t], 0).astype(np.uint16).tobytes() if k == first[t] else None for t, k in zip(number, item, strict=True)]
+    codes = [np.maximum(form[t], 0).tobytes() if k == first[t] else None for t, k in zip(number, item, strict=True)]
     return pa.table({"leaf": rows["leaf"], "item": rows["item"], "template": pa.array(named, pa.int64()), "codes": pa.array(codes, pa.binary())})
 
 
+def _by_part(k: int):
+    """(leaf, block, item, codes): block names the line's part k; a line without one, or with a variable word in it, is alone."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch["item"].to_numpy().copy()
+            for n, codes in enumerate(batch["codes"]):
+                words_of = np.frombuffer(codes.as_py(), np.int64)
+                cut = cuts(len(words_of))
+                if k + 1 < len(cut) and (part := words_of[cut[k] : cut[k + 1]]).all():
+                    block[n] = mix(mix(part.view(np.uint64) + np.arange(1, len(part) + 1, dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([batch["leaf"], pa.array(block), batch["item"], batch["codes"]], names=["leaf", "block", "item", "codes"])
+
+    return run
+
+
 def parsed_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(line, template) of distinct lines (leaf, line, codes)."""
     schema = "leaf long, item long, template long, codes binary"
     items, named, before = lines.select("leaf", F.col("line").alias("item"), "codes"), None, None
+
+    def renamed(done: DataFrame) -> DataFrame:
+        to = done.select("item", F.col("template").alias("to"))
+        if named is None:
+            return to.select(F.col("item").alias("line"), F.col("to").alias("template"))
+        return written(named.join(to, F.col("template") == F.col("item")).select("line", F.col("to").alias("template")), spark)
+
     while True:
         large = written(items.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {LEAF_LINES}").withColumnRenamed("leaf", "large"), spark)
         left = large.agg(F.sum("n")).first()[0] or 0
-        last = left == 0 or (before is not None and left > 0.8 * before)
-        if last:
-            done = items.groupBy("leaf").applyInArrow(_parsed, schema)
-        else:
-            keyed = items.join(large, F.col("leaf") == F.col("large"))
-            # Another deal each round: block numbers follow the number of items left.
-            keyed = keyed.withColumn("block", F.pmod(F.xxhash64("item", "n"), F.ceil(F.col("n") / LEAF_LINES)))
-            done = keyed.select("leaf", "block", "item", "codes").groupBy("leaf", "block").applyInArrow(_parsed, schema)
-            rest = items.join(large, F.col("leaf") == F.col("large"), "left_anti")
-            done = done.unionByName(rest.select("leaf", "item", F.col("item").alias("template"), "codes"))
-        done = written(done, spark)
-        to = done.select("item", F.col("template").alias("to"))
-        if named is None:
-            named = to.select(F.col("item").alias("line"), F.col("to").alias("template"))
-        else:
-            named = written(named.join(to, F.col("template") == F.col("item")).select("line", F.col("to").alias("template")), spark)
-        if last:
-            return named
+        keyed = items.join(large, F.col("leaf") == F.col("large"))
+        rest = items.join(large, F.col("leaf") == F.col("large"), "left_anti")
+        if left == 0 or (before is not None and left > 0.8 * before):
+            break
+        # Another deal each round: block numbers follow the number of items left.
+        keyed = keyed.withColumn("block", F.pmod(F.xxhash64("item", "n"), F.ceil(F.col("n") / LEAF_LINES)))
+        done = keyed.select("leaf", "block", "item", "codes").groupBy("leaf", "block").applyInArrow(_parsed, schema)
+        done = written(done.unionByName(rest.select("leaf", "item", F.col("item").alias("template"), "codes")), spark)
+        named = renamed(done)
         items, before = done.where("codes is not null").select("leaf", "item", "codes"), left
+    done = rest.groupBy("leaf").applyInArrow(_parsed, schema)
+    if left:
+        words_of = keyed.agg(F.max(F.octet_length("codes"))).first()[0] // 8
+        over, k = keyed.select("leaf", "item", "codes"), 0
+        for k in range(len(cuts(words_of)) - 1):
+            blocks = over.mapInArrow(_by_part(k), "leaf long, block long, item long, codes binary")
+            step = written(blocks.groupBy("leaf", "block").applyInArrow(_parsed, schema), spark)
+            # Small leaves keep their names until the end.
+            named = renamed(step.unionByName(rest.select("leaf", "item", F.col("item").alias("template"), "codes")))
+            over = step.where("codes is not null").select("leaf", "item", "codes")
+        done = done.unionByName(over.select("leaf", "item", F.col("item").alias("template"), "codes"))
+    return renamed(written(done, spark))
 
 
-def _bounded(spark: SparkSession, keys: DataFrame):
-    """The one column of keys as a sorted broadcast array if it has at most MOST_SENT rows, else None."""
-    if keys.count() > MOST_SENT:
-        return None
-    return spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
+def _bounded(keys: DataFrame) -> np.ndarray | None:
+    """The one column of keys as a sorted array if it has at most MOST_SENT rows, else None."""
+    return np.sort(keys.toArrow().column(0).to_numpy()) if keys.count() <= MOST_SENT else None
 
 
 def differing(kinds: DataFrame) -> DataFrame:
@@ -296,8 +330,12 @@ def recurring_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = docs.select("text")
     leaves = text.mapInArrow(_leaves, "leaf long, n long, lo long, hi long").groupBy("leaf").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     leaves = written(leaves.where(f"n >= {MIN_DOCS} and lo <> hi").select("leaf"), spark)
-    seen = text.mapInArrow(_worded(sent := _bounded(spark, leaves)), "leaf long, line long, kind array<int>, codes binary")
-    seen = written(seen if sent is not None else seen.join(leaves, "leaf", "left_semi"), spark)
+    schema = "leaf long, line long, kind array<int>, codes binary"
+    if (few := _bounded(leaves)) is not None:
+        with sent(spark, few) as shared:
+            seen = written(text.mapInArrow(_worded(shared), schema), spark)
+    else:
+        seen = written(text.mapInArrow(_worded(None), schema).join(leaves, "leaf", "left_semi"), spark)
     lines = written(seen.where("codes is not null").groupBy("leaf", "line").agg(F.first("codes").alias("codes")), spark)
     named = parsed_lines(spark, lines).withColumnRenamed("line", "named")
     # One row per template and kind of document, with the number of documents.
@@ -321,8 +359,9 @@ def _without(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> str:
 
 
 def _rewritten(drop_of):
-    """docs plus n_lines and n_dropped; drop_of gives the flags of a chunk's lines to drop."""
+    """docs plus n_dropped; drop_of gives the flags of a chunk's lines to drop."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             texts, n_dropped = batch["text"].to_pylist(), np.zeros(batch.num_rows, np.int64)
@@ -354,8 +393,9 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_dropped")
     lines = written(recurring_lines(spark, docs).select("line"), spark)
     schema = StructType([*docs.schema.fields, StructField("n_dropped", LongType())])
-    if (sent := _bounded(spark, lines)) is not None:
-        out = docs.mapInArrow(_rewritten(lambda _batch, _i, x: _among(sent, x.line)), schema)
+    if (few := _bounded(lines)) is not None:
+        shared = spark.sparkContext.broadcast(few)
+        out = docs.mapInArrow(_rewritten(lambda _batch, _i, x: _among(shared, x.line)), schema)
     else:
         # Too many lines to send: find each text's by a join and bring them back to it.
         def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,3 +125,60 @@ def test_merge_compares_all_templates_that_can_fit():
                 form.append(line.copy())
             want.append(best)
         assert tp.merge_templates(lines) == want
+
+
+def brute_templates(items):
+    """The template (a number) of each item (leaf, order, words), merged in order within each leaf."""
+    forms, out = {}, {}
+    for leaf, _, words in sorted(items, key=lambda x: (str(x[0]), x[1])):
+        known = forms.setdefault(leaf, [])
+        same = [sum(a == b for a, b in zip(f, words, strict=True)) / len(words) for f in known]
+        if known and max(same) >= tp.AGREE:
+            best = same.index(max(same))
+            known[best] = [a if a == b else None for a, b in zip(known[best], words, strict=True)]
+        else:
+            best = len(known)
+            known.append(list(words))
+        out[leaf, tuple(words)] = (leaf, best)
+    return out
+
+
+def test_recurring_lines_match_a_brute_force_tree(spark):
+    rnd = random.Random(12)
+    vocabulary = [prose(rnd, 1) for _ in range(9)]
+    docs = []
+    for _ in range(120):
+        lines = [" ".join(["on", "this", "day", *(rnd.choice(vocabulary) for _ in range(rnd.choice([5, 6, 9])))]) for _ in range(4)]
+        docs.append("\n".join([*lines, prose(rnd, 70), f"page {rnd.randrange(99)} of {rnd.randrange(99)} in all"]))
+    masked = lambda line: tuple("#" if re.search(r"\d", v) else v for v in ws(line))
+    hashed = {}
+    for text in docs:
+        x = tp.Lines(*text_bytes(pa.array([text], pa.string())))
+        for line, h in zip(text.split("\n"), x.line.view(np.int64).tolist(), strict=True):
+            hashed[masked(line)] = h
+    name = brute_templates([((len(w), w[:3]), h, w) for w, h in hashed.items()])
+    holders = {}
+    for k, text in enumerate(docs):
+        for line in text.split("\n"):
+            w = masked(line)
+            holders.setdefault(name[(len(w), w[:3]), w], set()).add(k)
+    want = {h for w, h in hashed.items() if len(holders[name[(len(w), w[:3]), w]]) >= tp.MIN_DOCS}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    assert {r.line for r in tp.recurring_lines(spark, df).collect()} == want and len(want) < len(hashed)
+
+
+def test_leaf_left_over_is_merged_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(tp, "LEAF_LINES", 5)
+    rnd = random.Random(4)
+    # Lines that no round lessens by a fifth, and among them one template of few lines.
+    lines = [f"here it is {prose(rnd, 12)}" for _ in range(60)]
+    base = ws(prose(rnd, 12))
+    for k in range(6):
+        base[k] = prose(rnd, 1)
+        lines.append("here it is " + " ".join(base[:k] + [prose(rnd, 1)] + base[k + 1 :]))
+    docs = [f"{line}\n{prose(rnd, 40)}" for line in lines]
+    x = [tp.Lines(*text_bytes(pa.array([v], pa.string()))) for v in lines]
+    rows = [(7, int(v.line.view(np.int64)[0]), np.maximum(v.masked >> np.uint64(1), np.uint64(1)).tobytes()) for v in x]
+    named = {r.line: r.template for r in tp.parsed_lines(spark, spark.createDataFrame(rows, "leaf long, line long, codes binary")).collect()}
+    assert len(named) == 66 and len({named[h] for _, h, _ in rows[:60]}) == 60 and len({named[h] for _, h, _ in rows[60:]}) < 4
+    assert len(docs) == 66

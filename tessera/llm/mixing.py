@@ -11,7 +11,8 @@ sums, because the capped sources are a prefix of that order.
 
 Nulls and odd rows: a null text has size 0; the null source is a source of its
 own, ordered last; a null doc_id draws by its text.  Repeated rows are mixed
-like any other row.  An empty table gives no rows.  Only the operator's own
+like any other row.  An empty table gives no rows.  Sources are meant to be few:
+the pass over them is one task's work, of one row a source.  Only the operator's own
 output columns are added, and the input's columns of those names are replaced.
 """
 

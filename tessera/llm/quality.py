@@ -14,7 +14,8 @@ documents.  Labels, lang, source and doc_id are no inputs of a score.
 Nulls and odd rows: a null or empty text has all measures 0 and is scored like
 any other; a null doc_id is not held out and has no label; a document with
 conflicting labels counts as the smaller; without any usable label every score
-is 0.5.  Repeated rows are scored alike.
+is 0.5.  Repeated rows are scored alike; an empty table gives no rows.  `scored`
+replaces an input column named score; `accepted` keeps it as it is.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .repetition import line_repeats, per_text
 from .shared import table
-from .textkit import chunks, mix, text_bytes, words
+from .textkit import chunks, mix, portions, text_bytes, tidy, words
 
 SAMPLE = 20_000
 BINS = 48
@@ -196,8 +197,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@tidy
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         data, offsets = text_bytes(batch["text"])
         for i, j in chunks(offsets):
             rows = measures(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -218,22 +220,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
     return fit(np.array(found["x"].to_pylist()), found["quality"].to_numpy().astype(float))
 
 
+def _scores(model: AdditiveModel, batch: pa.RecordBatch) -> np.ndarray:
+    data, offsets = text_bytes(batch["text"])
+    return np.concatenate([np.zeros(0), *(model.score(measures(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunks(offsets))])
+
+
 def scored(docs: DataFrame, model: AdditiveModel, columns: list[str] | None = None) -> DataFrame:
     """The named columns of docs (all, unless given) behind the column score."""
     names = [c for c in columns or docs.columns if c != "score"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch["text"])
-            for i, j in chunks(offsets):
-                score = model.score(measures(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array(score), *[part[c] for c in names]], names=["score", *names])
+        for batch in portions(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_scores(model, batch)), *[batch[c] for c in names]], names=["score", *names])
 
     kept = docs.select(*dict.fromkeys([*names, "text"]))
     return kept.mapInArrow(run, StructType([StructField("score", DoubleType()), *[kept.schema[c] for c in names]]))
 
 
+def accepted(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score `least` or more, with their own columns."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            yield batch.filter(pa.array(_scores(model, batch) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored_digest(docs, train(docs, table(spark, sf_dir, "labels")))

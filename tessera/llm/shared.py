@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 @contextmanager
@@ -44,6 +46,16 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that shared_dir() has named."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders named inside the block go at its end; what reads them must be written elsewhere inside."""
+    before = len(_made)
+    yield
+    for path in _made[before:]:
+        remove(spark, path)
 
 
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:

@@ -14,16 +14,19 @@ cover position within them, which all suffixes of a block have at the same
 place.  Neighbours that share SIZE bytes are compared by doc_id.  Only one
 block's keys exist at a time beside the cover ranks.
 
-Before that, anchors that only one document has are screened out by a bitmap of
-SCREEN_BITS bits, built in slices from all documents' anchors.  Its size is
-fixed; in larger corpora it only lets more pass.  Equal segments are one in a
-map task and again in a bucket: documents other than the first of them lose the
-segment without sorting.
+Before that, anchors that only one document has are screened out by a bitmap
+that is built in slices from all documents' anchors.  It has about a bit for
+each anchor, up to 2^MOST_SCREEN_BITS; in larger corpora it only lets more pass.
+Equal segments stand once in a packet and in a bucket's text, with all their
+holders.  Segments of hot anchors, those in more than `HOT` packets, are cut
+into their single suffixes, which are dealt by anchor, distance and content, so
+that no bucket has to hold all that surrounds a frequent passage.
 
 Nulls and odd rows: a null text is empty and loses nothing; texts under SIZE
 bytes lose nothing; a null doc_id counts as larger than all others; rows of
 equal doc_id never remove from each other, and equal rows get equal results;
-an empty table gives no rows.  Only doc_id and text are read.
+an empty table gives no rows.  Long texts are read piece by piece.  Only doc_id
+and text are read.  Needs the package zstandard.
 """
 
 from __future__ import annotations
@@ -38,18 +41,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textkit import _CODES as CODES
-from .textkit import _power_tables, chunks, mix, portions, text_bytes
+from .textkit import CHUNK_BYTES, chunks, gram_hashes, mix, portions, range_sums, release, text_bytes, tidy
 
 SIZE = 50
 GRAM = 24
 PERIOD = 16
-SCREEN_BITS = 27
-BUCKET_BYTES = 2 << 20
+MOST_SCREEN_BITS = 29
+ANCHOR_BYTES = 14  # of text for each anchor, about
+PACKET_BYTES = 16 << 20  # of text that one set of packets is made of
+BUCKET_BYTES = 4 << 20
+HOT = 256
+MOST_HOT = 1 << 18
 LAST = np.int64(2**63 - 1)
 
-HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("off", "u1"), ("len", "u1")])
-SPANS = "row long, start long, stop long"
+HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("hash", "<i4"), ("start", "<u4"), ("off", "u1"), ("len", "u1")])
+SPANS = "doc long, hash int, start long, stop long"
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -70,11 +76,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - GRAM + 1
     if n < SIZE - GRAM + 1:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * up[: len(data)], out=total[1:])
     # The hash's top 58 bits, then the distance to the gram: minima keep the leftmost of equal grams.
-    best = mix((total[GRAM:] - total[:-GRAM]) * down[:n]) & ~np.uint64(63)
+    best = gram_hashes(data, GRAM) & ~np.uint64(63)
     width, span = SIZE - GRAM + 1, 1
     while span < width:
         step = min(span, width - span)
@@ -94,6 +97,19 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return best[at[first]] >> np.uint64(6), text[first], at[first], at[last], anchor[first]
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, offsets, first text, place of the bytes in it): the texts in pieces, a long one in several that overlap by a suffix."""
+    most = CHUNK_BYTES - SIZE
+    for i, j in chunks(offsets, most):
+        low, high = int(offsets[i]), int(offsets[j])
+        if high - low <= most:
+            yield data[low:high], offsets[i : j + 1] - low, i, 0
+        else:
+            for at in range(low, high, most):
+                stop = min(at + most + SIZE - 1, high)
+                yield data[at:stop], np.array([0, stop - at]), i, at - low
+
+
 def _deal(rows: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(block, kind="stable")
     block = block[order]
@@ -103,49 +119,59 @@ def _deal(rows: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 
 def _anchor_keys(bits: int):
-    """Each document's distinct anchors as 32-bit keys by bucket, none more than twice from a chunk."""
+    """Each document's distinct anchors as 32-bit keys by bucket, none more than twice from a portion."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
-            data, offsets = text_bytes(batch["text"])
-            found = []
-            for i, j in chunks(offsets):
-                key, text, *_ = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                order = np.lexsort((text, key))
-                key, text = key[order], text[order]
-                again = np.zeros(len(key), bool)
-                again[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
-                key = key[~again]
-                third = np.zeros(len(key), bool)
-                third[2:] = key[2:] == key[:-2]
-                found.append(key[~third])
-            key = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        for batch in portions(batches, PACKET_BYTES):
+            keys, texts = [], []
+            for part, offsets, i, _ in pieces(*text_bytes(batch["text"])):
+                key, text, *_ = segments(part, offsets)
+                keys.append(key)
+                texts.append((i + text).astype(np.int32))
+            if not keys:
+                continue
+            key, text = np.concatenate(keys), np.concatenate(texts)
+            order = np.lexsort((text, key))
+            key, text = key[order], text[order]
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
+            key = key[~again]
+            third = np.zeros(len(key), bool)
+            third[2:] = key[2:] == key[:-2]
+            key = key[~third]
             rows = list(_deal((key >> np.uint64(26 - bits)).astype(np.uint32), (key >> np.uint64(58 - bits)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([r.tobytes() for _, r in rows], pa.binary())], names=["bucket", "data"])
 
     return run
 
 
-def _screen_slice(bits: int):
+def _screen_slice(bits: int, screen_bits: int, hot: int):
+    """(bucket, flags, hot): a slice of the bitmap, and the bucket's keys that are in most packets, with how many."""
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         value = np.sort(np.concatenate([np.frombuffer(d.as_py(), np.uint32) for d in rows["data"]]))
         shared = value[1:][value[1:] == value[:-1]]
-        flags = np.zeros(1 << (SCREEN_BITS - bits), np.uint8)
-        flags[shared >> np.uint32(32 - SCREEN_BITS + bits)] = 1
-        return pa.table({"bucket": [key[0].as_py()], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+        flags = np.zeros(1 << (screen_bits - bits), np.uint8)
+        flags[shared >> np.uint32(32 - screen_bits + bits)] = 1
+        many, count = np.unique(shared, return_counts=True)
+        at = np.flatnonzero(count >= hot)
+        at = at[np.argsort(-count[at], kind="stable")][: max(1, MOST_HOT >> bits)]
+        return pa.table({"bucket": [key[0].as_py()], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary()), "hot": pa.array([many[at].tobytes()], pa.binary())})
 
     return run
 
 
-def screen(spark: SparkSession, docs: DataFrame, bits: int):
-    """A broadcast bitmap of the anchors that two documents share: 2^SCREEN_BITS bits at any input size."""
+def screen(docs: DataFrame, bits: int, screen_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of the anchors that two documents share, of 2^screen_bits bits, and the sorted keys, cut to 32 + bits bits, of hot anchors."""
     dealt = docs.select("text").mapInArrow(_anchor_keys(bits), "bucket long, data binary")
-    slices = dealt.groupBy("bucket").applyInArrow(_screen_slice(bits), "bucket long, flags binary").toArrow()
-    whole = np.zeros(1 << (SCREEN_BITS - 3), np.uint8)
-    part = len(whole) >> bits
-    for b, flags in zip(slices["bucket"].to_pylist(), slices["flags"].to_pylist(), strict=True):
+    slices = dealt.groupBy("bucket").applyInArrow(_screen_slice(bits, screen_bits, HOT), "bucket long, flags binary, hot binary").toArrow()
+    whole = np.zeros(1 << (screen_bits - 3), np.uint8)
+    part, hot = len(whole) >> bits, [np.zeros(0, np.uint64)]
+    for b, flags, keys in zip(slices["bucket"].to_pylist(), slices["flags"].to_pylist(), slices["hot"].to_pylist(), strict=True):
         whole[b * part : (b + 1) * part] = np.frombuffer(flags, np.uint8)
-    return spark.sparkContext.broadcast(whole)
+        hot.append((np.uint64(b) << np.uint64(32)) | np.frombuffer(keys, np.uint32).astype(np.uint64))
+    return whole, np.sort(np.concatenate(hot))
 
 
 def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -157,11 +183,8 @@ def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 
 def _content(body: np.ndarray, length: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A hash of each segment's bytes, length and anchor."""
-    up, down = _power_tables(len(body) + 1)
-    total = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(CODES[body] * up[: len(body)], out=total[1:])
     stop = np.cumsum(length)
-    return mix((total[stop] - total[stop - length]) * down[stop - length] + mix(length.astype(np.uint64) + mix(key)))
+    return mix(range_sums(body, stop - length, stop) + mix(length.astype(np.uint64) + mix(key)))
 
 
 def _first_holders(head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,69 +202,97 @@ def _by_byte(values: np.ndarray) -> bytes:
 
 def head_bytes(head: np.ndarray) -> bytes:
     """A packet's heads by field, without keys, which the bodies' anchors give again."""
-    return _by_byte(np.diff(head["doc"], prepend=np.int64(0))) + _by_byte(head["start"]) + head["row"].tobytes() + head["off"].tobytes() + head["len"].tobytes()
+    return _by_byte(np.diff(head["doc"], prepend=np.int64(0))) + _by_byte(head["start"])[: 4 * len(head)] + head["hash"].tobytes() + head["off"].tobytes() + head["len"].tobytes()
 
 
 def head_of(raw: bytes) -> np.ndarray:
     """The heads of a packet, with keys still 0."""
-    n = len(raw) // 26
+    n = len(raw) // 18
     head = np.zeros(n, HEAD)
-    by_byte = np.frombuffer(raw, np.uint8, 16 * n).reshape(2, 8, n)
-    head["doc"] = np.cumsum(np.ascontiguousarray(by_byte[0].T).view("<i8").ravel())
-    head["start"] = np.ascontiguousarray(by_byte[1].T).view("<i8").ravel()
-    head["row"] = np.frombuffer(raw, "<i8", n, 16 * n)
-    head["off"], head["len"] = np.frombuffer(raw, np.uint8, 2 * n, 24 * n).reshape(2, n)
+    doc, start = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n), np.frombuffer(raw, np.uint8, 4 * n, 8 * n).reshape(4, n)
+    head["doc"] = np.cumsum(np.ascontiguousarray(doc.T).view("<i8").ravel())
+    head["start"] = np.ascontiguousarray(start.T).view("<u4").ravel()
+    head["hash"] = np.frombuffer(raw, "<i4", n, 12 * n)
+    head["off"], head["len"] = np.frombuffer(raw, np.uint8, 2 * n, 16 * n).reshape(2, n)
     return head
 
 
 def anchor_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The keys of the grams that start at the given places."""
-    up, down = _power_tables(len(body) + 1)
-    total = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(CODES[body] * up[: len(body)], out=total[1:])
-    return mix((total[at + GRAM] - total[at]) * down[at]) >> np.uint64(6)
+    """The keys of the grams that start at the given ascending places."""
+    grams = _gather(body, at, np.full(len(at), GRAM))
+    edge = np.arange(len(at)) * GRAM
+    return mix(range_sums(grams, edge, edge + GRAM)) >> np.uint64(6)
 
 
-def _spans(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
-    return [pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
+def _spans(doc: np.ndarray, of: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
+    return [pa.array(doc, pa.int64()), pa.array(of, pa.int32()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
+
+
+def suffixes_apart(head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments cut into one of SIZE bytes for each of their suffixes."""
+    length = head["len"].astype(np.int64)
+    count = length - SIZE + 1
+    which = np.repeat(np.arange(len(head)), count)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    out = head[which]
+    out["start"] += step.astype(np.uint32)
+    out["off"] -= step.astype(np.uint8)
+    out["len"] = SIZE
+    begin = np.cumsum(length) - length
+    return out, _gather(body, begin[which] + step, np.full(len(which), SIZE))
 
 
-def _sent_segments(sent, bits: int):
-    """Segments that pass the screen, packed by bucket; and, bucket -1, spans that equal segments of the batch decide."""
+def _sent_segments(shared, bits: int, screen_bits: int):
+    """Segments that pass the screen, packed by bucket; and, bucket under 0, spans that equal segments of the portion decide."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, press = sent.value, zstandard.ZstdCompressor(level=3)
-        for batch in portions(batches):
-            data, offsets = text_bytes(batch["text"])
+        bitmap, hot = shared.value
+        press = zstandard.ZstdCompressor(level=6)
+        for batch in portions(batches, PACKET_BYTES):
             doc = batch["doc_id"].cast(pa.int64()).fill_null(int(LAST)).to_numpy()
-            row = batch["row"].to_numpy()
+            of = batch["hash"].to_numpy()
             heads, bodies = [], []
-            for i, j in chunks(offsets):
-                part = data[offsets[i] : offsets[j]]
-                key, text, first, last, anchor = segments(part, offsets[i : j + 1] - offsets[i])
-                bit = key >> np.uint64(58 - SCREEN_BITS)
+            for part, offsets, i, place in pieces(*text_bytes(batch["text"])):
+                key, text, first, last, anchor = segments(part, offsets)
+                bit = key >> np.uint64(58 - screen_bits)
                 keep = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7)).astype(np.uint8))) & 1 == 1
                 key, text, first, last, anchor = (x[keep] for x in (key, text, first, last, anchor))
                 head = np.empty(len(key), HEAD)
-                head["key"], head["doc"], head["row"] = key, doc[i + text], row[i + text]
-                head["start"], head["off"], head["len"] = first - (offsets[i : j][text] - offsets[i]), anchor - first, last - first + SIZE
-                heads.append(head)
-                bodies.append(_gather(part, first, last - first + SIZE))
+                head["key"], head["doc"], head["hash"] = key, doc[i + text], of[i + text]
+                head["start"], head["off"], head["len"] = first - offsets[text] + place, anchor - first, last - first + SIZE
+                body = _gather(part, first, last - first + SIZE)
+                cut = np.isin(key >> np.uint64(26 - bits), hot)
+                if cut.any():
+                    where = np.repeat(cut, head["len"].astype(np.int64))
+                    small, its = suffixes_apart(head[cut], body[where])
+                    heads += [head[~cut], small]
+                    bodies += [body[~where], its]
+                else:
+                    heads.append(head)
+                    bodies.append(body)
             if not heads:
                 continue
             head, body = np.concatenate(heads), np.concatenate(bodies)
+            heads = bodies = None
             _, later = _first_holders(head, body)
             gone = head[later]
             length = head["len"].astype(np.int64)
             begin = np.cumsum(length) - length
             left = np.flatnonzero(~later)
-            packed = [(b, at) for b, at in _deal(left, (mix(head["key"][left]) >> np.uint64(64 - bits)).astype(np.int64))]
+            deal = mix(head["key"][left])
+            apart = np.isin(head["key"][left] >> np.uint64(26 - bits), hot)
+            if apart.any():
+                some = left[apart]
+                deal[apart] = mix(_content(_gather(body, begin[some], length[some]), length[some], head["key"][some] + head["off"][some]))
+            order = np.lexsort((head["doc"][left], deal >> np.uint64(64 - bits)))
+            packed = list(_deal(left[order], (deal[order] >> np.uint64(64 - bits)).astype(np.int64)))
             blobs = [(press.compress(head_bytes(head[at])), press.compress(_gather(body, begin[at], length[at]).tobytes())) for _, at in packed]
             if len(gone):
-                spans = np.stack([gone["row"], gone["start"], gone["start"] + gone["len"]], 1)
-                # Decided spans need no bucket: they are dealt by the number of their first row.
-                packed.append((int(-1 - (abs(int(gone["row"][0])) % (1 << bits))), None))
-                blobs.append((spans.tobytes(), b""))
+                spans = np.stack([gone["doc"], gone["hash"].astype(np.int64), gone["start"].astype(np.int64), gone["start"].astype(np.int64) + gone["len"]], 1)
+                # Decided spans need no bucket: they are dealt by the hash of their first text.
+                packed.append((int(-1 - (abs(int(gone["hash"][0])) % (1 << bits))), None))
+                blobs.append((press.compress(spans.T.tobytes()), b""))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in packed], pa.int64()), *[pa.array([x[k] for x in blobs], pa.binary()) for k in (0, 1)]], names=["bucket", "head", "body"])
 
     return run
@@ -321,17 +372,18 @@ def repeated_suffixes(body: np.ndarray, length: np.ndarray, off: np.ndarray, doc
 
 
 def _bucket(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    names = ["row", "start", "stop"]
-    if key[0].as_py() < 0:
-        spans = np.concatenate([np.frombuffer(h.as_py(), np.int64) for h in rows["head"]]).reshape(-1, 3)
-        return pa.Table.from_arrays(_spans(*spans.T), names=names)
+    names = ["doc", "hash", "start", "stop"]
     undo = zstandard.ZstdDecompressor()
+    if key[0].as_py() < 0:
+        spans = np.concatenate([np.frombuffer(undo.decompress(h.as_py()), np.int64).reshape(4, -1) for h in rows["head"]], 1)
+        return pa.Table.from_arrays(_spans(*spans), names=names)
     head = np.concatenate([head_of(undo.decompress(h.as_py())) for h in rows["head"]])
     body = np.concatenate([np.frombuffer(undo.decompress(b.as_py()), np.uint8) for b in rows["body"]])
     stop = np.cumsum(head["len"], dtype=np.int64)
     head["key"] = anchor_keys(body, stop - head["len"] + head["off"])
     same, later = _first_holders(head, body)
-    out = [(head["row"][later], head["start"][later], head["start"][later] + head["len"][later])]
+    start = head["start"].astype(np.int64)
+    out = [(head["doc"][later], head["hash"][later], start[later], start[later] + head["len"][later])]
     # One row a distinct segment, for anchors that have two of them or more.
     length = head["len"].astype(np.int64)
     begin = np.cumsum(length) - length
@@ -352,30 +404,23 @@ def _bucket(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         lo, hi = (np.searchsorted(same[order], same[one[segment]], side) for side in ("left", "right"))
         run = np.repeat(np.arange(len(first)), hi - lo)
         entry = order[np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[run]]
-        at = head["start"][entry] + (first - base[segment])[run]
-        out.append((head["row"][entry], at, at + (last - first)[run] + SIZE))
+        at = start[entry] + (first - base[segment])[run]
+        out.append((head["doc"][entry], head["hash"][entry], at, at + (last - first)[run] + SIZE))
+    release()
     return pa.Table.from_arrays(_spans(*[np.concatenate(x) for x in zip(*out, strict=True)]), names=names)
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("row"))
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(row, start, stop): byte ranges to remove, some of them overlapping, of docs (doc_id, text, row)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, min(20, (size // BUCKET_BYTES).bit_length()))
-    sent = screen(spark, docs, bits)
-    packed = docs.mapInArrow(_sent_segments(sent, bits), "bucket long, head binary, body binary")
-    return packed.groupBy("bucket").applyInArrow(_bucket, SPANS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hash): a row is named by its doc_id and a hash of its text."""
+    return docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts as zstd frames, for the shuffle that meets them with their spans."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for batch in portions(batches):
         frames = [press.compress((t.as_py() or "").encode()) for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["row"], pa.array(frames, pa.binary())], names=["doc_id", "row", "frame"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["hash"], pa.array(frames, pa.binary())], names=["doc_id", "hash", "frame"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,10 +449,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedupe_strings(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the bytes left, which need not be whole characters."""
-    docs = with_row(docs)
-    spans = repeated_spans(spark, docs).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("row", "at")
-    texts = docs.mapInArrow(_pressed, "doc_id long, row long, frame binary")
-    joined = texts.join(spans, F.col("row") == F.col("at"), "left")
+    docs = keyed(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, min(20, (size // BUCKET_BYTES).bit_length()))
+    screen_bits = max(bits + 3, min(MOST_SCREEN_BITS, 1 + (size // ANCHOR_BYTES).bit_length()))
+    # The bitmap of 2^MOST_SCREEN_BITS bits at most, and MOST_HOT keys, go to the executors.
+    shared = spark.sparkContext.broadcast(screen(docs, bits, screen_bits))
+    packed = docs.mapInArrow(_sent_segments(shared, bits, screen_bits), "bucket long, head binary, body binary")
+    found = packed.groupBy("bucket").applyInArrow(_bucket, SPANS)
+    spans = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("hash", "of")
+    texts = docs.mapInArrow(_pressed, "doc_id long, hash int, frame binary")
+    joined = texts.join(spans, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("doc")) & (F.col("hash") == F.col("of")), "left")
     return joined.select("doc_id", "frame", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -67,6 +67,21 @@ def test_tables(spark, sf_dir):
     assert sx.dedupe_strings(spark, docs.limit(0)).count() == 0
 
 
+def test_hot_anchors_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sx, "HOT", 2)
+    rows = made(4)
+    assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
+    monkeypatch.setattr(sx, "CHUNK_BYTES", 200)
+    data, offsets = np.frombuffer("".join("abc"[k * k % 3] + chr(97 + k * 7 % 26) for k in range(900)).encode(), np.uint8), np.array([0, 30, 130, 1500, 1500, 1800])
+    seen = []
+    for part, own, i, place in sx.pieces(data, offsets):
+        _, text, first, last, _ = sx.segments(part, own)
+        for t, a, b in zip(text, first, last, strict=True):
+            seen += [(i + int(t), place + k - int(own[t])) for k in range(a, b + 1)]
+            assert (part[a : a + sx.SIZE] == data[offsets[i + t] + place + a - own[t] :][: sx.SIZE]).all()
+    assert sorted(seen) == [(t, k) for t in range(5) for k in range(max(0, int(offsets[t + 1] - offsets[t]) - sx.SIZE + 1))]
+
+
 def test_cover():
     assert {(a - b) % 16 for a in sx.COVER for b in sx.COVER} == set(range(16)) and len(sx.COVER) == 5
 

@@ -1,28 +1,36 @@
 """N-gram Jaccard join: a blocked sparse product of the document by shingle incidence.
 
-The incidence is cut into column blocks by shingle hash.  Only columns that can
-decide a pair are multiplied: with rows ordered by (hub, hash), two sets with
-Jaccard of at least t share a shingle among their first n - ceil(t n) + 1, so a
-block holds these postings alone.  Hubs are the shingles in most sets, counted
+The incidence is cut into column blocks by shingle hash.  Its product with its
+transpose is masked: only columns that can decide a pair are multiplied in full.
+With a row's shingles ordered by (hub, hash), two sets with Jaccard of at least
+t share a shingle among their first n - ceil(t n) + 1, so the first product
+holds these postings alone.  Hubs are the shingles in most sets, counted
 exactly over all sets; moving them last keeps frequent passages out of the
-products.  The hub list only orders columns, so its size bound loses nothing.
+product.  The hub list only orders columns, so its size bound loses nothing.
 
-Within a block each column's pairs are discarded by size (4 min >= 3 max) and by
-position (what both rows have left cannot reach the overlap needed).  Pairs
-left are summed over blocks, then discarded when the bits in which two folded
-bitmaps differ already exceed the allowed difference, and the exact overlap
-count decides.  Documents with equal sets are one row of the incidence.
+Each block counts the columns that its pairs share, and where the last of them
+stands; counts are summed over the blocks.  A pair goes when the sum, with what
+either row has left behind its last shared column, is below the overlap that
+the rows' sizes need.  Pairs left go when the bits in which two folded bitmaps
+differ already exceed the allowed difference.  For the rest the overlap is
+counted over the column blocks of the whole sets (longer sets have more blocks)
+and summed.  Documents with equal sets are one row, a class, of the incidence.
 
 Columns with more than `WIDE` rows are first paired with `CENTERS` of their own
 rows only, those that stand in the most wide columns: in a group of near copies
-these are the ones with the fewest edits.  Only pairs whose rows are then still
-in different components are multiplied out, so large groups of near copies stay
-close to linear and no link between different components is lost.
+these are the ones with the fewest edits.  Only pairs of one size band whose
+rows are then still in different components, and which leave room for the
+overlap needed, are multiplied out, so that large groups of near copies stay
+close to linear and no link between different components is lost.  What remains
+quadratic is a wide column whose rows of one size band all begin with it and
+still differ from each other too much to be linked.
 
 Nulls and odd rows: a null or blank text has the empty set, links with nothing
 and is its own component; fewer than five words make one shingle.  Repeated
-rows share a class; a null doc_id is kept and never represents a class that has
-another.  An empty table gives no rows.  Only doc_id and text are read.
+rows share a class; links run over classes, so a null doc_id links like any
+other and only never names a component that has another id.  An empty table
+gives no rows.  Only doc_id and text are read.  Classes are named by 64 bits of
+their shingles: among 10^9 different texts the odds of a false one are 3 %.
 """
 
 from __future__ import annotations
@@ -35,18 +43,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import table, written
-from .textkit import mix, portions, shingle_sets
+from .shared import WORD, sent, table, written
+from .textkit import mix, portions, release, shingle_sets, tidy
 
 NUM, DEN = 3, 4  # the similarity, 75 / 100
 HUB_DF = 48
 MOST_HUBS = 1 << 20
-WIDE = 32
+WIDE = 16
 CENTERS = 4
-BLOCK_POSTINGS = 1 << 19
-MOST_SENT_IDS = 1 << 21
+BLOCK_POSTINGS = 1 << 17
+SLICE_POSTINGS = 1 << 15
+BLOCK_SHINGLES = 1 << 12
+MOST_SENT = 1 << 21
 
-POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<u4"), ("at", "<u2")])
+POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -79,15 +89,15 @@ def needed(na, nb):
     return -(-NUM * (na + nb) // (NUM + DEN))
 
 
+@tidy
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches):
-        ids = batch["doc_id"].cast(pa.int64())
         ns, cs, maps = [], [], []
         for _, s in shingle_sets(batch["text"]):
             ns.append(len(s))
             cs.append(class_of(s) if len(s) else None)
             maps.append(bitmap_of(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n", "c", "bits"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["t"], pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "t", "n", "c", "bits"])
 
 
 def _packed(parts: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
@@ -114,6 +124,7 @@ def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 def _hub_counts(bits: int):
     """All shingles by block of the hash range, as 32-bit keys, each set of a batch once."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             sets = [s for _, s in _distinct_sets(batch)]
@@ -134,27 +145,28 @@ def _frequent(bits: int, least: int):
     return run
 
 
-def hubs(spark: SparkSession, docs: DataFrame, total: int) -> np.ndarray:
-    """Sorted keys of the shingles in more than HUB_DF sets, the MOST_HUBS most frequent if there are more."""
-    bits = max(6, min(24, (total // (2 * BLOCK_POSTINGS)).bit_length()))
+def hubs(docs: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """Sorted keys of the shingles in more than HUB_DF sets, the MOST_HUBS most frequent if there are more, and their bits."""
+    bits = max(6, min(24, (total // (8 * BLOCK_POSTINGS)).bit_length()))
     counted = docs.select("text").mapInArrow(_hub_counts(bits), "block long, data binary").groupBy("block").applyInArrow(_frequent(bits, HUB_DF), "key long, df long")
     return np.sort(counted.orderBy(F.col("df").desc(), "key").limit(MOST_HUBS).toArrow()["key"].to_numpy()), bits
 
 
-def _postings(sent, hub_bits: int, block_bits: int):
+def _postings(known, hub_bits: int, block_bits: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        hub_keys = known.value
         for batch in portions(batches):
             found = []
             for c, s in _distinct_sets(batch):
-                if len(known):
+                if len(hub_keys):
                     keys = (s >> np.uint64(32 - hub_bits)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hub = known[at] == keys
+                    at = np.minimum(np.searchsorted(hub_keys, keys), len(hub_keys) - 1)
+                    hub = hub_keys[at] == keys
                     s = np.concatenate([s[~hub], s[hub]])
                 p = prefix_length(len(s))
                 rows = np.empty(p, POSTING)
-                rows["h"], rows["c"], rows["n"], rows["at"] = s[:p], c, len(s), np.minimum(np.arange(p), 65535)
+                rows["h"], rows["c"], rows["n"], rows["at"] = s[:p], c, len(s), np.arange(p)
                 found.append(rows)
             if found:
                 rows = np.concatenate(found)
@@ -164,87 +176,153 @@ def _postings(sent, hub_bits: int, block_bits: int):
     return run
 
 
-def _column_pairs(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The product of one block: pairs of narrow columns and rows of wide ones."""
-    p = np.concatenate([np.frombuffer(d.as_py(), POSTING) for d in rows["data"]])
-    p = p[np.lexsort((p["c"], p["n"], p["h"]))]
-    new = np.r_[True, (p["h"][1:] != p["h"][:-1]) | (p["c"][1:] != p["c"][:-1])]
-    p = p[new]
-    edge = np.flatnonzero(np.r_[True, p["h"][1:] != p["h"][:-1], True])
-    width = np.diff(edge)
-    first, second = [], []
-    for d in range(1, WIDE):  # all pairs of columns of up to WIDE rows, by distance
-        i = np.flatnonzero(np.r_[p["h"][:-d] == p["h"][d:]]) if len(p) > d else np.zeros(0, int)
-        i = i[np.repeat(width, width)[i] <= WIDE]
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("shared", "<i4"), ("la", "<i4"), ("lb", "<i4")])
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """One entry a pair: shared columns added up, the last places of any."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    edge = np.flatnonzero(np.r_[True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])])
+    out = pairs[edge]
+    out["shared"] = np.add.reduceat(pairs["shared"], edge)
+    for k in ("la", "lb"):
+        out[k] = np.maximum.reduceat(pairs[k], edge)
+    return out
+
+
+def _multiplied(p: np.ndarray, wide: int) -> np.ndarray:
+    """The product of narrow columns, given as postings sorted by column."""
+    parts = []
+    for d in range(1, wide):  # all pairs of a column's rows, by distance
+        i = np.flatnonzero(p["h"][:-d] == p["h"][d:])
         if not len(i):
             break
-        first.append(i)
-        second.append(i + d)
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (first, second))
-    x, y = p[a], p[b]
-    na, nb = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    ok = (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (np.minimum(na - x["at"], nb - y["at"]) >= needed(na, nb))
-    pairs = np.unique(np.stack([np.minimum(x["c"], y["c"])[ok], np.maximum(x["c"], y["c"])[ok]], 1), axis=0)
-    rest = p[np.repeat(width, width) > WIDE]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    columns = [(pairs[:, 0], rest["c"]), (pairs[:, 1], None), (None, rest["h"].view(np.int64)), (None, rest["n"].astype(np.int32)), (None, rest["at"].astype(np.int32))]
-    size = (len(pairs), len(rest))
-    arrays = [pa.concat_arrays([pa.array(v, t) if v is not None else pa.nulls(n, t) for v, n in zip(c, size, strict=True)]) for c, t in zip(columns, kinds, strict=True)]
-    return pa.Table.from_arrays(arrays, names=["a", "b", "h", "n", "at"])
+        x, y = p[i], p[i + d]
+        na, nb, at_a, at_b = (v.astype(np.int64) for v in (x["n"], y["n"], x["at"], y["at"]))
+        ok = (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (np.minimum(na - at_a, nb - at_b) >= needed(na, nb))
+        turned = x["c"][ok] > y["c"][ok]
+        one = np.empty(int(ok.sum()), PAIR)
+        for k, v, w in (("a", x["c"], y["c"]), ("la", at_a, at_b)):
+            one[k] = np.where(turned, w[ok], v[ok])
+        for k, v, w in (("b", x["c"], y["c"]), ("lb", at_a, at_b)):
+            one[k] = np.where(turned, v[ok], w[ok])
+        one["shared"] = 1
+        parts.append(one)
+    return _summed(np.concatenate(parts)) if parts else np.empty(0, PAIR)
+
+
+def _product(wide: int, size: int):
+    """The product of one block, `size` postings at a time: pairs of columns of up to `wide` rows, and the rows of wider ones."""
+
+    def run(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        p = np.concatenate([np.frombuffer(d.as_py(), POSTING) for d in rows["data"]])
+        p = p[np.lexsort((p["c"], p["n"], p["h"]))]
+        p = p[np.r_[True, (p["h"][1:] != p["h"][:-1]) | (p["c"][1:] != p["c"][:-1])]]
+        edge = np.flatnonzero(np.r_[True, p["h"][1:] != p["h"][:-1], True])
+        width = np.repeat(np.diff(edge), np.diff(edge))
+        rest, p = p[width > wide], p[(width > 1) & (width <= wide)]
+        edge = np.flatnonzero(np.r_[True, p["h"][1:] != p["h"][:-1], True]) if len(p) else np.zeros(1, np.int64)
+        cuts = np.unique(edge[np.searchsorted(edge, np.arange(0, len(p) + size, size).clip(max=len(p)))])
+        pairs = _summed(np.concatenate([np.empty(0, PAIR), *(_multiplied(p[i:j], wide) for i, j in zip(cuts[:-1], cuts[1:], strict=True))]))
+        release()
+        no = lambda n, t: pa.nulls(n, t)
+        long, short, n, m = pa.int64(), pa.int32(), len(pairs), len(rest)
+        columns = [
+            (pa.array(pairs["a"]), pa.array(rest["c"])), (pa.array(pairs["b"]), no(m, long)), (pa.array(pairs["shared"]), no(m, short)), (pa.array(pairs["la"]), no(m, short)),
+            (pa.array(pairs["lb"]), no(m, short)), (no(n, long), pa.array(rest["h"].view(np.int64))), (no(n, short), pa.array(rest["n"].astype(np.int32))), (no(n, short), pa.array(rest["at"].astype(np.int32))),
+        ]
+        return pa.Table.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "shared", "la", "lb", "h", "n", "at"])
 
+    return run
 
+
+@tidy
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
         most = na + nb - 2 * needed(na, nb)
         keep = [differing_bits(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch["xa"], batch["xb"], most, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
 
+@tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
+        shared = []
         for x, y in zip(batch["sa"], batch["sb"], strict=True):
             s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-            shared = int((t[at] == s).sum())
-            keep.append(DEN * shared >= NUM * (len(s) + len(t) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            shared.append(int((t[at] == s).sum()) if len(t) else 0)
+        yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
+
+
+def level(n):
+    """A set of n shingles has 2^level column blocks of about BLOCK_SHINGLES."""
+    blocks = F.floor((n + (BLOCK_SHINGLES - 1)) / BLOCK_SHINGLES)
+    return F.when(blocks <= 1, 0).otherwise(F.length(F.bin(blocks - 1)))
+
 
+def _levels(n: int, size: int) -> list[int]:
+    """The levels at which a set of n shingles meets the sets that its size allows."""
+    one = lambda m: max(0, -(-m // size) - 1).bit_length()
+    return sorted({one(n), one(DEN * n // NUM)})
 
-def _sets_of(wanted):
+
+def _set_blocks(wanted, size: int):
+    """(c, level, block, s): the sets of the texts wanted (all, if None), cut into column blocks of about `size`."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = wanted.value if wanted is not None else None
+        texts = wanted.value if wanted is not None else None
         for batch in portions(batches):
-            if ids is not None and len(ids):
-                got = batch["doc_id"].cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(ids, got), len(ids) - 1)
-                batch = batch.filter(pa.array(ids[at] == got))
-            found = list(_distinct_sets(batch))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["c", "s"])
+            if texts is not None:
+                got = batch["t"].to_numpy()
+                batch = batch.filter(pa.array(texts[np.minimum(np.searchsorted(texts, got), len(texts) - 1)] == got))
+            out = []
+            for c, s in _distinct_sets(batch):
+                for depth in _levels(len(s), size):
+                    cut = np.searchsorted(s, np.arange(1, 1 << depth, dtype=np.uint64) << np.uint64(64 - depth)) if depth else []
+                    out += [(c, depth, k, part.tobytes()) for k, part in enumerate(np.split(s, cut))]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names=["c", "level", "block", "s"])
 
     return run
 
 
 def linked(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) of classes whose sets have the similarity."""
-    side = lambda k: classes.select(F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
-    known = pairs.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb"))
-    left = written(known.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_plausible, "a long, b long"), spark)
-    nodes = left.select(F.col("a").alias("c")).unionByName(left.select(F.col("b").alias("c"))).distinct()
-    ids = nodes.join(classes.select("c", "least_id"), "c").select("least_id")
-    if (count := ids.count()) == 0:
-        return left
-    if count <= MOST_SENT_IDS:  # 16 MB at most; beyond that the ids are joined
-        sent = spark.sparkContext.broadcast(np.sort(ids.toArrow()["least_id"].fill_null(-1).to_numpy()))
-        sets = docs.select("doc_id", "text").mapInArrow(_sets_of(sent), "c long, s binary")
-    else:
-        sets = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("least_id"), "left_semi").mapInArrow(_sets_of(None), "c long, s binary")
-    # A class's set may come from two batches if a doc_id is repeated; sets of a class are equal.
-    sets = sets.groupBy("c").agg(F.first("s").alias("s"))
-    side = lambda k: sets.select(F.col("c").alias(f"c{k}"), F.col("s").alias(f"s{k}"))
-    whole = left.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb"))
-    return whole.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long")
+    """(a, b), written: those of the candidate pairs (a, b, shared, la, lb) of classes whose sets have the similarity.
+
+    classes is (c, n, t, bits, wide); wide counts the row's columns that `shared` leaves out.
+    """
+    side = lambda k: classes.select(F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"), F.col("wide").alias(f"w{k}"))
+    summed = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("la").alias("la"), F.max("lb").alias("lb"))
+    known = summed.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb"))
+    most = F.col("shared") + F.least("wa", "wb") + F.least(F.col("na") - 1 - F.col("la"), F.col("nb") - 1 - F.col("lb"))
+    known = known.where((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb")))
+    left = written(known.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_plausible, "a long, b long, na long, nb long"), spark)
+    nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    texts = written(nodes.join(classes, F.col("node") == F.col("c")).select("t").distinct(), spark)
+    schema = "c long, level int, block int, s binary"
+
+    def counted(sets: DataFrame) -> DataFrame:
+        # A class's set may come from several batches; sets of a class are equal.
+        sets = sets.groupBy("c", "level", "block").agg(F.first("s").alias("s"))
+        side = lambda k: sets.select(*[F.col(v).alias(f"{v}{k}") for v in ("c", "level", "block", "s")])
+        at = left.withColumn("level", F.greatest(level(F.col("na")), level(F.col("nb"))))
+        at = at.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, level) - 1"))))
+        on = lambda k: (F.col(k) == F.col(f"c{k}")) & (F.col("level") == F.col(f"level{k}")) & (F.col("block") == F.col(f"block{k}"))
+        both = at.join(side("a"), on("a")).join(side("b"), on("b")).select("a", "b", "na", "nb", "sa", "sb")
+        total = both.mapInArrow(_overlaps, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+        return written(total.where(DEN * F.col("shared") >= NUM * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), spark)
+
+    if (count := texts.count()) == 0:
+        return left.select("a", "b")
+    if count > MOST_SENT:
+        return counted(docs.join(texts.withColumnRenamed("t", "wanted"), F.col("t") == F.col("wanted"), "left_semi").mapInArrow(_set_blocks(None, BLOCK_SHINGLES), schema))
+    with sent(spark, np.sort(texts.toArrow()["t"].to_numpy())) as wanted:  # 16 MB at most
+        return counted(docs.mapInArrow(_set_blocks(wanted, BLOCK_SHINGLES), schema))
 
 
 def center_pairs(wide: DataFrame) -> DataFrame:
@@ -265,41 +343,77 @@ def center_pairs(wide: DataFrame) -> DataFrame:
     return near.select("c", F.explode("near").alias("x")).select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
-    docs = docs.select("doc_id", "text")
-    described = written(docs.mapInArrow(_described, "doc_id long, n long, c long, bits binary"), spark)
+def crossed_pairs(wide: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidates (a, b) of wide columns' rows that are in different components (label: node, component) and in reach of each other's size."""
+    wide = wide.join(label, F.col("c") == F.col("node"), "left").select("c", "h", "n", "at", F.coalesce("component", "c").alias("part"))
+    open_columns = wide.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("h").alias("oh"))
+    wide = wide.join(open_columns, F.col("h") == F.col("oh"), "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))))
+    x = wide.select("h", "band", *[F.col(k).alias(f"{k}1") for k in ("c", "n", "at", "part")])
+    # Sizes in reach are of the same band or of the next.
+    y = wide.select(F.col("h").alias("h2"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band2"), F.col("band").alias("own"), *[F.col(k).alias(f"{k}2") for k in ("c", "n", "at", "part")])
+    fits = "h = h2 and band = band2 and part1 <> part2 and (own > band or c1 < c2) and 4 * least(n1, n2) >= 3 * greatest(n1, n2) and 7 * least(n1 - at1, n2 - at2) >= 3 * (n1 + n2)"
+    return x.join(y, F.expr(fits)).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
+
+
+def _uncounted(pairs: DataFrame) -> DataFrame:
+    return pairs.distinct().select("a", "b", F.lit(0).alias("shared"), F.lit(-1).alias("la"), F.lit(-1).alias("lb"))
+
+
+def classified(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, t, n, part, component_id) for each row of docs: a hash of its text, its set's size, its component and that one's least doc_id.
+
+    part is null, and component_id is the row's own id, where the set is empty.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    described = written(docs.mapInArrow(_described, "doc_id long, t long, n long, c long, bits binary"), spark)
     # One row a class; bitmaps of a class are equal.
-    classes = written(described.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits")), spark)
+    classes = described.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.min("t").alias("t"), F.first("bits").alias("bits"))
+    classes = written(classes, spark)
+    described = described.drop("bits")
     total = int(classes.agg(F.sum("n")).first()[0] or 0)
-    known, hub_bits = hubs(spark, docs, total)
-    sent = spark.sparkContext.broadcast(known)
-    block_bits = max(6, min(20, (total // DEN // BLOCK_POSTINGS).bit_length() + 1))
-    blocks = docs.select("text").mapInArrow(_postings(sent, hub_bits, block_bits), "block long, data binary")
-    product = written(blocks.groupBy("block").applyInArrow(_column_pairs, "a long, b long, h long, n int, at int"), spark)
-    pairs = product.where("b is not null").select("a", "b")
+    keys, hub_bits = hubs(docs, total)
+    block_bits = max(6, min(24, (total // DEN // BLOCK_POSTINGS).bit_length() + 1))
+    with sent(spark, keys) as known:  # 8 MB at most
+        blocks = docs.select("text").mapInArrow(_postings(known, hub_bits, block_bits), "block long, data binary")
+        product = written(blocks.groupBy("block").applyInArrow(_product(WIDE, SLICE_POSTINGS), "a long, b long, shared int, la int, lb int, h long, n int, at int"), spark)
+    pairs = product.where("b is not null").select("a", "b", "shared", "la", "lb")
     wide = product.where("h is not null").select(F.col("a").alias("c"), "h", "n", "at")
-    some = not wide.isEmpty()
-    if some:
-        pairs = pairs.unionByName(center_pairs(wide))
-    edges = written(linked(spark, docs, classes, pairs.distinct()), spark)
+    if some := not wide.isEmpty():
+        pairs = pairs.unionByName(_uncounted(center_pairs(wide)))
+        in_wide = wide.groupBy("c").agg(F.count("*").alias("columns")).withColumnRenamed("c", "row")
+        classes = written(classes.join(in_wide, F.col("c") == F.col("row"), "left").select("c", "n", "least_id", "t", "bits", F.coalesce("columns", F.lit(0)).alias("wide")), spark)
+    else:
+        classes = classes.withColumn("wide", F.lit(0))
+    edges = linked(spark, docs, classes, pairs)
+    label = components(spark, edges)
     if some:
-        label = components(spark, edges)
-        wide = wide.join(label, F.col("c") == F.col("node"), "left").select("c", "h", "n", "at", F.coalesce("component", "c").alias("part"))
-        open_columns = wide.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("h").alias("oh"))
-        wide = written(wide.join(open_columns, F.col("h") == F.col("oh"), "left_semi"), spark)
-        x = wide.select("h", *[F.col(k).alias(f"{k}1") for k in ("c", "n", "at", "part")])
-        y = wide.select(F.col("h").alias("h2"), *[F.col(k).alias(f"{k}2") for k in ("c", "n", "at", "part")])
-        fits = "h = h2 and part1 < part2 and 4 * least(n1, n2) >= 3 * greatest(n1, n2) and 7 * least(n1 - at1, n2 - at2) >= 3 * (n1 + n2)"
-        crossed = x.join(y, F.expr(fits)).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
-        edges = edges.unionByName(linked(spark, docs, classes, crossed))
-    least = classes.select("c", F.col("least_id"))
-    ends = lambda k: least.select(F.col("c").alias(f"c{k}"), F.col("least_id").alias(f"i{k}"))
-    named = edges.join(ends("a"), F.col("a") == F.col("ca")).join(ends("b"), F.col("b") == F.col("cb"))
-    label = components(spark, named.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    ranked = least.join(label, F.col("least_id") == F.col("node"), "left").select(F.col("c").alias("cls"), F.coalesce("component", "least_id").alias("component"))
-    joined = described.join(ranked, F.col("c") == F.col("cls"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        more = linked(spark, docs, classes.withColumn("wide", F.col("n")), _uncounted(crossed_pairs(wide, label)))
+        if not more.isEmpty():
+            label = components(spark, edges.unionByName(more))
+    parts = classes.join(label, F.col("c") == F.col("node"), "left").select(F.col("c").alias("cls"), F.coalesce("component", "c").alias("part"), "least_id")
+    names = parts.groupBy("part").agg(F.min("least_id").alias("least")).withColumnRenamed("part", "of")
+    named = parts.join(names, F.col("part") == F.col("of")).select("cls", "part", "least")
+    return described.join(named, F.col("c") == F.col("cls"), "left").select("doc_id", "t", "n", "part", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs."""
+    return classified(spark, docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: of the smallest doc_id, then of the least text hash; of equal ones the least row.
+
+    Rows without words are components of their own and all stay.
+    """
+    found = classified(spark, docs).where("n > 0")
+    rows = found.groupBy("part", "doc_id", "t").agg(F.count("*").alias("rows"))
+    least = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "rows")).alias("x"))
+    chosen = written(least.select(F.col("x.doc_id").alias("__id"), F.col("x.t").alias("__t"), F.col("x.rows").alias("__rows")), spark)
+    said = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = docs.where(said).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")))
+    again = kept.where("__rows > 1").groupBy("__id", "__t").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("x"))
+    return kept.where("__rows = 1").select(*docs.columns).unionByName(again.select("x.*")).unionByName(docs.where(~said))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

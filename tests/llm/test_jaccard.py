@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard
 from tessera.llm.graph import components
@@ -84,6 +85,45 @@ def test_join_on_small_tables(spark, sf_dir):
     assert got == [(-1, 0, -1), (-1, 1, 7), (7, 1, 7), (7, 1, 7)]
 
 
+def test_rows_without_id_link(spark):
+    base = [f"w{k}" for k in range(60)]
+    edited = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    rows = [(1, edited(0, 1, 2, 3)), (None, edited()), (2, edited(56, 57, 58, 59))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark, df).collect()} == {(1, 1), (None, 1), (2, 1)}
+
+
+def test_sets_joined_on_text_hashes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_SENT", 3)
+    rows = made(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(spark, df).collect()) == brute(rows)
+
+
+def test_long_sets_are_counted_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 16)
+    monkeypatch.setattr(jaccard, "SLICE_POSTINGS", 64)
+    rows = made(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(spark, df).collect()) == brute(rows)
+    for n in range(1, 300):
+        for m in range(-(-3 * n // 4), n + 1):
+            assert jaccard._levels(n, 16)[0] in jaccard._levels(m, 16)
+    level = [r[0] for r in spark.range(1, 300).select(jaccard.level(F.col("id"))).collect()]
+    assert level == [jaccard._levels(n, 16)[0] for n in range(1, 300)]
+
+
+def test_representatives(spark):
+    rnd = random.Random(2)
+    text = lambda n: " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
+    one, two, three = text(40), text(40), text(40)
+    rows = [(7, one, 1), (7, two, 1), (8, one, 2), (None, three, 3), (None, three, 3), (9, three + " end", 4), (5, "", 5), (5, None, 6), (4, "a b", 8), (4, "a b", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    left = sorted(((r.doc_id or -1), r.text or "", r.part) for r in jaccard.representatives(spark, df).collect())
+    assert left == sorted([(7, one, 1), (7, two, 1), (9, three + " end", 4), (5, "", 5), (5, "", 6), (4, "a b", 7)])
+    assert jaccard.representatives(spark, df.limit(0)).count() == 0
+
+
 def test_bounds():
     for na in range(1, 60):
         for nb in range(1, 60):

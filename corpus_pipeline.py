@@ -1,23 +1,23 @@
 """The corpus pipeline: each stage reads the documents that the one before has kept.
 
 Stages take (spark, docs, sf_dir) and return DataFrames; all but the last keep
-the columns of docs.  run() writes each stage as Parquet to the shared folder
-and reads it again for the next.
+the columns of docs, and the last emits the mixed corpus, one row per copy.
+run() writes each stage as Parquet to the shared folder, reads it again for the
+next, and deletes what is read no more.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard, mixing, quality, templates
-from tessera.llm.shared import table, written
+from tessera.llm.shared import remove, scratch, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this table's labels, scores 0.5 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("score >= 0.5").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +26,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked by shingle Jaccard of 0.75 or more.
+    """One document of each group linked by shingle Jaccard of 0.75 or more: that of the smallest doc_id.
 
-    Rows with a null doc_id stay: no smallest doc_id names them.
+    Different texts of one doc_id are documents of their own; equal rows are one; rows without words all stay.
     """
-    found = jaccard.jaccard_components(spark, docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    # A repeated doc_id is a group of its own rows, of which one stays.
-    with_id = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(left.where("doc_id is null")).select(*docs.columns)
+    return jaccard.representatives(spark, docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +39,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document with how often the mix takes it, its words taken and its source's target."""
-    plan = mixing.mixing_plan(docs)
-    return plan.select("doc_id", "source", "lang", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """The mixed corpus: each document once per copy that the mix takes, with its copy number, and none without copies."""
+    return mixing.mix(docs)
 
 
 STAGES = [
@@ -63,16 +57,17 @@ ORACLE_SQL = None
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that all stages before the mix have kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), spark)
+        path = shared_dir(spark)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, kept(spark, sf_dir), sf_dir)
-
-
-def run_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus itself: each kept document once per copy that run() plans for it, and none without copies."""
-    return mixing.mix(kept(spark, sf_dir))

@@ -1,21 +1,23 @@
 """Quality rules on repetition inside a document, from suffix arrays.
 
 Inside an Arrow batch the suffixes of many documents are sorted together but
-never tie across documents.  Prefix doubling starts from windows of
-`WINDOW` words: suffixes whose first window is unique in their document are
-resolved at once, the tied ones are sorted by (rank, rank h words on) with h
-doubling.  Longest common prefixes of neighbours come from the ranks kept per
+never tie across documents, words in the order of their hashes.  Prefix doubling
+ranks all windows of `WINDOW` words: suffixes whose first window is unique in
+their document are resolved by it, the tied ones are sorted by (rank, rank h
+words on) with h doubling.  Longest common prefixes of neighbours come from the ranks kept per
 doubling.  Their intervals with differing left words are the maximal repeated
 substrings; a suffix is covered as far as its longest common prefix with a
 neighbour, and the union of those spans is that of all the intervals' spans.
 
-A document is kept if the base rules hold, at most `COVERED` of its words lie
-in repeats and no repeat is longer than `LONGEST` words unless repeats cover
-less than `LITTLE` of the words.
+A document is kept if the base rules hold, the union of its maximal repeats'
+spans covers at most `COVERED` of its words, below what the base rules allow,
+and its longest repeat has at most `LONGEST` words or `LONGEST_SHARE` of the
+document's, whichever is more: a passage said twice in a long text weighs less.
 
 Nulls and odd rows: a null text has no words (and fails); repeated rows are
-judged alike; a document of any length stays whole within its task.  Only
-doc_id and text are read, so clashing names do no harm.
+judged alike; a document of any length stays whole within its task; an empty
+table gives no rows.  Only doc_id and text are read, so clashing names do no
+harm.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
-from .textkit import Words, chunks, mix, range_sums, roll, text_bytes, tidy, words
+from .textkit import Words, chunks, mix, portions, range_sums, roll, text_bytes, tidy, words
 
 WINDOW = 8
 MIN_WORDS = 20
 BASE_PERCENT = 30
-COVERED = 0.30
+COVERED = 0.25
 LONGEST = 50
-LITTLE = 0.05
+LONGEST_SHARE = 0.02
 SYMBOLS = b"#*$%&|<>"
 
 _IS_SYMBOL = np.zeros(256, np.int8)
@@ -49,38 +51,51 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def window_ranks(w: Words, size: int) -> np.ndarray:
+    """Of each word, the rank of the `size` words from it on (fewer at a text's end) in its text, in the order of word hashes; texts in turn."""
+    n = len(w.hash)
+    end = np.repeat(w.first[1:], np.diff(w.first))
+    rank = np.unique(w.text * np.int64(n + 2) + np.unique(w.hash, return_inverse=True)[1], return_inverse=True)[1]
+    at, span = np.arange(n), 1
+    while span < size:
+        step = min(span, size - span)
+        on = at + step
+        rank = np.unique(rank * np.int64(n + 2) + np.where(on < end, rank[np.minimum(on, n - 1)] + 1, 0), return_inverse=True)[1]
+        span += step
+    return rank
+
+
 def tied_suffixes(w: Words, size: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sorted suffixes whose first `size` words recur in their text, ranks per doubling, last window starts."""
     n = len(w.hash)
-    last = np.repeat(w.first[1:], np.diff(w.first)) - size  # of each word's text: where the last window starts
-    if n < size or not len(at := np.flatnonzero(np.arange(n) <= last)):
+    end = np.repeat(w.first[1:], np.diff(w.first))
+    last = end - size  # of each word's text: where the last window starts
+    if n < size:
         return np.zeros(0, np.int64), [], last
-    key = mix(roll(w.hash, size)[at] + mix(w.text[at].astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key)
-    key = key[order]
-    new = np.ones(len(key), bool)
+    rank = window_ranks(w, size)
+    order = np.argsort(rank, kind="stable")
+    key = rank[order]
+    new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     tied = ~new
     tied[:-1] |= ~new[1:]
-    suffixes = at[order[tied]]
-    m = len(suffixes)
-    rank = np.arange(n, dtype=np.int64) + n
-    slot = np.maximum.accumulate(np.where(new[tied], np.arange(m), 0))
-    rank[suffixes] = slot
-    ranks, active, h = [], np.arange(m), size
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    suffixes, place = order[tied], np.flatnonzero(tied)
+    ranks, active, h = [], np.arange(len(suffixes)), size
     while len(active):
         ranks.append(rank.copy())
         p = suffixes[active]
         on = p + h
-        there = on <= last[p]
-        follow = np.where(there, rank[np.where(there, on, 0)], -p - 1)
+        follow = np.where(on < end[p], rank[np.minimum(on, n - 1)], -1)
         group = rank[p]
         by = np.lexsort((follow, group))
         p, follow, group = p[by], follow[by], group[by]
         suffixes[active] = p
         new = np.ones(len(p), bool)
         new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
-        rank[p] = np.maximum.accumulate(np.where(new, active, 0))
+        rank[p] = place[np.maximum.accumulate(np.where(new, active, 0))]
         tied = ~new
         tied[:-1] |= ~new[1:]
         active = active[tied]
@@ -172,7 +187,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict[s
     for text, _, _ in maximal_repeats(w, suffixes, shared):
         repeats[text] += 1
     failed = (count < MIN_WORDS) | (100 * covered > BASE_PERCENT * count)
-    held = (covered <= COVERED * count) & ((longest <= LONGEST) | (covered < LITTLE * count))
+    held = (covered <= COVERED * count) & (longest <= np.maximum(LONGEST, LONGEST_SHARE * count))
     return {
         "n_words": count, "word_chars": per_text(inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": per_text(_IS_SYMBOL[data], offsets),
         "n_dup_lines": line_repeats(data, offsets, w), "n_repeat_words": covered, "base_failed": failed, "kept": ~failed & held,
@@ -180,8 +195,9 @@ def judge(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> dict[s
     }
 
 
+@tidy
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         data, offsets = text_bytes(batch["text"])
         for i, j in chunks(offsets):
             found = judge(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

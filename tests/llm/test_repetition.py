@@ -62,6 +62,10 @@ def test_judge_matches_brute_force(texts):
     check(texts, 3)
 
 
+def test_repeats_that_end_with_the_text():
+    check(["a a a a b a a a b", "b a a a c a a a b x a a a c", "a b c d a b c x a b c d"], 3)
+
+
 def test_long_repeats_and_edges():
     para = " ".join(f"w{k}" for k in range(60))
     check([para + " x " + para, "", "\n", "a\n", "\na", "a b c d e f g h " * 7, para * 3, "x " * 100, "y", f"{para}\n{para}\nz"], 8)
@@ -77,3 +81,20 @@ def test_query_rows_and_odd_input(spark):
             assert r[name] == value
     assert [r.kept for r in sorted(out, key=lambda r: r.doc_id or 0) if r.doc_id] == [False, False, False, True, True]
     assert repetition.repetition_rules(df.limit(0)).count() == 0
+
+
+def test_each_limit_of_the_method_decides():
+    fresh = iter(f"u{k}" for k in range(100_000))
+    new = lambda n: " ".join(next(fresh) for _ in range(n))
+    short, long = new(14), new(60)
+    far = new(150)
+    texts = [
+        " ".join(f"{short} {new(37)}" for _ in range(8)),  # repeats cover 27 %, each of 14 words
+        f"{long} {new(480)} {long}",  # they cover 20 %, with one of 60 words
+        f"{far} {new(9700)} {far}",  # 150 words, under 2 % of a long text
+        f"{short} {new(300)} {short}",
+    ]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = repetition.judge(data, offsets)
+    assert got["base_failed"].tolist() == [False] * 4 and got["kept"].tolist() == [False, False, True, True]

@@ -4,7 +4,7 @@ A turn becomes `<|start|>role<|text|>text<|end|>`.  Control strings inside
 roles and texts are broken by a backslash after their first character and
 backslashes are doubled, so `unescaped(escaped(x)) == x` for every x.
 
-Per conversation, prefix sums of turn tokens cut turn-aligned spans: a window
+Per conversation, prefix sums of turn tokens, from a window over its turns, cut turn-aligned spans: a window
 ends before the turn that would take it over the budget left beside the system
 turn and the history allowance; a longer turn stands alone, whole.  Later
 windows open with the system turn and up to `history_turns` turns just before
@@ -19,7 +19,7 @@ A conversation is the unit of the format, so one task holds its turns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import n_words, table
@@ -48,9 +48,12 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
     """
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     head = F.concat(F.lit(START), escaped(role), F.lit(TEXT))
-    turn = F.struct("turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text).alias("body"), (n_words(text) + MARKER_TOKENS).alias("tokens"))
-    convs = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    sums = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t["tokens"])))
+    said = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text).alias("body"), (n_words(text) + MARKER_TOKENS).alias("tokens"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    said = said.withColumns({"at": F.row_number().over(order), "until": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    turn = F.struct("at", "role", "text", "head", "body", "tokens", "until")
+    convs = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    sums = F.concat(F.array(F.lit(0).cast("long")), F.transform("turns", lambda t: t["until"]))
     system = F.array_position(F.transform("turns", lambda t: t["role"]), "system").cast("int") - 1
     convs = convs.withColumns({"sums": sums, "sys": system})
     sys_tokens = F.when(F.col("sys") >= 0, F.get("turns", F.col("sys"))["tokens"]).otherwise(0)

@@ -21,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, table
+from .shared import n_words, table, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
+MOST_SENT = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -58,7 +59,9 @@ def mixing_plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # Sizes and draws are taken before the join, so that a query without the text doesn't shuffle it.
     sized = docs.select(*own).withColumns({"size": n_words(F.col("text")), "__draw": draw})
     targets = source_targets(sized.select("source", "size")).withColumnRenamed("source", "__source")
-    # One row per source, and sources are few: the optimizer broadcasts this side while it is small.
+    # One row per source; while there are few, they are sent, so that no text is shuffled.
+    targets = written(targets, docs.sparkSession)
+    targets = F.broadcast(targets) if targets.count() <= MOST_SENT else targets
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor("rate") + F.when(F.col("__draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)

@@ -2,7 +2,8 @@
 
 Writing uses Spark's text writer with CRLF CRLF as its line separator: each
 value is a record's header and block, so every part file is a WARC/1.0 file,
-compressed whole with gzip.  Offsets are those of the uncompressed archive.
+compressed whole with gzip and rolled at about `FILE_BYTES` by the pages' mean
+size, so that a task can hold it.  Offsets are those of the uncompressed archive.
 
 Reading verifies record boundaries by their chain.  Tasks scan files for every
 `WARC/1.0` at a file's start or after CRLF CRLF and emit the offset with the
@@ -13,7 +14,8 @@ reached set and the jumps double each round) keeps the reachable ones.
 Nulls and odd rows: a null html is an empty payload; a null url is written
 empty; CR and LF in urls are percent-encoded; a null page_id is written as
 `null` and read back as null.  Pages of one id and one payload are records of
-their own.  Empty tables give empty archives, which have no records.
+their own.  Empty tables give empty archives, which have no records.  A page is
+one record of any length, and one value of a task.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, table, written
+from .shared import remove, shared_dir, table, written
+from .textkit import tidy
 
 CRLF = "\r\n"
 GAP = CRLF * 2
 MAGIC = "WARC/1.0" + CRLF
-FILE_RECORDS = 20_000
+FILE_BYTES = 64 << 20
+HEADER_BYTES = 512
 GZIP = b"\x1f\x8b"
 FOUND = "file string, offset long, successor long, type string, record_id string, refers_to string, digest string, stated_digest string, payload_bytes long, payload binary"
 
@@ -68,7 +72,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit(CRLF + "WARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit(CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.octet_length(block).cast("string"), F.lit(GAP), block,
     )
-    rows.select(value.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    most = max(1, int(FILE_BYTES / (mean + HEADER_BYTES)))
+    rows.select(value.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 def _candidates(with_payload: bool):
@@ -92,6 +98,7 @@ def _candidates(with_payload: bool):
                         yield name, at, end + 4, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), digest, fields.get("warc-payload-digest", "").rpartition(":")[2], len(payload), payload if with_payload else None
             at = data.find(magic, at + 1)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
         names = [f.split()[0] for f in FOUND.split(", ")]
@@ -107,13 +114,14 @@ def _candidates(with_payload: bool):
 
 def reachable(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(file, offset) on the chain of (file, offset, successor) that starts at each file's offset 0."""
+    # The joins are merged: what they hold grows with the records, so nothing of it is sent to all.
     most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     jump = links.select("file", "offset", F.col("successor").alias("to"))
     reached = jump.where("offset = 0").select("file", "offset")
     for k in range(max(0, most - 1).bit_length()):
         there = jump.select(F.col("file").alias("f"), F.col("offset").alias("o"), F.col("to").alias("further"))
         walk = jump.select("file", "offset", "to", F.lit(False).alias("got")).unionByName(reached.select("file", "offset", F.col("offset").alias("to"), F.lit(True).alias("got")))
-        step = walk.join(there, (F.col("file") == F.col("f")) & (F.col("to") == F.col("o")))
+        step = walk.join(there.hint("merge"), (F.col("file") == F.col("f")) & (F.col("to") == F.col("o")))
         step = written(step.select("file", "offset", "further", "got"), spark) if k % 2 else step.select("file", "offset", "further", "got")
         reached = reached.unionByName(step.where("got").select("file", F.col("further").alias("offset"))).distinct()
         jump = step.where("not got").select("file", "offset", F.col("further").alias("to"))
@@ -137,7 +145,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
-    return digest(spark, read_warc(spark, path, payload=False))
+    records = digest(spark, read_warc(spark, path, payload=False))
+    remove(spark, path)  # without payloads, the records read are in a table of their own
+    return records
 
 
 def digest(spark: SparkSession, records: DataFrame) -> DataFrame:

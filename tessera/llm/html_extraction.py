@@ -2,15 +2,17 @@
 
 A page's block elements and text runs are nodes of a tree.  Each node has one
 of three states: boilerplate, content, or mixed (it holds both).  Potentials
-between parent and child and potentials of a node's observed traits (tag, hints
-in class, id and role, text length, share of links, paragraphs) are smoothed
+between parent and child, by the child's tag, and potentials of a node's observed traits (all
+hints in class, id and role, length of text runs, share of links) are smoothed
 counts over labelled pages.  Sum-product messages go up from the leaves and
 down from the root; the product at a text run is its marginal, and runs whose
 content marginal exceeds one half make the text.
 
 Labelled pages are pages whose elements carry data-y="1" (content) or "0";
-`labelled_pages` writes a bounded number of them from layout rules, and any
-others can be passed to `train`.  data-y is no trait.
+`labelled_pages` writes a bounded number of them from layout rules: articles of
+one paragraph or of many, with and without hints, in nested wrappers, holding
+boxes, and under names that contradict each other.  Any others can be passed to
+`train`.  data-y is no trait.
 
 White space inside a block becomes one space, blocks are trimmed and joined in
 page order by a line break, and character references are decoded.  Scripts,
@@ -36,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
+from .textkit import tidy
 
-TRAINING_PAGES = 400
-SMOOTH = 0.01
+TRAINING_PAGES = 800
+SMOOTH = 1.0
+BACK_OFF = 3.0
 OTHER, CONTENT, MIXED = 0, 1, 2
 
 #: HTML's elements that start a block, and those of them that mostly hold runs of text.
@@ -47,7 +51,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 LEAVES = set("button caption dd dt h1 h2 h3 h4 h5 h6 label legend li option p pre td th".split())
-#: Words of class, id and role by what they say of an element; the first group that fits counts.
+#: Words of class, id and role by what they say of an element; each group that fits is evidence.
 HINTS = {
     "comment": "comment comments reply replies respond discussion disqus responses reader",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense",
@@ -61,7 +65,9 @@ HINTS = {
     "main": "article content main post entry story body text prose hentry page",
 }
 _HINT = {w: kind for kind, ws in reversed(HINTS.items()) for w in ws.split()}
-_ORDER = {kind: k for k, kind in enumerate(HINTS)}
+#: Words after which a name says what an element has or lacks, or where it shows, not what it is.
+_ABOUT_OTHERS = set("with without has have no not is hide show in on off for to under over after before".split())
+_SCREENS = set("xs sm md lg xl print mobile desktop tablet phone".split())
 #: Comments, and elements of raw text, run to the end of the page if unclosed.
 _RAW = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
 #: Elements that hold no text of the page; of an unclosed one only the tag goes.
@@ -86,29 +92,36 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 class Node:
     tag: str
     parent: int
-    hint: str = "none"
+    hint: tuple[str, ...] = ("none",)
     label: int | None = None
     text: str = ""
     links: int = 0  # of a run: characters inside links
     length: int = 0  # of all runs below
     linked: int = 0
-    paragraphs: int = 0
 
 
-def _hint(attributes: str) -> tuple[str, int | None]:
-    found, label = "none", None
+def _names(value: str) -> Iterator[str]:
+    """The hint groups of an attribute's names."""
+    for name in _CAMEL.sub("-", value).lower().split():
+        parts = _WORD.findall(name)
+        for k, w in enumerate(parts):
+            about = k and parts[k - 1] in _ABOUT_OTHERS or w in ("hidden", "visible") and k + 1 < len(parts) and parts[k + 1] in _SCREENS
+            if w in _HINT and not about and not (k and w in _SCREENS):
+                yield _HINT[w]
+
+
+def _hint(attributes: str) -> tuple[tuple[str, ...], int | None]:
+    found, label = set(), None
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
             if name.lower() == "data-y":
                 label = int(value == "1")
             else:
-                for w in _WORD.findall(_CAMEL.sub(" ", value).lower()):
-                    if (kind := _HINT.get(w)) and (found == "none" or _ORDER[kind] < _ORDER[found]):
-                        found = kind
+                found.update(_names(value))
     if _HIDDEN.search(attributes):
-        found = "notice"
-    return found, label
+        found = {"unseen"}
+    return tuple(sorted(found)) or ("none",), label
 
 
 def _embedded(page: str) -> dict[int, int]:
@@ -214,7 +227,6 @@ def parse(page: str) -> list[Node]:
         up = nodes[node.parent]
         up.length += node.length
         up.linked += node.linked
-        up.paragraphs += node.tag == "p"
     return nodes
 
 
@@ -224,18 +236,18 @@ def _level(n: int, steps: tuple[int, ...]) -> int:
 
 def traits(node: Node, parent: Node) -> tuple:
     """What is observed of a node; each entry has its own table of counts."""
-    share = 3 if not node.length else _level(100 * node.linked // node.length, (1, 40))
     if node.tag == "#text":
-        return (("run", parent.tag if parent.tag in LEAVES else "box", _level(node.length, (20, 60, 150, 400)), share),)
-    if node.tag in LEAVES:  # what they hold is observed at their runs
-        return ("tag", node.tag), ("hint", node.hint)
-    return ("tag", node.tag), ("hint", node.hint), ("shape", _level(node.length, (1, 80, 300, 1000)), share, _level(node.paragraphs, (1, 3)))
+        return (("run", parent.tag if parent.tag in LEAVES else "box", _level(node.length, (20, 60, 150, 400)), _level(100 * node.linked // max(1, node.length), (1, 40))),)
+    hints = tuple(("hint", h) for h in node.hint)
+    # What leaf elements hold is observed at their runs; of the others, only whether links make up most of them.
+    return hints if node.tag in LEAVES or not node.length else (*hints, ("links", 100 * node.linked // node.length >= 40))
 
 
 @dataclass
 class TreeModel:
-    edges: list[list[float]]  # [parent state][child state]
+    edges: list[list[float]]  # [parent state][child state], for tags not seen
     root: list[float]
+    by_tag: dict[str, list[list[float]]] = field(default_factory=dict)  # the same by the child's tag
     tables: dict[tuple, tuple[float, ...]] = field(default_factory=dict)
     unknown: tuple[float, ...] = (1.0, 1.0, 1.0)
 
@@ -246,16 +258,20 @@ class TreeModel:
             out = [a * b for a, b in zip(out, p, strict=True)]
         return out
 
+    def between(self, node: Node) -> list[list[float]]:
+        """The potentials [parent state][own state] of a node."""
+        return self.by_tag.get(node.tag, self.edges)
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """The probability of state CONTENT at each node, by messages up and then down the tree."""
-        edges, n = self.edges, len(nodes)
+        n = len(nodes)
         belief = [self.local(node, nodes[node.parent]) if k else list(self.root) for k, node in enumerate(nodes)]
         up: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * n
         for k in range(n - 1, 0, -1):
             b = belief[k]
             total = b[0] + b[1] + b[2] or 1.0
             b[0], b[1], b[2] = b[0] / total, b[1] / total, b[2] / total
-            message = tuple(e[0] * b[0] + e[1] * b[1] + e[2] * b[2] for e in edges)
+            message = tuple(e[0] * b[0] + e[1] * b[1] + e[2] * b[2] for e in self.between(nodes[k]))
             up[k] = message
             p = belief[nodes[k].parent]
             p[0] *= message[0]
@@ -267,7 +283,7 @@ class TreeModel:
         for k in range(n):
             b = belief[k]
             if k:
-                p, m = belief[nodes[k].parent], up[k]
+                p, m, edges = belief[nodes[k].parent], up[k], self.between(nodes[k])
                 rest = [x / y if y else 0.0 for x, y in zip(p, m, strict=True)]
                 for s in range(3):
                     b[s] *= rest[0] * edges[0][s] + rest[1] * edges[1][s] + rest[2] * edges[2][s]
@@ -294,8 +310,12 @@ def states(nodes: list[Node]) -> list[int | None]:
 
 
 def train(pages: list[str], smooth: float = SMOOTH) -> TreeModel:
-    """Potentials from labelled pages, as smoothed conditional frequencies."""
+    """Potentials from labelled pages, as smoothed conditional frequencies.
+
+    A tag's frequency under a parent's state backs off to that under any.
+    """
     edge = [[smooth] * 3 for _ in range(3)]
+    pairs: dict[str, list[list[int]]] = {}
     root = [smooth] * 3
     counts: dict[tuple, list[float]] = {}
     totals: dict[str, list[float]] = {}
@@ -309,13 +329,20 @@ def train(pages: list[str], smooth: float = SMOOTH) -> TreeModel:
                 root[state[k]] += 1
                 continue
             edge[state[node.parent]][state[k]] += 1
+            pairs.setdefault(node.tag, [[0] * 3 for _ in range(3)])[state[node.parent]][state[k]] += 1
             for trait in traits(node, nodes[node.parent]):
                 counts.setdefault(trait, [0.0] * 3)[state[k]] += 1
                 totals.setdefault(trait[0], [0.0] * 3)[state[k]] += 1
     kinds = {name: sum(t[0] == name for t in counts) for name in totals}
     tables = {t: tuple((c + smooth) / (n + smooth * (kinds[t[0]] + 1)) for c, n in zip(cs, totals[t[0]], strict=True)) for t, cs in counts.items()}
     level = lambda row: [x / sum(row) for x in row]
-    return TreeModel([level(r) for r in edge], level(root), tables)
+    edges = [level(r) for r in edge]
+    n_state = [sum(c[p][k] for c in pairs.values() for p in range(3)) for k in range(3)]
+    by_tag = {}
+    for tag, seen in pairs.items():
+        often = [(sum(seen[p][k] for p in range(3)) + smooth) / (n_state[k] + smooth * (len(pairs) + 1)) for k in range(3)]
+        by_tag[tag] = [[edges[p][k] * (seen[p][k] + BACK_OFF * often[k]) / (edge[p][k] + BACK_OFF) for k in range(3)] for p in range(3)]
+    return TreeModel(edges, level(root), by_tag, tables)
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
@@ -328,12 +355,17 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
     link = lambda a=1, b=4: f'<a href="/{word()}">{words(a, b)}</a>'
     pick = rnd.choice
 
+    others = "with-sidebar has-ads no-comments page-header-fixed hide-share hidden-xs page nav-open top-menu has-banner wide side-by-side promo-free".split()
+
     def some(kind: str) -> str:
         name = pick(HINTS[kind].split())
-        return f"{pick(['id', 'class', 'class'])}=\"{pick(['', word() + ' ', word() + '-'])}{name}{pick(['', ' ' + word(), '-' + word()])}\""
+        more = f" {pick(others)}" if rnd.random() < 0.15 else ""
+        return f"{pick(['id', 'class', 'class'])}=\"{pick(['', word() + ' ', word() + '-'])}{name}{pick(['', ' ' + word(), '-' + word()])}{more}\""
 
     def box(tag: str, kind: str, inner: str) -> str:
         attributes = f" {some(kind)}" if tag in ("div", "section", "ul", "p") or rnd.random() < 0.3 else ""
+        if rnd.random() < 0.15:
+            inner = f"<div{pick(['', f' class={word()}'])}>{inner}</div>"
         return f'<{tag}{attributes} data-y="0">{inner}</{tag}>'
 
     menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rnd.randrange(3, 9))) + "</ul>"
@@ -344,7 +376,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
         "side": lambda: box(pick(["aside", "aside", "div", "section"]), "side", f"<h3>{words(1, 4)}</h3>" + pick([menu(), f"<p>{prose()}</p>", "".join(f"<p>{link(3, 8)}</p>" for _ in range(3)), f"<p>{prose()}</p><p>{prose()}</p>"])),
         "ad": lambda: box(pick(["div", "div", "section", "aside"]), "ad", pick([prose(), f"<p>{prose()}</p>", link(2, 8), f"<a href='/x'>{prose()}</a>"])),
         "notice": lambda: box(pick(["div", "section", "p"]), "notice", pick([prose() + " " + link(1, 2), f"{prose()} <button>{words(1, 2)}</button>", prose()])),
-        "form": lambda: box("form", "form", f"<label>{words(1, 4)}</label><input type='text'><p>{words(2, 9)}</p><button>{words(1, 2)}</button>"),
+        "form": lambda: pick([
+            lambda: box("form", "form", f"<label>{words(1, 4)}</label><input type='text'><p>{words(2, 9)}</p><button>{words(1, 2)}</button>"),
+            lambda: box(pick(["div", "section"]), pick(["form", "notice"]), pick(["", f"<h3>{words(1, 4)}</h3>", f"<p>{sentence()}</p>"]) + f"<form><label>{words(1, 4)}</label><input type='text'><button>{words(1, 2)}</button></form>"),
+        ])(),
         "share": lambda: box(pick(["div", "ul"]), "share", pick([" ".join(link(1, 2) for _ in range(4)), words(2, 6)])),
         "comment": lambda: box(pick(["section", "div"]), "comment", f"<h3>{words(1, 3)}</h3>" + "".join(pick([f"<div><b>{word()}</b><p>{prose()}</p></div>", f"<p>{prose()}</p>", f"<article><p>{prose()}</p></article>"]) for _ in range(rnd.randrange(1, 6)))),
     }
@@ -366,12 +401,27 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
             return f"<pre>{words(5, 30)}</pre>"
         return "<table>" + "".join(f"<tr><td>{word()}<td>{words(1, 4)}</tr>" for _ in range(3)) + "</table>"
 
+    def wrapped(inner: str, p: float) -> str:
+        for _ in range(2):
+            if rnd.random() < p:
+                inner = f"<{(t := pick(['div', 'div', 'div', 'section']))}{pick(['', '', f' class={word()}', f' class={chr(34)}{word()} {word()}{chr(34)}', ' ' + some('main')])}>{inner}</{t}>"
+        return inner
+
     def article() -> str:
-        body = [f"<h1>{words(2, 12)}</h1>"] * (rnd.random() < 0.85) + [paragraph() for _ in range(pick([1, 2, 3, 4, 6, 9, 14, 25]))]
-        if rnd.random() < 0.3:
-            body.insert(rnd.randrange(len(body) + 1), boilerplate[pick(["ad", "share", "side", "notice", "form"])]())
+        body = [f"<h1>{words(2, 12)}</h1>"] * (rnd.random() < 0.85) + [paragraph() for _ in range(pick([1, 1, 2, 2, 3, 4, 6, 9, 14, 25]))]
+        if rnd.random() < 0.4:
+            for _ in range(pick([1, 1, 2])):
+                body.insert(rnd.randrange(len(body) + 1), boilerplate[pick(["ad", "share", "share", "side", "notice", "form"])]())
+        style = rnd.random()
+        if style < 0.3:
+            body = [wrapped(b, 0.6) for b in body]
+        elif style < 0.5 and len(body) > 2:
+            cut = rnd.randrange(1, len(body))
+            body = [wrapped("".join(body[:cut]), 0.8), wrapped("".join(body[cut:]), 0.8)]
         tag = pick(["article", "article", "article", "main", "div", "section"])
-        hint = f" {some('main')}" if tag in ("div", "section") or rnd.random() < 0.2 else ""
+        hint = f" {some('main')}" if tag in ("div", "section") and rnd.random() < 0.8 or rnd.random() < 0.2 else ""
+        if tag == "div" and rnd.random() < 0.15:
+            hint = f" id=main class={chr(34)}{pick(others)}{chr(34)}"
         tail = boilerplate["comment"]() if rnd.random() < 0.2 else ""
         return f'<{tag}{hint} data-y="1">{"".join(body)}{tail}</{tag}>'
 
@@ -388,6 +438,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
 def extract(pages: DataFrame, model: TreeModel) -> DataFrame:
     """(page_id, url, text, n_chars) of each page, by a map over the pages."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [model.text(h.as_py()) for h in batch["html"]]

@@ -20,7 +20,7 @@ def test_marginals_match_enumeration(model):
         for states in itertools.product(range(3), repeat=len(nodes)):
             p = 1.0
             for k, s in enumerate(states):
-                p *= local[k][s] * (model.edges[states[nodes[k].parent]][s] if k else 1)
+                p *= local[k][s] * (model.between(nodes[k])[states[nodes[k].parent]][s] if k else 1)
             total += p
             for k, s in enumerate(states):
                 content[k] += p * (s == hx.CONTENT)
@@ -111,3 +111,39 @@ def test_many_unclosed_elements_take_linear_time():
 def test_article_beside_icons(model):
     page = f"<article><h1>Title</h1><p>{LONG}</p><svg-icon name=x></svg-icon><p>{LONG}<svg/></p><video-player></video-player><p>{LONG}</p></article>"
     assert model.text(page) == f"Title\n{LONG}\n{LONG}\n{LONG}"
+
+
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li><li><a href=/n>News</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2024 The Company. All rights reserved.</p></footer>"
+ONE = "The council agreed on Tuesday to repair the old bridge before the winter."
+TWO = "Work will start in May and should take about four months, the mayor said."
+ARTICLE = f"The bridge\n{ONE}\n{TWO}"
+PARTS = ("<h1>The bridge</h1>", f"<p>{ONE}</p>", f"<p>{TWO}</p>")
+
+
+@pytest.mark.parametrize(
+    "main",
+    [
+        f"<article>{''.join(PARTS)}</article>",
+        f"<article>{''.join(PARTS)}<div class='share'>Share this: <a href=x>Mail</a> <a href=y>Post</a></div></article>",
+        f"<article>{''.join(PARTS)}<div class='tags'><a href=x>bridge</a> <a href=y>council</a></div></article>",
+        f"<article>{PARTS[0]}{PARTS[1]}<div class='newsletter-form'><form><label>Mail</label><button>Join</button></form></div>{PARTS[2]}</article>",
+        f"<article>{PARTS[0]}<div><div>{PARTS[1]}</div><div>{PARTS[2]}</div></div></article>",
+        f"<div class='content'><div>{PARTS[0]}</div><div><div>{PARTS[1]}</div><div>{PARTS[2]}</div></div></div>",
+        f"<div id=main class='with-sidebar'>{''.join(PARTS)}</div>",
+        f"<div class='page hidden-xs'>{''.join(PARTS)}</div>",
+        f"<main><section>{PARTS[0]}</section><section>{PARTS[1]}</section><section>{PARTS[2]}</section></main>",
+        f"<main><div class='wrap a1'><div class='b2'><div class='c3'>{''.join(PARTS)}</div></div></div></main>",
+        f"<article class='post no-comments'>{''.join(PARTS)}</article><section id='comments'><h3>2 comments</h3><div><b>Ann</b><p>I think that this bridge should have been closed.</p></div></section>",
+        f"<div class='layout'><div class='entry-content'>{''.join(PARTS)}</div><aside><h3>Most read</h3><ul><li><a href=1>A new school opens its doors</a></li><li><a href=2>Rain expected</a></li></ul></aside></div>",
+        f"<article>{''.join(PARTS)}<aside class='ad'><p>Buy the best shoes now, only today and only here.</p></aside></article>",
+    ],
+)
+def test_short_articles_stay_whole(model, main):
+    for page in (f"<html><body>{NAV}{main}{FOOT}</body></html>", f"<body><div id='page'><header class='site-header'><a href=/>The Gazette</a></header>{NAV}<div class='container'>{main}</div>{FOOT}</div></body>"):
+        assert model.text(page) == ARTICLE
+
+
+def test_all_names_are_evidence():
+    assert hx._hint("id=main class='with-sidebar'")[0] == ("main",) and hx._hint("class='page hidden-xs'")[0] == ("main",)
+    assert hx._hint("class='content sidebar'")[0] == ("main", "side") and hx._hint("class=x")[0] == ("none",) and hx._hint("class=main hidden")[0] == ("unseen",)

@@ -1,9 +1,12 @@
 """Shape descriptors of rasters: Fourier, curvature scale space, edge histogram, HOG, GIST.
 
-A raster is a square grid given by its active cells; values are 0 or 255.  All
-five run over Arrow batches with NumPy.  The mean-pooled SIFT descriptor needs
-OpenCV and is zeros where that is not installed.  Rasters without active cells
-get zero vectors.
+A raster is a square grid given by its active cells; values are 0 or 255.  Edge
+histograms and HOG are sums over exploded cells in the DataFrame API: an active
+cell adds its share to the filter responses of the pixels around it.  Outlines
+and what is computed from them, and the Gabor bank of GIST, run per row over
+Arrow batches.  The mean-pooled SIFT descriptor needs OpenCV and is zeros where
+that is not installed.  Borders are mirrored without their edge.  Rasters without
+active cells get zero vectors.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 try:
     import cv2
@@ -21,20 +25,21 @@ except ImportError:
 
 SIZE = 512
 SIFT_SIZE = 128
+VALUE = 255.0
 FIELDS = ("fourier", "css", "ehd", "hog", "gist", "sift")
-#: The eight neighbours of a cell in clockwise order, as (row, column) steps.
-AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
-#: The 2x2 edge filters of the MPEG-7 edge histogram's five edge types, spread over 3x3.
-EDGE_KERNELS = np.array(
-    [
-        [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]],
-        [[-1, -2, -1], [0, 0, 0], [1, 2, 1]],
-        [[0, 1, 2], [-1, 0, 1], [-2, -1, 0]],
-        [[2, 1, 0], [1, 0, -1], [0, -1, -2]],
-        [[-1, -1, -1], [-1, 8, -1], [-1, -1, -1]],
-    ],
-    float,
+PARTS = 4  # blocks along each side, of edge histograms and GIST
+CELL, BINS = 21, 9  # pixels along a HOG cell's side, directions
+SCALES, TURNS = 4, 8  # of the Gabor bank
+#: The filters of the five edge kinds: vertical, horizontal, 45 degrees, 135 degrees, none.
+EDGE_KERNELS = (
+    (-1, 2, -1, -1, 2, -1, -1, 2, -1),
+    (-1, -1, -1, 2, 2, 2, -1, -1, -1),
+    (2, 2, -1, 2, -1, -1, -1, -1, -1),
+    (-1, 2, 2, -1, -1, 2, -1, -1, -1),
+    (1, 1, 1, 1, -8, 1, 1, 1, 1),
 )
+#: The eight neighbours of a cell, counter-clockwise on the screen from the east, as (row, column) steps.
+AROUND = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
 
 
 def fitted(v: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -43,15 +48,15 @@ def fitted(v: np.ndarray, size: int = SIZE) -> np.ndarray:
     return out
 
 
-def gaussian(sigma: float) -> np.ndarray:
-    """A normalised kernel out to three deviations."""
-    r = max(1, int(3 * sigma + 0.5))
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+def gaussian(sigma: float, size: int | None = None) -> np.ndarray:
+    """A normalised kernel of `size` places around zero, of about three deviations to each side unless given."""
+    size = int(6 * sigma) + 1 if size is None else size
+    k = np.exp(-0.5 * (np.arange(size // 2 + 1 - size, size // 2 + 1) / sigma) ** 2)
     return k / k.sum()
 
 
-def components(image: np.ndarray) -> np.ndarray:
-    """Numbers of 8-connected regions, from 1, by spreading the largest label."""
+def regions(image: np.ndarray) -> np.ndarray:
+    """Numbers of 8-connected regions, by spreading the largest label."""
     label = np.where(image > 0, np.arange(1, image.size + 1).reshape(image.shape), 0)
     while True:
         wide = np.pad(label, 1)
@@ -64,144 +69,166 @@ def components(image: np.ndarray) -> np.ndarray:
         label = spread
 
 
+def outline(inside: np.ndarray) -> np.ndarray:
+    """All border points (x, y) of one region, counter-clockwise from its first pixel in reading order.
+
+    Thin parts are passed on both sides; the walk ends where it would leave the first pixel as it did at the start.
+    """
+    wide = np.pad(inside, 1)
+    start = tuple(int(v) for v in np.argwhere(wide)[0])
+    step = lambda at, d: (at[0] + AROUND[d][0], at[1] + AROUND[d][1])
+    # The point before the first: the first neighbour clockwise from the west.
+    back = next((d % 8 for d in range(11, 3, -1) if wide[step(start, d % 8)]), None)
+    if back is None:
+        return np.array([[start[1] - 1.0, start[0] - 1.0]])
+    before, at, points = step(start, back), start, []
+    while True:
+        points.append((at[1] - 1.0, at[0] - 1.0))
+        turn = next(d % 8 for d in range(back + 1, back + 9) if wide[step(at, d % 8)])
+        following = step(at, turn)
+        if following == start and at == before:
+            return np.array(points)
+        at, back = following, (turn + 4) % 8
+
+
+def area(points: np.ndarray) -> float:
+    x, y = points[:, 0], points[:, 1]
+    return 0.5 * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
+
+
 def contour(image: np.ndarray) -> np.ndarray:
-    """The (x, y) outline of the region with the largest outline area, by Moore neighbour tracing."""
-    best, area = np.zeros((0, 2)), -1.0
-    label = components(image)
-    for name in np.unique(label[label > 0]):
-        inside = np.pad(label == name, 1)
-        start = tuple(np.argwhere(inside)[0])
-        path, at, back = [start], start, 4
-        for _ in range(4 * inside.sum() + 8):
-            for turn in range(1, 9):
-                d = (back + turn) % 8
-                nxt = (at[0] + AROUND[d][0], at[1] + AROUND[d][1])
-                if inside[nxt]:
-                    break
-            else:
-                break
-            if nxt == start:
-                break
-            path.append(nxt)
-            at, back = nxt, (d + 4) % 8
-        points = np.array(path, float)[:, ::-1] - 1
-        x, y = points[:, 0], points[:, 1]
-        size = 0.5 * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
-        if size > area:
-            best, area = points, size
-    return best
-
-
-def resampled(points: np.ndarray, n: int) -> np.ndarray:
-    """n points at equal steps along the closed outline."""
-    closed = np.vstack([points, points[:1]])
-    along = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(closed, axis=0).T))])
-    if along[-1] == 0:
-        return np.repeat(points[:1], n, 0)
-    at = np.linspace(0, along[-1], n, endpoint=False)
-    return np.stack([np.interp(at, along, closed[:, k]) for k in (0, 1)], 1)
-
-
-def fourier(points: np.ndarray) -> np.ndarray:
-    """256 real and 256 imaginary coefficients, without position and scale."""
-    p = resampled(points, SIZE // 2)
-    f = np.fft.fft(p[:, 0] + 1j * p[:, 1])
+    """The outline with the largest area; of equal ones that of the region found last in reading order."""
+    label = regions(image)
+    found, first = np.unique(label[label > 0], return_index=True)
+    return max((outline(label == found[k]) for k in np.argsort(-first)), key=area)
+
+
+def fourier(points: np.ndarray, n: int = SIZE // 2) -> np.ndarray:
+    """The n coefficients after the mean, over the first one's size: real parts, then imaginary ones."""
+    f = np.fft.fft(points[:, 0] + 1j * points[:, 1])
     f[0] = 0
-    scale = abs(f[1])
-    f = f / scale if scale > 0 else f
-    return np.concatenate([f.real, f.imag])
+    size = abs(f[1]) if len(f) > 1 else 1.0
+    f = f / size if size else f
+    f = fitted(f.real, n + 1)[1:], fitted(f.imag, n + 1)[1:]
+    return np.concatenate(f)
 
 
 def curvature_space(points: np.ndarray, scales: int = 16, samples: int = 32) -> np.ndarray:
     """Curvature at `samples` places of the outline smoothed at `scales` widths."""
-    p = resampled(points, 256)
     out = []
-    for sigma in np.linspace(1, scales, scales):
-        kernel = gaussian(sigma)
-        r = len(kernel) // 2
-        x, y = (np.convolve(np.pad(p[:, k], r, mode="wrap"), kernel, "valid") for k in (0, 1))
+    for sigma in range(1, scales + 1):
+        x, y = (np.convolve(points[:, k], gaussian(sigma), mode="same") for k in (0, 1))
         dx, dy = np.gradient(x), np.gradient(y)
         bend = (dx * np.gradient(dy) - dy * np.gradient(dx)) / ((dx**2 + dy**2) ** 1.5 + 1e-8)
-        out.append(bend[np.linspace(0, len(bend) - 1, samples).astype(int)])
+        out.append(np.interp(np.linspace(0, len(bend) - 1, samples), np.arange(len(bend)), bend))
     return np.concatenate(out)
 
 
-def convolved(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Correlation of the same size, with the border mirrored without its edge."""
-    r, s = kernel.shape[0] // 2, kernel.shape[1] // 2
-    wide = np.pad(image, ((r, r), (s, s)), mode="reflect")
-    return np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(wide, kernel.shape), kernel)
-
-
-def _grid(n: int, parts: int) -> list[slice]:
-    edge = np.linspace(0, n, parts + 1).astype(int)
-    return [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+def gabor(sigma: float, turn: float, wave: float = np.pi / 4, ratio: float = 0.5) -> np.ndarray:
+    """A Gabor filter of int(6 sigma + 1) places, one more if even."""
+    r = int(6 * sigma + 1) // 2
+    y, x = np.mgrid[-r : r + 1, -r : r + 1]
+    u, v = x * np.cos(turn) + y * np.sin(turn), -x * np.sin(turn) + y * np.cos(turn)
+    return np.exp(-0.5 * (u**2 + (ratio * v) ** 2) / sigma**2) * np.cos(2 * np.pi * u / wave)
 
 
-def edge_histogram(image: np.ndarray, parts: int = 4) -> np.ndarray:
-    """Shares of five edge kinds in parts x parts blocks, of unit length."""
-    strength = np.abs(np.stack([convolved(image, k) for k in EDGE_KERNELS]))
-    v = np.array([strength[:, a, b].sum((1, 2)) for a in _grid(image.shape[0], parts) for b in _grid(image.shape[1], parts)]).ravel()
-    norm = np.linalg.norm(v)
-    return fitted(v / norm if norm else v)
+def filtered(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Correlation of the same size."""
+    r = kernel.shape[0] // 2
+    return np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(np.pad(image, r, mode="reflect"), kernel.shape), kernel)
 
 
-def oriented_gradients(image: np.ndarray, cell: int = 21, bins: int = 9) -> np.ndarray:
-    """Unsigned gradient directions by magnitude, per cell."""
-    gy, gx = np.gradient(image)
-    size, angle = np.hypot(gx, gy), np.degrees(np.arctan2(gy, gx)) % 180
-    at = np.minimum((angle / (180 / bins)).astype(int), bins - 1)
+def gist(image: np.ndarray) -> np.ndarray:
+    """Mean responses of the Gabor bank in PARTS x PARTS blocks."""
+    h, w = (n // PARTS for n in image.shape)
     out = []
-    for i in range(max(1, image.shape[0] // cell)):
-        for j in range(max(1, image.shape[1] // cell)):
-            part = (slice(i * cell, (i + 1) * cell), slice(j * cell, (j + 1) * cell))
-            out.append(np.bincount(at[part].ravel(), size[part].ravel(), bins))
+    for s in range(SCALES):
+        for t in range(TURNS):
+            seen = np.abs(filtered(image, gabor(0.5 * (s + 1) * min(image.shape) / 100, t * np.pi / TURNS)))
+            out.append(seen[: h * PARTS, : w * PARTS].reshape(PARTS, h, PARTS, w).mean((1, 3)).ravel())
     return fitted(np.concatenate(out))
 
 
-def gabor(scale: int, turn: float, size: int = 9) -> np.ndarray:
-    sigma, wave = 1.0 + scale, 2.0 * 2 ** (scale / 2)
-    r = size // 2
-    y, x = np.mgrid[-r : r + 1, -r : r + 1]
-    u, v = x * np.cos(turn) + y * np.sin(turn), -x * np.sin(turn) + y * np.cos(turn)
-    return np.exp(-(u**2 + 0.25 * v**2) / (2 * sigma**2)) * np.cos(2 * np.pi * u / wave)
-
-
-def gist(image: np.ndarray, scales: int = 4, turns: int = 8, parts: int = 4) -> np.ndarray:
-    """Mean responses of oriented filters in parts x parts blocks."""
-    out = []
-    for s in range(scales):
-        for t in range(turns):
-            seen = np.abs(convolved(image / 255.0, gabor(s, np.pi * t / turns)))
-            out += [seen[a, b].mean() for a in _grid(image.shape[0], parts) for b in _grid(image.shape[1], parts)]
-    return fitted(np.array(out))
-
-
 def pooled_sift(image: np.ndarray) -> np.ndarray:
     if cv2 is None:
         return np.zeros(SIFT_SIZE)
-    _, found = cv2.SIFT_create().detectAndCompute(cv2.GaussianBlur(image.astype(np.uint8), (3, 3), 0), None)
+    _, found = cv2.SIFT_create().detectAndCompute(cv2.GaussianBlur(image.astype(np.uint8), (3, 3), sigmaX=1), None)
     return np.zeros(SIFT_SIZE) if found is None else found.mean(0)
 
 
-def described(cells: np.ndarray, side: int) -> dict[str, np.ndarray]:
-    """All descriptors of one raster; zeros where it has no outline."""
+def traced(cells: np.ndarray, side: int) -> dict[str, np.ndarray]:
+    """Descriptors of one raster that need its outline or its whole image."""
+    if not len(cells):
+        return {f: np.zeros(SIFT_SIZE if f == "sift" else SIZE) for f in ("fourier", "css", "gist", "sift")}
     image = np.zeros(side * side)
-    image[cells] = 255.0
+    image[cells] = VALUE
     image = image.reshape(side, side)
-    if not len(cells):
-        return {f: np.zeros(SIFT_SIZE if f == "sift" else SIZE) for f in FIELDS}
-    outline = contour(image)
-    return {"fourier": fourier(outline), "css": curvature_space(outline), "ehd": edge_histogram(image), "hog": oriented_gradients(image), "gist": gist(image), "sift": pooled_sift(image)}
+    points = contour(image)
+    return {"fourier": fourier(points), "css": curvature_space(points), "gist": gist(image), "sift": pooled_sift(image)}
+
+
+def _pixels(vectors: DataFrame, side: int) -> DataFrame:
+    """(vec_id, r, c) of active cells (vec_id, cells)."""
+    cell = vectors.select("vec_id", F.explode(F.array_distinct("cells")).alias("cell"))
+    return cell.select("vec_id", F.floor(F.col("cell") / side).cast("int").alias("r"), (F.col("cell") % side).cast("int").alias("c"))
+
+
+def _vector(sums: DataFrame, size: int = SIZE) -> DataFrame:
+    """(vec_id, v): dense vectors of entries (vec_id, at, x); one row's entries are at most `size`."""
+    per = sums.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("x"))
+    return per.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0.0))).alias("v"))
+
+
+def edge_histograms(vectors: DataFrame, side: int) -> DataFrame:
+    """(vec_id, v): sums of absolute responses of five edge kinds in PARTS x PARTS blocks, kind by kind, of unit length; active rasters only."""
+    # A border pixel's mirrored neighbours: cells next to the border stand outside it, too.
+    mirrored = lambda x: F.array_compact(F.array(F.col(x), F.when(F.col(x) == 1, -1), F.when(F.col(x) == side - 2, side)))
+    wide = _pixels(vectors, side).select("vec_id", F.explode(mirrored("r")).alias("r"), "c").select("vec_id", "r", F.explode(mirrored("c")).alias("c"))
+    steps = F.array(*[F.struct(F.lit(k // 3 - 1).alias("dr"), F.lit(k % 3 - 1).alias("dc"), *[F.lit(VALUE * e[k]).alias(f"e{n}") for n, e in enumerate(EDGE_KERNELS)]) for k in range(9)])
+    kinds = [f"e{n}" for n in range(len(EDGE_KERNELS))]
+    at = wide.select("vec_id", "r", "c", F.explode(steps).alias("s")).select("vec_id", (F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c"), "s.*")
+    block = side // PARTS
+    at = at.where(f"r between 0 and {block * PARTS - 1} and c between 0 and {block * PARTS - 1}")
+    response = at.groupBy("vec_id", "r", "c").agg(*[F.sum(k).alias(k) for k in kinds])
+    where = (F.floor(F.col("r") / block) * PARTS + F.floor(F.col("c") / block)).cast("int")
+    sums = response.groupBy("vec_id", where.alias("b")).agg(*[F.sum(F.abs(k)).alias(k) for k in kinds])
+    entries = sums.select("vec_id", F.explode(F.array(*[F.struct((F.col("b") + n * PARTS * PARTS).alias("at"), F.col(k).alias("x")) for n, k in enumerate(kinds)])).alias("e")).select("vec_id", "e.*")
+    dense = _vector(entries)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return dense.withColumn("norm", norm).select("vec_id", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(x)).alias("v"))
+
+
+def gradient_histograms(vectors: DataFrame, side: int) -> DataFrame:
+    """(vec_id, v): unsigned gradient directions by magnitude in CELL x CELL cells; active rasters with a cell only."""
+    cells = side // CELL
+    inner = lambda x: (F.col(x) > 0) & (F.col(x) < side - 1)  # noqa: E731  at a border the mirrored neighbours are equal
+    add = lambda dr, dc, x, y: F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    shares = F.array(add(0, -1, VALUE, 0.0), add(0, 1, -VALUE, 0.0), add(-1, 0, 0.0, VALUE), add(1, 0, 0.0, -VALUE))
+    at = _pixels(vectors, side).select("vec_id", F.explode(shares).alias("s")).select("vec_id", "s.*")
+    at = at.where(((F.col("x") != 0) & inner("c") | (F.col("y") != 0) & inner("r")) & F.col("r").between(0, cells * CELL - 1) & F.col("c").between(0, cells * CELL - 1))
+    slope = at.groupBy("vec_id", "r", "c").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    angle = F.pmod(F.degrees(F.atan2("y", "x")), F.lit(180.0))
+    kind = F.pmod(F.floor(angle / (180.0 / BINS)), F.lit(BINS))
+    where = ((F.floor(F.col("r") / CELL) * cells + F.floor(F.col("c") / CELL)) * BINS + kind).cast("int")
+    return _vector(slope.groupBy("vec_id", where.alias("at")).agg(F.sum(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("x")))
+
+
+def _zeros(v: Column) -> Column:
+    return F.coalesce(v, F.array_repeat(F.lit(0.0), SIZE)).cast("array<float>")
 
 
 def describe(vectors: DataFrame, side: int) -> DataFrame:
-    """(vec_id, fourier, css, ehd, hog, gist, sift) of rasters (vec_id, cells), by a map over the rows."""
+    """(vec_id, fourier, css, ehd, hog, gist, sift) of rasters (vec_id, cells) with distinct ids; null cells are none."""
+    names = ("fourier", "css", "gist", "sift")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [described(np.asarray(c or [], np.int64), side) for c in batch["cells"].to_pylist()]
-            arrays = [pa.array([r[f].astype(np.float32) for r in rows], pa.list_(pa.float32())) for f in FIELDS]
-            yield pa.RecordBatch.from_arrays([batch["vec_id"].cast(pa.int64()), *arrays], names=["vec_id", *FIELDS])
-
-    return vectors.select("vec_id", "cells").mapInArrow(run, "vec_id long, " + ", ".join(f"{f} array<float>" for f in FIELDS))
+            rows = [traced(np.asarray(c or [], np.int64), side) for c in batch["cells"].to_pylist()]
+            arrays = [pa.array([r[f].astype(np.float32) for r in rows], pa.list_(pa.float32())) for f in names]
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].cast(pa.int64()), *arrays], names=["vec_id", *names])
+
+    vectors = vectors.select("vec_id", "cells")
+    out = vectors.mapInArrow(run, "vec_id long, " + ", ".join(f"{f} array<float>" for f in names))
+    ehd, hog = (f(vectors, side).select(F.col("vec_id").alias(f"{n}_id"), F.col("v").alias(n)) for f, n in ((edge_histograms, "ehd"), (gradient_histograms, "hog")))
+    joined = out.join(ehd, F.col("vec_id") == F.col("ehd_id"), "left").join(hog, F.col("vec_id") == F.col("hog_id"), "left")
+    return joined.select("vec_id", "fourier", "css", _zeros(F.col("ehd")).alias("ehd"), _zeros(F.col("hog")).alias("hog"), "gist", "sift")

@@ -298,6 +298,54 @@ def descriptors_8x8(spark, sf):
     return out.select("vec_id", *[rounded(F.aggregate(F.transform(c, lambda x: F.abs(x.cast("double"))), F.lit(0.0), lambda a, x: a + x)).alias(c) for c in descriptors.FIELDS])
 
 
+def descriptor_edges(spark, sf):
+    """Edge histograms of the binarised vectors as 8 x 8 rasters, one row per entry that is not zero."""
+    out = descriptors.edge_histograms(cells_of(spark, sf), 8)
+    return out.select("vec_id", F.posexplode("v").alias("entry", "x")).where("x <> 0").select("vec_id", "entry", rounded("x").alias("x"))
+
+
+def parcels(spark: SparkSession, sf: str) -> DataFrame:
+    """Rasters of 42 x 42 cells: per customer the cells that its order keys and line numbers name."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    cell = (F.col("l_partkey") % 1764).cast("int")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("vec_id")).agg(F.collect_set(cell).alias("cells"))
+
+
+def descriptor_gradients(spark, sf):
+    """HOG of the rasters that customers' parts draw, one row per entry that is not zero."""
+    out = descriptors.gradient_histograms(parcels(spark, sf), 42)
+    return out.select("vec_id", F.posexplode("v").alias("entry", "x")).where("x <> 0").select("vec_id", "entry", rounded("x").alias("x"))
+
+
+def trained_recall(spark, sf):
+    """Recall of the true nearest neighbours by codes of a codebook that is trained until it converges."""
+    vectors = embeddings(spark, sf)
+    model = PQModel(DIM, parts=PARTS, ks=KS).fit(vectors)
+    if not model.converged:
+        raise RuntimeError("the model's training has not converged")
+    queries = as_queries(vectors)
+    truth = evaluate.truth_of(search.exact_topk(vectors, queries, TOP))
+    found = model.search(model.encode(vectors), queries, 100)
+    stats = evaluate.recall_stats(evaluate.set_recall(found, truth, 100))
+    return stats.select("n_queries", rounded("mean_recall").alias("mean_recall"), rounded("sd_recall").alias("sd_recall"))
+
+
+def kmedoids_one_step(spark, sf):
+    """Codes by the medoids of the clusters around the first distinct subvectors."""
+    points = weighted_members(spark, sf)
+    book = medoids.summed_medoids(points.select("m", "k", "sv", "n"), "jaccard0")
+    return qz.assign(vc.subvectors(signs(spark, sf), 16, DIM), book, "jaccard0").select("vec_id", "m", "k", rounded("d").alias("d"))
+
+
+def model_search_2iter(spark, sf):
+    """Search by a codebook after two Lloyd steps, through lookup tables over packed codes."""
+    vectors = embeddings(spark, sf)
+    sub = vc.subvectors(vectors, 4, DIM)
+    model = PQModel(DIM, parts=4, ks=KS, codebook=qz.lloyd(sub, qz.first_centroids(sub, KS), 2))
+    return shown(model.search(model.encode(vectors), as_queries(vectors), TOP))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -306,6 +354,7 @@ QUERIES = {
         zorder_adc_topk, recall_set, recall_anyhit, recall_first, recall_stats, recall_histogram, distances, subvector_unique_profile,
         subvector_zero_profile, sparse_cells, sparse_parts, dense_again, zorder_permutation, zorder_sparse, autoscale, kmedoid_snap, exact_medoid,
         dbscan_core_points, dbscan_codebook, kmeans_converged, kmedoids_jaccard, fix_dimension, customer_adc_gjaccard, model_search, descriptors_8x8,
+        descriptor_edges, descriptor_gradients, trained_recall, kmedoids_one_step, model_search_2iter,
     )
 }
 
@@ -398,6 +447,20 @@ def text_sql(c: str) -> str:
 CELLS = "c AS (SELECT vec_id, list_filter(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN i END), lambda i: i IS NOT NULL) AS cells FROM embeddings)"
 CUSTOMERS = """q AS (SELECT o_custkey AS vec_id, l_partkey % 16 AS j, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 e AS (SELECT c.vec_id, list(coalesce(q.q, 0.0) ORDER BY t.j) AS v FROM (SELECT DISTINCT vec_id FROM q) c CROSS JOIN range(16) t(j) LEFT JOIN q ON q.vec_id = c.vec_id AND q.j = t.j GROUP BY c.vec_id)"""
+#: Mirrored 3 x 3 neighbours: cells next to a border stand outside it, too.
+EDGES = f"""WITH {CELLS}, a AS (SELECT vec_id, cell // 8 AS r, cell % 8 AS c FROM (SELECT vec_id, unnest(cells) AS cell FROM c)),
+tall AS (SELECT * FROM a UNION ALL SELECT vec_id, -1, c FROM a WHERE r = 1 UNION ALL SELECT vec_id, 8, c FROM a WHERE r = 6),
+wide AS (SELECT * FROM tall UNION ALL SELECT vec_id, r, -1 FROM tall WHERE c = 1 UNION ALL SELECT vec_id, r, 8 FROM tall WHERE c = 6),
+w(n, e) AS (VALUES {", ".join(f"({n}, {list(e)})" for n, e in enumerate(descriptors.EDGE_KERNELS))}),
+seen AS (SELECT vec_id, n, r - s // 3 + 1 AS r, c - s % 3 + 1 AS c, sum(255.0 * e[s + 1])::DOUBLE AS x FROM wide, range(9) t(s), w GROUP BY ALL),
+h AS (SELECT vec_id, n * 16 + (r // 2) * 4 + c // 2 AS entry, sum(abs(x)) AS x FROM seen WHERE r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 GROUP BY ALL)
+SELECT vec_id, CAST(entry AS INTEGER) AS entry, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM h WHERE x <> 0"""
+GRADIENTS = """WITH a AS (SELECT DISTINCT o_custkey AS vec_id, (l_partkey % 1764) // 42 AS r, (l_partkey % 1764) % 42 AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT vec_id, r, c - 1 AS c, 255.0 AS x, 0.0 AS y FROM a WHERE c BETWEEN 2 AND 41 UNION ALL SELECT vec_id, r, c + 1, -255.0, 0.0 FROM a WHERE c BETWEEN 0 AND 39
+ UNION ALL SELECT vec_id, r - 1, c, 0.0, 255.0 FROM a WHERE r BETWEEN 2 AND 41 UNION ALL SELECT vec_id, r + 1, c, 0.0, -255.0 FROM a WHERE r BETWEEN 0 AND 39),
+s AS (SELECT vec_id, r, c, sum(x)::DOUBLE AS x, sum(y)::DOUBLE AS y FROM g GROUP BY vec_id, r, c),
+b AS (SELECT vec_id, ((r // 21) * 2 + c // 21) * 9 + (CAST(floor((degrees(atan2(y, x)) + 180) / 20) AS BIGINT)) % 9 AS entry, sqrt(x * x + y * y) AS m FROM s)
+SELECT vec_id, CAST(entry AS INTEGER) AS entry, round(sum(m), 6) AS x FROM b WHERE m <> 0 GROUP BY vec_id, entry"""
 BASE = f"WITH {sub_sql(DOUBLE)}, {book_sql()}, {assign_sql()}"
 _SIGN16 = f"WITH {sub_sql(SIGNS, 16)}, {book_sql(4)}, points AS (SELECT m, sv, count(*) AS n FROM sub GROUP BY m, sv), {assign_sql('jaccard0', points='points')}"
 
@@ -451,6 +514,13 @@ SQL = {
     " med AS (SELECT m, k, sv AS c FROM (SELECT *, row_number() OVER (PARTITION BY m, k ORDER BY round(t, 9), sv) AS r FROM tot) WHERE r = 1) " + entries_sql("med"),
     "dbscan_core_points": f"WITH {sub_sql(SIGNS)}, p AS (SELECT m, sv, count(*) AS n FROM sub GROUP BY m, sv) SELECT a.m, {text_sql('list_transform(a.sv, lambda x: CAST(x AS INTEGER))')} AS sv, CAST(sum(b.n) AS BIGINT) AS near"
     f" FROM p a JOIN p b ON a.m = b.m WHERE {dist_sql('jaccard0', 'a.sv', 'b.sv')} <= 0.3 GROUP BY a.m, a.sv HAVING sum(b.n) >= 5",
+    "kmedoids_one_step": f"{_SIGN16}, tot AS (SELECT a.m, a.k, a.sv, sum({dist_sql('jaccard0', 'a.sv', 'b.sv')} * CASE WHEN a.sv = b.sv THEN b.n - 1 ELSE b.n END) AS t FROM found a JOIN found b ON a.m = b.m AND a.k = b.k GROUP BY a.m, a.k, a.sv),"
+    f" med AS (SELECT m, k, sv AS c FROM (SELECT *, row_number() OVER (PARTITION BY m, k ORDER BY round(t, 9), sv) AS r FROM tot) WHERE r = 1), {assign_sql('jaccard0', 'med', 'coded')} SELECT vec_id, m, k, round(d, 6) AS d FROM coded",
+    "model_search_2iter": f"WITH {sub_sql(DOUBLE, 4)}, {book_sql()}, {assign_sql()}, {update_sql()}, {assign_sql(book='means', name='found2')}, {update_sql('found2', 'means', 'means2')}, {assign_sql(book='means2', name='found3')},"
+    f" lut AS (SELECT s.vec_id AS qid, s.m, b.k, {dist_sql('l2sq', 's.sv', 'b.c')} AS d FROM sub s JOIN means2 b USING (m) WHERE s.vec_id % {STEP} = 0),"
+    f" {top_sql('SELECT qid, vec_id, round(list_sum(list(l.d ORDER BY m)), 9) AS dist FROM found3 f JOIN lut l USING (m, k) GROUP BY qid, vec_id')} {TOP_OUT}",
+    "descriptor_edges": EDGES,
+    "descriptor_gradients": GRADIENTS,
     "fix_dimension": f"WITH {DOUBLE} SELECT vec_id, CAST(80 AS INTEGER) AS n_long, CAST(48 AS INTEGER) AS n_short, round(list_sum(v), 6) AS sum_long, round(list_sum(v[1:48]), 6) AS sum_short FROM e",
     "customer_adc_gjaccard": f"{adc_sql(CUSTOMERS, 'gjaccard', 'gjaccard', 16, 4)} {TOP_OUT}",
 }

@@ -77,6 +77,32 @@ def metric(name: str | Metric) -> Metric:
     return METRICS[name]
 
 
+def _added(a: np.ndarray, b: np.ndarray, term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums of a term over entries, one entry after the other as the expressions above have it, for all rows of a and b."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += term(a[:, j, None], b[None, :, j])
+    return total
+
+
+def _binary_rows(empty_value: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both, either = _added(a, b, lambda x, y: (x != 0) & (y != 0)), _added(a, b, lambda x, y: (x != 0) | (y != 0))
+        return np.where(either == 0, empty_value, 1 - both / np.where(either == 0, 1, either))
+
+    return distances
+
+
+#: Distances of all rows of one matrix to all rows of another, for metrics that have them; they equal METRICS bit by bit.
+ROW_METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "l2sq": lambda a, b: _added(a, b, lambda x, y: (x - y) * (x - y)),
+    "l2": lambda a, b: np.sqrt(_added(a, b, lambda x, y: (x - y) * (x - y))),
+    "jaccard": _binary_rows(1.0),
+    "jaccard0": _binary_rows(0.0),
+    "gjaccard": lambda a, b: 1 - _added(a, b, np.minimum) / (_added(a, b, np.maximum) + EPS),
+}
+
+
 def user_metric(distance: Callable[[np.ndarray, np.ndarray], float]) -> Metric:
     """A metric from a Python function of two arrays, run over Arrow batches."""
 

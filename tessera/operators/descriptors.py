@@ -173,10 +173,12 @@ def _pixels(vectors: DataFrame, side: int) -> DataFrame:
     return cell.select("vec_id", F.floor(F.col("cell") / side).cast("int").alias("r"), (F.col("cell") % side).cast("int").alias("c"))
 
 
-def _vector(sums: DataFrame, size: int = SIZE) -> DataFrame:
-    """(vec_id, v): dense vectors of entries (vec_id, at, x); one row's entries are at most `size`."""
-    per = sums.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("x"))
-    return per.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0.0))).alias("v"))
+def _vector(sums: DataFrame, size: int = SIZE, unit: bool = False) -> DataFrame:
+    """(vec_id, v): dense vectors, of unit length if asked for, of entries (vec_id, at, x); one row's entries are at most `size`."""
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x"))) if unit else F.lit(1.0)
+    per = sums.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("x"), norm.alias("norm"))
+    scale = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))
+    return per.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("x", k) / scale, F.lit(0.0))).alias("v"))
 
 
 def edge_histograms(vectors: DataFrame, side: int) -> DataFrame:
@@ -193,9 +195,7 @@ def edge_histograms(vectors: DataFrame, side: int) -> DataFrame:
     where = (F.floor(F.col("r") / block) * PARTS + F.floor(F.col("c") / block)).cast("int")
     sums = response.groupBy("vec_id", where.alias("b")).agg(*[F.sum(F.abs(k)).alias(k) for k in kinds])
     entries = sums.select("vec_id", F.explode(F.array(*[F.struct((F.col("b") + n * PARTS * PARTS).alias("at"), F.col(k).alias("x")) for n, k in enumerate(kinds)])).alias("e")).select("vec_id", "e.*")
-    dense = _vector(entries)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return dense.withColumn("norm", norm).select("vec_id", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(x)).alias("v"))
+    return _vector(entries, unit=True)
 
 
 def gradient_histograms(vectors: DataFrame, side: int) -> DataFrame:

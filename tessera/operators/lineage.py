@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed to spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
-    return df.checkpoint()
+    """The rows of df, computed once, written below spark.checkpoint.dir, which executors and driver share, and read from there."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

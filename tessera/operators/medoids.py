@@ -16,11 +16,14 @@ from .quantize import assign, distinct_subvectors, updated_centroids
 
 def autoscale(sub: DataFrame) -> DataFrame:
     """Each column of each subspace to mean 0 and population deviation 1; constant columns become 0."""
-    rows = sub.select("vec_id", "m", F.posexplode("sv").alias("j", "x"))
-    stats = rows.groupBy("m", "j").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    # One row of statistics per subspace and column.
-    scaled = rows.join(stats, ["m", "j"]).select("vec_id", "m", "j", F.when(F.col("sd") == 0, 0.0).otherwise((F.col("x") - F.col("mean")) / F.col("sd")).alias("x"))
-    return scaled.groupBy("vec_id", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("sv"))
+    first = sub.select(F.size("sv")).first()
+    n = first[0] if first else 0
+    # Statistics of a subspace are one row, and subspaces are few: the vectors themselves are not shuffled.
+    each = [f(F.get("sv", F.lit(j))).alias(f"{k}{j}") for j in range(n) for k, f in (("a", F.avg), ("s", F.stddev_pop))]
+    stats = sub.groupBy("m").agg(F.count("*").alias("n"), *each)
+    stats = stats.select("m", *[F.array(*[F.col(f"{k}{j}") for j in range(n)]).alias(k) for k in ("a", "s")])
+    at = lambda x, j: F.when(F.get("s", j) == 0, 0.0).otherwise((x - F.get("a", j)) / F.get("s", j))
+    return sub.join(F.broadcast(stats), "m").select("vec_id", "m", F.transform("sv", at).alias("sv"))
 
 
 def random_start(sub: DataFrame, ks: int, seed: int = 0) -> DataFrame:

@@ -3,17 +3,22 @@
 Tables are long: subvectors (vec_id, m, sv), codebooks (m, k, centroid), codes
 (vec_id, m, k).  All subspaces train in one job keyed by m.  Assignment folds a
 subspace's centroids inside one row, so it neither multiplies rows nor shuffles
-while the codebook is small enough to broadcast.
+while the codebook is small enough to broadcast.  `encode` makes all codes of a
+vector where it is read: nothing is shuffled there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Metric, metric
+from ..functions.metrics import ROW_METRICS, Metric, metric
+from ..functions.vectors import subvectors, width
 from .lineage import cut
 
 #: Bytes of a codebook up to which it is broadcast; larger ones are joined on m.
@@ -25,14 +30,34 @@ def distinct_subvectors(sub: DataFrame) -> DataFrame:
     return sub.groupBy("m", "sv").agg(F.count("*").alias("n"))
 
 
+def _least(ks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first ks distinct subvectors of each subspace among a task's rows (m, sv)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch["m"].to_numpy()
+            sv = batch["sv"].flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)
+            for k in np.unique(m).tolist():
+                found = sv[m == k] if k not in best else np.vstack([best[k], sv[m == k]])
+                best[k] = np.unique(found, axis=0)[:ks]
+        for k, rows in best.items():
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=["m", "sv"])
+
+    return run
+
+
 def first_centroids(sub: DataFrame, ks: int) -> DataFrame:
     """The first ks distinct subvectors in lexicographic order; fewer where a subspace has fewer.
 
-    Ranks are cut inside each map task first (a window group limit), so no task sorts a whole subspace.
+    Each task keeps its own first ks a subspace, so that only those are shuffled and ranked.
     """
     order = Window.partitionBy("m").orderBy("sv")
-    ranked = sub.select("m", "sv").distinct().withColumn("k", F.row_number().over(order) - 1)
-    return ranked.where(F.col("k") < ks).select("m", "k", F.col("sv").alias("centroid"))
+    few = sub.select(F.col("m").cast("int").alias("m"), "sv").mapInArrow(_least(ks), "m int, sv array<double>").distinct()
+    return few.withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < ks).select("m", "k", F.col("sv").alias("centroid"))
 
 
 def spread_centroids(sub: DataFrame, ks: int, seed: int = 0) -> DataFrame:
@@ -50,7 +75,8 @@ def spread_centroids(sub: DataFrame, ks: int, seed: int = 0) -> DataFrame:
         else:
             books = _book(chosen)
             near = lambda c: l2sq(F.col("sv"), c["centroid"])
-            weighed = points.join(F.broadcast(books), "m").withColumn("w", F.col("n") * F.array_min(F.transform("book", near))).drop("book")
+            small = book_bytes(chosen) <= BROADCAST_BYTES
+            weighed = points.join(F.broadcast(books) if small else books, "m").withColumn("w", F.col("n") * F.array_min(F.transform("book", near))).drop("book")
         drawn = weighed.where("w > 0").groupBy("m").agg(F.max_by("sv", F.struct(F.log(u) / F.col("w"), "sv")).alias("centroid"))
         drawn = drawn.select("m", F.lit(step).alias("k"), "centroid")
         chosen = cut(drawn if chosen is None else chosen.unionByName(drawn))
@@ -61,6 +87,10 @@ def _book(codebook: DataFrame) -> DataFrame:
     return codebook.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("k", "centroid"))).alias("book"))
 
 
+def book_bytes(codebook: DataFrame) -> int:
+    return codebook.agg(F.sum(F.size("centroid") * 8 + 16)).first()[0] or 0
+
+
 def assign(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", ties_high: bool = False) -> DataFrame:
     """sub with k and d, the nearest centroid and its distance; ties go to the lowest k (or the highest)."""
     distance = metric(by)
@@ -69,9 +99,8 @@ def assign(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", ties_
     def candidate(c: Column) -> Column:
         return F.struct(distance(F.col("sv"), c["centroid"]).alias("d"), (c["k"] * sign).alias("k"))
 
-    size = codebook.agg(F.sum(F.size("centroid") * 8 + 16)).first()[0] or 0
     book = _book(codebook)
-    found = sub.join(F.broadcast(book) if size <= BROADCAST_BYTES else book, "m").withColumn("best", F.array_min(F.transform("book", candidate)))
+    found = sub.join(F.broadcast(book) if book_bytes(codebook) <= BROADCAST_BYTES else book, "m").withColumn("best", F.array_min(F.transform("book", candidate)))
     return found.drop("book").withColumns({"k": F.col("best.k") * sign, "d": F.col("best.d")}).drop("best")
 
 
@@ -82,9 +111,11 @@ def updated_centroids(assigned: DataFrame, codebook: DataFrame, empty: str = "ke
     subvector farthest from its own centroid (`farthest`, ties by vec_id).
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    entries = assigned.select("m", "k", w.alias("w"), F.posexplode("sv").alias("j", "x"))
-    means = entries.groupBy("m", "k", "j").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
-    means = means.groupBy("m", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("mean"))
+    first = codebook.select(F.size("centroid")).first()
+    n = first[0] if first else 0
+    # One row a centroid and task is shuffled: sums of each entry, and the weight.
+    sums = assigned.select("m", "k", w.alias("w"), "sv").groupBy("m", "k").agg(F.sum("w").alias("w"), *[F.sum(F.get("sv", F.lit(j)) * F.col("w")).alias(f"x{j}") for j in range(n)])
+    means = sums.select("m", "k", F.array(*[F.col(f"x{j}") / F.col("w") for j in range(n)]).alias("mean"))
     joined = codebook.join(means, ["m", "k"], "left")
     if empty == "zeros":
         fallback = F.transform("centroid", lambda x: F.lit(0.0))
@@ -134,9 +165,42 @@ def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_st
     return Training(codebook, assign(sub, codebook, by), max_steps, False)
 
 
-def packed_codes(codes: DataFrame) -> DataFrame:
-    """(vec_id, codes): the codes of each vector in the order of m."""
-    return codes.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "k"))), lambda c: c["k"]).alias("codes"))
+def packed_codes(codes: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, codes): the codes of each vector in the order of m."""
+    return codes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "k"))), lambda c: c["k"]).alias("codes"))
+
+
+def encode(vectors: DataFrame, codebook: DataFrame, parts: int, dimension: int, by: str | Metric = "l2sq", vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(key, codes) of vectors: the nearest centroid of each subspace, ties to the lowest k.
+
+    With a codebook of up to BROADCAST_BYTES and a metric of ROW_METRICS this is a map over the vectors;
+    otherwise subvectors are assigned and put together again.
+    """
+    w = width(dimension, parts)
+    if by not in ROW_METRICS or book_bytes(codebook) > BROADCAST_BYTES:
+        return packed_codes(assign(subvectors(vectors, parts, dimension, vector, key), codebook, by), key)
+    rows = codebook.select("m", "k", "centroid").toArrow().sort_by([("m", "ascending"), ("k", "ascending")])
+    m, ks = rows["m"].to_numpy(), rows["k"].to_numpy()
+    values = rows["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)
+    sent = vectors.sparkSession.sparkContext.broadcast([(values[m == p], ks[m == p]) for p in range(parts)])
+    schema = vectors.select(key).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = ROW_METRICS[by]
+        for batch in batches:
+            n = batch.num_rows
+            if n and (np.asarray(batch["v"].value_lengths()) != dimension).any():
+                raise ValueError(f"a vector is not of dimension {dimension}")
+            sv = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(n, dimension)
+            codes = np.zeros((n, parts), np.int32)
+            for p, (centroids, number) in enumerate(sent.value):
+                step = max(1, (1 << 20) // max(1, len(centroids)))
+                for i in range(0, n, step):
+                    codes[i : i + step, p] = number[distances(sv[i : i + step, p * w : (p + 1) * w], centroids).argmin(1)]
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * parts)
+            yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], names=[key, "codes"])
+
+    return vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInArrow(run, f"{schema}, codes array<int>")
 
 
 def quantization_error(assigned: DataFrame) -> DataFrame:

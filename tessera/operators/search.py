@@ -55,21 +55,23 @@ def nearest_rows(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, dist))[:k]
 
 
-def _scan(rows: DataFrame, queries: DataFrame, bytes_each: int, k: int, distances: Callable[[pa.RecordBatch, pa.Table, int], np.ndarray]) -> DataFrame:
-    out = None
+def _scan(rows: DataFrame, queries: DataFrame, bytes_each: int, k: int, prepared: Callable[[pa.Table], list], distances: Callable[[np.ndarray, object], np.ndarray]) -> DataFrame:
+    """The k nearest rows (vec_id, vector) per query: a block's queries are prepared once a task, a batch's vectors once a block."""
+    out, column = None, rows.columns[1]
     spark = rows.sparkSession
     for table in _blocks(queries, bytes_each):
         sent = spark.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            table = sent.value
-            qids = table["qid"].to_numpy()
+            qids, queries = sent.value["qid"].to_numpy(), prepared(sent.value)
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qids]
             for batch in batches:
-                ids = batch["vec_id"].cast(pa.int64()).to_numpy()
-                for q in range(len(qids)):
+                if not batch.num_rows:
+                    continue
+                ids, vectors = batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column])
+                for q, query in enumerate(queries):
                     d, i = best[q]
-                    d, i = np.concatenate([d, np.round(distances(batch, table, q), DIGITS)]), np.concatenate([i, ids])
+                    d, i = np.concatenate([d, np.round(distances(vectors, query), DIGITS)]), np.concatenate([i, ids])
                     at = nearest_rows(d, i, k)
                     best[q] = d[at], i[at]
             for q, (d, i) in zip(qids.tolist(), best, strict=True):
@@ -92,18 +94,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _table_sums(batch: pa.RecordBatch, table: pa.Table, q: int) -> np.ndarray:
-    codes, total = _matrix(batch["codes"]), None
-    for m, row in enumerate(table["lut"][q].as_py()):
-        part = np.asarray(row)[codes[:, m]] if len(codes) else np.zeros(0)
-        total = part if total is None else total + part
-    return total if total is not None else np.zeros(len(codes))
+def _lut(table: pa.Table) -> list[list[np.ndarray]]:
+    return [[np.asarray(row, float) for row in lut] for lut in table["lut"].to_pylist()]
+
+
+def _table_sums(codes: np.ndarray, lut: list[np.ndarray]) -> np.ndarray:
+    total = np.zeros(len(codes))
+    for m, row in enumerate(lut):
+        total += row[codes[:, m]]
+    return total
 
 
 def adc_topk(codes: DataFrame, tables: DataFrame, k: int) -> DataFrame:
     """The k nearest codes (vec_id, codes) per query by sums of lookup-table entries (qid, lut)."""
     width = tables.select(F.aggregate("lut", F.lit(0), lambda acc, r: acc + F.size(r)).alias("n")).agg(F.max("n")).first()[0] or 1
-    return _scan(codes.select("vec_id", "codes"), tables, 8 * width, k, _table_sums)
+    return _scan(codes.select("vec_id", "codes"), tables, 8 * width, k, _lut, _table_sums)
 
 
 def adc_long(codes: DataFrame, tables: DataFrame, k: int) -> DataFrame:
@@ -112,28 +117,22 @@ def adc_long(codes: DataFrame, tables: DataFrame, k: int) -> DataFrame:
     return top_k(total, k)
 
 
-def _differences(batch: pa.RecordBatch, table: pa.Table, q: int) -> np.ndarray:
-    codes = _matrix(batch["codes"])
-    return (codes != np.asarray(table["codes"][q].as_py())).sum(1).astype(float) if len(codes) else np.zeros(0)
+def _differences(codes: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return (codes != query).sum(1).astype(float)
 
 
 def hamming_topk(codes: DataFrame, query_codes: DataFrame, k: int) -> DataFrame:
     """The k codes that differ least from each query's (qid, codes)."""
     width = query_codes.agg(F.max(F.size("codes"))).first()[0] or 1
-    return _scan(codes.select("vec_id", "codes"), query_codes, 8 * width, k, _differences)
+    return _scan(codes.select("vec_id", "codes"), query_codes, 8 * width, k, lambda table: list(_matrix(table["codes"])), _differences)
 
 
-def _square_distances(batch: pa.RecordBatch, table: pa.Table, q: int) -> np.ndarray:
-    rows = _matrix(batch["embedding"]).astype(np.float64)
-    return ((rows - np.asarray(table["embedding"][q].as_py(), np.float64)) ** 2).sum(1) if len(rows) else np.zeros(0)
+def _square_distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return ((rows.astype(np.float64) - query.astype(np.float64)) ** 2).sum(1)
 
 
-def _binary_jaccard(batch: pa.RecordBatch, table: pa.Table, q: int) -> np.ndarray:
-    rows = _matrix(batch["embedding"]) != 0
-    query = np.asarray(table["embedding"][q].as_py()) != 0
-    if not len(rows):
-        return np.zeros(0)
-    both, either = (rows & query).sum(1), (rows | query).sum(1)
+def _binary_jaccard(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    both, either = ((rows != 0) & (query != 0)).sum(1), ((rows != 0) | (query != 0)).sum(1)
     return np.where(either == 0, 1.0, 1 - both / np.maximum(either, 1))
 
 
@@ -145,4 +144,4 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str = "l2sq")
     if by not in EXACT:
         raise ValueError(f"unknown metric {by!r}; known: {', '.join(EXACT)}")
     width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return _scan(vectors.select("vec_id", "embedding"), queries, 8 * width, k, EXACT[by])
+    return _scan(vectors.select("vec_id", "embedding"), queries, 8 * width, k, lambda table: list(_matrix(table["embedding"])), EXACT[by])

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.metrics import metric
 from ..functions.vectors import subvectors, zorder_cells, zorder_dense
 from ..operators.medoids import dbscan_codebook, kmedoids
-from ..operators.quantize import assign, first_centroids, packed_codes, spread_centroids, train
+from ..operators.quantize import book_bytes, encode, first_centroids, spread_centroids, train
 from ..operators.search import adc_topk, hamming_topk, lookup_tables, packed_tables
 
 
+#: Bytes of a codebook up to which code_column makes literals of it.
+MOST_LITERAL_BYTES = 4 << 20
+
+
 @dataclass
 class PQModel:
     """Codebooks of `parts` subspaces with up to `ks` centroids each.
@@ -36,10 +40,13 @@ class PQModel:
     codebook: DataFrame | None = None
     converged: bool = False
 
-    def _sub(self, vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    def _ordered(self, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
         if self.zorder and zorder_cells(self.dimension) is not None:
             vectors = vectors.withColumn(vector, zorder_dense(F.col(vector), self.dimension))
-        return subvectors(vectors, self.parts, self.dimension, vector, key)
+        return vectors
+
+    def _sub(self, vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+        return subvectors(self._ordered(vectors, vector), self.parts, self.dimension, vector, key)
 
     def fit(self, vectors: DataFrame) -> PQModel:
         metric(self.by)
@@ -65,10 +72,12 @@ class PQModel:
 
     def encode(self, vectors: DataFrame) -> DataFrame:
         """(vec_id, codes)."""
-        return packed_codes(assign(self._sub(vectors), self._book(), self.by))
+        return encode(self._ordered(vectors), self._book(), self.parts, self.dimension, self.by)
 
     def code_column(self, vector: Column) -> Column:
         """The codes of a vector as an expression, for streams: the codebook, which must be small, becomes literals."""
+        if (size := book_bytes(self._book())) > MOST_LITERAL_BYTES:
+            raise ValueError(f"a codebook of {size} bytes is too large for an expression, which may have {MOST_LITERAL_BYTES}")
         rows = self._book().orderBy("m", "k").collect()
         books: dict[int, list] = {}
         for r in rows:
@@ -96,8 +105,7 @@ class PQModel:
         if mode == "adc":
             return adc_topk(codes, self.tables(queries, by), k)
         if mode == "hamming":
-            coded = packed_codes(assign(self._sub(queries, key="qid"), self._book(), "l2sq").withColumnRenamed("qid", "vec_id"))
-            return hamming_topk(codes, coded.withColumnRenamed("vec_id", "qid"), k)
+            return hamming_topk(codes, encode(self._ordered(queries), self._book(), self.parts, self.dimension, key="qid"), k)
         raise ValueError(f"unknown mode {mode!r}")
 
     def save(self, path: str) -> None:

@@ -14,6 +14,7 @@ from ..functions import metrics as mt
 from ..functions import vectors as vc
 from ..operators import descriptors, evaluate, medoids, profile, search
 from ..operators import quantize as qz
+from ..operators.lineage import cut
 from .model import PQModel
 
 DIM, PARTS, KS, TOP, STEP = 64, 8, 16, 10, 50
@@ -64,16 +65,22 @@ def pq_init_codebook(spark, sf):
 def coded(vectors: DataFrame, by: str = "l2sq", dimension: int = DIM, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """(codebook, assigned) with the first distinct subvectors as codebook."""
     sub = vc.subvectors(vectors, parts, dimension)
-    book = qz.first_centroids(sub, KS)
+    book = cut(qz.first_centroids(sub, KS))
     return book, qz.assign(sub, book, by)
 
 
+def packed(vectors: DataFrame, by: str = "l2sq", dimension: int = DIM, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """(codebook, codes): the same with the codes of a vector in one row."""
+    book = cut(qz.first_centroids(vc.subvectors(vectors, parts, dimension), KS))
+    return book, qz.encode(vectors, book, parts, dimension, by)
+
+
 def pq_assign(spark, sf):
     return coded(embeddings(spark, sf))[1].select("vec_id", "m", "k", rounded("d").alias("d"))
 
 
 def pq_codes_packed(spark, sf):
-    return qz.packed_codes(coded(embeddings(spark, sf))[1]).select("vec_id", text("codes").alias("codes"))
+    return packed(embeddings(spark, sf))[1].select("vec_id", text("codes").alias("codes"))
 
 
 def pq_centroid_update(spark, sf):
@@ -96,10 +103,10 @@ def shown(found: DataFrame) -> DataFrame:
 
 def adc(vectors: DataFrame, by: str, train_by: str = "l2sq", k: int = TOP, dimension: int = DIM, parts: int = PARTS) -> DataFrame:
     """Search by lookup tables over codes from the first distinct subvectors."""
-    book, found = coded(vectors, train_by, dimension, parts)
+    book, codes = packed(vectors, train_by, dimension, parts)
     queries = vc.subvectors(as_queries(vectors), parts, dimension, key="qid")
     tables = search.packed_tables(search.lookup_tables(queries, book, by))
-    return search.adc_topk(qz.packed_codes(found), tables, k)
+    return search.adc_topk(codes, tables, k)
 
 
 def adc_topk_l2(spark, sf):
@@ -126,9 +133,9 @@ def adc_long_l2(spark, sf):
 
 
 def hamming_topk(spark, sf):
-    packed = qz.packed_codes(coded(embeddings(spark, sf))[1])
-    queries = packed.where(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("qid"), "codes")
-    return shown(search.hamming_topk(packed, queries, TOP))
+    codes = packed(embeddings(spark, sf))[1]
+    queries = codes.where(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("qid"), "codes")
+    return shown(search.hamming_topk(codes, queries, TOP))
 
 
 def exact_topk_l2(spark, sf):
@@ -281,7 +288,7 @@ def customer_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_adc_gjaccard(spark, sf):
-    return shown(adc(customer_vectors(spark, sf), "gjaccard", "gjaccard", dimension=16, parts=4))
+    return shown(adc(cut(customer_vectors(spark, sf)), "gjaccard", "gjaccard", dimension=16, parts=4))
 
 
 def model_search(spark, sf):

@@ -1,11 +1,15 @@
 """Text inputs: dense and sparse vectors, ground truth, and folders of mixed files.
 
-A text file is one task's work, so collections come as many files.  Lines are
-numbered within their file; `vecs.numbered` turns that into vec_id.
+Files are read in splits.  Lines are numbered within their split, then, by a table
+of one row a split, within their file; `vecs.numbered` turns that into vec_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +26,35 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, line) with `at`, their number in their split, whose lines come one after the other."""
+    last, n = None, 0
+    for batch in batches:
+        at = np.zeros(batch.num_rows, np.int64)
+        for k, split in enumerate(zip(batch["file"].to_pylist(), batch["block"].to_pylist(), strict=True)):
+            n = n + 1 if split == last else 0
+            last, at[k] = split, n
+        yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], pa.array(at), batch["line"]], names=["file", "block", "at", "line"])
+
+
 def read_lines(spark: SparkSession, path: str, exclude: str | None = None) -> DataFrame:
     """(file, pos, line) of the lines that are not blank; pos counts those."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    split = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select(*split, F.col("value").alias("line")).where(F.trim("line") != "")
     if exclude:
-        files = files.where(~file_name(F.col("file")).rlike(exclude))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    return files.select("file", F.posexplode(lines).alias("pos", "line"))
+        lines = lines.where(~file_name(F.col("file")).rlike(exclude))
+    lines = lines.mapInArrow(_counted, "file string, block long, at long, line string")
+    before = Window.partitionBy("of").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy(F.col("file").alias("of"), F.col("block").alias("start")).agg((F.max("at") + 1).alias("n"))
+    splits = splits.select("of", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = lines.join(splits, (F.col("file") == F.col("of")) & (F.col("block") == F.col("start")))
+    return joined.select("file", (F.col("before") + F.col("at")).alias("pos"), "line")
 
 
-def read_dense(spark: SparkSession, path: str) -> DataFrame:
+def read_dense(spark: SparkSession, path: str, exclude: str | None = None) -> DataFrame:
     """(file, pos, embedding) of lines of numbers separated by commas or white space."""
     tokens = F.filter(F.split("line", r"[,\s]+"), lambda t: t != "")
-    return read_lines(spark, path).select("file", "pos", F.transform(tokens, lambda t: t.cast("float")).alias("embedding"))
+    return read_lines(spark, path, exclude).select("file", "pos", F.transform(tokens, lambda t: t.cast("float")).alias("embedding"))
 
 
 def read_sparse(spark: SparkSession, path: str, dimension: int | None, exclude: str | None = None) -> DataFrame:
@@ -54,12 +74,23 @@ def load_vectors(spark: SparkSession, path: str, fmt: str | None = None, dimensi
     return numbered(read_sparse(spark, path, dimension) if sparse else read_dense(spark, path), order)
 
 
-def load_folder(spark: SparkSession, path: str, kinds: tuple[str, ...], dimension: int | None = None, sparse: bool = False, order: str = "name") -> DataFrame:
-    """Vectors with vec_id of a folder whose files have the given suffixes, in order over all of them."""
+def load_folder(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None, dimension: int | None = None, sparse: bool = False, order: str = "name") -> DataFrame:
+    """Vectors with vec_id of a folder, in order over all its files, each read by its suffix; an unknown suffix is read as text.
+
+    kinds leaves only files of the given suffixes.
+    """
+    if kinds is None:
+        names = spark.read.format("binaryFile").load(path).select(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("kind"))
+        kinds = tuple(sorted(r.kind for r in names.distinct().collect()))  # as many rows as there are suffixes
+    known = "|".join(KINDS)
     out = None
-    for kind in kinds:
-        where = f"{path.rstrip('/')}/*.{kind}"
-        rows = read_vecs(spark, where, kind) if kind in KINDS else read_sparse(spark, where, dimension) if sparse else read_dense(spark, where)
+    for kind in dict.fromkeys(k if k in KINDS else "" for k in kinds):
+        if kind:
+            rows = read_vecs(spark, path, kind)
+        else:
+            others = "|".join(k for k in kinds if k not in KINDS)
+            skip = rf"(?i)(\.({known})$)|^(?!.*\.({others})$)" if "" not in kinds else rf"(?i)\.({known})$"
+            rows = read_sparse(spark, path, dimension, skip) if sparse else read_dense(spark, path, skip)
         if not sparse:
             rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("float")))
         out = rows if out is None else out.unionByName(rows)
@@ -89,9 +120,3 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 def ground_truth_matrix(vectors: DataFrame) -> DataFrame:
     """(qid, neighbors) of an ivecs matrix with vec_id: row numbers are query ids."""
     return vectors.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("long")).alias("neighbors"))
-
-
-def file_order(files: DataFrame) -> DataFrame:
-    """(file, place) by number after an underscore, then name."""
-    number = F.coalesce(F.regexp_extract(file_name(F.col("file")), r"_(\d+)", 1).try_cast("long"), F.lit(0))
-    return files.select("file").distinct().withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(number, "file")) - 1)

@@ -1,8 +1,9 @@
 """fvecs, ivecs and bvecs files: per row a little-endian int32 dimension, then that many values.
 
-Reading goes through Spark's binaryFile source, so any file system that Spark
-knows will do; a file is read by one task.  Rows keep their file and position,
-from which `numbered` makes vec_id.  Writing is a data source ("vecs") whose
+Spark's binaryFile source lists the files; where pyarrow knows their file system,
+tasks then read whole records of byte ranges of RANGE_BYTES, so that files may
+be of any size, and elsewhere a file is one task's work.  Rows keep their file
+and position, from which `numbered` makes vec_id.  Writing is a data source ("vecs") whose
 tasks each write a file through pyarrow's file systems.
 """
 
@@ -21,17 +22,16 @@ from pyspark.sql.types import StructType
 #: Suffix, NumPy type of a value, Arrow and Spark types of an entry.
 KINDS = {"fvecs": ("<f4", pa.float32(), "float"), "ivecs": ("<i4", pa.int32(), "int"), "bvecs": ("u1", pa.int16(), "smallint")}
 ROWS = 4096
+RANGE_BYTES = 32 << 20
+#: Schemes of file systems that pyarrow reads by itself.
+OPENED = ("file", "s3", "gs", "hdfs", "abfs", "abfss")
 
 
-def decoded(data: bytes, kind: str) -> np.ndarray:
-    """The rows of a file; the first record's dimension holds for all."""
+def decoded(data: bytes, kind: str, step: int | None = None) -> np.ndarray:
+    """The rows of a file, or of a part of one with records of `step` bytes; the first record's dimension holds for all."""
     value = np.dtype(KINDS[kind][0])
-    if len(data) < 4:
-        raise OSError("empty vector file")
-    d = int(np.frombuffer(data, "<i4", 1)[0])
-    step = 4 + d * value.itemsize
-    if d <= 0 or len(data) % step:
-        raise OSError(f"{len(data)} bytes are no whole rows of dimension {d}")
+    step = _step(data[:4], len(data), kind) if step is None else step
+    d = (step - 4) // value.itemsize
     rows = np.frombuffer(data, np.uint8).reshape(-1, step)
     if (np.ascontiguousarray(rows[:, :4]).view("<i4") != d).any():
         raise OSError("rows of different dimensions")
@@ -44,25 +44,70 @@ def encoded(rows: np.ndarray, kind: str) -> bytes:
     return np.hstack([head, np.ascontiguousarray(rows.astype(value)).view(np.uint8).reshape(len(rows), -1)]).tobytes()
 
 
+def _step(head: bytes, size: int, kind: str) -> int:
+    """Bytes of a record, from the file's first four bytes and its size."""
+    if size < 4:
+        raise OSError("empty vector file")
+    d = int(np.frombuffer(head, "<i4", 1)[0])
+    step = 4 + d * np.dtype(KINDS[kind][0]).itemsize
+    if d <= 0 or size % step:
+        raise OSError(f"{size} bytes are no whole rows of dimension {d}")
+    return step
+
+
+def _batches(name: str, rows: np.ndarray, first: int, kind: str) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), ROWS):
+        part = rows[k : k + ROWS]
+        offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+        values = pa.ListArray.from_arrays(offsets, pa.array(part.ravel()).cast(KINDS[kind][1]))
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(first + k, first + k + len(part))), values], names=["file", "pos", "embedding"])
+
+
+def _ranges(kind: str):
+    """The records that start in the byte ranges (path, length, low, high)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for name, size, low, high in zip(*(batch[c].to_pylist() for c in ("path", "length", "low", "high")), strict=True):
+                # Spark writes local paths as file:/x, pyarrow as file:///x.
+                store, where = FileSystem.from_uri("file:///" + name[5:].lstrip("/") if name.startswith("file:") else name)
+                with store.open_input_file(where) as source:
+                    step = _step(source.read(4) if size >= 4 else b"", size, kind)
+                    first, last = -(-low // step), -(-min(high, size) // step)
+                    if first < last:
+                        source.seek(first * step)
+                        yield from _batches(name, decoded(source.read((last - first) * step), kind, step), first, kind)
+
+    return run
+
+
+def _whole(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                yield from _batches(name.as_py(), decoded(data.as_py(), kind), 0, kind)
+
+    return run
+
+
 def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """(file, pos, embedding) of the file, or of all files of the kind in the folder, at path."""
     kind = kind or path.rsplit(".", 1)[-1]
     if kind not in KINDS:
         raise ValueError(f"unknown vector format {kind!r}; known: {', '.join(KINDS)}")
-    _, arrow, sql = KINDS[kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                rows = decoded(data.as_py(), kind)
-                for k in range(0, len(rows), ROWS):
-                    part = rows[k : k + ROWS]
-                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
-                    values = pa.ListArray.from_arrays(offsets, pa.array(part.ravel()).cast(arrow))
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(np.arange(k, k + len(part))), values], names=["file", "pos", "embedding"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, f"file string, pos long, embedding array<{sql}>")
+    schema = f"file string, pos long, embedding array<{KINDS[kind][2]}>"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path)
+    listed = files.select("path", "length")
+    schemes = {r[0] for r in listed.select(F.substring_index("path", ":", 1)).distinct().limit(20).collect()}
+    if not schemes:  # Spark lists no empty files
+        raise OSError(f"no vectors at {path}: missing or empty vector file")
+    if not schemes <= set(OPENED):
+        return files.select("path", "content").mapInArrow(_whole(kind), schema)
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long")))
+    ranges = listed.select("path", "length", low.alias("low")).withColumn("high", F.col("low") + RANGE_BYTES)
+    return ranges.repartition("path", "low").mapInArrow(_ranges(kind), schema)
 
 
 def numbered(rows: DataFrame, order: str = "name") -> DataFrame:

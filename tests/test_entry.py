@@ -20,7 +20,7 @@ def shown(v):
     return f"[{','.join(map(shown, v))}]" if isinstance(v, list) else str(v)
 
 
-@pytest.mark.parametrize("name", ["adc_topk_l2", "hamming_topk", "recall_stats", "exact_medoid", "zorder_sparse", "dbscan_core_points"])
+@pytest.mark.parametrize("name", ["adc_topk_l2", "hamming_topk", "recall_stats", "exact_medoid", "zorder_sparse", "dbscan_core_points", "descriptor_edges", "descriptor_gradients", "model_search_2iter", "kmedoids_one_step"])
 def test_sql_agrees(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:

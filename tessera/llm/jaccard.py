@@ -23,7 +23,9 @@ rows are then still in different components, and which leave room for the
 overlap needed, are multiplied out, so that large groups of near copies stay
 close to linear and no link between different components is lost.  What remains
 quadratic is a wide column whose rows of one size band all begin with it and
-still differ from each other too much to be linked.
+still differ from each other too much to be linked.  A column in more than
+`HOT_DF` sets is taken as wide without being gathered: its rows are dealt to
+blocks by class.
 
 Nulls and odd rows: a null or blank text has the empty set, links with nothing
 and is its own component; fewer than five words make one shingle.  Repeated
@@ -48,6 +50,7 @@ from .textkit import mix, portions, release, shingle_sets, tidy
 
 NUM, DEN = 3, 4  # the similarity, 75 / 100
 HUB_DF = 48
+HOT_DF = 1 << 12
 MOST_HUBS = 1 << 20
 WIDE = 16
 CENTERS = 4
@@ -145,33 +148,38 @@ def _frequent(bits: int, least: int):
     return run
 
 
-def hubs(docs: DataFrame, total: int) -> tuple[np.ndarray, int]:
-    """Sorted keys of the shingles in more than HUB_DF sets, the MOST_HUBS most frequent if there are more, and their bits."""
+def hubs(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys of the shingles in more than HUB_DF sets (the MOST_HUBS most frequent if there are more), which are in more than HOT_DF, and the keys' bits."""
     bits = max(6, min(24, (total // (8 * BLOCK_POSTINGS)).bit_length()))
     counted = docs.select("text").mapInArrow(_hub_counts(bits), "block long, data binary").groupBy("block").applyInArrow(_frequent(bits, HUB_DF), "key long, df long")
-    return np.sort(counted.orderBy(F.col("df").desc(), "key").limit(MOST_HUBS).toArrow()["key"].to_numpy()), bits
+    most = counted.orderBy(F.col("df").desc(), "key").limit(MOST_HUBS).toArrow().sort_by("key")
+    return most["key"].to_numpy(), most["df"].to_numpy() > HOT_DF, bits
 
 
 def _postings(known, hub_bits: int, block_bits: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub_keys = known.value
+        hub_keys, is_hot = known.value
         for batch in portions(batches):
-            found = []
+            found, hot = [], []
             for c, s in _distinct_sets(batch):
+                very = np.zeros(len(s), bool)
                 if len(hub_keys):
                     keys = (s >> np.uint64(32 - hub_bits)).astype(np.int64)
                     at = np.minimum(np.searchsorted(hub_keys, keys), len(hub_keys) - 1)
                     hub = hub_keys[at] == keys
-                    s = np.concatenate([s[~hub], s[hub]])
+                    s, very = np.concatenate([s[~hub], s[hub]]), np.concatenate([very[~hub], is_hot[at[hub]]])
                 p = prefix_length(len(s))
                 rows = np.empty(p, POSTING)
                 rows["h"], rows["c"], rows["n"], rows["at"] = s[:p], c, len(s), np.arange(p)
                 found.append(rows)
+                hot.append(very[:p])
             if found:
-                rows = np.concatenate(found)
+                rows, very = np.concatenate(found), np.concatenate(hot)
                 # Prefixes are mostly the low end of the hash range: blocks are dealt by mixed hashes to be even.
-                yield _split(rows, (mix(rows["h"]) >> np.uint64(64 - block_bits)).astype(np.int64))
+                # Rows of a hot column are dealt by class to blocks of their own, -1 and below.
+                dealt = (mix(np.where(very, rows["c"].view(np.uint64), rows["h"])) >> np.uint64(64 - block_bits)).astype(np.int64)
+                yield _split(rows, np.where(very, -1 - dealt, dealt))
 
     return run
 
@@ -214,14 +222,19 @@ def _multiplied(p: np.ndarray, wide: int) -> np.ndarray:
 
 
 def _product(wide: int, size: int):
-    """The product of one block, `size` postings at a time: pairs of columns of up to `wide` rows, and the rows of wider ones."""
+    """The product of one block, `size` postings at a time: pairs of columns of up to `wide` rows, and the rows of wider ones.
 
-    def run(_key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    Blocks below 0 hold parts of hot columns: all their rows count as those of wide ones.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         p = np.concatenate([np.frombuffer(d.as_py(), POSTING) for d in rows["data"]])
         p = p[np.lexsort((p["c"], p["n"], p["h"]))]
         p = p[np.r_[True, (p["h"][1:] != p["h"][:-1]) | (p["c"][1:] != p["c"][:-1])]]
         edge = np.flatnonzero(np.r_[True, p["h"][1:] != p["h"][:-1], True])
         width = np.repeat(np.diff(edge), np.diff(edge))
+        if key[0].as_py() < 0:
+            width = np.full(len(p), wide + 1)
         rest, p = p[width > wide], p[(width > 1) & (width <= wide)]
         edge = np.flatnonzero(np.r_[True, p["h"][1:] != p["h"][:-1], True]) if len(p) else np.zeros(1, np.int64)
         cuts = np.unique(edge[np.searchsorted(edge, np.arange(0, len(p) + size, size).clip(max=len(p)))])
@@ -371,9 +384,9 @@ def classified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = written(classes, spark)
     described = described.drop("bits")
     total = int(classes.agg(F.sum("n")).first()[0] or 0)
-    keys, hub_bits = hubs(docs, total)
+    keys, hot, hub_bits = hubs(docs, total)
     block_bits = max(6, min(24, (total // DEN // BLOCK_POSTINGS).bit_length() + 1))
-    with sent(spark, keys) as known:  # 8 MB at most
+    with sent(spark, (keys, hot)) as known:  # 9 MB at most
         blocks = docs.select("text").mapInArrow(_postings(known, hub_bits, block_bits), "block long, data binary")
         product = written(blocks.groupBy("block").applyInArrow(_product(WIDE, SLICE_POSTINGS), "a long, b long, shared int, la int, lb int, h long, n int, at int"), spark)
     pairs = product.where("b is not null").select("a", "b", "shared", "la", "lb")

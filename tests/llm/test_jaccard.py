@@ -75,6 +75,16 @@ def test_join_matches_brute_force(spark, monkeypatch, wide, hub):
     assert got == brute(rows)
 
 
+def test_hot_columns_are_dealt_by_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB_DF", 10)
+    monkeypatch.setattr(jaccard, "HOT_DF", 145)
+    rows = made(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, hot, _ = jaccard.hubs(df, 30000)
+    assert 0 < hot.sum() < len(hot)
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(spark, df).collect()) == brute(rows)
+
+
 def test_join_on_small_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]

@@ -348,6 +348,8 @@ def center_pairs(wide: DataFrame) -> DataFrame:
     group = F.pmod(F.xxhash64("c"), F.lit(CENTERS))
     # Minima are taken map-side: one row per column and task is shuffled.
     centers = ranked.groupBy(F.col("h").alias("of")).agg(F.array_compact(F.array(*[F.min(F.when(group == k, F.col("r"))) for k in range(CENTERS)])).alias("centers"))
+    # Read as a table, not as an aggregate by h, the join below can be split where a column is hot.
+    centers = written(centers, wide.sparkSession)
     fits = lambda x: (
         (x["c"] != F.col("c")) & (DEN * F.least(x["n"], "n") >= NUM * F.greatest(x["n"], "n"))
         & ((NUM + DEN) * F.least(x["n"] - x["at"], F.col("n") - F.col("at")) >= NUM * (x["n"] + F.col("n")))

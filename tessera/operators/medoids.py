@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, metric
 from .lineage import cut
-from .quantize import assign, distinct_subvectors, updated_centroids
+from .quantize import assign, distinct_subvectors, spread_centroids, updated_centroids
 
 
 def autoscale(sub: DataFrame) -> DataFrame:
@@ -52,17 +52,20 @@ def summed_medoids(members: DataFrame, by: str | Metric, skip_self: bool = True)
     return total.groupBy("m", "k").agg(F.min_by("a", F.struct(F.round("total", 9), "a")).alias("centroid"))
 
 
-def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str = "sum", max_steps: int = 50, seed: int = 0, scale: bool = False) -> tuple[DataFrame, DataFrame]:
+def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str = "sum", max_steps: int = 50, seed: int = 0, scale: bool = False, start: str = "random") -> tuple[DataFrame, DataFrame]:
     """(codebook, codes) by alternating assignment and medoid choice until the codebook stays.
 
-    `form` is "sum" (least summed distance) or "snap" (the member nearest the mean).
+    `form` is "sum" (least summed distance) or "snap" (the member nearest the mean);
+    `start` is "random" or "k-medoids++" (drawn by squared distance, under the metric).
     Scaling is for Euclidean metrics: it would fill the zeros that Jaccard metrics look at.
     """
     if form not in ("sum", "snap"):
         raise ValueError(f"unknown form {form!r}")
+    if start not in ("random", "k-medoids++"):
+        raise ValueError(f"unknown start {start!r}")
     sub = cut(autoscale(sub) if scale else sub)
     points = cut(distinct_subvectors(sub))
-    book = cut(random_start(sub, ks, seed))
+    book = cut(random_start(sub, ks, seed)) if start == "random" else spread_centroids(sub, ks, seed, by)
     for _ in range(max_steps):
         if form == "sum":
             new = summed_medoids(assign(points, book, by), by)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from ..functions.metrics import ROW_METRICS, Metric, metric
 from ..functions.vectors import subvectors, width
 from .lineage import cut
 
+#: A user's centroid: from the column of a cluster's subvectors to an aggregate of it.
+Aggregate = Callable[[Column], Column]
+
 #: Bytes of a codebook up to which it is broadcast; larger ones are joined on m.
 BROADCAST_BYTES = 64 << 20
 
@@ -60,13 +64,16 @@ def first_centroids(sub: DataFrame, ks: int) -> DataFrame:
     return few.withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < ks).select("m", "k", F.col("sv").alias("centroid"))
 
 
-def spread_centroids(sub: DataFrame, ks: int, seed: int = 0) -> DataFrame:
+def spread_centroids(sub: DataFrame, ks: int, seed: int = 0, by: str | Metric = "l2sq") -> DataFrame:
     """k-means++ start: each next centroid is drawn with probability proportional to its squared distance.
 
+    With another metric than "l2sq" its value is squared: the start of k-medoids++.
+
     One weighted draw per step and subspace, by the largest log(u) / weight with hash-seeded u.
     """
     points = cut(distinct_subvectors(sub))
-    l2sq = metric("l2sq")
+    distance = metric(by)
+    squared = distance if by == "l2sq" else lambda a, b: distance(a, b) * distance(a, b)
     chosen = None
     for step in range(ks):
         u = (F.pmod(F.xxhash64("m", "sv", F.lit(seed + step)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
@@ -74,7 +81,7 @@ def spread_centroids(sub: DataFrame, ks: int, seed: int = 0) -> DataFrame:
             weighed = points.withColumn("w", F.col("n").cast("double"))
         else:
             books = _book(chosen)
-            near = lambda c: l2sq(F.col("sv"), c["centroid"])
+            near = lambda c: squared(F.col("sv"), c["centroid"])
             small = book_bytes(chosen) <= BROADCAST_BYTES
             weighed = points.join(F.broadcast(books) if small else books, "m").withColumn("w", F.col("n") * F.array_min(F.transform("book", near))).drop("book")
         drawn = weighed.where("w > 0").groupBy("m").agg(F.max_by("sv", F.struct(F.log(u) / F.col("w"), "sv")).alias("centroid"))
@@ -104,18 +111,22 @@ def assign(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", ties_
     return found.drop("book").withColumns({"k": F.col("best.k") * sign, "d": F.col("best.d")}).drop("best")
 
 
-def updated_centroids(assigned: DataFrame, codebook: DataFrame, empty: str = "keep", weight: str | None = None) -> DataFrame:
-    """Means of the subvectors of each centroid (m, k, centroid).
+def updated_centroids(assigned: DataFrame, codebook: DataFrame, empty: str = "keep", weight: str | None = None, centroid: Aggregate | None = None) -> DataFrame:
+    """Means of the subvectors of each centroid (m, k, centroid), or what `centroid` makes of the column of its subvectors.
 
-    A centroid without subvectors stays (`keep`), becomes zeros (`zeros`) or the
+    `centroid` is an aggregate of built-in functions or a grouped-aggregate Pandas UDF, without weights. A centroid without subvectors stays (`keep`), becomes zeros (`zeros`) or the
     subvector farthest from its own centroid (`farthest`, ties by vec_id).
     """
+    if centroid and weight:
+        raise ValueError("a user centroid takes no weights")
     w = F.col(weight) if weight else F.lit(1.0)
     first = codebook.select(F.size("centroid")).first()
     n = first[0] if first else 0
     # One row a centroid and task is shuffled: sums of each entry, and the weight.
     sums = assigned.select("m", "k", w.alias("w"), "sv").groupBy("m", "k").agg(F.sum("w").alias("w"), *[F.sum(F.get("sv", F.lit(j)) * F.col("w")).alias(f"x{j}") for j in range(n)])
     means = sums.select("m", "k", F.array(*[F.col(f"x{j}") / F.col("w") for j in range(n)]).alias("mean"))
+    if centroid:
+        means = assigned.groupBy("m", "k").agg(centroid(F.col("sv")).alias("mean"))
     joined = codebook.join(means, ["m", "k"], "left")
     if empty == "zeros":
         fallback = F.transform("centroid", lambda x: F.lit(0.0))
@@ -148,7 +159,7 @@ class Training:
 SAME_CHANGES = 20
 
 
-def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_steps: int = 500, empty: str = "farthest") -> Training:
+def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_steps: int = 500, empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
     """Lloyd steps until no assignment changes, the changes stay equal SAME_CHANGES times more, or max_steps."""
     before, last, same = None, None, 0
     for step in range(1, max_steps + 1):
@@ -161,10 +172,26 @@ def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_st
             if changes == 0 or same >= SAME_CHANGES:
                 return Training(codebook, codes, step, changes == 0)
         before = codes
-        codebook = cut(updated_centroids(codes, codebook, empty))
+        codebook = cut(updated_centroids(codes, codebook, empty, centroid=centroid))
     return Training(codebook, assign(sub, codebook, by), max_steps, False)
 
 
+def train_restarted(sub: DataFrame, ks: int, restarts: int = 10, seed: int = 42, max_steps: int = 500, empty: str = "farthest") -> Training:
+    """The best of several k-means trainings: per subspace the codebook with the least summed squared distance (ties: the earliest).
+
+    Each training starts from k-means++ centroids of its own seed.
+    """
+    if restarts < 1:
+        raise ValueError(f"restarts must be at least 1, got {restarts}")
+    done = [train(sub, spread_centroids(sub, ks, seed + ks * r), "l2sq", max_steps, empty) for r in range(restarts)]
+    # One row a restart and subspace, and one a restart and centroid: codebooks are small beside the vectors.
+    each = [t.codes.groupBy("m").agg(F.sum("d").alias("total")).withColumn("r", F.lit(r)) for r, t in enumerate(done)]
+    best = reduce(DataFrame.unionByName, each).groupBy("m").agg(F.min_by("r", F.struct(F.round("total", 9), "r")).alias("r"))
+    books = reduce(DataFrame.unionByName, [t.codebook.withColumn("r", F.lit(r)) for r, t in enumerate(done)])
+    book = cut(books.join(best, ["m", "r"]).select("m", "k", "centroid"))
+    return Training(book, assign(sub, book), max(t.steps for t in done), all(t.converged for t in done))
+
+
 def packed_codes(codes: DataFrame, key: str = "vec_id") -> DataFrame:
     """(key, codes): the codes of each vector in the order of m."""
     return codes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "k"))), lambda c: c["k"]).alias("codes"))
@@ -208,13 +235,13 @@ def quantization_error(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("m").agg(F.avg("d").alias("error"))
 
 
-def kmeans(points: DataFrame, centers: DataFrame, max_steps: int = 1000, by: str | Metric = "l2", empty: str = "farthest") -> Training:
+def kmeans(points: DataFrame, centers: DataFrame, max_steps: int = 1000, by: str | Metric = "l2", empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
     """Clusters points (vec_id, point) from given centers (k, center); a null point has label -1 in `codes`."""
     sub = points.where("point is not null").select("vec_id", F.lit(0).alias("m"), F.transform("point", lambda x: x.cast("double")).alias("sv"))
     sizes = {r[0] for r in sub.select(F.size("sv")).union(centers.select(F.size("center"))).distinct().limit(2).collect()}
     if len(sizes) != 1:
         raise ValueError(f"points and centers must be non-empty and of one dimension, got {sorted(sizes)}")
     book = centers.select(F.lit(0).alias("m"), "k", F.transform("center", lambda x: x.cast("double")).alias("centroid"))
-    done = train(sub, book, by, max_steps, empty)
+    done = train(sub, book, by, max_steps, empty, centroid)
     codes = points.select("vec_id").join(done.codes.select("vec_id", "k"), "vec_id", "left").withColumn("k", F.coalesce("k", F.lit(-1)))
     return Training(done.codebook, codes, done.steps, done.converged)

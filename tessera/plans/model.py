@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import metric
 from ..functions.vectors import subvectors, zorder_cells, zorder_dense
 from ..operators.medoids import dbscan_codebook, kmedoids
-from ..operators.quantize import book_bytes, encode, first_centroids, spread_centroids, train
+from ..operators.quantize import book_bytes, encode, first_centroids, spread_centroids, train, train_restarted
 from ..operators.search import adc_topk, hamming_topk, lookup_tables, packed_tables
 
 
@@ -22,8 +22,10 @@ MOST_LITERAL_BYTES = 4 << 20
 class PQModel:
     """Codebooks of `parts` subspaces with up to `ks` centroids each.
 
-    `method` is kmeans (start "first" or "k-means++"), kmedoids or dbscan; `by`
-    names the metric of training, and `zorder` permutes square grids first.
+    `method` is kmeans (start "first" or "k-means++", of which the best of
+    `restarts`), kmedoids (start "first", which is a hash order, or "k-medoids++")
+    or dbscan; `by` names the metric of training, and `zorder` permutes square
+    grids first.
     """
 
     dimension: int
@@ -37,6 +39,7 @@ class PQModel:
     seed: int = 42
     eps: float = 0.3
     min_samples: int = 5
+    restarts: int = 1
     codebook: DataFrame | None = None
     converged: bool = False
 
@@ -54,11 +57,16 @@ class PQModel:
         if self.method == "kmeans":
             if self.start not in ("first", "k-means++"):
                 raise ValueError(f"unknown start {self.start!r}")
-            book = first_centroids(sub, self.ks) if self.start == "first" else spread_centroids(sub, self.ks, self.seed)
-            done = train(sub, book, self.by, self.max_steps)
+            if self.restarts > 1:
+                if self.start != "k-means++" or self.by != "l2sq":
+                    raise ValueError("restarts are for k-means++ starts and the metric l2sq")
+                done = train_restarted(sub, self.ks, self.restarts, self.seed, self.max_steps)
+            else:
+                book = first_centroids(sub, self.ks) if self.start == "first" else spread_centroids(sub, self.ks, self.seed)
+                done = train(sub, book, self.by, self.max_steps)
             self.codebook, self.converged = done.codebook, done.converged
         elif self.method == "kmedoids":
-            self.codebook, _ = kmedoids(sub, self.ks, self.by, max_steps=self.max_steps, seed=self.seed)
+            self.codebook, _ = kmedoids(sub, self.ks, self.by, max_steps=self.max_steps, seed=self.seed, start="random" if self.start == "first" else self.start)
         elif self.method == "dbscan":
             self.codebook, _ = dbscan_codebook(sub, self.eps, self.min_samples, self.by)
         else:

@@ -94,6 +94,42 @@ def test_kmedoids_settles_on_members(spark, form):
     assert {tuple(r.centroid) for r in book.collect()} <= members and codes.count() == 31
 
 
+def test_kmedoids_spread_start(spark):
+    # Three groups far apart and a lone point: a draw by squared distance takes one of each.
+    rows = [(k, 0, [float(k % 3 * 1000), float(k % 2)]) for k in range(30)] + [(40, 0, [0.0, 9000.0])]
+    sub = spark.createDataFrame(rows, "vec_id long, m int, sv array<double>")
+    book, codes = medoids.kmedoids(sub, 4, "l2", seed=2, start="k-medoids++")
+    assert {(round(r.centroid[0], -3), round(r.centroid[1], -3)) for r in book.collect()} == {(0, 0), (1000, 0), (2000, 0), (0, 9000)}
+    assert codes.count() == 31
+    with pytest.raises(ValueError, match="unknown start"):
+        medoids.kmedoids(sub, 4, "l2", start="nothing")
+
+
+def test_restarts_keep_the_least_error(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, m, rng.normal(size=2).tolist()) for k in range(16) for m in range(2)]
+    sub = spark.createDataFrame(rows, "vec_id long, m int, sv array<double>")
+    error = lambda t: {r.m: r.total for r in t.codes.groupBy("m").agg(F.sum("d").alias("total")).collect()}
+    single = [error(qz.train(sub, qz.spread_centroids(sub, 2, 7 + 2 * r))) for r in range(2)]
+    best = qz.train_restarted(sub, 2, restarts=2, seed=7)
+    assert best.converged and error(best) == pytest.approx({m: min(s[m] for s in single) for m in (0, 1)})
+    with pytest.raises(ValueError, match="restarts"):
+        qz.train_restarted(sub, 4, restarts=0)
+
+
+def test_user_centroid(spark):
+    rows = [(k, p) for k, p in enumerate([[0.0], [1.0], [8.0], [50.0], [51.0], [58.0]])]
+    data = spark.createDataFrame(rows, "vec_id long, point array<double>")
+    centers = spark.createDataFrame([(0, [0.0]), (1, [60.0])], "k int, center array<double>")
+    median = lambda sv: F.array(F.median(sv[0]))
+    done = qz.kmeans(data, centers, centroid=median)
+    assert done.converged and {r.k: r.centroid for r in done.codebook.collect()} == {0: [1.0], 1: [51.0]}
+    sub = data.select("vec_id", F.lit(0).alias("m"), F.col("point").alias("sv"))
+    book = centers.select(F.lit(0).alias("m"), "k", F.col("center").alias("centroid"))
+    with pytest.raises(ValueError, match="weights"):
+        qz.updated_centroids(qz.assign(sub, book).withColumn("n", F.lit(1)), book, weight="n", centroid=median)
+
+
 def test_codes_in_one_row_equal_assigned_ones(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.abs(x)).alias("embedding"))
     sub = qz.subvectors(vectors, 8, 64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op5_chat
+from .clustering import OP11_SQL, op11_clustering
 from .decontamination import op10_decontamination
 from .html_extraction import op1_html
 from .jaccard import op3_jaccard
@@ -13,5 +14,5 @@ from .suffixes import op7_suffix_dedup
 from .templates import op4_line_dedup
 from .warc import op8_warc
 
-QUERIES = {"op1_html": op1_html, "op2_repetition": op2_repetition, "op3_jaccard": op3_jaccard, "op4_line_dedup": op4_line_dedup, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op7_suffix_dedup": op7_suffix_dedup, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
-SQL = {"op6_mixing": OP6_SQL}
+QUERIES = {"op1_html": op1_html, "op2_repetition": op2_repetition, "op3_jaccard": op3_jaccard, "op4_line_dedup": op4_line_dedup, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op7_suffix_dedup": op7_suffix_dedup, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_clustering": op11_clustering}
+SQL = {"op6_mixing": OP6_SQL, "op11_clustering": OP11_SQL}

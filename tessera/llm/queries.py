@@ -8,11 +8,12 @@ from .decontamination import op10_decontamination
 from .html_extraction import op1_html
 from .jaccard import op3_jaccard
 from .mixing import OP6_SQL, op6_mixing
+from .periodic import op12_periodic
 from .quality import op9_quality
 from .repetition import op2_repetition
 from .suffixes import op7_suffix_dedup
 from .templates import op4_line_dedup
 from .warc import op8_warc
 
-QUERIES = {"op1_html": op1_html, "op2_repetition": op2_repetition, "op3_jaccard": op3_jaccard, "op4_line_dedup": op4_line_dedup, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op7_suffix_dedup": op7_suffix_dedup, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_clustering": op11_clustering}
+QUERIES = {"op1_html": op1_html, "op2_repetition": op2_repetition, "op3_jaccard": op3_jaccard, "op4_line_dedup": op4_line_dedup, "op5_chat": op5_chat, "op6_mixing": op6_mixing, "op7_suffix_dedup": op7_suffix_dedup, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_clustering": op11_clustering, "op12_periodic": op12_periodic}
 SQL = {"op6_mixing": OP6_SQL, "op11_clustering": OP11_SQL}

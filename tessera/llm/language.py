@@ -40,8 +40,8 @@ from .textkit import portions, tidy
 DIMENSION, CENTROIDS = 1 << 13, 4
 SAMPLE, LANGUAGES = 4000, 250
 STEPS = 12
-#: A centroid's radius: this quantile of its members' cosine distances, and so much more.
-QUANTILE, MARGIN = 0.99, 1.25
+#: A centroid's radius: this quantile of its members' cosine distances, and so much more; from so many members on.
+QUANTILE, MARGIN, MEMBERS = 0.99, 1.25, 50
 PORTION = 1 << 20
 PIECE = 1 << 18
 ROWS = 64
@@ -119,12 +119,13 @@ def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, labels) of rows of length one: from the row nearest their mean, then from those farthest from all starts."""
+    """(centroids, labels) of rows of length one; the starts are drawn by squared cosine distance from those before."""
+    rng = np.random.default_rng(len(x))
     starts = [int((x @ x.mean(0)).argmax())]
-    nearest = x @ x[starts[0]]
-    while len(starts) < min(k, len(x)) and nearest.min() < 1 - 1e-6:
-        starts.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, x @ x[starts[-1]])
+    far = np.maximum(1 - x @ x[starts[0]], 0).astype(float)
+    while len(starts) < min(k, len(x)) and far.max() > 1e-6:
+        starts.append(int(rng.choice(len(x), p=far**2 / (far**2).sum())))
+        far = np.minimum(far, np.maximum(1 - x @ x[starts[-1]], 0))
     c, label = x[starts].copy(), None
     for _ in range(steps):
         now = (x @ c.T).argmax(1)
@@ -151,12 +152,13 @@ def fit(rows: np.ndarray, languages: list[str], k: int = CENTROIDS) -> LanguageM
         c, label = spherical_kmeans(mine, k)
         far = 1 - (mine * c[label]).sum(1)
         for j in range(len(c)):
-            if (label == j).any():
+            members = label == j
+            if members.any():
                 found.append(c[j])
-                radii.append(MARGIN * float(np.quantile(far[label == j], QUANTILE)))
+                # A centroid of few members knows little of how far its texts lie: it takes the language's radius.
+                radii.append(MARGIN * float(np.quantile(far[members] if members.sum() >= MEMBERS else far, QUANTILE)))
                 model.languages.append(name)
-    # A centroid of few members knows little of how far its texts lie.
-    model.centroids, model.radii = np.array(found, np.float32), np.maximum(np.array(radii), np.median(radii))
+    model.centroids, model.radii = np.array(found, np.float32), np.array(radii)
     return model
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-_made: list[str] = []
+#: Folders below that of the session, one for each scratch() that this thread is inside.
+_inside: ContextVar[tuple[str, ...]] = ContextVar("inside", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-    _made.append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
-    return _made[-1]
+    return "/".join([root.rstrip("/"), *_inside.get(), uuid.uuid4().hex])
 
 
 @contextmanager
@@ -46,15 +47,17 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that shared_dir() has named."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _made.remove(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Folders named inside the block go at its end; what reads them must be written elsewhere inside."""
-    before = len(_made)
-    yield
-    for path in _made[before:]:
+    """Folders that this thread names inside the block go at its end, however it ends; what reads them must be written elsewhere inside."""
+    own = _inside.set((*_inside.get(), uuid.uuid4().hex))
+    try:
+        yield
+    finally:
+        path = shared_dir(spark).rpartition("/")[0]
+        _inside.reset(own)
         remove(spark, path)
 
 

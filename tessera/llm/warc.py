@@ -13,8 +13,8 @@ reached set and the jumps double each round) keeps the reachable ones.
 
 Nulls and odd rows: a null html is an empty payload; a null url is written
 empty; CR and LF in urls are percent-encoded; a null page_id is written as
-`null` and read back as null.  Pages of one id and one payload are records of
-their own.  Empty tables give empty archives, which have no records.  A page is
+`null` and read back as null.  Pages of one id are records of
+their own, and a revisit refers to the response of its id that has its payload.  Empty tables give empty archives, which have no records.  A page is
 one record of any length, and one value of a task.
 """
 
@@ -153,8 +153,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest(spark: SparkSession, records: DataFrame) -> DataFrame:
     """Per record: page_id, and the full payload's size and digest, of revisits from the response they name."""
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    rows = records.select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "digest", "payload_bytes")
-    responses = rows.where("type = 'response' and page_id is not null").groupBy("page_id").agg(F.first("digest").alias("d"), F.first("payload_bytes").alias("n")).withColumnRenamed("page_id", "id")
+    rows = records.select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "digest", "stated_digest", "payload_bytes")
+    # A response is named by its id and its payload's digest, which its revisits state: pages of one id may differ.
+    responses = rows.where("type = 'response' and page_id is not null").groupBy("page_id", "digest").agg(F.first("payload_bytes").alias("n"))
+    responses = responses.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "n")
     # Written first, so that the join deals both sides itself and AQE can split a response with very many revisits.
-    joined = rows.join(written(responses, spark), F.col("refers_to") == F.col("id"), "left")
+    joined = rows.join(written(responses, spark), (F.col("refers_to") == F.col("id")) & (F.col("stated_digest") == F.col("d")), "left")
     return joined.select("page_id", F.coalesce("n", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")

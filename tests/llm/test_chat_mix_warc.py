@@ -113,3 +113,12 @@ def test_warc_empty_and_null_ids(spark, tmp_path):
     warc.write_warc(odd, f"file://{tmp_path}/o")
     got = sorted((r.page_id is None, r.record_type) for r in warc.digest(spark, warc.read_warc(spark, f"file://{tmp_path}/o")).collect())
     assert got == [(False, "response"), (False, "response"), (True, "response")]
+
+
+def test_warc_pages_of_one_id(spark, tmp_path):
+    rows = [(5, "a" * 30), (5, "b" * 40), (3, "a" * 30), (2, "b" * 40), (1, "b" * 40), (5, "c")]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string")
+    warc.write_warc(pages, f"file://{tmp_path}/r")
+    got = sorted(tuple(r) for r in warc.digest(spark, warc.read_warc(spark, f"file://{tmp_path}/r", payload=False)).collect() if r.record_type == "revisit")
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert got == [(k, len(h), sha(h), "revisit", 5) for k, h in sorted(rows) if k < 5]

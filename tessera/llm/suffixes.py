@@ -54,8 +54,8 @@ HOT = 256
 MOST_HOT = 1 << 18
 LAST = np.int64(2**63 - 1)
 
-HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("hash", "<i4"), ("start", "<u4"), ("off", "u1"), ("len", "u1")])
-SPANS = "doc long, hash int, start long, stop long"
+HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("hash", "<i8"), ("start", "<u4"), ("off", "u1"), ("len", "u1")])
+SPANS = "doc long, hash long, start long, stop long"
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -207,13 +207,13 @@ def head_bytes(head: np.ndarray) -> bytes:
 
 def head_of(raw: bytes) -> np.ndarray:
     """The heads of a packet, with keys still 0."""
-    n = len(raw) // 18
+    n = len(raw) // 22
     head = np.zeros(n, HEAD)
     doc, start = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n), np.frombuffer(raw, np.uint8, 4 * n, 8 * n).reshape(4, n)
     head["doc"] = np.cumsum(np.ascontiguousarray(doc.T).view("<i8").ravel())
     head["start"] = np.ascontiguousarray(start.T).view("<u4").ravel()
-    head["hash"] = np.frombuffer(raw, "<i4", n, 12 * n)
-    head["off"], head["len"] = np.frombuffer(raw, np.uint8, 2 * n, 16 * n).reshape(2, n)
+    head["hash"] = np.frombuffer(raw, "<i8", n, 12 * n)
+    head["off"], head["len"] = np.frombuffer(raw, np.uint8, 2 * n, 20 * n).reshape(2, n)
     return head
 
 
@@ -225,7 +225,7 @@ def anchor_keys(body: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _spans(doc: np.ndarray, of: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[pa.Array]:
-    return [pa.array(doc, pa.int64()), pa.array(of, pa.int32()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
+    return [pa.array(doc, pa.int64()), pa.array(of, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
 
 
 def suffixes_apart(head: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,8 +411,8 @@ def _bucket(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, hash): a row is named by its doc_id and a hash of its text."""
-    return docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    """(doc_id, text, hash): a row is named by its doc_id and 64 bits of a hash of its text."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +458,7 @@ def dedupe_strings(spark: SparkSession, docs: DataFrame) -> DataFrame:
     packed = docs.mapInArrow(_sent_segments(shared, bits, screen_bits), "bucket long, head binary, body binary")
     found = packed.groupBy("bucket").applyInArrow(_bucket, SPANS)
     spans = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("hash", "of")
-    texts = docs.mapInArrow(_pressed, "doc_id long, hash int, frame binary")
+    texts = docs.mapInArrow(_pressed, "doc_id long, hash long, frame binary")
     joined = texts.join(spans, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("doc")) & (F.col("hash") == F.col("of")), "left")
     return joined.select("doc_id", "frame", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -94,3 +94,12 @@ def test_segments_hold_every_suffix_once():
     seen = sorted((int(t), k) for t, a, b in zip(text, first, last, strict=True) for k in range(a, b + 1))
     assert seen == [(t, int(offsets[t]) + k) for t, r in enumerate(raw) for k in range(len(r) - sx.SIZE + 1)]
     assert ((anchor >= last) & (anchor - first <= sx.SIZE - sx.GRAM)).all()
+
+
+def test_rows_without_id_keep_their_names_apart(spark):
+    # Two texts that agree in 32 bits of a hash; one of them has a copy.
+    text = F.concat(F.md5(F.col("id").cast("string").cast("binary")), F.lit(" "), F.sha2(F.col("id").cast("string").cast("binary"), 256))
+    pairs = spark.range(400_000).select(text.alias("t")).groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1")
+    a, b = pairs.orderBy("h").first().ts[:2]
+    rows = [(1, a), (None, a), (None, b)]
+    assert got(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

@@ -10,9 +10,10 @@ finds all items within the radius.  These candidates are verified by the exact
 weighted five-word-shingle similarity, sum of minima over sum of maxima of the
 shingle counts, which must reach SIMILARITY.
 
-A window without any shingle of an item has similarity 0, so windows are only
-fingerprinted around positions that hold an item's shingle; this screen loses
-nothing and leaves most documents untouched.  Texts under five words make one
+A window that holds too few places with a shingle of an item of its size cannot
+reach the similarity, so only windows with enough of them are fingerprinted;
+this screen loses nothing and leaves most documents untouched.  Places near one
+another share their windows, so that long items cost what their windows do.  Texts under five words make one
 shingle of the whole sequence, so shorter items are found where a document has
 exactly their words in a row.
 
@@ -67,6 +68,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 0.0
 
 
+def sliding_similarities(text: np.ndarray, start: np.ndarray, stop: np.ndarray, item: np.ndarray) -> list[float]:
+    """The similarity to an item's shingles of windows start..stop of a text's shingles, by ascending starts: shingles that come and go are counted, so a window costs its step from the one before."""
+    kinds, want = np.unique(item, return_counts=True)
+    low, high = int(start[0]), int(stop.max())
+    at = np.minimum(np.searchsorted(kinds, text[low:high]), len(kinds) - 1)
+    of, want = np.where(kinds[at] == text[low:high], at, -1).tolist(), want.tolist()
+    have, shared, a, b, out = [0] * len(want), 0, low, low, []
+    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
+        if s >= b:
+            have, shared, a, b = [0] * len(want), 0, s, s
+        for k in of[b - low : e - low]:
+            if k >= 0:
+                have[k] += 1
+                shared += have[k] <= want[k]
+        b = max(b, e)
+        for k in of[a - low : s - low]:
+            if k >= 0:
+                shared -= have[k] <= want[k]
+                have[k] -= 1
+        a = s
+        out.append(shared / (b - s + len(item) - shared))
+    return out
+
+
 def signs(hashes: np.ndarray) -> np.ndarray:
     """A row of 64 values +1 or -1 per word."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -154,7 +179,7 @@ def build_index(ids: list, texts: list) -> Index:
 
 
 def anchored_windows(index: Index, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (start, item size), sorted, of the windows that hold a shingle of an item of that size."""
+    """Distinct (start, item size), sorted, of the windows that hold enough shingles of items of that size to reach SIMILARITY."""
     places, values = [], []
     for n in [*(k for k in range(1, SHINGLE) if k in index.distinct), SHINGLE]:
         run = roll(w.hash, n) if n == SHINGLE else roll(w.hash, n) ^ np.uint64(n)
@@ -165,13 +190,36 @@ def anchored_windows(index: Index, w: Words) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return at, at
     hit, place = spread(np.searchsorted(index.anchor, value, "left"), np.searchsorted(index.anchor, value, "right"))
-    at, size = at[hit], index.sizes[index.anchor_item[place]]
+    kind = np.searchsorted(index.distinct, index.sizes[index.anchor_item[place]])
+    # Each place once per size; keys put the sizes' places one behind the other.
+    far = np.int64(len(w.hash) + 1)
+    key = np.unique(kind * far + at[hit])
+    kind, at = key // far, key % far
+    if not len(at):
+        return at, at
+    size = index.distinct[kind]
     first, end = w.first[:-1][w.text[at]], w.first[1:][w.text[at]]
     lo = np.maximum(first, at + np.minimum(SHINGLE, size) - size)
     hi = np.maximum(np.minimum(at, end - size), first)
-    which, start = spread(np.minimum(lo, hi), hi + 1)
-    found = np.unique(np.stack([start, size[which]], 1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
-    return found[:, 0], found[:, 1]
+    # Ranges that overlap are one: starts are looked at once per size.
+    order = np.lexsort((lo, kind))
+    lo, hi, kind = lo[order], hi[order], kind[order]
+    reach = np.maximum.accumulate(kind * far + hi)
+    new = np.ones(len(lo), bool)
+    new[1:] = kind[1:] * far + lo[1:] > reach[:-1]
+    opens = np.flatnonzero(new)
+    which, start = spread(lo[opens], reach[np.append(opens[1:], len(lo)) - 1] % far + 1)
+    kind = kind[opens][which]
+    size = index.distinct[kind]
+    # Shared shingles are no more than the window's places with a shingle of an item of that size; a similarity needs so many.
+    stop = np.minimum(start + size, w.first[1:][w.text[start]])
+    span = np.minimum(SHINGLE, size)
+    count = np.searchsorted(key, kind * far + np.maximum(stop - span + 1, start)) - np.searchsorted(key, kind * far + start)
+    mine, other = np.maximum(stop - start - span + 1, 1), np.maximum(size - span + 1, 1)
+    enough = count >= SIMILARITY / (1 + SIMILARITY) * (mine + other) - 1e-9
+    start, size = start[enough], size[enough]
+    order = np.lexsort((size, start))
+    return start[order], size[order]
 
 
 def matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int, float]]:
@@ -191,10 +239,21 @@ def matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int, float
         lookup, place = spread(np.searchsorted(index.keys, keys, "left"), np.searchsorted(index.keys, keys, "right"))
         pairs = np.unique(np.stack([lookup // BLOCKS, index.key_item[place]], 1), axis=0)
         apart = np.bitwise_count(prints[pairs[:, 0]] ^ index.prints[pairs[:, 1]])
-        for (k, item), d in zip(pairs[apart <= RADIUS].tolist(), apart[apart <= RADIUS].tolist(), strict=True):
-            same = similarity(shingles_of(w.hash[s[k] : stop[k]]), index.shingles[item])
-            if same >= SIMILARITY and (-same, s[k]) < best.get((int(t), item), (1,))[:2]:
-                best[int(t), item] = (-same, s[k], int(s[k]) - first, int(stop[k] - s[k]), d)
+        pairs, apart = pairs[apart <= RADIUS], apart[apart <= RADIUS]
+        # By item, then by start; windows of five words or more are measured one after the other.
+        order = np.lexsort((s[pairs[:, 0]], pairs[:, 1]))
+        pairs, apart = pairs[order], apart[order]
+        rolled = roll(w.hash[first:end], SHINGLE)
+        for group in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(pairs[:, 1])) + 1) if len(pairs) else ():
+            item, at = int(pairs[group[0], 1]), pairs[group, 0]
+            if end - first >= SHINGLE and index.sizes[item] >= SHINGLE:
+                same = sliding_similarities(rolled, s[at] - first, stop[at] - first - SHINGLE + 1, index.shingles[item])
+            else:
+                same = [similarity(shingles_of(w.hash[s[k] : stop[k]]), index.shingles[item]) for k in at]
+            top = max(range(len(same)), key=lambda k: (same[k], -k))
+            if same[top] >= SIMILARITY:
+                k = at[top]
+                best[int(t), item] = (-same[top], s[k], int(s[k]) - first, int(stop[k] - s[k]), int(apart[group[top]]))
     return [(t, item, b[2], b[3], b[4], -b[0]) for (t, item), b in sorted(best.items())]
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -123,3 +124,17 @@ def test_tables(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in dc.op10_decontamination(spark, sf_dir).collect()}
     assert got == set(brute(docs, items)) and got
     assert text_bytes(pa.array([None, "a"]))[1].tolist() == [0, 0, 1] and len(words(*text_bytes(pa.array([""]))).hash) == 0
+
+
+def test_long_items_take_near_linear_time():
+    rnd = random.Random(4)
+    item = [f"w{rnd.randrange(10**6)}" for _ in range(8000)]
+    text = " ".join([f"v{k}" for k in range(500)] + item + [f"u{k}" for k in range(900)] + item[:4000] + ["x", "y"] + item[4000:])
+    began = time.perf_counter()
+    index = dc.build_index([7], [" ".join(item)])
+    data, offsets = text_bytes(pa.array([text]))
+    w = words(data, offsets, lower=True)
+    start, size = dc.anchored_windows(index, w)
+    assert 0 < len(start) < 12000 and (size == 8000).all()
+    assert dc.matches(index, w) == [(0, 0, 500, 8000, 0, 1.0)]
+    assert time.perf_counter() - began < 20

@@ -1,7 +1,8 @@
 """Line deduplication with a log-template tree.
 
-A line's words are masked where they hold a digit.  A fixed-depth tree parses
-it: first by word count, then by `DEPTH` leading masked words.  In a leaf the
+A line's words are masked where they hold a digit, unless fewer than
+`MIN_CONSTANT` of its words, or than the share `CONSTANT`, hold none: rows of numbers have
+no template in common and stay as they are.  A fixed-depth tree parses a line: first by word count, then by `DEPTH` leading masked words.  In a leaf the
 distinct masked lines are merged in order into templates: a line joins the
 template that agrees with it in most positions, `AGREE` of them at least, and
 positions that differ become variable.  A leaf of more than `LEAF_LINES` lines
@@ -29,7 +30,9 @@ before the shuffle.
 Nulls and odd rows: a null text stays null and has no lines; blank lines stay;
 a text whose lines all go becomes empty and its row stays.  Repeated rows are
 treated alike (rows are named by doc_id and text).  Empty tables give empty
-results.  All columns are kept; n_chars follows the text where it is present.
+results.  All columns are kept but one that has the name chosen for the count of
+dropped lines; n_chars follows the text where it is present.  A text of any length is parsed in its task, where its lines and their
+words are held at once.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ DEPTH = 3
 DEEP = 8
 AGREE = 0.8
 MIN_WORDS = 3
+MIN_CONSTANT, CONSTANT = 2, 1 / 3
 MIN_DOCS = 5
 SKETCHES = 12
 NTH = 6
@@ -74,13 +78,18 @@ class Lines:
         w: Words = words(data, offsets)
         digits = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_DIGIT[data], out=digits[1:])
-        self.masked = np.where(digits[w.end] > digits[w.start], _VARIABLE, w.hash)
+        variable = digits[w.end] > digits[w.start]
         start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
         start = start[start < len(data)]
         stop = np.append(start[1:], len(data))
         first = np.searchsorted(w.start, start)
         count = np.diff(np.append(first, len(w.start)))
         self.first, self.count = first, count
+        # Lines that are mostly numbers are no template: they are what they say.
+        constant = np.add.reduceat(np.append(~variable, False).astype(np.int64), first)[: len(first)] if len(first) else first
+        constant[count == 0] = 0
+        masks = (constant >= MIN_CONSTANT) & (constant >= CONSTANT * count)
+        self.masked = np.where(variable & np.repeat(masks, count), _VARIABLE, w.hash)
         lines = self._leading(None)
         text = np.searchsorted(offsets[1:], start, "right")
         full = count >= MIN_WORDS
@@ -358,8 +367,8 @@ def _without(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> str:
     return out.tobytes().decode()
 
 
-def _rewritten(drop_of):
-    """docs plus n_dropped; drop_of gives the flags of a chunk's lines to drop."""
+def _rewritten(drop_of, names: list[str]):
+    """The columns of docs and, under the last name, the lines dropped; drop_of gives the flags of a chunk's lines to drop."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,28 +383,34 @@ def _rewritten(drop_of):
                     base = offsets[i]
                     texts[i + t] = _without(data[a:b], x.start[own] - (a - base), x.stop[own] - (a - base))
                     n_dropped[i + t] = own.sum()
-            columns = {c: batch[c] for c in batch.schema.names if c != "__drop"}
-            columns["text"] = pa.array(texts, pa.string())
-            columns["n_dropped"] = pa.array(n_dropped)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            columns = {c: batch[c] for c in names[:-1]} | {"text": pa.array(texts, pa.string()), names[-1]: pa.array(n_dropped)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     return run
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it if a column of that name, in any case, is there."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def _row_key():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
 
 
-def dedupe_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with the lines of recurring templates taken out of text, and n_dropped."""
+def dedupe_lines(spark: SparkSession, docs: DataFrame, count: str = "n_dropped") -> DataFrame:
+    """docs with the lines of recurring templates taken out of text, and behind its columns their number, named `count`."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    docs = docs.drop("n_dropped")
+    docs = docs.drop(count)
     lines = written(recurring_lines(spark, docs).select("line"), spark)
-    schema = StructType([*docs.schema.fields, StructField("n_dropped", LongType())])
+    names = [*docs.columns, count]
+    schema = StructType([*docs.schema.fields, StructField(count, LongType())])
     if (few := _bounded(lines)) is not None:
         shared = spark.sparkContext.broadcast(few)
-        out = docs.mapInArrow(_rewritten(lambda _batch, _i, x: _among(shared, x.line)), schema)
+        out = docs.mapInArrow(_rewritten(lambda _batch, _i, x: _among(shared, x.line), names), schema)
     else:
         # Too many lines to send: find each text's by a join and bring them back to it.
         def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,17 +418,18 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 for i, x in _line_chunks(batch):
                     yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(i + x.text)), _i64(x.line)], names=["key", "at"])
 
-        keyed = docs.withColumn("key", _row_key())
-        at = keyed.select("key", "text").mapInArrow(where, "key long, at long").distinct().join(lines, F.col("at") == F.col("line"), "left_semi")
-        drops = at.groupBy("key").agg(F.collect_list("at").alias("__drop")).withColumnRenamed("key", "__key")
+        key, drop = free_name("key", names), free_name("drop", names)
+        at = docs.select(_row_key().alias("key"), "text").mapInArrow(where, "key long, at long").distinct().join(lines, F.col("at") == F.col("line"), "left_semi")
+        drops = at.groupBy("key").agg(F.collect_list("at").alias(drop)).withColumnRenamed("key", f"{key}_")
 
         def drop_of(batch: pa.RecordBatch, i: int, x: Lines) -> np.ndarray:
-            gone = [set(d or ()) for d in batch["__drop"].slice(i, int(x.text[-1]) + 1 if len(x.text) else 0).to_pylist()]
+            gone = [set(d or ()) for d in batch[drop].slice(i, int(x.text[-1]) + 1 if len(x.text) else 0).to_pylist()]
             return np.array([v in gone[t] for v, t in zip(x.line.view(np.int64).tolist(), x.text.tolist(), strict=True)], bool)
 
-        out = keyed.join(drops, F.col("key") == F.col("__key"), "left").drop("key", "__key").mapInArrow(_rewritten(drop_of), schema)
+        keyed = docs.withColumn(key, _row_key())
+        out = keyed.join(drops, F.col(key) == F.col(f"{key}_"), "left").select(*docs.columns, drop).mapInArrow(_rewritten(drop_of, names), schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
 
 

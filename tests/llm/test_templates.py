@@ -182,3 +182,25 @@ def test_leaf_left_over_is_merged_by_parts(spark, monkeypatch):
     named = {r.line: r.template for r in tp.parsed_lines(spark, spark.createDataFrame(rows, "leaf long, line long, codes binary")).collect()}
     assert len(named) == 66 and len({named[h] for _, h, _ in rows[:60]}) == 60 and len({named[h] for _, h, _ in rows[60:]}) < 4
     assert len(docs) == 66
+
+
+def test_rows_of_numbers_stay(spark):
+    rnd = random.Random(8)
+    number = lambda: rnd.choice([f"{rnd.randrange(10**6)}", f"2{rnd.randrange(10**3):03}-0{rnd.randrange(1, 9)}-11", f"{rnd.random():.4f}"])
+    table = lambda k: "\n".join([prose(rnd, 9), *(" ".join(number() for _ in range(6)) for _ in range(3)), f"total {number()} {number()} {number()}", f"seen by user{rnd.randrange(999)} at 1{k % 9}:00"])
+    docs = [(k, table(k)) for k in range(60)]
+    out = {r.doc_id: r.text for r in tp.dedupe_lines(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[k] == t.rpartition("\n")[0] for k, t in docs)
+
+
+@pytest.mark.parametrize("sent", [1 << 21, -1])
+def test_columns_of_any_name_are_kept(spark, monkeypatch, sent):
+    monkeypatch.setattr(tp, "MOST_SENT", sent)
+    names = ("key", "line", "at", "drop", "__drop", "__key", "n_dropped")
+    rows = [(i, t, *(f"{c}{i}" for c in names)) for i, t in made() if i < 100]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(3)
+    count = tp.free_name("n_dropped", docs.columns)
+    out = tp.dedupe_lines(spark, docs, count)
+    assert out.columns == [*docs.columns, "n_dropped_"] and tp.free_name("N", ["n", "n_"]) == "N__"
+    found = out.collect()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in names) and sum(r[count] for r in found) > 40

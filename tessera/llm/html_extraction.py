@@ -20,7 +20,9 @@ styles, titles, form fields and embedded media, drawings and frames hold no text
 
 Nulls and odd rows: a null or blank html has empty text; broken markup is read
 as far as it goes (unclosed elements end with their parent, scripts, styles,
-titles and text fields with the page, embedded ones at once); repeated rows are
+titles and text fields with the page, embedded ones at once; a tag whose quotes
+don't match ends at the next ">"); a page of any length is read in its task, in time
+in proportion to it, its nodes held at once; repeated rows are
 extracted alike; empty tables give no rows.  Only page_id, url and html are
 read.
 """
@@ -69,17 +71,18 @@ _HINT = {w: kind for kind, ws in reversed(HINTS.items()) for w in ws.split()}
 _ABOUT_OTHERS = set("with without has have no not is hide show in on off for to under over after before".split())
 _SCREENS = set("xs sm md lg xl print mobile desktop tablet phone".split())
 #: Comments, and elements of raw text, run to the end of the page if unclosed.
-_RAW = r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+_RAW = r"<!--.*?(?:-->|(?P<open_comment>\Z))|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|(?P<open_raw>\Z))"
 #: Elements that hold no text of the page; of an unclosed one only the tag goes.
-_EMBEDDED = r"(noscript|template|svg|iframe|object|select|audio|video|canvas)(?=[\s/>])([^>]*)>"
+_EMBEDDED = r"(?P<embedded>noscript|template|svg|iframe|object|select|audio|video|canvas)(?=[\s/>])(?P<its>[^>]*)>"
 _EMBEDDED_TAG = re.compile(r"</?" + _EMBEDDED, re.I)
-_NESTING = re.compile(_RAW + r"|<(/?)" + _EMBEDDED, re.S | re.I)
-_TOKEN = re.compile(
-    _RAW + r"|<" + _EMBEDDED + r"|<[!?][^>]*>"
-    r"|</([a-zA-Z][^\s>/]*)[^>]*>"
-    r"|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
+_NESTING = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>|<(?P<end>/?)" + _EMBEDDED, re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "textarea", "title")}
+#: What begins a tag; an opening tag's attributes are read from there on.
+_TOKEN = re.compile(_RAW + r"|<" + _EMBEDDED + r"|<[!?][^>]*>|</(?P<closed>[a-zA-Z][^\s>/]*)[^>]*>|<(?P<opened>[a-zA-Z][^\s>/]*)", re.S | re.I)
+#: Attributes up to the tag's end, which may stand in quotes.
+_ATTRIBUTES = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
+#: Tags with unmatched quotes after which a page's quotes are no longer heeded: each is looked for up to the page's end.
+MISQUOTED = 16
 _ATTRIBUTE = re.compile(r"(?<![-\w])(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -129,20 +132,21 @@ def _embedded(page: str) -> dict[int, int]:
     ends: dict[int, int] = {}
     opened: list[tuple[str, int]] = []
     n_open: Counter[str] = Counter()
-    if not _EMBEDDED_TAG.search(page):
+    at, limit = 0, page.rfind(">") + 1
+    if not _EMBEDDED_TAG.search(page, 0, limit):
         return ends
-    at = 0
-    while m := _NESTING.search(page, at):
+    # Behind the last ">" no tag ends, so that none is looked for in vain.
+    while m := _NESTING.search(page, at, limit):
         at = m.end()
-        if m.group(1) and n_open["svg"]:
+        if m["raw"]:
             # Inside SVG, a title or style may close itself.
-            tag_end = page.index(">", m.start()) + 1
-            if page[tag_end - 2] == "/":
-                at = tag_end
-        elif m.group(3):
-            tag = m.group(3).lower()
-            if not m.group(2):
-                if not (tag == "svg" and m.group(4).endswith("/")):
+            if not (n_open["svg"] and page[at - 2] == "/"):
+                closing = _RAW_END[m["raw"].lower()].search(page, at, limit)
+                at = closing.end() if closing else limit
+        elif m["embedded"]:
+            tag = m["embedded"].lower()
+            if not m["end"]:
+                if not (tag == "svg" and m["its"].endswith("/")):
                     opened.append((tag, m.start()))
                     n_open[tag] += 1
             elif n_open[tag]:
@@ -175,16 +179,22 @@ def parse(page: str) -> list[Node]:
         del stack[depth:]
 
     embedded = _embedded(page)
-    at = 0
-    while m := _TOKEN.search(page, at):
+    at, end, misquoted = 0, page.rfind(">") + 1, 0
+    while m := _TOKEN.search(page, at, end):
         if m.start() > at:
             piece = page[at : m.start()]
             run.append(piece)
             if inside_link:
                 linked += len(piece.strip())
-        at = embedded.get(m.start(), m.end()) if m.group(2) else m.end()
-        opened, closed = m.group(5), m.group(4)
+        at = embedded.get(m.start(), m.end()) if m["embedded"] else m.end()
+        if m["open_comment"] is not None or m["open_raw"] is not None:
+            at = len(page)
+        opened, closed = m["opened"], m["closed"]
         if opened:
+            quoted = _ATTRIBUTES.match(page, at, end) if misquoted < MISQUOTED else None
+            misquoted += quoted is None
+            attributes = quoted[1] if quoted else page[at : page.index(">", at)]
+            at += len(attributes) + 1
             tag = opened.lower()
             if tag == "a":
                 inside_link = 1
@@ -203,7 +213,7 @@ def parse(page: str) -> list[Node]:
                             break
                 elif (nodes[stack[-1]].tag == "p" and tag not in ("button", "label", "caption", "legend", "optgroup")) or (tag[0] == "h" and nodes[stack[-1]].tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
                     pop_to(len(stack) - 1)
-                hint, label = _hint(m.group(6) or "")
+                hint, label = _hint(attributes)
                 nodes.append(Node(tag, stack[-1], hint, nodes[stack[-1]].label if label is None else label))
                 stack.append(len(nodes) - 1)
         elif closed:
@@ -217,8 +227,7 @@ def parse(page: str) -> list[Node]:
                         pop_to(k)
                         inside_link = 0
                         break
-    if at < len(page):
-        run.append(page[at:])
+    run.append(page[at:].partition("<!--")[0])
     pop_to(1)
     for k in range(len(nodes) - 1, 0, -1):
         node = nodes[k]
@@ -360,6 +369,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
     def some(kind: str) -> str:
         name = pick(HINTS[kind].split())
         more = f" {pick(others)}" if rnd.random() < 0.15 else ""
+        if kind != "main" and rnd.random() < 0.08:
+            name += f"-{pick(HINTS['main'].split())}"
         return f"{pick(['id', 'class', 'class'])}=\"{pick(['', word() + ' ', word() + '-'])}{name}{pick(['', ' ' + word(), '-' + word()])}{more}\""
 
     def box(tag: str, kind: str, inner: str) -> str:
@@ -397,8 +408,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
             return "<ul>" + "".join(f"<li>{pick([sentence(), words(2, 7)])}</li>" for _ in range(rnd.randrange(2, 6))) + "</ul>"
         if r < 0.94:
             return f"<blockquote><p>{prose()}</p></blockquote>"
-        if r < 0.97:
+        if r < 0.96:
             return f"<pre>{words(5, 30)}</pre>"
+        if r < 0.98:
+            return f"<figure><img src='/x.png'><figcaption>{pick([words(2, 9), sentence()])}</figcaption></figure>"
         return "<table>" + "".join(f"<tr><td>{word()}<td>{words(1, 4)}</tr>" for _ in range(3)) + "</table>"
 
     def wrapped(inner: str, p: float) -> str:
@@ -407,8 +420,22 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
                 inner = f"<{(t := pick(['div', 'div', 'div', 'section']))}{pick(['', '', f' class={word()}', f' class={chr(34)}{word()} {word()}{chr(34)}', ' ' + some('main')])}>{inner}</{t}>"
         return inner
 
+    def opening() -> str:
+        title = f"<h1>{words(2, 12)}</h1>"
+        if rnd.random() < 0.75:
+            return title
+        byline = pick(["", f"<p{pick(['', ' class=byline', ' class=meta'])}>{words(2, 6)}</p>"])
+        return f"<header{pick(['', '', ' class=' + pick(['entry-header', 'post-header', 'article-header', 'title'])])}>{title}{byline}</header>"
+
+    def bare() -> str:
+        return pick(["<br><br>", "<br>", "<br /><br />", " <hr> "]).join(prose() for _ in range(pick([1, 2, 3, 5, 9])))
+
     def article() -> str:
-        body = [f"<h1>{words(2, 12)}</h1>"] * (rnd.random() < 0.85) + [paragraph() for _ in range(pick([1, 1, 2, 2, 3, 4, 6, 9, 14, 25]))]
+        body = [opening()] * (rnd.random() < 0.85) + [paragraph() for _ in range(pick([1, 1, 2, 2, 3, 4, 6, 9, 14, 25]))]
+        if rnd.random() < 0.2:
+            body = [*body[: rnd.randrange(2)], bare()]
+            for _ in range(pick([0, 0, 1, 3])):
+                body += [paragraph(), bare()]
         if rnd.random() < 0.4:
             for _ in range(pick([1, 1, 2])):
                 body.insert(rnd.randrange(len(body) + 1), boilerplate[pick(["ad", "share", "share", "side", "notice", "form"])]())
@@ -427,9 +454,15 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
+        if rnd.random() < 0.08:  # nothing but the article, with little markup
+            inner = pick([bare, bare, lambda: opening() + bare(), lambda: "".join(paragraph() for _ in range(4))])()
+            pages.append(pick([f'<body data-y="1">{inner}', f'<{(t := pick(["div", "div", "main", "section"]))} {some("main")} data-y="1">{inner}</{t}>']))
+            continue
         core = made(["side", "ad"], 0.25) + article() + made(["ad", "share", "comment", "form"], 0.3) + made(["side"], 0.35)
         for _ in range(pick([0, 0, 1, 2])):
             core = f'<{pick(["div", "div", "main"])}{pick(["", f" class={chr(34)}{word()}{chr(34)}", " " + some("main")])}>{core}</div>'
+        if rnd.random() < 0.1:
+            core = f'<table><tr><td {some(pick(["menu", "side"]))} data-y="0">{pick([menu(), "<br>".join(link(1, 3) for _ in range(pick([1, 2, 3, 5])))])}</td><td{pick(["", " " + some("main")])}>{core}</td></tr></table>'
         body = made(["notice"], 0.3) + made(["head"], 0.5) + made(["menu", "ad"], 0.6) + core + made(["notice", "form"], 0.2) + made(["foot"], 0.85)
         pages.append(f'<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head><body data-y="0">{body}' + pick(["</body></html>", "</body></html>", ""]))
     return pages

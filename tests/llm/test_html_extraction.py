@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import pytest
 
@@ -147,3 +148,38 @@ def test_short_articles_stay_whole(model, main):
 def test_all_names_are_evidence():
     assert hx._hint("id=main class='with-sidebar'")[0] == ("main",) and hx._hint("class='page hidden-xs'")[0] == ("main",)
     assert hx._hint("class='content sidebar'")[0] == ("main", "side") and hx._hint("class=x")[0] == ("none",) and hx._hint("class=main hidden")[0] == ("unseen",)
+
+
+S = "The river rose for three days before anyone wrote it down. "
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=content>{S}<br><br>{S * 2}<br><br>{S}</div>", (S * 4).strip()),
+        (f"<body><div class=content>{S}<br><br>{S * 2}</div>", (S * 3).strip()),
+        (S * 3, (S * 3).strip()),
+        ("Just a few words", "Just a few words"),
+        (
+            f"<html><body><nav><a href=/>Home</a></nav><article><header><h1>A Big Title</h1><p class=byline>By Ann Other</p></header><figure><img src=x>"
+            f"<figcaption>The river at dawn</figcaption></figure><p>{S * 3}</p><p>{S}</p></article><footer>&copy; 2024 Us</footer></body></html>",
+            f"A Big Title\nBy Ann Other\nThe river at dawn\n{(S * 3).strip()}\n{S.strip()}",
+        ),
+        (f"<body><div class=login-story>Log in to read more.</div><article><h1>Title here</h1><p>{S * 2}</p></article>", f"Title here\n{(S * 2).strip()}"),
+        (f"<body><table><tr><td class=menu><a href=/a>Home</a><br><a href=/b>News</a></td><td class=content><h1>T it</h1><p>{S * 3}</p></td></tr></table>", f"T it\n{(S * 3).strip()}"),
+    ],
+)
+def test_layouts_with_little_markup(model, page, want):
+    assert model.text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<script x", '<a b="c" ', '<p title="', "<p \"'>'", "<!--x", "</p ", "<svg ", "<svg><title/>"])
+def test_unfinished_tags_take_linear_time(piece):
+    for end in ("", "'>"):
+        began = time.perf_counter()
+        hx.parse(piece * 30_000 + end)
+        assert time.perf_counter() - began < 10
+
+
+def test_mismatched_quotes_end_at_the_tag(model):
+    assert [n.text for n in hx.parse(f'<p title="x>{S}</p><p>more') if n.text] == [S.strip(), "more"]

@@ -77,6 +77,23 @@ def metric(name: str | Metric) -> Metric:
     return METRICS[name]
 
 
+SET_METRICS: dict[str, Metric] = {
+    "jaccard": set_jaccard,
+    "jaccard0": lambda a, b: set_jaccard(a, b, 0.0),
+    "gjaccard": lambda a, b: 1 - F.size(F.array_intersect(a, b)) / (F.size(F.array_union(a, b)) + EPS),
+    "hamming": lambda a, b: F.size(F.array_union(a, b)) - F.size(F.array_intersect(a, b)),
+}
+
+
+def set_metric(name: str | Metric) -> Metric:
+    """The metric of that name between sparse vectors given as arrays of their distinct active cells, or the callable itself."""
+    if callable(name):
+        return name
+    if name not in SET_METRICS:
+        raise ValueError(f"unknown metric of sets {name!r}; known: {', '.join(SET_METRICS)}")
+    return SET_METRICS[name]
+
+
 def _added(a: np.ndarray, b: np.ndarray, term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Sums of a term over entries, one entry after the other as the expressions above have it, for all rows of a and b."""
     total = np.zeros((len(a), len(b)))

@@ -1,7 +1,8 @@
 """Clustering around members: k-medoids in two forms, exact medoids, autoscaling, DBSCAN codebooks.
 
 All work on distinct weighted subvectors, which on sparse rasters are few.
-Distances within a cluster are sums over pairs of distinct members.
+Medoids are found by bounds from the members measured so far, density
+neighbourhoods by an index of prefixes.
 """
 
 from __future__ import annotations
@@ -9,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Metric, metric
+from ..functions.metrics import Metric, metric, set_metric
 from .lineage import cut
+from .neighbours import near_sets
 from .quantize import assign, distinct_subvectors, spread_centroids, updated_centroids
 
+#: Metrics that keep the triangle inequality, of vectors without negative entries where they are Jaccard metrics.
+TRIANGLE = ("l2", "hamming", "jaccard", "jaccard0", "gjaccard", "weighted_jaccard")
+#: Members measured in the first round of a search for medoids, how they grow, and in any; relative slack of bounds against rounding.
+FIRST_PIVOTS, GROWTH, MOST_PIVOTS, SLACK = 8, 1.25, 512, 1e-8
+
 
 def autoscale(sub: DataFrame) -> DataFrame:
     """Each column of each subspace to mean 0 and population deviation 1; constant columns become 0."""
@@ -40,16 +47,63 @@ def snapped(assigned: DataFrame, centers: DataFrame, by: str | Metric = "l2") ->
     return centers.join(near, ["m", "k"], "left").select("m", "k", F.coalesce("member", "centroid").alias("centroid"))
 
 
-def summed_medoids(members: DataFrame, by: str | Metric, skip_self: bool = True) -> DataFrame:
+def _all_pairs(members: DataFrame, to: Metric, skip_self: bool) -> DataFrame:
+    """(m, k, sv, total) of every member, by all pairs of a cluster's distinct members."""
+    a = members.select("m", "k", F.col("sv").alias("a"))
+    b = members.select("m", "k", F.col("sv").alias("b"), F.col("n").alias("nb"))
+    times = F.when(F.col("a") == F.col("b"), F.col("nb") - (1 if skip_self else 0)).otherwise(F.col("nb"))
+    total = a.join(b, ["m", "k"]).groupBy("m", "k", "a").agg(F.sum(to(F.col("a"), F.col("b")) * times).alias("total"))
+    return total.withColumnRenamed("a", "sv")
+
+
+def _best(totals: DataFrame) -> DataFrame:
+    return totals.groupBy("m", "k").agg(F.min_by("sv", F.struct(F.round("total", 9), "sv")).alias("centroid"), F.min(F.round("total", 9)).alias("best"))
+
+
+def summed_medoids(members: DataFrame, by: str | Metric, skip_self: bool = True, sets: bool = False, first: int = FIRST_PIVOTS) -> DataFrame:
     """(m, k, centroid): the member with the least sum of distances to its cluster's members.
 
-    members is (m, k, sv, n), distinct subvectors with their counts; ties go to the lexicographically first.
+    members is (m, k, sv, n), distinct subvectors with their counts, or with `sets` sorted lists of cells; ties go to the
+    lexicographically first. Under a metric of TRIANGLE, members are measured in rounds: those measured are pivots,
+    and a member x of N in all has a sum of at least |N d(x, p) - sum(p)| for each pivot p. Members that cannot be
+    the best go; of the rest those with the least bounds come next, in the first round `first` of each cluster, then as many as the square root of
+    the most that are left in one, GROWTH times more each round at least and MOST_PIVOTS at most. Other metrics take
+    all pairs.
     """
-    a = members.select("m", "k", F.col("sv").alias("a"), F.col("n").alias("na"))
-    b = members.select("m", "k", F.col("sv").alias("b"), F.col("n").alias("nb"))
-    times = F.when(F.col("a") == F.col("b"), F.col("nb") - (1 if skip_self else 0)).otherwise(F.col("nb"))
-    total = a.join(b, ["m", "k"]).groupBy("m", "k", "a").agg(F.sum(metric(by)(F.col("a"), F.col("b")) * times).alias("total"))
-    return total.groupBy("m", "k").agg(F.min_by("a", F.struct(F.round("total", 9), "a")).alias("centroid"))
+    to = set_metric(by) if sets else metric(by)
+    if by not in TRIANGLE:
+        return _best(_all_pairs(members, to, skip_self)).drop("best")
+    return _best(measured_members(members, to, skip_self, first)).drop("best")
+
+
+def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, first: int = FIRST_PIVOTS) -> DataFrame:
+    """(m, k, sv, total) of the members that had to be measured to be sure of each cluster's best."""
+    own = to(F.col("sv"), F.col("sv"))
+    whole = Window.partitionBy("m", "k")
+    # bound: of the sum over all members, x itself n times; own corrects it where x counts once less.
+    size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
+    left = cut(members.join(size, ["m", "k"]).select("m", "k", "sv", "n", "size", F.lit(0.0).alias("bound"), F.lit(None).cast("double").alias("total"), (own if skip_self else F.lit(0.0)).alias("own")))
+    points, totals, count, least = left.select("m", "k", "sv", "n"), None, first, float(first)
+    while True:
+        # A group limit: each task ranks and keeps `count` members a cluster before they are shuffled.
+        order = F.row_number().over(whole.orderBy("bound", F.xxhash64("sv"), "sv"))
+        pivots = cut(left.where("total is null").withColumn("at", order).where(F.col("at") <= count).select("m", "k", F.col("sv").alias("pivot"), "own"))
+        packed = pivots.groupBy("m", "k").agg(F.collect_list(F.struct("pivot", "own")).alias("pivots"))
+        measured = points.join(packed, ["m", "k"]).select("m", "k", "n", F.explode("pivots").alias("p"), "sv").select("m", "k", F.col("p.pivot").alias("pivot"), (to(F.col("p.pivot"), F.col("sv")) * F.col("n")).alias("d"))
+        sums = measured.groupBy("m", "k", "pivot").agg(F.sum("d").alias("s"))
+        sums = cut(sums.join(pivots, ["m", "k", "pivot"]).select("m", "k", F.col("pivot").alias("sv"), "s", (F.col("s") - F.col("own")).alias("total")))
+        totals = sums.select("m", "k", "sv", "total") if totals is None else cut(totals.unionByName(sums.select("m", "k", "sv", "total")))
+        best = _best(totals)
+        bounds = sums.groupBy("m", "k").agg(F.collect_list(F.struct(F.col("sv").alias("p"), "s")).alias("pivots"))
+        low = lambda p: F.abs(F.col("size") * to(F.col("sv"), p["p"]) - p["s"])
+        rest = left.join(sums.select("m", "k", "sv"), ["m", "k", "sv"], "left_anti").join(bounds, ["m", "k"], "left").join(best.select("m", "k", "best"), ["m", "k"])
+        rest = rest.withColumn("bound", F.greatest("bound", F.coalesce(F.array_max(F.transform("pivots", low)), F.lit(0.0))))
+        left = cut(rest.where(F.col("bound") - F.col("own") <= F.col("best") + SLACK * (F.col("size") + 1)).select("m", "k", "sv", "n", "size", "bound", "total", "own"))
+        most = left.groupBy("m", "k").count().agg(F.max("count")).first()[0]
+        if most is None:
+            return totals
+        least *= GROWTH
+        count = int(min(max(least, most**0.5), MOST_PIVOTS))
 
 
 def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str = "sum", max_steps: int = 50, seed: int = 0, scale: bool = False, start: str = "random") -> tuple[DataFrame, DataFrame]:
@@ -83,16 +137,22 @@ def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str =
 def core_points(points: DataFrame, eps: float, min_samples: int, by: str | Metric = "jaccard0") -> tuple[DataFrame, DataFrame]:
     """(pairs, cores) of distinct weighted points (m, sv, n).
 
-    pairs (m, a, b, d) are within eps, itself included; a core has min_samples points within eps.
-    Points are paired inside a subspace whose counts of active entries allow eps (Jaccard only).
+    pairs (m, a, b, nb, d) are within eps, itself included; a core has min_samples points within eps.
+    Jaccard pairs come from an index of prefixes of their active entries, those of other metrics from all pairs.
     """
-    size = lambda c: F.size(F.filter(c, lambda x: x != 0))
-    a = points.select("m", F.col("sv").alias("a"), size(F.col("sv")).alias("sa"))
-    b = points.select("m", F.col("sv").alias("b"), F.col("n").alias("nb"), size(F.col("sv")).alias("sb"))
-    joined = a.join(b, ["m"])
     if by in ("jaccard", "jaccard0"):
-        joined = joined.where(F.least("sa", "sb") >= (1 - eps) * F.greatest("sa", "sb") - 1e-9)
-    pairs = cut(joined.withColumn("d", metric(by)(F.col("a"), F.col("b"))).where(F.col("d") <= eps).select("m", "a", "b", "nb", "d"))
+        numbered = cut(points.withColumn("id", F.monotonically_increasing_id()))
+        active = lambda v: F.filter(F.transform(v, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+        found = cut(near_sets(numbered.select("id", "m", active(F.col("sv")).alias("cells")), eps))
+        of = lambda c, more: numbered.select(F.col("id").alias(c), F.col("sv").alias(f"sv_{c}"), *more)
+        both = found.unionByName(found.select("m", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+        itself = 1.0 if by == "jaccard" else 0.0
+        alone = numbered.select("m", F.col("sv").alias("a"), F.col("sv").alias("b"), F.col("n").alias("nb"), F.when(F.exists("sv", lambda x: x != 0), 0.0).otherwise(itself).alias("d")).where(F.col("d") <= eps)
+        named = both.join(of("a", []), "a").join(of("b", [F.col("n").alias("nb")]), "b").select("m", F.col("sv_a").alias("a"), F.col("sv_b").alias("b"), "nb", "d")
+        pairs = cut(named.unionByName(alone))
+    else:
+        a, b = points.select("m", F.col("sv").alias("a")), points.select("m", F.col("sv").alias("b"), F.col("n").alias("nb"))
+        pairs = cut(a.join(b, ["m"]).withColumn("d", metric(by)(F.col("a"), F.col("b"))).where(F.col("d") <= eps).select("m", "a", "b", "nb", "d"))
     cores = pairs.groupBy("m", "a").agg(F.sum("nb").alias("near")).where(F.col("near") >= min_samples).select("m", F.col("a").alias("sv"), "near")
     return pairs, cores
 

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import ROW_METRICS, Metric, metric
+from ..functions.metrics import ROW_METRICS, Metric, l2_squared, metric
 from ..functions.vectors import subvectors, width
 from .lineage import cut
 
@@ -27,6 +26,8 @@ Aggregate = Callable[[Column], Column]
 
 #: Bytes of a codebook up to which it is broadcast; larger ones are joined on m.
 BROADCAST_BYTES = 64 << 20
+#: Of a k-means|| start: rounds of draws, and steps of the clustering of what they drew.
+ROUNDS, RECLUSTER_STEPS = 5, 5
 
 
 def distinct_subvectors(sub: DataFrame) -> DataFrame:
@@ -64,19 +65,22 @@ def first_centroids(sub: DataFrame, ks: int) -> DataFrame:
     return few.withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < ks).select("m", "k", F.col("sv").alias("centroid"))
 
 
-def spread_centroids(sub: DataFrame, ks: int, seed: int = 0, by: str | Metric = "l2sq") -> DataFrame:
+def spread_centroids(sub: DataFrame, ks: int, seed: int = 0, by: str | Metric = "l2sq", parts: int | None = None) -> DataFrame:
     """k-means++ start: each next centroid is drawn with probability proportional to its squared distance.
 
     With another metric than "l2sq" its value is squared: the start of k-medoids++.
 
-    One weighted draw per step and subspace, by the largest log(u) / weight with hash-seeded u.
+    One weighted draw per step and subspace, by the largest log(u) / weight with hash-seeded u: `ks` steps one after
+    the other, for which parallel_centroids needs a few. With `parts`, subspaces m + r parts draw like subspace m
+    under the seed `seed` + ks r.
     """
+    own, restart = (F.col("m"), F.lit(0)) if parts is None else ((F.col("m") % parts).cast("int"), F.floor(F.col("m") / parts))
     points = cut(distinct_subvectors(sub))
     distance = metric(by)
     squared = distance if by == "l2sq" else lambda a, b: distance(a, b) * distance(a, b)
     chosen = None
     for step in range(ks):
-        u = (F.pmod(F.xxhash64("m", "sv", F.lit(seed + step)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+        u = (F.pmod(F.xxhash64(own, "sv", (restart * ks + seed + step).cast("int")), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
         if chosen is None:
             weighed = points.withColumn("w", F.col("n").cast("double"))
         else:
@@ -90,6 +94,73 @@ def spread_centroids(sub: DataFrame, ks: int, seed: int = 0, by: str | Metric =
     return chosen
 
 
+def oversampled(sub: DataFrame, ks: int, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """(m, c, sv, weight): candidates for centroids of each subspace, c their smallest vec_id, weight the vectors nearest to them.
+
+    The first is one distinct subvector a subspace, the one of least draw. In each of `rounds` rounds every subvector
+    becomes a candidate with probability 2 ks times its share of the summed squared distances to the candidates so
+    far; about 2 ks a round do, whatever the data. A round measures the new candidates only, and keeps the
+    nearest so far. Draws are hashes of seed, round, subspace and vec_id. Ties go to the smallest c.
+    """
+    points = cut(sub.groupBy("m", "sv").agg(F.count("*").alias("n"), F.min("vec_id").alias("c")))
+    draw = lambda r: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(r)), "m", "c").cast("binary")), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+    new = cut(points.groupBy("m").agg(F.min_by(F.struct("c", "sv"), F.struct(draw(0), "c")).alias("first")).select("m", "first.c", "first.sv"))
+    found, near = new, None
+    for r in range(1, rounds + 2):
+        # Centroids of a block are few beside the subvectors, which are only read.
+        least = assign(points, new.select("m", F.col("c").alias("k"), F.col("sv").alias("centroid"))) if near is None else _nearer(near, new)
+        near = cut(least.select("m", "sv", "n", "c", F.col("k").alias("at"), "d"))
+        if r > rounds:
+            break
+        total = near.groupBy("m").agg(F.sum(F.col("n") * F.col("d")).alias("total"))
+        chance = 2.0 * ks * F.col("n") * F.col("d") / F.col("total")
+        new = cut(near.join(F.broadcast(total), "m").where((F.col("total") > 0) & (draw(r) < chance)).select("m", "c", "sv"))
+        found = found.unionByName(new)
+    weights = near.groupBy("m", F.col("at").alias("c")).agg(F.sum("n").alias("weight"))
+    return found.join(weights, ["m", "c"])
+
+
+def _nearer(near: DataFrame, new: DataFrame) -> DataFrame:
+    """near (m, sv, n, c, at, d) as (..., k, d) with the new candidates where they are nearer."""
+    book = _book(new.select("m", F.col("c").alias("k"), F.col("sv").alias("centroid")))
+    to = lambda x: F.struct(l2_squared(F.col("sv"), x["centroid"]).alias("d"), x["k"].alias("k"))
+    joined = near.join(F.broadcast(book) if book_bytes(new.withColumnRenamed("sv", "centroid")) <= BROADCAST_BYTES else book, "m", "left")
+    best = F.least(F.struct("d", F.col("at").alias("k")), F.array_min(F.transform("book", to)))
+    return joined.withColumn("best", best).select("m", "sv", "n", "c", F.col("best.k").alias("k"), F.col("best.d").alias("d"))
+
+
+def _reclustered(ks: int, seed: int) -> Callable[[pa.Table], pa.Table]:
+    """At most ks centroids from the weighted candidates of one subspace: drawn by squared distance, then a few weighted means."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("c").combine_chunks()
+        m, w = rows["m"][0].as_py(), rows["weight"].to_numpy().astype(float)
+        x = rows["sv"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1)
+        rng = np.random.default_rng([seed, m])
+        chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+        far = ((x - x[chosen[0]]) ** 2).sum(1)
+        while len(chosen) < ks and (far * w).max() > 0:
+            chosen.append(int(rng.choice(len(x), p=far * w / (far * w).sum())))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+        c = x[chosen].copy()
+        for _ in range(RECLUSTER_STEPS):
+            square = (c * c).sum(1)
+            near = np.concatenate([(square - 2 * x[i : i + 1024] @ c.T).argmin(1) for i in range(0, len(x), 1024)])
+            total = np.bincount(near, w, len(c))
+            for j in range(x.shape[1]):
+                c[:, j] = np.where(total > 0, np.bincount(near, w * x[:, j], len(c)) / np.where(total > 0, total, 1), c[:, j])
+        c = np.unique(c, axis=0)
+        return pa.table({"m": pa.array([m] * len(c), pa.int32()), "k": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(list(c), pa.list_(pa.float64()))})
+
+    return run
+
+
+def parallel_centroids(sub: DataFrame, ks: int, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """k-means|| start: `rounds` rounds of oversampling, whatever ks, then the candidates of a subspace, about 2 ks x rounds, clustered in one task."""
+    candidates = oversampled(sub, ks, seed, rounds).select(F.col("m").cast("int").alias("m"), "c", "sv", F.col("weight").cast("double").alias("weight"))
+    return cut(candidates.groupBy("m").applyInArrow(_reclustered(ks, seed), "m int, k int, centroid array<double>"))
+
+
 def _book(codebook: DataFrame) -> DataFrame:
     return codebook.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("k", "centroid"))).alias("book"))
 
@@ -179,17 +250,19 @@ def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_st
 def train_restarted(sub: DataFrame, ks: int, restarts: int = 10, seed: int = 42, max_steps: int = 500, empty: str = "farthest") -> Training:
     """The best of several k-means trainings: per subspace the codebook with the least summed squared distance (ties: the earliest).
 
-    Each training starts from k-means++ centroids of its own seed.
+    Each training starts from k-means++ centroids of its own seed, seed + ks r. All run as one: a restart's subspaces
+    are subspaces of their own, so that the number of Spark jobs does not grow with the restarts.
     """
     if restarts < 1:
         raise ValueError(f"restarts must be at least 1, got {restarts}")
-    done = [train(sub, spread_centroids(sub, ks, seed + ks * r), "l2sq", max_steps, empty) for r in range(restarts)]
-    # One row a restart and subspace, and one a restart and centroid: codebooks are small beside the vectors.
-    each = [t.codes.groupBy("m").agg(F.sum("d").alias("total")).withColumn("r", F.lit(r)) for r, t in enumerate(done)]
-    best = reduce(DataFrame.unionByName, each).groupBy("m").agg(F.min_by("r", F.struct(F.round("total", 9), "r")).alias("r"))
-    books = reduce(DataFrame.unionByName, [t.codebook.withColumn("r", F.lit(r)) for r, t in enumerate(done)])
-    book = cut(books.join(best, ["m", "r"]).select("m", "k", "centroid"))
-    return Training(book, assign(sub, book), max(t.steps for t in done), all(t.converged for t in done))
+    parts = (sub.agg(F.max("m")).first()[0] or 0) + 1
+    each = sub.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))).withColumn("m", (F.col("m") + F.col("r") * parts).cast("int")).drop("r")
+    done = train(each, spread_centroids(each, ks, seed, parts=parts), "l2sq", max_steps, empty)
+    real, restart = (F.col("m") % parts).cast("int"), F.floor(F.col("m") / parts).cast("int")
+    totals = done.codes.groupBy("m").agg(F.sum("d").alias("total")).select(real.alias("m"), restart.alias("r"), "total")
+    best = totals.groupBy("m").agg(F.min_by("r", F.struct(F.round("total", 9), "r")).alias("r"))
+    book = cut(done.codebook.select(real.alias("m"), restart.alias("r"), "k", "centroid").join(best, ["m", "r"]).select("m", "k", "centroid"))
+    return Training(book, assign(sub, book), done.steps, done.converged)
 
 
 def packed_codes(codes: DataFrame, key: str = "vec_id") -> DataFrame:

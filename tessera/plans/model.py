@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import metric
 from ..functions.vectors import subvectors, zorder_cells, zorder_dense
+from ..operators import sparse
 from ..operators.medoids import dbscan_codebook, kmedoids
-from ..operators.quantize import book_bytes, encode, first_centroids, spread_centroids, train, train_restarted
+from ..operators.quantize import book_bytes, encode, first_centroids, parallel_centroids, spread_centroids, train, train_restarted
 from ..operators.search import adc_topk, hamming_topk, lookup_tables, packed_tables
 
 
@@ -22,8 +23,8 @@ MOST_LITERAL_BYTES = 4 << 20
 class PQModel:
     """Codebooks of `parts` subspaces with up to `ks` centroids each.
 
-    `method` is kmeans (start "first" or "k-means++", of which the best of
-    `restarts`), kmedoids (start "first", which is a hash order, or "k-medoids++")
+    `method` is kmeans (start "first", "k-means||" or "k-means++", of which the best
+    of `restarts`), kmedoids (start "first", which is a hash order, or "k-medoids++")
     or dbscan; `by` names the metric of training, and `zorder` permutes square
     grids first.
     """
@@ -55,15 +56,15 @@ class PQModel:
         metric(self.by)
         sub = self._sub(vectors)
         if self.method == "kmeans":
-            if self.start not in ("first", "k-means++"):
+            if self.start not in ("first", "k-means||", "k-means++"):
                 raise ValueError(f"unknown start {self.start!r}")
             if self.restarts > 1:
                 if self.start != "k-means++" or self.by != "l2sq":
                     raise ValueError("restarts are for k-means++ starts and the metric l2sq")
                 done = train_restarted(sub, self.ks, self.restarts, self.seed, self.max_steps)
             else:
-                book = first_centroids(sub, self.ks) if self.start == "first" else spread_centroids(sub, self.ks, self.seed)
-                done = train(sub, book, self.by, self.max_steps)
+                start = {"first": first_centroids, "k-means||": lambda sub, ks: parallel_centroids(sub, ks, self.seed), "k-means++": lambda sub, ks: spread_centroids(sub, ks, self.seed)}
+                done = train(sub, start[self.start](sub, self.ks), self.by, self.max_steps)
             self.codebook, self.converged = done.codebook, done.converged
         elif self.method == "kmedoids":
             self.codebook, _ = kmedoids(sub, self.ks, self.by, max_steps=self.max_steps, seed=self.seed, start="random" if self.start == "first" else self.start)
@@ -128,3 +129,45 @@ class PQModel:
         row = spark.read.parquet(f"{path}/model").first().asDict()
         book = spark.read.parquet(f"{path}/codebook").select("m", "k", "centroid")
         return cls(**row, codebook=book)
+
+
+@dataclass
+class SparsePQModel:
+    """Codebooks of `parts` subspaces of sparse binary vectors (vec_id, cells), which are never made dense.
+
+    `by` is a metric of sets, whose centroids are medoids, or l2sq, whose centroids are
+    means with their cells' shares; training starts from the first `ks` subsets.
+    """
+
+    dimension: int
+    parts: int = 4
+    ks: int = 256
+    by: str = "jaccard0"
+    max_steps: int = 50
+    codebook: DataFrame | None = None
+    converged: bool = False
+
+    def fit(self, vectors: DataFrame) -> SparsePQModel:
+        self.codebook, self.converged = sparse.train_sets(sparse.subsets(vectors, self.parts, self.dimension), self.ks, self.by, self.max_steps)
+        return self
+
+    def _book(self) -> DataFrame:
+        if self.codebook is None:
+            raise ValueError("the model is not fitted")
+        return self.codebook
+
+    def encode(self, vectors: DataFrame) -> DataFrame:
+        """(vec_id, codes)."""
+        return sparse.encode_sets(vectors, self._book(), self.parts, self.dimension, self.by)
+
+    def tables(self, queries: DataFrame, by: str | None = None) -> DataFrame:
+        """(qid, lut) of queries (qid, cells)."""
+        return sparse.set_tables(queries, self._book(), self.parts, self.dimension, by or self.by)
+
+    def search(self, codes: DataFrame, queries: DataFrame, k: int, mode: str = "adc", by: str | None = None) -> DataFrame:
+        """(qid, rank, vec_id, dist) of the k nearest codes, by lookup tables or by Hamming distance of codes."""
+        if mode == "adc":
+            return adc_topk(codes, self.tables(queries, by), k)
+        if mode == "hamming":
+            return hamming_topk(codes, sparse.encode_sets(queries, self._book(), self.parts, self.dimension, self.by, "qid"), k)
+        raise ValueError(f"unknown mode {mode!r}")

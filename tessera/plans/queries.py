@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as mt
 from ..functions import vectors as vc
-from ..operators import descriptors, evaluate, medoids, profile, search
+from ..operators import descriptors, evaluate, medoids, profile, search, sparse
 from ..operators import quantize as qz
 from ..operators.lineage import cut
-from .model import PQModel
+from .model import PQModel, SparsePQModel
 
 DIM, PARTS, KS, TOP, STEP = 64, 8, 16, 10, 50
 
@@ -353,6 +353,59 @@ def model_search_2iter(spark, sf):
     return shown(model.search(model.encode(vectors), as_queries(vectors), TOP))
 
 
+PARCEL, PARCEL_PARTS = 42 * 42, 12
+
+
+def parcel_queries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The parcels with sorted cells, and those with an id divisible by 50 as queries."""
+    vectors = cut(parcels(spark, sf).select("vec_id", F.array_sort("cells").alias("cells")))
+    return vectors, vectors.where(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("qid"), "cells")
+
+
+def sparse_adc_topk(spark, sf):
+    """Search by lookup tables over codes of sparse rasters, from the first distinct subsets of each subspace."""
+    vectors, queries = parcel_queries(spark, sf)
+    book = cut(sparse.first_sets(sparse.subsets(vectors, PARCEL_PARTS, PARCEL), KS))
+    codes = sparse.encode_sets(vectors, book, PARCEL_PARTS, PARCEL, "jaccard")
+    return shown(search.adc_topk(codes, sparse.set_tables(queries, book, PARCEL_PARTS, PARCEL, "jaccard"), TOP))
+
+
+def sparse_kmedoids_step(spark, sf):
+    """The medoids of the clusters around the first distinct subsets of sparse rasters, one row per cell."""
+    sub = sparse.subsets(parcel_queries(spark, sf)[0], PARCEL_PARTS, PARCEL)
+    found = cut(sparse.assign_sets(sparse.distinct_subsets(sub), cut(sparse.first_sets(sub, KS)), "jaccard0"))
+    book = medoids.summed_medoids(found.select("m", "k", F.col("cells").alias("sv"), "n"), "jaccard0", sets=True)
+    return book.select("m", "k", F.explode_outer("centroid").alias("cell"))
+
+
+def sparse_means_step(spark, sf):
+    """The means of the clusters around the first distinct subsets of sparse rasters, one row per cell."""
+    sub = sparse.subsets(parcel_queries(spark, sf)[0], PARCEL_PARTS, PARCEL)
+    book = cut(sparse.first_sets(sub, KS))
+    means = sparse.updated_means(cut(sparse.assign_sets(sparse.distinct_subsets(sub), book, "l2sq")), book)
+    return means.select("m", "k", F.explode(F.arrays_zip("cells", "weights")).alias("e")).select("m", "k", F.col("e.cells").alias("cell"), rounded("e.weights").alias("weight"))
+
+
+def sparse_model_search(spark, sf):
+    """Sparse rasters through the model's interface, trained until its medoids stay."""
+    vectors, queries = parcel_queries(spark, sf)
+    model = SparsePQModel(PARCEL, parts=4, ks=8).fit(vectors)
+    if not model.converged:
+        raise RuntimeError("the model's training has not converged")
+    return shown(model.search(model.encode(vectors), queries, TOP))
+
+
+def kmeans_parallel_candidates(spark, sf):
+    """The weighted candidates that a k-means|| start draws."""
+    return qz.oversampled(subs(spark, sf), KS).select("m", F.col("c").alias("vec_id"), "weight")
+
+
+def kmeans_parallel_error(spark, sf):
+    """Mean distance to the centroids of a k-means|| start."""
+    sub = subs(spark, sf)
+    return qz.quantization_error(qz.assign(sub, qz.parallel_centroids(sub, KS))).select("m", rounded("error").alias("error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -362,6 +415,7 @@ QUERIES = {
         subvector_zero_profile, sparse_cells, sparse_parts, dense_again, zorder_permutation, zorder_sparse, autoscale, kmedoid_snap, exact_medoid,
         dbscan_core_points, dbscan_codebook, kmeans_converged, kmedoids_jaccard, fix_dimension, customer_adc_gjaccard, model_search, descriptors_8x8,
         descriptor_edges, descriptor_gradients, trained_recall, kmedoids_one_step, model_search_2iter,
+        sparse_adc_topk, sparse_kmedoids_step, sparse_means_step, sparse_model_search, kmeans_parallel_candidates, kmeans_parallel_error,
     )
 }
 
@@ -531,3 +585,62 @@ SQL = {
     "fix_dimension": f"WITH {DOUBLE} SELECT vec_id, CAST(80 AS INTEGER) AS n_long, CAST(48 AS INTEGER) AS n_short, round(list_sum(v), 6) AS sum_long, round(list_sum(v[1:48]), 6) AS sum_short FROM e",
     "customer_adc_gjaccard": f"{adc_sql(CUSTOMERS, 'gjaccard', 'gjaccard', 16, 4)} {TOP_OUT}",
 }
+
+# Sparse rasters: sets as lists of cells.
+OVERLAP = "len(list_intersect({a}, {b}))"
+SET_METRICS = {
+    "jaccard": "CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE 1 - " + f"{OVERLAP} / (len({{a}}) + len({{b}}) - {OVERLAP})::DOUBLE END",
+    "jaccard0": "CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE 1 - " + f"{OVERLAP} / (len({{a}}) + len({{b}}) - {OVERLAP})::DOUBLE END",
+    "l2sq": f"(len({{a}}) + len({{b}}) - 2 * {OVERLAP})::DOUBLE",
+}
+SUBSETS = f"""WITH a AS (SELECT DISTINCT o_custkey AS vec_id, l_partkey % {PARCEL} AS cell FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+own AS (SELECT vec_id, cell // {PARCEL // PARCEL_PARTS} AS m, list(CAST(cell % {PARCEL // PARCEL_PARTS} AS INTEGER) ORDER BY cell) AS cells FROM a GROUP BY vec_id, m),
+sub AS MATERIALIZED (SELECT v.vec_id, CAST(t.m AS INTEGER) AS m, coalesce(own.cells, CAST([] AS INTEGER[])) AS cells FROM (SELECT DISTINCT vec_id FROM a) v CROSS JOIN range({PARCEL_PARTS}) t(m) LEFT JOIN own ON own.vec_id = v.vec_id AND own.m = t.m),
+points AS MATERIALIZED (SELECT m, cells, count(*) AS n FROM sub GROUP BY m, cells),
+book AS MATERIALIZED (SELECT m, CAST(k AS INTEGER) AS k, cells AS c FROM (SELECT m, cells, row_number() OVER (PARTITION BY m ORDER BY list_transform(cells, lambda x: -x)) - 1 AS k FROM points) WHERE k < {KS})"""
+
+
+def set_dist(by: str, a: str, b: str) -> str:
+    return SET_METRICS[by].replace("{a}", a).replace("{b}", b)
+
+
+def nearest_set_sql(by: str) -> str:
+    """The points with their nearest centroid."""
+    return f"near AS MATERIALIZED (SELECT m, cells, n, best.k AS k FROM (SELECT p.m, p.cells, any_value(p.n) AS n, min({{'d': {set_dist(by, 'p.cells', 'b.c')}, 'k': b.k}}) AS best FROM points p JOIN book b ON b.m = p.m GROUP BY p.m, p.cells))"
+
+
+def candidates_sql(ks: int, rounds: int = qz.ROUNDS) -> str:
+    draw = lambda r: f"(CAST('0x' || substr(md5('0:{r}:' || m || ':' || c), 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE"
+    parts = [
+        f"WITH {sub_sql(DOUBLE)}, pts AS MATERIALIZED (SELECT m, sv, count(*) AS n, min(vec_id) AS c FROM sub GROUP BY m, sv)",
+        f"new0 AS MATERIALIZED (SELECT m, c, sv FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY {draw(0)}, c) AS r FROM pts) WHERE r = 1)",
+        f"near0 AS MATERIALIZED (SELECT p.*, f.c AS nearest, {dist_sql('l2sq', 'p.sv', 'f.sv')} AS d FROM pts p JOIN new0 f USING (m))",
+    ]
+    for r in range(1, rounds + 1):
+        parts.append(f"new{r} AS MATERIALIZED (SELECT m, c, sv FROM (SELECT *, sum(n * d) OVER (PARTITION BY m) AS total FROM near{r - 1}) WHERE total > 0 AND {draw(r)} < 2.0 * {ks} * n * d / total)")
+        best = f"SELECT p.m, p.c, min({{'d': {dist_sql('l2sq', 'p.sv', 'f.sv')}, 'k': f.c}}) AS best FROM near{r - 1} p JOIN new{r} f ON f.m = p.m GROUP BY p.m, p.c"
+        parts.append(f"near{r} AS MATERIALIZED (SELECT p.m, p.sv, p.n, p.c, CASE WHEN best < {{'d': p.d, 'k': p.nearest}} THEN best.k ELSE p.nearest END AS nearest, CASE WHEN best.d < p.d THEN best.d ELSE p.d END AS d FROM near{r - 1} p LEFT JOIN ({best}) b ON b.m = p.m AND b.c = p.c)")
+    return f"{', '.join(parts)} SELECT m, nearest AS vec_id, CAST(sum(n) AS BIGINT) AS weight FROM near{rounds} GROUP BY m, nearest"
+
+
+SQL |= {
+    "sparse_adc_topk": f"{SUBSETS}, {nearest_set_sql('jaccard')}, lut AS (SELECT s.vec_id AS qid, s.m, b.k, {set_dist('jaccard', 's.cells', 'b.c')} AS d FROM sub s JOIN book b ON b.m = s.m WHERE s.vec_id % {STEP} = 0),"
+    " found AS (SELECT s.vec_id, s.m, n.k FROM sub s JOIN near n ON n.m = s.m AND n.cells = s.cells), "
+    + top_sql("SELECT qid, vec_id, round(list_sum(list(l.d ORDER BY m)), 9) AS dist FROM found f JOIN lut l USING (m, k) GROUP BY qid, vec_id")
+    + f" {TOP_OUT}",
+    "sparse_kmedoids_step": f"{SUBSETS}, {nearest_set_sql('jaccard0')}, tot AS (SELECT a.m, a.k, a.cells, sum({set_dist('jaccard0', 'a.cells', 'b.cells')} * CASE WHEN a.cells = b.cells THEN b.n - 1 ELSE b.n END) AS t FROM near a JOIN near b ON a.m = b.m AND a.k = b.k GROUP BY a.m, a.k, a.cells),"
+    " med AS (SELECT m, k, cells FROM (SELECT *, row_number() OVER (PARTITION BY m, k ORDER BY round(t, 9), cells) AS r FROM tot) WHERE r = 1) SELECT m, k, unnest(cells) AS cell FROM med UNION ALL SELECT m, k, NULL FROM med WHERE len(cells) = 0",
+    "sparse_means_step": f"{SUBSETS}, {nearest_set_sql('l2sq')}, sizes AS (SELECT m, k, sum(n) AS size FROM near GROUP BY m, k), cell AS (SELECT m, k, cell, sum(n) AS n FROM (SELECT m, k, n, unnest(cells) AS cell FROM near) GROUP BY m, k, cell)"
+    " SELECT m, k, cell, round(n / size::DOUBLE, 6) AS weight FROM cell JOIN sizes USING (m, k)",
+    "kmeans_parallel_candidates": candidates_sql(KS),
+    "dbscan_codebook": f"WITH RECURSIVE {sub_sql(SIGNS)}, p AS MATERIALIZED (SELECT m, sv, count(*) AS n FROM sub GROUP BY m, sv),"
+    f" pairs AS MATERIALIZED (SELECT a.m, a.sv AS a, b.sv AS b, b.n AS nb FROM p a JOIN p b ON a.m = b.m WHERE {dist_sql('jaccard0', 'a.sv', 'b.sv')} <= 0.3),"
+    " cores AS MATERIALIZED (SELECT m, a AS sv FROM pairs GROUP BY m, a HAVING sum(nb) >= 5),"
+    " edges AS MATERIALIZED (SELECT e.m, e.a, e.b FROM pairs e JOIN cores x ON x.m = e.m AND x.sv = e.a JOIN cores y ON y.m = e.m AND y.sv = e.b),"
+    " reach AS (SELECT m, a, b FROM edges UNION SELECT r.m, r.a, e.b FROM reach r JOIN edges e ON e.m = r.m AND e.a = r.b),"
+    " label AS (SELECT m, a AS sv, min(b) AS label FROM reach GROUP BY m, a),"
+    " border AS (SELECT e.m, e.a AS sv, min(l.label) AS label FROM pairs e JOIN label l ON l.m = e.m AND l.sv = e.b GROUP BY e.m, e.a),"
+    " found AS MATERIALIZED (SELECT b.m, b.sv, p.n, CAST(dense_rank() OVER (PARTITION BY b.m ORDER BY label) - 1 AS INTEGER) AS k FROM border b JOIN p ON p.m = b.m AND p.sv = b.sv),"
+    f" tot AS (SELECT a.m, a.k, a.sv, sum({dist_sql('jaccard0', 'a.sv', 'b.sv')} * CASE WHEN a.sv = b.sv THEN b.n - 1 ELSE b.n END) AS t FROM found a JOIN found b ON a.m = b.m AND a.k = b.k GROUP BY a.m, a.k, a.sv),"
+    " med AS (SELECT m, k, sv AS c FROM (SELECT *, row_number() OVER (PARTITION BY m, k ORDER BY round(t, 9), sv) AS r FROM tot) WHERE r = 1 UNION ALL SELECT m, 0, min(sv) FROM p WHERE m NOT IN (SELECT m FROM found) GROUP BY m) " + entries_sql("med"),
+}

@@ -20,7 +20,7 @@ def shown(v):
     return f"[{','.join(map(shown, v))}]" if isinstance(v, list) else str(v)
 
 
-@pytest.mark.parametrize("name", ["adc_topk_l2", "hamming_topk", "recall_stats", "exact_medoid", "zorder_sparse", "dbscan_core_points", "descriptor_edges", "descriptor_gradients", "model_search_2iter", "kmedoids_one_step"])
+@pytest.mark.parametrize("name", ["adc_topk_l2", "hamming_topk", "recall_stats", "exact_medoid", "zorder_sparse", "dbscan_core_points", "descriptor_edges", "descriptor_gradients", "model_search_2iter", "kmedoids_one_step", "dbscan_codebook", "sparse_adc_topk", "sparse_kmedoids_step", "sparse_means_step", "kmeans_parallel_candidates"])
 def test_sql_agrees(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -38,7 +38,7 @@ def test_sql_names_are_queries():
 
 
 def test_entry_imports_without_llm(tmp_path):
-    for name in ("tessera", "__spark_entry__.py"):
+    for name in ("tessera", "__spark_entry__.py", "corpus_pipeline.py"):
         source = REPO / name
         shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'adc_topk_l2' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"

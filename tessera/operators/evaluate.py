@@ -38,6 +38,13 @@ def recall_stats(recalls: DataFrame) -> DataFrame:
     return recalls.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("mean_recall"), F.stddev_pop("recall").alias("sd_recall"))
 
 
+def latency_stats(found: DataFrame) -> DataFrame:
+    """One row from a timed search: queries, mean, median and 99th percentile (from a mergeable sketch) of their seconds."""
+    each = found.groupBy("qid").agg(F.first("seconds").alias("seconds"))
+    quantile = lambda q: F.percentile_approx("seconds", q, F.lit(10_000))
+    return each.agg(F.count("*").alias("n_queries"), F.avg("seconds").alias("mean_seconds"), quantile(0.5).alias("median_seconds"), quantile(0.99).alias("p99_seconds"))
+
+
 def histogram(values: DataFrame, column: str = "recall", bins: int = 20) -> DataFrame:
     """(bin, lo, hi, n) of equal bins between the data's ends, the last one closed; empty bins included.
 

@@ -1,13 +1,19 @@
 """Nearest-neighbour search over codes or vectors: lookup tables, Hamming, exact scans, top-k.
 
-Queries are a stated set; they are sent in blocks of bounded size and every
-task scans its rows once per block, keeping its k nearest per query, so no
-pair is shuffled that a task can rule out and codes are never joined to queries.
+Queries are a stated set.  While they have at most BLOCK_BYTES they are sent, and
+every task scans its rows once, keeping its k nearest per query, so no pair is
+shuffled that a task can rule out and codes are never joined to queries.  Larger
+sets meet the rows in a two-dimensional block join: query blocks by row blocks,
+each pair of blocks in one task, which returns the k nearest of its rows per query.
 Ties go to the smallest id.  Distances are rounded to DIGITS before ordering.
+
+With `timed`, tasks take the time that each query's scan of their rows takes, and
+results carry the sum per query as `seconds`: no driver or scheduling time is in it.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Metric, metric
+from ..functions.metrics import EPS, Metric, metric
 
-#: Bytes of lookup tables or query vectors that are sent at once.
+#: Bytes of lookup tables or query vectors that are sent, or stand in a block; bytes of rows in a block.
 BLOCK_BYTES = 32 << 20
+ROW_BLOCK_BYTES = 128 << 20
 DIGITS = 9
-NEAR = "qid long, vec_id long, dist double"
+NEAR = "qid long, vec_id long, dist double, seconds double"
 
 
 def lookup_tables(query_subvectors: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq") -> DataFrame:
@@ -35,17 +42,6 @@ def packed_tables(tables: DataFrame) -> DataFrame:
     return per.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "row"))), lambda e: e["row"]).alias("lut"))
 
 
-def _blocks(queries: DataFrame, bytes_each: int) -> Iterator[pa.Table]:
-    """The queries, dealt by hash to as many blocks as their size needs."""
-    count = queries.count()
-    blocks = max(1, -(-count * bytes_each // BLOCK_BYTES))
-    for k in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
-        table = part.toArrow()
-        if table.num_rows:
-            yield table
-
-
 def nearest_rows(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Row numbers of the k smallest distances, ties by id."""
     if len(dist) > 4 * k:
@@ -55,37 +51,80 @@ def nearest_rows(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, dist))[:k]
 
 
-def _scan(rows: DataFrame, queries: DataFrame, bytes_each: int, k: int, prepared: Callable[[pa.Table], list], distances: Callable[[np.ndarray, object], np.ndarray]) -> DataFrame:
-    """The k nearest rows (vec_id, vector) per query: a block's queries are prepared once a task, a batch's vectors once a block."""
-    out, column = None, rows.columns[1]
-    spark = rows.sparkSession
-    for table in _blocks(queries, bytes_each):
-        sent = spark.sparkContext.broadcast(table)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, queries = sent.value["qid"].to_numpy(), prepared(sent.value)
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qids]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, vectors = batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column])
-                for q, query in enumerate(queries):
-                    d, i = best[q]
-                    d, i = np.concatenate([d, np.round(distances(vectors, query), DIGITS)]), np.concatenate([i, ids])
-                    at = nearest_rows(d, i, k)
-                    best[q] = d[at], i[at]
-            for q, (d, i) in zip(qids.tolist(), best, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), q, np.int64)), pa.array(i), pa.array(d)], names=["qid", "vec_id", "dist"])
-
-        found = rows.mapInArrow(run, NEAR)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out if out is not None else spark.createDataFrame([], NEAR), k)
-
-
-def top_k(distances: DataFrame, k: int) -> DataFrame:
-    """(qid, rank from 1, vec_id, dist) of the k nearest per query."""
-    order = Window.partitionBy("qid").orderBy("dist", "vec_id")
-    return distances.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist")
+class _Best:
+    """The k nearest rows so far of each of a table's queries, and the seconds that each has taken."""
+
+    def __init__(self, queries: pa.Table, k: int, prepared: Callable[[pa.Table], list], distances: Callable[[np.ndarray, object], np.ndarray]):
+        self.qids, self.queries, self.k, self.distances = queries["qid"].to_numpy(), prepared(queries), k, distances
+        self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in self.qids]
+        self.seconds = np.zeros(len(self.qids))
+
+    def scan(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for q, query in enumerate(self.queries):
+            began = time.perf_counter()
+            d, i = self.best[q]
+            d, i = np.concatenate([d, np.round(self.distances(vectors, query), DIGITS)]), np.concatenate([i, ids])
+            at = nearest_rows(d, i, self.k)
+            self.best[q] = d[at], i[at]
+            self.seconds[q] += time.perf_counter() - began
+
+    def table(self) -> pa.Table:
+        """NEAR rows; a query's seconds stand at its first row here."""
+        n = np.array([len(d) for d, _ in self.best], np.int64)
+        seconds = np.zeros(int(n.sum()))
+        seconds[(np.cumsum(n) - n)[n > 0]] = self.seconds[n > 0]
+        dist, ids = (np.concatenate([empty, *(b[j] for b in self.best)]) for j, empty in ((0, np.zeros(0)), (1, np.zeros(0, np.int64))))
+        return pa.table({"qid": pa.array(np.repeat(self.qids, n), pa.int64()), "vec_id": pa.array(ids), "dist": pa.array(dist), "seconds": pa.array(seconds)})
+
+
+def _scan(rows: DataFrame, queries: DataFrame, bytes_each: int, k: int, prepared: Callable[[pa.Table], list], distances: Callable[[np.ndarray, object], np.ndarray], timed: bool) -> DataFrame:
+    """The k nearest rows (vec_id, vector) per query: a block's queries are prepared once, a batch's vectors once a block."""
+    column, size = rows.columns[1], queries.count() * bytes_each
+    if size > BLOCK_BYTES:
+        return top_k(_blocked(rows, queries, -(-size // BLOCK_BYTES), k, prepared, distances), k, timed)
+    sent = rows.sparkSession.sparkContext.broadcast(queries.toArrow())  # of a size that was checked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(sent.value, k, prepared, distances)
+        for batch in batches:
+            if batch.num_rows:
+                best.scan(batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column]))
+        yield from best.table().to_batches()
+
+    return top_k(rows.mapInArrow(run, NEAR), k, timed)
+
+
+def _blocked(rows: DataFrame, queries: DataFrame, query_blocks: int, k: int, prepared: Callable[[pa.Table], list], distances: Callable[[np.ndarray, object], np.ndarray]) -> DataFrame:
+    """NEAR rows of each pair of a query block and a row block, of which every row is in one."""
+    column = rows.columns[1]
+    n, width = rows.agg(F.count("*"), F.max(F.size(column))).first()
+    row_blocks = max(1, -(-n * (8 * (width or 1) + 16) // ROW_BLOCK_BYTES))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    deal = lambda blocks: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    left = rows.withColumn("r", deal(row_blocks)).withColumn("b", each(query_blocks))
+    # Queries often are some of the rows: under other names, their columns are no longer those of the rows.
+    names = queries.columns
+    right = queries.select(*[F.col(c).alias(f"asked_{c}") for c in names]).withColumn("b", deal(query_blocks)).withColumn("r", each(row_blocks))
+
+    def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if not some.num_rows or not asked.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "seconds": pa.array([], pa.float64())})
+        asked = asked.select([f"asked_{c}" for c in names]).rename_columns(names)
+        best = _Best(asked, k, prepared, distances)
+        for batch in some.to_batches(max_chunksize=10_000):
+            best.scan(batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column]))
+        return best.table()
+
+    return left.groupBy("r", "b").cogroup(right.groupBy("r", "b")).applyInArrow(cell, NEAR)
+
+
+def top_k(distances: DataFrame, k: int, timed: bool = False) -> DataFrame:
+    """(qid, rank from 1, vec_id, dist) of the k nearest per query; `timed`: also the sum of a query's seconds."""
+    whole = Window.partitionBy("qid")
+    if timed:
+        distances = distances.withColumn("seconds", F.sum("seconds").over(whole))
+    ranked = distances.withColumn("rank", F.row_number().over(whole.orderBy("dist", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("qid", "rank", "vec_id", "dist", *["seconds"] * timed)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,10 +144,10 @@ def _table_sums(codes: np.ndarray, lut: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def adc_topk(codes: DataFrame, tables: DataFrame, k: int) -> DataFrame:
+def adc_topk(codes: DataFrame, tables: DataFrame, k: int, timed: bool = False) -> DataFrame:
     """The k nearest codes (vec_id, codes) per query by sums of lookup-table entries (qid, lut)."""
     width = tables.select(F.aggregate("lut", F.lit(0), lambda acc, r: acc + F.size(r)).alias("n")).agg(F.max("n")).first()[0] or 1
-    return _scan(codes.select("vec_id", "codes"), tables, 8 * width, k, _lut, _table_sums)
+    return _scan(codes.select("vec_id", "codes"), tables, 8 * width, k, _lut, _table_sums, timed)
 
 
 def adc_long(codes: DataFrame, tables: DataFrame, k: int) -> DataFrame:
@@ -121,10 +160,10 @@ def _differences(codes: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (codes != query).sum(1).astype(float)
 
 
-def hamming_topk(codes: DataFrame, query_codes: DataFrame, k: int) -> DataFrame:
+def hamming_topk(codes: DataFrame, query_codes: DataFrame, k: int, timed: bool = False) -> DataFrame:
     """The k codes that differ least from each query's (qid, codes)."""
     width = query_codes.agg(F.max(F.size("codes"))).first()[0] or 1
-    return _scan(codes.select("vec_id", "codes"), query_codes, 8 * width, k, lambda table: list(_matrix(table["codes"])), _differences)
+    return _scan(codes.select("vec_id", "codes"), query_codes, 8 * width, k, lambda table: list(_matrix(table["codes"])), _differences, timed)
 
 
 def _square_distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -136,12 +175,36 @@ def _binary_jaccard(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.where(either == 0, 1.0, 1 - both / np.maximum(either, 1))
 
 
-EXACT = {"l2sq": _square_distances, "jaccard": _binary_jaccard}
+def _shares(rows: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(rows, query).sum(1, dtype=float), np.maximum(rows, query).sum(1, dtype=float)
+
+
+def _general_jaccard(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    low, high = _shares(rows, query)
+    return 1 - low / (high + EPS)
+
+
+def _weighted_jaccard(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    low, high = _shares(rows, query)
+    return np.where(high == 0, 0.0, 1 - low / np.where(high == 0, 1, high))
+
+
+#: Distances of the rows of a matrix to a query.
+EXACT: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "l2sq": _square_distances,
+    "l2": lambda rows, query: np.sqrt(_square_distances(rows, query)),
+    "jaccard": _binary_jaccard,
+    "jaccard0": lambda rows, query: np.where((rows != 0).any(1) | (query != 0).any(), _binary_jaccard(rows, query), 0.0),
+    "weighted_jaccard": _weighted_jaccard,
+    "gjaccard": _general_jaccard,
+    "hamming": _differences,
+}
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str = "l2sq") -> DataFrame:
-    """The k nearest of (vec_id, embedding) to each of (qid, embedding), by full scan."""
-    if by not in EXACT:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str | Callable[[np.ndarray, np.ndarray], float] = "l2sq", timed: bool = False) -> DataFrame:
+    """The k nearest of (vec_id, embedding) to each of (qid, embedding), by full scan under a metric of EXACT or a function of two arrays."""
+    if not callable(by) and by not in EXACT:
         raise ValueError(f"unknown metric {by!r}; known: {', '.join(EXACT)}")
+    distances = EXACT[by] if not callable(by) else lambda rows, query: np.array([float(by(row, query)) for row in rows])
     width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return _scan(vectors.select("vec_id", "embedding"), queries, 8 * width, k, lambda table: list(_matrix(table["embedding"])), EXACT[by])
+    return _scan(vectors.select("vec_id", "embedding"), queries, 8 * width, k, lambda table: list(_matrix(table["embedding"])), distances, timed)

@@ -106,15 +106,15 @@ class PQModel:
         """(qid, lut) of queries (qid, embedding)."""
         return packed_tables(lookup_tables(self._sub(queries, key="qid"), self._book(), by or self.by))
 
-    def search(self, codes: DataFrame, queries: DataFrame, k: int, mode: str = "adc", by: str | None = None) -> DataFrame:
-        """(qid, rank, vec_id, dist) of the k nearest codes, by lookup tables or by Hamming distance of codes.
+    def search(self, codes: DataFrame, queries: DataFrame, k: int, mode: str = "adc", by: str | None = None, timed: bool = False) -> DataFrame:
+        """(qid, rank, vec_id, dist) of the k nearest codes, by lookup tables or by Hamming distance of codes; `timed`: also the seconds of each query's scan.
 
         For Hamming the queries are coded by Euclidean distance, whatever the codebook's metric.
         """
         if mode == "adc":
-            return adc_topk(codes, self.tables(queries, by), k)
+            return adc_topk(codes, self.tables(queries, by), k, timed)
         if mode == "hamming":
-            return hamming_topk(codes, encode(self._ordered(queries), self._book(), self.parts, self.dimension, key="qid"), k)
+            return hamming_topk(codes, encode(self._ordered(queries), self._book(), self.parts, self.dimension, key="qid"), k, timed)
         raise ValueError(f"unknown mode {mode!r}")
 
     def save(self, path: str) -> None:
@@ -164,10 +164,10 @@ class SparsePQModel:
         """(qid, lut) of queries (qid, cells)."""
         return sparse.set_tables(queries, self._book(), self.parts, self.dimension, by or self.by)
 
-    def search(self, codes: DataFrame, queries: DataFrame, k: int, mode: str = "adc", by: str | None = None) -> DataFrame:
-        """(qid, rank, vec_id, dist) of the k nearest codes, by lookup tables or by Hamming distance of codes."""
+    def search(self, codes: DataFrame, queries: DataFrame, k: int, mode: str = "adc", by: str | None = None, timed: bool = False) -> DataFrame:
+        """(qid, rank, vec_id, dist) of the k nearest codes, by lookup tables or by Hamming distance of codes; `timed`: also the seconds of each query's scan."""
         if mode == "adc":
-            return adc_topk(codes, self.tables(queries, by), k)
+            return adc_topk(codes, self.tables(queries, by), k, timed)
         if mode == "hamming":
-            return hamming_topk(codes, sparse.encode_sets(queries, self._book(), self.parts, self.dimension, self.by, "qid"), k)
+            return hamming_topk(codes, sparse.encode_sets(queries, self._book(), self.parts, self.dimension, self.by, "qid"), k, timed)
         raise ValueError(f"unknown mode {mode!r}")

@@ -148,6 +148,21 @@ def exact_topk_jaccard(spark, sf):
     return shown(search.exact_topk(vectors, as_queries(vectors), TOP, "jaccard"))
 
 
+def exact_topk_gjaccard(spark, sf):
+    vectors = sizes(spark, sf)
+    return shown(search.exact_topk(vectors, as_queries(vectors), TOP, "gjaccard"))
+
+
+def exact_topk_l2_unsquared(spark, sf):
+    vectors = embeddings(spark, sf)
+    return shown(search.exact_topk(vectors, as_queries(vectors), TOP, "l2"))
+
+
+def exact_topk_hamming(spark, sf):
+    vectors = signs(spark, sf)
+    return shown(search.exact_topk(vectors, as_queries(vectors), TOP, "hamming"))
+
+
 def zorder_adc_topk(spark, sf):
     vectors = embeddings(spark, sf).withColumn("embedding", vc.zorder_dense(F.col("embedding"), DIM))
     return shown(adc(vectors, "l2sq"))
@@ -411,6 +426,7 @@ QUERIES = {
     for f in (
         pq_subvectors, pq_init_codebook, pq_assign, pq_codes_packed, pq_centroid_update, pq_lloyd_2iter, pq_quantization_error,
         adc_topk_l2, adc_topk_l2_unsquared, adc_topk_jaccard, adc_topk_gjaccard, adc_long_l2, hamming_topk, exact_topk_l2, exact_topk_jaccard,
+        exact_topk_gjaccard, exact_topk_l2_unsquared, exact_topk_hamming,
         zorder_adc_topk, recall_set, recall_anyhit, recall_first, recall_stats, recall_histogram, distances, subvector_unique_profile,
         subvector_zero_profile, sparse_cells, sparse_parts, dense_again, zorder_permutation, zorder_sparse, autoscale, kmedoid_snap, exact_medoid,
         dbscan_core_points, dbscan_codebook, kmeans_converged, kmedoids_jaccard, fix_dimension, customer_adc_gjaccard, model_search, descriptors_8x8,
@@ -432,6 +448,7 @@ SQL_METRICS = {
     "jaccard": f"CASE WHEN {EITHER} = 0 THEN 1.0 ELSE 1 - {BOTH} / {EITHER} END",
     "jaccard0": f"CASE WHEN {EITHER} = 0 THEN 0.0 ELSE 1 - {BOTH} / {EITHER} END",
     "gjaccard": f"1 - {LOW} / ({HIGH} + 1e-10)",
+    "hamming": "CAST(len(list_filter(list_zip({a}, {b}), lambda z: z[1] <> z[2])) AS DOUBLE)",
     "weighted": f"CASE WHEN {HIGH} = 0 THEN 0.0 ELSE 1 - {LOW} / {HIGH} END",
 }
 
@@ -543,6 +560,9 @@ SQL = {
     + f" {TOP_OUT}",
     "exact_topk_l2": f"WITH {exact_sql(DOUBLE, 'l2sq')} {TOP_OUT}",
     "exact_topk_jaccard": f"WITH {exact_sql(SIGNS, 'jaccard')} {TOP_OUT}",
+    "exact_topk_gjaccard": f"WITH {exact_sql(SIZES, 'gjaccard')} {TOP_OUT}",
+    "exact_topk_l2_unsquared": f"WITH {exact_sql(DOUBLE, 'l2')} {TOP_OUT}",
+    "exact_topk_hamming": f"WITH {exact_sql(SIGNS, 'hamming')} {TOP_OUT}",
     "zorder_adc_topk": f"{adc_sql(ZORDERED, 'l2sq')} {TOP_OUT}",
     "recall_set": recall_sql("set", "SELECT qid, round(recall, 6) AS recall FROM rec"),
     "recall_anyhit": recall_sql("any", "SELECT qid, recall FROM rec"),

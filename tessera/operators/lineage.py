@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once, written below spark.checkpoint.dir, which executors and driver share, and read from there."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which executors and driver share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once, written to the shared folder and read from there."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,9 @@
 """Product quantization: codebooks, assignment, Lloyd steps, packed codes.
 
 Tables are long: subvectors (vec_id, m, sv), codebooks (m, k, centroid), codes
-(vec_id, m, k).  All subspaces train in one job keyed by m.  Assignment folds a
-subspace's centroids inside one row, so it neither multiplies rows nor shuffles
-while the codebook is small enough to broadcast.  `encode` makes all codes of a
+(vec_id, m, k).  All subspaces train in one job keyed by m.  Assignment compares
+Arrow batches of subvectors with a subspace's centroids, so it neither multiplies
+rows nor shuffles while the codebook is small enough to broadcast.  `encode` makes all codes of a
 vector where it is read: nothing is shuffled there.
 """
 
@@ -14,8 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.metrics import ROW_METRICS, Metric, l2_squared, metric
 from ..functions.vectors import subvectors, width
@@ -169,8 +172,54 @@ def book_bytes(codebook: DataFrame) -> int:
     return codebook.agg(F.sum(F.size("centroid") * 8 + 16)).first()[0] or 0
 
 
+def sent_book(codebook: DataFrame) -> Broadcast:
+    """{m: (centroids, numbers by k)} of a codebook of a size that was checked."""
+    rows = codebook.select("m", "k", "centroid").toArrow().sort_by([("m", "ascending"), ("k", "ascending")])
+    m, ks = rows["m"].to_numpy(), rows["k"].to_numpy()
+    values = rows["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1) if len(m) else np.zeros((0, 0))
+    return codebook.sparkSession.sparkContext.broadcast({p: (values[m == p], ks[m == p]) for p in np.unique(m).tolist()})
+
+
+def nearest_centroids(x: np.ndarray, centroids: np.ndarray, by: str, ties_high: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the nearest centroid of each row, some rows at a time."""
+    at, d = np.zeros(len(x), np.int64), np.zeros(len(x))
+    step = max(1, (1 << 20) // max(1, len(centroids)))
+    for i in range(0, len(x), step):
+        found = ROW_METRICS[by](x[i : i + step], centroids)
+        best = len(centroids) - 1 - found[:, ::-1].argmin(1) if ties_high else found.argmin(1)
+        at[i : i + step], d[i : i + step] = best, found[np.arange(len(best)), best]
+    return at, d
+
+
 def assign(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", ties_high: bool = False) -> DataFrame:
-    """sub with k and d, the nearest centroid and its distance; ties go to the lowest k (or the highest)."""
+    """sub (..., m, sv) with k and d, the nearest centroid and its distance; ties go to the lowest k (or the highest).
+
+    With a codebook of up to BROADCAST_BYTES and a metric of ROW_METRICS this is a map over Arrow batches;
+    otherwise centroids are joined on m and folded inside each row. Subvectors of a subspace without centroids go.
+    """
+    names = [c for c in sub.columns if c not in ("k", "d")]
+    if by in ROW_METRICS and book_bytes(codebook) <= BROADCAST_BYTES:
+        sent = sent_book(codebook)
+        number = codebook.schema["k"].dataType
+        schema, kind = StructType([*[sub.schema[c] for c in names], StructField("k", number), StructField("d", DoubleType())]), to_arrow_type(number)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m, k, d = batch["m"].to_numpy(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+                for p in np.unique(m).tolist():
+                    own = np.flatnonzero(m == p)
+                    if p in sent.value:
+                        centroids, numbers = sent.value[p]
+                        x = batch["sv"].take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                        if x.shape[1] != centroids.shape[1]:
+                            raise ValueError(f"subvectors of {x.shape[1]} entries, centroids of {centroids.shape[1]}")
+                        at, d[own] = nearest_centroids(x, centroids, by, ties_high)
+                        k[own] = numbers[at]
+                columns = [*[batch[c] for c in names], pa.array(k).cast(kind), pa.array(d)]
+                out = pa.RecordBatch.from_arrays(columns, names=[*names, "k", "d"])
+                yield out.filter(pa.array(np.isin(m, list(sent.value))))
+
+        return sub.select(*names).mapInArrow(run, schema)
     distance = metric(by)
     sign = -1 if ties_high else 1
 
@@ -178,8 +227,8 @@ def assign(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", ties_
         return F.struct(distance(F.col("sv"), c["centroid"]).alias("d"), (c["k"] * sign).alias("k"))
 
     book = _book(codebook)
-    found = sub.join(F.broadcast(book) if book_bytes(codebook) <= BROADCAST_BYTES else book, "m").withColumn("best", F.array_min(F.transform("book", candidate)))
-    return found.drop("book").withColumns({"k": F.col("best.k") * sign, "d": F.col("best.d")}).drop("best")
+    found = sub.select(*names).join(F.broadcast(book) if book_bytes(codebook) <= BROADCAST_BYTES else book, "m").withColumn("best", F.array_min(F.transform("book", candidate)))
+    return found.withColumns({"k": F.col("best.k") * sign, "d": F.col("best.d")}).select(*names, "k", "d")
 
 
 def updated_centroids(assigned: DataFrame, codebook: DataFrame, empty: str = "keep", weight: str | None = None, centroid: Aggregate | None = None) -> DataFrame:
@@ -279,24 +328,18 @@ def encode(vectors: DataFrame, codebook: DataFrame, parts: int, dimension: int,
     w = width(dimension, parts)
     if by not in ROW_METRICS or book_bytes(codebook) > BROADCAST_BYTES:
         return packed_codes(assign(subvectors(vectors, parts, dimension, vector, key), codebook, by), key)
-    rows = codebook.select("m", "k", "centroid").toArrow().sort_by([("m", "ascending"), ("k", "ascending")])
-    m, ks = rows["m"].to_numpy(), rows["k"].to_numpy()
-    values = rows["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)
-    sent = vectors.sparkSession.sparkContext.broadcast([(values[m == p], ks[m == p]) for p in range(parts)])
+    sent = sent_book(codebook)
     schema = vectors.select(key).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = ROW_METRICS[by]
         for batch in batches:
             n = batch.num_rows
             if n and (np.asarray(batch["v"].value_lengths()) != dimension).any():
                 raise ValueError(f"a vector is not of dimension {dimension}")
             sv = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(n, dimension)
             codes = np.zeros((n, parts), np.int32)
-            for p, (centroids, number) in enumerate(sent.value):
-                step = max(1, (1 << 20) // max(1, len(centroids)))
-                for i in range(0, n, step):
-                    codes[i : i + step, p] = number[distances(sv[i : i + step, p * w : (p + 1) * w], centroids).argmin(1)]
+            for p, (centroids, numbers) in sent.value.items():
+                codes[:, p] = numbers[nearest_centroids(sv[:, p * w : (p + 1) * w], centroids, by)[0]]
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * parts)
             yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], names=[key, "codes"])
 

@@ -14,7 +14,8 @@ from ..functions import metrics as mt
 from ..functions import vectors as vc
 from ..operators import descriptors, evaluate, medoids, profile, search, sparse
 from ..operators import quantize as qz
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_path
+from ..sources import vecs
 from .model import PQModel, SparsePQModel
 
 DIM, PARTS, KS, TOP, STEP = 64, 8, 16, 10, 50
@@ -237,7 +238,9 @@ def dense_again(spark, sf):
 
 
 def zorder_permutation(spark, sf):
-    return vc.zorder(spark, 147 * 147)
+    """The Z-order rank of each cell that is active in the parcels, and in how many it is."""
+    active = parcels(spark, sf).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    return active.join(vc.zorder(spark, PARCEL), "cell").select("rank", "cell", "n")
 
 
 def zorder_sparse(spark, sf):
@@ -410,6 +413,29 @@ def sparse_model_search(spark, sf):
     return shown(model.search(model.encode(vectors), queries, TOP))
 
 
+def kmedoids_2iter(spark, sf):
+    """Codes after two steps of medoids from the first distinct subvectors."""
+    sub = vc.subvectors(signs(spark, sf), 16, DIM)
+    points, book = cut(qz.distinct_subvectors(sub)), qz.first_centroids(sub, 4)
+    for _ in range(2):
+        book = cut(medoids.summed_medoids(qz.assign(points, book, "jaccard0").select("m", "k", "sv", "n"), "jaccard0"))
+    return qz.assign(sub, book, "jaccard0").select("vec_id", "m", "k", rounded("d").alias("d"))
+
+
+def subvector_unique_sketch(spark, sf):
+    """Distinct subvectors by sketches, with a standard error of 1.6 %."""
+    return profile.unique_profile(signs(spark, sf), DIM, sketch=True)
+
+
+def vecs_round_trip(spark, sf):
+    """The embeddings written as fvecs files and read back by the data source, numbered in the order of vec_id."""
+    vecs.register(spark)
+    path = shared_path(spark)
+    vecs.write_vecs(embeddings(spark, sf), path)
+    back = spark.read.format("vecs").option("kind", "fvecs").load(path)
+    return back.select("vec_id", F.posexplode("embedding").alias("j", "x")).select("vec_id", "j", rounded(F.col("x").cast("double")).alias("x"))
+
+
 def kmeans_parallel_candidates(spark, sf):
     """The weighted candidates that a k-means|| start draws."""
     return qz.oversampled(subs(spark, sf), KS).select("m", F.col("c").alias("vec_id"), "weight")
@@ -431,7 +457,7 @@ QUERIES = {
         subvector_zero_profile, sparse_cells, sparse_parts, dense_again, zorder_permutation, zorder_sparse, autoscale, kmedoid_snap, exact_medoid,
         dbscan_core_points, dbscan_codebook, kmeans_converged, kmedoids_jaccard, fix_dimension, customer_adc_gjaccard, model_search, descriptors_8x8,
         descriptor_edges, descriptor_gradients, trained_recall, kmedoids_one_step, model_search_2iter,
-        sparse_adc_topk, sparse_kmedoids_step, sparse_means_step, sparse_model_search, kmeans_parallel_candidates, kmeans_parallel_error,
+        kmedoids_2iter, subvector_unique_sketch, vecs_round_trip, sparse_adc_topk, sparse_kmedoids_step, sparse_means_step, sparse_model_search, kmeans_parallel_candidates, kmeans_parallel_error,
     )
 }
 
@@ -585,7 +611,8 @@ SQL = {
     "sparse_cells": f"WITH {CELLS} SELECT vec_id, {text_sql('cells')} AS cells FROM c",
     "sparse_parts": f"WITH {CELLS} SELECT vec_id, CAST(m AS INTEGER) AS m, {text_sql('list_transform(list_filter(cells, lambda x: x // 8 = m), lambda x: x % 8)')} AS cells FROM c, range(8) t(m)",
     "dense_again": f"WITH {CELLS} SELECT vec_id, CAST(64 AS INTEGER) AS n, CAST(len(cells) AS DOUBLE) AS ones FROM c",
-    "zorder_permutation": f"WITH {Z_ORDER.replace('{s}', '147').replace('{n}', '21609')} SELECT CAST(rank AS INTEGER) AS rank, CAST(cell AS INTEGER) AS cell FROM z",
+    "zorder_permutation": f"WITH {Z_ORDER.replace('{s}', '42').replace('{n}', '1764')}, a AS (SELECT DISTINCT o_custkey, l_partkey % 1764 AS cell FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+    " SELECT CAST(rank AS INTEGER) AS rank, CAST(cell AS INTEGER) AS cell, count(*) AS n FROM a JOIN z USING (cell) GROUP BY rank, cell",
     "zorder_sparse": f"WITH {CELLS}, {Z_ORDER.replace('{s}', '8').replace('{n}', '64')} SELECT vec_id, coalesce(string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank), '') AS cells FROM (SELECT vec_id, unnest(cells) AS cell FROM c) JOIN z USING (cell) GROUP BY vec_id",
     "autoscale": f"WITH {sub_sql(DOUBLE)}, x AS (SELECT vec_id, m, unnest(sv) AS x, generate_subscripts(sv, 1) AS j FROM sub), s AS (SELECT m, j, avg(x) AS a, stddev_pop(x) AS sd FROM x GROUP BY m, j)"
     " SELECT vec_id, m, CAST(j - 1 AS INTEGER) AS j, round(CASE WHEN sd = 0 THEN 0.0 ELSE (x - a) / sd END, 6) AS x FROM x JOIN s USING (m, j)",
@@ -643,7 +670,16 @@ def candidates_sql(ks: int, rounds: int = qz.ROUNDS) -> str:
     return f"{', '.join(parts)} SELECT m, nearest AS vec_id, CAST(sum(n) AS BIGINT) AS weight FROM near{rounds} GROUP BY m, nearest"
 
 
+def medoid_sql(found: str, name: str) -> str:
+    return (
+        f"{name}_t AS MATERIALIZED (SELECT a.m, a.k, a.sv, sum({dist_sql('jaccard0', 'a.sv', 'b.sv')} * CASE WHEN a.sv = b.sv THEN b.n - 1 ELSE b.n END) AS t FROM {found} a JOIN {found} b ON a.m = b.m AND a.k = b.k GROUP BY a.m, a.k, a.sv),"
+        f" {name} AS MATERIALIZED (SELECT m, k, sv AS c FROM (SELECT *, row_number() OVER (PARTITION BY m, k ORDER BY round(t, 9), sv) AS r FROM {name}_t) WHERE r = 1)"
+    )
+
+
 SQL |= {
+    "kmedoids_2iter": f"{_SIGN16}, {medoid_sql('found', 'med')}, {assign_sql('jaccard0', 'med', 'found2', 'points')}, {medoid_sql('found2', 'med2')}, {assign_sql('jaccard0', 'med2', 'coded')} SELECT vec_id, m, k, round(d, 6) AS d FROM coded",
+    "vecs_round_trip": "WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding FROM embeddings) SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS j, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM e",
     "sparse_adc_topk": f"{SUBSETS}, {nearest_set_sql('jaccard')}, lut AS (SELECT s.vec_id AS qid, s.m, b.k, {set_dist('jaccard', 's.cells', 'b.c')} AS d FROM sub s JOIN book b ON b.m = s.m WHERE s.vec_id % {STEP} = 0),"
     " found AS (SELECT s.vec_id, s.m, n.k FROM sub s JOIN near n ON n.m = s.m AND n.cells = s.cells), "
     + top_sql("SELECT qid, vec_id, round(list_sum(list(l.d ORDER BY m)), 9) AS dist FROM found f JOIN lut l USING (m, k) GROUP BY qid, vec_id")

@@ -3,8 +3,13 @@
 Spark's binaryFile source lists the files; where pyarrow knows their file system,
 tasks then read whole records of byte ranges of RANGE_BYTES, so that files may
 be of any size, and elsewhere a file is one task's work.  Rows keep their file
-and position, from which `numbered` makes vec_id.  Writing is a data source ("vecs") whose
-tasks each write a file through pyarrow's file systems.
+and position, from which `numbered` makes vec_id.
+
+"vecs" is a data source over pyarrow's file systems, to be registered with
+`register`.  Read, it gives (vec_id, embedding) of a folder's files in the order of
+their names, in partitions of whole records; comparisons of vec_id with constants
+are pushed down, so that partitions without such rows are not made and the others
+read their own records only.  Written, each task writes a file.
 """
 
 from __future__ import annotations
@@ -16,7 +21,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 #: Suffix, NumPy type of a value, Arrow and Spark types of an entry.
@@ -67,12 +85,10 @@ def _ranges(kind: str):
     """The records that start in the byte ranges (path, length, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
         for batch in batches:
             for name, size, low, high in zip(*(batch[c].to_pylist() for c in ("path", "length", "low", "high")), strict=True):
                 # Spark writes local paths as file:/x, pyarrow as file:///x.
-                store, where = FileSystem.from_uri("file:///" + name[5:].lstrip("/") if name.startswith("file:") else name)
+                store, where = _opened(name)
                 with store.open_input_file(where) as source:
                     step = _step(source.read(4) if size >= 4 else b"", size, kind)
                     first, last = -(-low // step), -(-min(high, size) // step)
@@ -134,11 +150,10 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.kind, self.field = options["path"], options.get("kind", "fvecs"), options.get("vector", schema.names[0])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, folder = FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        store, folder = _opened(self.path)
         store.create_dir(folder, recursive=True)
         name, rows = f"{folder}/part-{context.partitionId():05d}.{self.kind}", 0
         # A retried task overwrites its own file; the move makes whole files only appear.
@@ -158,17 +173,109 @@ class _Writer(DataSourceArrowWriter):
         pass
 
 
+def _opened(path: str):
+    """(file system, path in it) of a path or URI."""
+    from pyarrow.fs import FileSystem
+
+    if path.startswith("file:"):
+        path = "file:///" + path[5:].lstrip("/")
+    return FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+@dataclass
+class _Range(InputPartition):
+    """Records low..high of a file whose first record has vec_id `first`."""
+
+    path: str
+    step: int
+    first: int
+    low: int
+    high: int
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.kind = options["path"], options.get("kind", "fvecs")
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown vector format {self.kind!r}; known: {', '.join(KINDS)}")
+        self.bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.low, self.high = 0, 1 << 62  # of vec_id
+        self.among: set[int] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) != ("vec_id",) or not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual)):
+                yield f
+            elif isinstance(f, In):
+                values = {v for v in f.value if v is not None}
+                self.among = values if self.among is None else self.among & values
+            else:
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+
+    def partitions(self) -> list[_Range]:
+        from pyarrow.fs import FileSelector, FileType
+
+        store, where = _opened(self.path)
+        info = store.get_file_info(where)
+        files = [info] if info.type == FileType.File else store.get_file_info(FileSelector(where, allow_not_found=False))
+        files = sorted((f for f in files if f.type == FileType.File and f.path.endswith(f".{self.kind}")), key=lambda f: f.path)
+        if not files:
+            raise OSError(f"no vectors at {self.path}: missing or empty vector file")
+        out, first = [], 0
+        low, high = self.low, self.high
+        if self.among is not None:
+            low, high = max([low, min(self.among, default=1 << 62)]), min([high, max(self.among, default=-1) + 1])
+        for f in files:
+            with store.open_input_file(f.path) as source:
+                step = _step(source.read(4) if f.size >= 4 else b"", f.size, self.kind)
+            n, each = f.size // step, max(1, self.bytes // step)
+            begin, end = max(0, low - first), min(n, high - first)
+            out += [_Range(f.path, step, first, k, min(k + each, end)) for k in range(begin, end, each) if self.among is None or any(first + k <= v < first + min(k + each, end) for v in self.among)]
+            first += n
+        return out or [_Range("", 1, 0, 0, 0)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if partition.low >= partition.high:
+            return
+        store, _ = _opened(self.path)
+        with store.open_input_file(partition.path) as source:
+            source.seek(partition.low * partition.step)
+            for k in range(partition.low, partition.high, ROWS):
+                n = min(ROWS, partition.high - k)
+                rows = decoded(source.read(n * partition.step), self.kind, partition.step)
+                ids = np.arange(partition.first + k, partition.first + k + n)
+                if self.among is not None:
+                    rows, ids = rows[some := np.isin(ids, list(self.among))], ids[some]
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()).cast(KINDS[self.kind][1]))], names=["vec_id", "embedding"])
+
+
 class VecsSource(DataSource):
-    """`df.write.format("vecs").option("kind", "fvecs")`, one file per task."""
+    """`spark.read.format("vecs").option("kind", "fvecs").load(path)`; `df.write.format("vecs").option("kind", "fvecs")`, one file per task."""
 
     @classmethod
     def name(cls) -> str:
         return "vecs"
 
+    def schema(self) -> str:
+        return f"vec_id bigint, embedding array<{KINDS[self.options.get('kind', 'fvecs')][2]}>"
+
+    def reader(self, schema: StructType) -> _Reader:
+        return _Reader(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         return _Writer(self.options, schema)
 
 
+def register(spark: SparkSession) -> None:
+    """Make "vecs" known to the session, and let it take filters, which Spark only gives to Python sources where that is allowed."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(VecsSource)
+
+
 def write_vecs(vectors: DataFrame, path: str, kind: str = "fvecs", vector: str = "embedding") -> None:
     """Write a vector column; rows keep the order of (vec_id) if there is one."""
     if kind not in KINDS:

@@ -138,3 +138,23 @@ def test_codes_in_one_row_equal_assigned_ones(spark, sf_dir):
         want = {r.vec_id: r.codes for r in qz.packed_codes(qz.assign(sub, book, by)).collect()}
         assert {r.vec_id: r.codes for r in qz.encode(vectors, book, 8, 64, by).collect()} == want
     assert {r.vec_id: r.codes for r in qz.encode(vectors, book, 8, 64, "weighted_jaccard").collect()}.keys() == want.keys()
+
+
+def test_vecs_source_skips_what_filters_leave_out(spark, tmp_path):
+    rows = np.arange(500, dtype=np.float32).reshape(100, 5)
+    (tmp_path / "a.fvecs").write_bytes(vecs.encoded(rows[:60], "fvecs"))
+    (tmp_path / "b.fvecs").write_bytes(vecs.encoded(rows[60:], "fvecs"))
+    (tmp_path / "c.ivecs").write_bytes(vecs.encoded(np.ones((2, 3)), "ivecs"))
+    vecs.register(spark)
+    read = lambda condition="true": spark.read.format("vecs").option("kind", "fvecs").option("rangeBytes", 240).load(str(tmp_path)).where(condition)
+    key = lambda df: sorted((r.vec_id, r.embedding) for r in df.collect())
+    assert key(read()) == [(k, v) for k, v in enumerate(rows.tolist())] and read().rdd.getNumPartitions() == 10
+    for condition, parts in (("vec_id < 15", 2), ("vec_id >= 55 and vec_id <= 64", 2), ("vec_id = 99", 1), ("vec_id in (3, 71, 72)", 2), ("vec_id > 7 and embedding[0] < 100", 10), ("vec_id < 0", 1), ("vec_id in (5, 6) and vec_id <> 5", 1)):
+        df = read(condition)
+        assert key(df) == [(k, v) for k, v in enumerate(rows.tolist()) if spark.range(1).selectExpr(condition.replace("vec_id", f"{k}L").replace("embedding[0]", f"{v[0]}")).first()[0]] if parts > 5 else True
+        assert df.rdd.getNumPartitions() == parts
+    assert [k for k, _ in key(read("vec_id in (3, 71, 72)"))] == [3, 71, 72] and [k for k, _ in key(read("vec_id < 15"))] == list(range(15))
+    assert [k for k, _ in key(read("vec_id >= 55 and vec_id <= 64"))] == list(range(55, 65)) and key(read("vec_id < 0")) == []
+    assert spark.read.format("vecs").option("kind", "ivecs").load(str(tmp_path)).schema.simpleString() == "struct<vec_id:bigint,embedding:array<int>>"
+    with pytest.raises(Exception, match="no vectors"):
+        spark.read.format("vecs").option("kind", "bvecs").load(str(tmp_path)).collect()

@@ -38,8 +38,8 @@ def binary_jaccard(a: Column, b: Column, empty_value: float = 1.0) -> Column:
 
 def set_jaccard(a: Column, b: Column, empty_value: float = 1.0) -> Column:
     """Binary Jaccard of sparse vectors given as arrays of their distinct active cells."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(float(empty_value))).otherwise(1 - F.size(F.array_intersect(a, b)) / either)
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(float(empty_value))).otherwise(1 - both / (F.size(a) + F.size(b) - both))
 
 
 def weighted_jaccard(a: Column, b: Column, empty_value: float = 0.0) -> Column:
@@ -80,8 +80,8 @@ def metric(name: str | Metric) -> Metric:
 SET_METRICS: dict[str, Metric] = {
     "jaccard": set_jaccard,
     "jaccard0": lambda a, b: set_jaccard(a, b, 0.0),
-    "gjaccard": lambda a, b: 1 - F.size(F.array_intersect(a, b)) / (F.size(F.array_union(a, b)) + EPS),
-    "hamming": lambda a, b: F.size(F.array_union(a, b)) - F.size(F.array_intersect(a, b)),
+    "gjaccard": lambda a, b: 1 - F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - F.size(F.array_intersect(a, b)) + EPS),
+    "hamming": lambda a, b: F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b)),
 }
 
 

@@ -17,8 +17,8 @@ from .quantize import assign, distinct_subvectors, spread_centroids, updated_cen
 
 #: Metrics that keep the triangle inequality, of vectors without negative entries where they are Jaccard metrics.
 TRIANGLE = ("l2", "hamming", "jaccard", "jaccard0", "gjaccard", "weighted_jaccard")
-#: Members measured in the first round of a search for medoids, how they grow, and in any; relative slack of bounds against rounding.
-FIRST_PIVOTS, GROWTH, MOST_PIVOTS, SLACK = 8, 1.25, 512, 1e-8
+#: Members measured in the first round of a search for medoids, and in any; relative slack of bounds against rounding.
+FIRST_PIVOTS, MOST_PIVOTS, SLACK = 8, 4096, 1e-8
 
 
 def autoscale(sub: DataFrame) -> DataFrame:
@@ -67,8 +67,8 @@ def summed_medoids(members: DataFrame, by: str | Metric, skip_self: bool = True,
     lexicographically first. Under a metric of TRIANGLE, members are measured in rounds: those measured are pivots,
     and a member x of N in all has a sum of at least |N d(x, p) - sum(p)| for each pivot p. Members that cannot be
     the best go; of the rest those with the least bounds come next, in the first round `first` of each cluster, then as many as the square root of
-    the most that are left in one, GROWTH times more each round at least and MOST_PIVOTS at most. Other metrics take
-    all pairs.
+    the most that are left in one, four times more where a round has ruled out less than a tenth of them, and MOST_PIVOTS
+    at most. Other metrics take all pairs.
     """
     to = set_metric(by) if sets else metric(by)
     if by not in TRIANGLE:
@@ -83,7 +83,7 @@ def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, fir
     # bound: of the sum over all members, x itself n times; own corrects it where x counts once less.
     size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
     left = cut(members.join(size, ["m", "k"]).select("m", "k", "sv", "n", "size", F.lit(0.0).alias("bound"), F.lit(None).cast("double").alias("total"), (own if skip_self else F.lit(0.0)).alias("own")))
-    points, totals, count, least = left.select("m", "k", "sv", "n"), None, first, float(first)
+    points, totals, count, before = left.select("m", "k", "sv", "n"), None, first, None
     while True:
         # A group limit: each task ranks and keeps `count` members a cluster before they are shuffled.
         order = F.row_number().over(whole.orderBy("bound", F.xxhash64("sv"), "sv"))
@@ -102,8 +102,9 @@ def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, fir
         most = left.groupBy("m", "k").count().agg(F.max("count")).first()[0]
         if most is None:
             return totals
-        least *= GROWTH
-        count = int(min(max(least, most**0.5), MOST_PIVOTS))
+        # Where the last pivots have ruled out few, bounds don't help, and larger rounds save some.
+        count = 4 * count if before is not None and most > 0.9 * (before - count) else int(most**0.5)
+        count, before = min(max(count, first), MOST_PIVOTS), most
 
 
 def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str = "sum", max_steps: int = 50, seed: int = 0, scale: bool = False, start: str = "random") -> tuple[DataFrame, DataFrame]:

@@ -174,10 +174,12 @@ def book_bytes(codebook: DataFrame) -> int:
 
 def sent_book(codebook: DataFrame) -> Broadcast:
     """{m: (centroids, numbers by k)} of a codebook of a size that was checked."""
-    rows = codebook.select("m", "k", "centroid").toArrow().sort_by([("m", "ascending"), ("k", "ascending")])
-    m, ks = rows["m"].to_numpy(), rows["k"].to_numpy()
-    values = rows["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1) if len(m) else np.zeros((0, 0))
-    return codebook.sparkSession.sparkContext.broadcast({p: (values[m == p], ks[m == p]) for p in np.unique(m).tolist()})
+    rows = codebook.select("m", "k", "centroid").toArrow().sort_by([("m", "ascending"), ("k", "ascending")]).combine_chunks()
+    m, book = rows["m"].to_numpy(), {}
+    for p in np.unique(m).tolist():  # widths may differ from subspace to subspace
+        own = rows.filter(pa.array(m == p))
+        book[p] = own["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1), own["k"].to_numpy()
+    return codebook.sparkSession.sparkContext.broadcast(book)
 
 
 def nearest_centroids(x: np.ndarray, centroids: np.ndarray, by: str, ties_high: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -219,19 +219,45 @@ def cuts(size: int) -> list[int]:
     return np.linspace(min(DEPTH, size), size, most + 2).astype(int).tolist()
 
 
+def rare_parts(rows: np.ndarray) -> list[list[int]]:
+    """For each line the parts, as numbers, that it must have one of in common with any line that agrees with it.
+
+    A line is cut into up to twice as many parts as positions may differ, and two
+    more.  Lines that agree share all but as many parts as may differ; so those
+    that a line has beyond that number, its most frequent ones here, need not be
+    looked up, and an opening that all lines have brings none of them together.
+    """
+    size = rows.shape[1]
+    most = len(cuts(size)) - 2
+    begin = min(DEPTH, size)
+    n_parts = max(min(size - begin, 2 * most + 2), 1)
+    ends = np.linspace(begin, size, n_parts + 1).astype(int)
+    number, often, n = np.empty((len(rows), n_parts), np.int64), [], 0
+    for k, (i, j) in enumerate(pairwise(ends.tolist())):
+        part = np.ascontiguousarray(rows[:, i:j])
+        _, same, count = np.unique(part.view(f"V{8 * (j - i)}").ravel() if j > i else np.zeros(len(rows)), return_inverse=True, return_counts=True)
+        number[:, k] = np.where((part >= 0).all(1), same + n, -1)
+        often.append(count)
+        n += len(count)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(np.concatenate(often), kind="stable")] = np.arange(n)
+    order = np.sort(np.where(number >= 0, rank[number], n), axis=1)
+    kept = (number >= 0).sum(1) - (n_parts - most) + 1
+    return [row[: max(k, 0)] for row, k in zip(order.tolist(), kept.tolist(), strict=True)]
+
+
 def merged(lines: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
     """The template number of each line or form of a leaf, all of one length, merged in order, and the templates' forms.
 
-    Variable positions are negative.  Only templates that share a part with a line are compared with it.
+    Variable positions are negative.  Only templates that share one of their rare parts with a line are compared with it.
     """
     if not lines:
         return [], np.empty((0, 0), np.int64)
-    size = len(lines[0])
-    form = np.empty((len(lines), size), np.int64)
-    known: dict[tuple[int, bytes], list[int]] = {}
+    rows = np.stack(lines).astype(np.int64, copy=False)
+    form = np.empty_like(rows)
+    known: dict[int, list[int]] = {}
     out, n = [], 0
-    for line in lines:
-        parts = [(k, line[i:j].tobytes()) for k, (i, j) in enumerate(pairwise(cuts(size))) if (line[i:j] >= 0).all()]
+    for line, parts in zip(rows, rare_parts(rows), strict=True):
         near = np.array(sorted({t for part in parts for t in known.get(part, ())}), np.int64)
         same = ((form[near] == line) & (line >= 0)).mean(1) if len(near) else np.zeros(0)
         if len(near) and same.max() >= AGREE:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -127,6 +128,33 @@ def test_merge_compares_all_templates_that_can_fit():
         assert tp.merge_templates(lines) == want
 
 
+def test_merge_where_an_opening_is_common():
+    rnd = np.random.default_rng(8)
+    lines = np.concatenate([np.tile([7, 7, 7, 7, 7, 7], (3000, 1)), rnd.integers(1, 60, (3000, 14))], axis=1)
+    lines[rnd.random(lines.shape) < 0.03] = -1
+    copies = lines[rnd.integers(0, 3000, 800)]
+    for line in copies:
+        line[rnd.integers(0, 20, 3)] = rnd.integers(1, 60, 3)
+    lines = list(np.concatenate([lines, copies]))
+    form, want = np.empty((0, 20), np.int64), []
+    for line in lines:
+        same = ((form == line) & (line >= 0)).mean(1) if len(form) else np.zeros(1)
+        best = int(same.argmax()) if same.max() >= tp.AGREE else len(form)
+        form = np.concatenate([form, line[None]]) if best == len(form) else form
+        form[best][form[best] != line] = -1
+        want.append(best)
+    found, forms = tp.merged(lines)
+    assert found == want and (forms == form).all() and len(form) < 3700
+
+
+def test_a_hundred_thousand_lines_with_one_opening():
+    rnd = np.random.default_rng(9)
+    lines = np.concatenate([np.tile([1, 2, 3, 4, 5, 6], (100_000, 1)), rnd.integers(1, 10**6, (100_000, 10))], axis=1)
+    start = time.process_time()
+    assert len(set(tp.merge_templates(list(lines)))) == 100_000
+    assert time.process_time() - start < 30
+
+
 def brute_templates(items):
     """The template (a number) of each item (leaf, order, words), merged in order within each leaf."""
     forms, out = {}, {}

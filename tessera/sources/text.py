@@ -120,3 +120,29 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 def ground_truth_matrix(vectors: DataFrame) -> DataFrame:
     """(qid, neighbors) of an ivecs matrix with vec_id: row numbers are query ids."""
     return vectors.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("long")).alias("neighbors"))
+
+
+def _write_lines(rows: DataFrame, path: str, line: Column, key: str) -> None:
+    """One line per row, in the order of key over the files in the order of their names."""
+    rows.orderBy(key).select(line.alias("value")).write.mode("append").text(path)
+
+
+def write_dense(vectors: DataFrame, path: str, vector: str = "embedding", key: str = "vec_id") -> None:
+    """Write vectors as lines of numbers separated by commas; read_dense gives the same floats.
+
+    A null vector or one without entries would be a blank line, which readers skip: it raises.
+    """
+    text = F.array_join(F.transform(vector, lambda x: x.cast("string")), ",", "NaN")
+    blank = F.coalesce(F.size(vector), F.lit(0)) < 1
+    _write_lines(vectors, path, F.when(blank, F.raise_error(F.lit("a vector without entries has no line"))).otherwise(text), key)
+
+
+def write_sparse(vectors: DataFrame, path: str, key: str = "vec_id") -> None:
+    """Write rasters (key, cells) as lines of cell numbers; rasters without cells have no line and go."""
+    _write_lines(vectors.where(F.size("cells") > 0), path, F.array_join(F.transform(F.array_sort("cells"), lambda x: x.cast("string")), ","), key)
+
+
+def write_ground_truth(truth: DataFrame, path: str) -> None:
+    """Write (qid, neighbors) as lines qid,n1,n2,...; where a qid has several rows any of them may be read back."""
+    numbers = F.concat(F.array(F.col("qid").cast("string")), F.transform("neighbors", lambda x: x.cast("string")))
+    _write_lines(truth, path, F.array_join(numbers, ","), "qid")

@@ -158,3 +158,21 @@ def test_vecs_source_skips_what_filters_leave_out(spark, tmp_path):
     assert spark.read.format("vecs").option("kind", "ivecs").load(str(tmp_path)).schema.simpleString() == "struct<vec_id:bigint,embedding:array<int>>"
     with pytest.raises(Exception, match="no vectors"):
         spark.read.format("vecs").option("kind", "bvecs").load(str(tmp_path)).collect()
+
+
+def test_text_writers(spark, tmp_path):
+    rows = [(k, [float(np.float32(1.1) ** k), -0.0, float("nan"), 1e-30]) for k in range(50)]
+    text.write_dense(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), str(tmp_path / "d"))
+    back = {r.vec_id: r.embedding for r in text.load_vectors(spark, str(tmp_path / "d"), "txt").collect()}
+    assert len(back) == 50 and all(np.array_equal(np.float32(v), np.float32(back[k]), equal_nan=True) for k, v in rows)
+    for bad in (None, []):
+        with pytest.raises(Exception, match="without entries"):
+            text.write_dense(spark.createDataFrame([(1, bad)], "vec_id long, embedding array<float>"), str(tmp_path / f"bad{bad}"))
+    cells = spark.createDataFrame([(5, [3, 1]), (2, []), (3, None), (4, [0])], "vec_id long, cells array<int>")
+    text.write_sparse(cells, str(tmp_path / "s"))
+    assert [(r.vec_id, r.cells) for r in text.load_vectors(spark, str(tmp_path / "s"), "txt", 4, sparse=True).orderBy("vec_id").collect()] == [(0, [0]), (1, [1, 3])]
+    text.write_ground_truth(spark.createDataFrame([(9, [4, 2]), (7, [])], "qid long, neighbors array<long>"), str(tmp_path / "t"))
+    assert {r.qid: r.neighbors for r in text.read_ground_truth(spark, str(tmp_path / "t")).collect()} == {9: [4, 2], 7: []}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    text.write_dense(empty, str(tmp_path / "e"))
+    assert text.load_vectors(spark, str(tmp_path / "e"), "txt").count() == 0

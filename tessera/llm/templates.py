@@ -58,6 +58,7 @@ MIN_DOCS = 5
 SKETCHES = 12
 NTH = 6
 LEAF_LINES = 2048
+FEW = 128  # lines up to which each is compared with all templates of its leaf, to the same result
 MOST_SENT = 1 << 21
 
 _DIGIT = np.zeros(256, np.int8)
@@ -249,7 +250,7 @@ def rare_parts(rows: np.ndarray) -> list[list[int]]:
 def merged(lines: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
     """The template number of each line or form of a leaf, all of one length, merged in order, and the templates' forms.
 
-    Variable positions are negative.  Only templates that share one of their rare parts with a line are compared with it.
+    Variable positions are negative.  Beyond FEW lines only templates that share one of their rare parts with a line are compared with it.
     """
     if not lines:
         return [], np.empty((0, 0), np.int64)
@@ -257,7 +258,7 @@ def merged(lines: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
     form = np.empty_like(rows)
     known: dict[int, list[int]] = {}
     out, n = [], 0
-    for line, parts in zip(rows, rare_parts(rows), strict=True):
+    for line, parts in zip(rows, rare_parts(rows) if len(rows) > FEW else [[0]] * len(rows), strict=True):
         near = np.array(sorted({t for part in parts for t in known.get(part, ())}), np.int64)
         same = ((form[near] == line) & (line >= 0)).mean(1) if len(near) else np.zeros(0)
         if len(near) and same.max() >= AGREE:

@@ -4,8 +4,8 @@ A raster is a square grid given by its active cells; values are 0 or 255.  Edge
 histograms and HOG are sums over exploded cells in the DataFrame API: an active
 cell adds its share to the filter responses of the pixels around it.  Outlines
 and what is computed from them, and the Gabor bank of GIST, run per row over
-Arrow batches.  The mean-pooled SIFT descriptor needs OpenCV and is zeros where
-that is not installed.  Borders are mirrored without their edge.  Rasters without
+Arrow batches.  The mean-pooled SIFT descriptor is in `keypoints`.  Borders are
+mirrored without their edge, in SIFT empty.  Rasters without
 active cells get zero vectors.
 """
 
@@ -18,13 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import cv2
-except ImportError:
-    cv2 = None
+from .keypoints import SIFT_SIZE, pooled_entries
 
 SIZE = 512
-SIFT_SIZE = 128
 VALUE = 255.0
 FIELDS = ("fourier", "css", "ehd", "hog", "gist", "sift")
 PARTS = 4  # blocks along each side, of edge histograms and GIST
@@ -149,22 +145,15 @@ def gist(image: np.ndarray) -> np.ndarray:
     return fitted(np.concatenate(out))
 
 
-def pooled_sift(image: np.ndarray) -> np.ndarray:
-    if cv2 is None:
-        return np.zeros(SIFT_SIZE)
-    _, found = cv2.SIFT_create().detectAndCompute(cv2.GaussianBlur(image.astype(np.uint8), (3, 3), sigmaX=1), None)
-    return np.zeros(SIFT_SIZE) if found is None else found.mean(0)
-
-
 def traced(cells: np.ndarray, side: int) -> dict[str, np.ndarray]:
     """Descriptors of one raster that need its outline or its whole image."""
     if not len(cells):
-        return {f: np.zeros(SIFT_SIZE if f == "sift" else SIZE) for f in ("fourier", "css", "gist", "sift")}
+        return {f: np.zeros(SIZE) for f in ("fourier", "css", "gist")}
     image = np.zeros(side * side)
     image[cells] = VALUE
     image = image.reshape(side, side)
     points = contour(image)
-    return {"fourier": fourier(points), "css": curvature_space(points), "gist": gist(image), "sift": pooled_sift(image)}
+    return {"fourier": fourier(points), "css": curvature_space(points), "gist": gist(image)}
 
 
 def _pixels(vectors: DataFrame, side: int) -> DataFrame:
@@ -213,13 +202,13 @@ def gradient_histograms(vectors: DataFrame, side: int) -> DataFrame:
     return _vector(slope.groupBy("vec_id", where.alias("at")).agg(F.sum(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("x")))
 
 
-def _zeros(v: Column) -> Column:
-    return F.coalesce(v, F.array_repeat(F.lit(0.0), SIZE)).cast("array<float>")
+def _zeros(v: Column, size: int = SIZE) -> Column:
+    return F.coalesce(v, F.array_repeat(F.lit(0.0), size)).cast("array<float>")
 
 
 def describe(vectors: DataFrame, side: int) -> DataFrame:
     """(vec_id, fourier, css, ehd, hog, gist, sift) of rasters (vec_id, cells) with distinct ids; null cells are none."""
-    names = ("fourier", "css", "gist", "sift")
+    names = ("fourier", "css", "gist")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,5 +219,8 @@ def describe(vectors: DataFrame, side: int) -> DataFrame:
     vectors = vectors.select("vec_id", "cells")
     out = vectors.mapInArrow(run, "vec_id long, " + ", ".join(f"{f} array<float>" for f in names))
     ehd, hog = (f(vectors, side).select(F.col("vec_id").alias(f"{n}_id"), F.col("v").alias(n)) for f, n in ((edge_histograms, "ehd"), (gradient_histograms, "hog")))
-    joined = out.join(ehd, F.col("vec_id") == F.col("ehd_id"), "left").join(hog, F.col("vec_id") == F.col("hog_id"), "left")
-    return joined.select("vec_id", "fourier", "css", _zeros(F.col("ehd")).alias("ehd"), _zeros(F.col("hog")).alias("hog"), "gist", "sift")
+    sift = _vector(pooled_entries(vectors, side), SIFT_SIZE).select(F.col("vec_id").alias("sift_id"), F.col("v").alias("sift"))
+    joined = out
+    for name, made in (("ehd", ehd), ("hog", hog), ("sift", sift)):
+        joined = joined.join(made, F.col("vec_id") == F.col(f"{name}_id"), "left")
+    return joined.select("vec_id", "fourier", "css", _zeros(F.col("ehd")).alias("ehd"), _zeros(F.col("hog")).alias("hog"), "gist", _zeros(F.col("sift"), SIFT_SIZE).alias("sift"))

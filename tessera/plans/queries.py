@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as mt
 from ..functions import vectors as vc
-from ..operators import descriptors, evaluate, medoids, profile, search, sparse
+from ..operators import descriptors, evaluate, keypoints, medoids, profile, search, sparse
 from ..operators import quantize as qz
 from ..operators.lineage import cut, shared_path
 from ..sources import vecs
 from .model import PQModel, SparsePQModel
 
 DIM, PARTS, KS, TOP, STEP = 64, 8, 16, 10, 50
+#: Octaves of the query of keypoints, and their distance from the sides.
+KEYPOINT_OCTAVES, KEYPOINT_BORDER = 2, 1
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,6 +331,12 @@ def descriptor_edges(spark, sf):
     return out.select("vec_id", F.posexplode("v").alias("entry", "x")).where("x <> 0").select("vec_id", "entry", rounded("x").alias("x"))
 
 
+def descriptor_keypoints(spark, sf):
+    """Mean descriptors of the keypoints of the binarised vectors as 8 x 8 rasters, two octaves, one row per entry that is not zero."""
+    out = keypoints.pooled_entries(cells_of(spark, sf), 8, KEYPOINT_OCTAVES, KEYPOINT_BORDER)
+    return out.select("vec_id", F.col("at").alias("entry"), F.round("x", 3).alias("x")).where("x <> 0")
+
+
 def parcels(spark: SparkSession, sf: str) -> DataFrame:
     """Rasters of 42 x 42 cells: per customer the cells that its order keys and line numbers name."""
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
@@ -456,7 +464,7 @@ QUERIES = {
         zorder_adc_topk, recall_set, recall_anyhit, recall_first, recall_stats, recall_histogram, distances, subvector_unique_profile,
         subvector_zero_profile, sparse_cells, sparse_parts, dense_again, zorder_permutation, zorder_sparse, autoscale, kmedoid_snap, exact_medoid,
         dbscan_core_points, dbscan_codebook, kmeans_converged, kmedoids_jaccard, fix_dimension, customer_adc_gjaccard, model_search, descriptors_8x8,
-        descriptor_edges, descriptor_gradients, trained_recall, kmedoids_one_step, model_search_2iter,
+        descriptor_edges, descriptor_gradients, descriptor_keypoints, trained_recall, kmedoids_one_step, model_search_2iter,
         kmedoids_2iter, subvector_unique_sketch, vecs_round_trip, sparse_adc_topk, sparse_kmedoids_step, sparse_means_step, sparse_model_search, kmeans_parallel_candidates, kmeans_parallel_error,
     )
 }
@@ -565,6 +573,42 @@ g AS (SELECT vec_id, r, c - 1 AS c, 255.0 AS x, 0.0 AS y FROM a WHERE c BETWEEN
 s AS (SELECT vec_id, r, c, sum(x)::DOUBLE AS x, sum(y)::DOUBLE AS y FROM g GROUP BY vec_id, r, c),
 b AS (SELECT vec_id, ((r // 21) * 2 + c // 21) * 9 + (CAST(floor((degrees(atan2(y, x)) + 180) / 20) AS BIGINT)) % 9 AS entry, sqrt(x * x + y * y) AS m FROM s)
 SELECT vec_id, CAST(entry AS INTEGER) AS entry, round(sum(m), 6) AS x FROM b WHERE m <> 0 GROUP BY vec_id, entry"""
+_KEY = "vec_id, o, k, r, c"
+_LEVELS = ", ".join(f"({o}, {step}, {n}, {k}, {v!r})" for o, step, n, _, variances in keypoints.octave_plan(8, KEYPOINT_OCTAVES) for k, v in enumerate(variances))
+KEYPOINTS = f"""WITH {CELLS}, a AS (SELECT DISTINCT vec_id, cell // 8 AS y, cell % 8 AS x FROM (SELECT vec_id, unnest(cells) AS cell FROM c)),
+lev(o, step, n, k, v) AS (VALUES {_LEVELS}),
+l AS (SELECT vec_id, o, n, k, r, c, sum(exp(-((r * step - y) ** 2) / (2 * v)) / sqrt(2 * pi() * v) * exp(-((c * step - x) ** 2) / (2 * v)) / sqrt(2 * pi() * v)) AS x
+ FROM a, lev, range(8) i(r), range(8) j(c) WHERE r < n AND c < n GROUP BY ALL),
+d AS (SELECT p.vec_id, p.o, p.n, p.k, p.r, p.c, round(q.x - p.x, 9) AS d FROM l p JOIN l q ON p.vec_id = q.vec_id AND p.o = q.o AND p.r = q.r AND p.c = q.c AND q.k = p.k + 1),
+e AS (SELECT p.vec_id, p.o, p.n, p.k, p.r, p.c, p.d, max(q.d) AS high, min(q.d) AS low,
+ sum(CASE WHEN q.k = p.k AND q.r = p.r THEN q.d * (CASE WHEN q.c = p.c THEN -2 ELSE 1 END) ELSE 0 END) AS xx,
+ sum(CASE WHEN q.k = p.k AND q.c = p.c THEN q.d * (CASE WHEN q.r = p.r THEN -2 ELSE 1 END) ELSE 0 END) AS yy,
+ sum(CASE WHEN q.k = p.k THEN q.d * (q.r - p.r) * (q.c - p.c) / 4 ELSE 0 END) AS xy
+ FROM d p JOIN d q ON p.vec_id = q.vec_id AND p.o = q.o AND abs(p.k - q.k) <= 1 AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1 WHERE p.k BETWEEN 1 AND 3 GROUP BY ALL),
+kp AS (SELECT {_KEY}, 1.6 * 2 ** (k / 3.0) AS size FROM e WHERE least(r, c) >= {KEYPOINT_BORDER} AND greatest(r, c) < n - {KEYPOINT_BORDER}
+ AND (d > 0 AND d = high OR d < 0 AND d = low) AND abs(d) >= 0.04 / 3 AND xx * yy - xy * xy > 0 AND (xx + yy) ** 2 * 10 < 121 * (xx * yy - xy * xy)),
+g AS (SELECT p.vec_id, p.o, p.k, p.r, p.c, sum(CASE WHEN q.r = p.r THEN q.x * (q.c - p.c) ELSE 0 END) AS gx, sum(CASE WHEN q.c = p.c THEN q.x * (p.r - q.r) ELSE 0 END) AS gy
+ FROM l p JOIN l q ON p.vec_id = q.vec_id AND p.o = q.o AND p.k = q.k AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1
+ WHERE p.k BETWEEN 1 AND 3 AND least(p.r, p.c) >= 1 AND greatest(p.r, p.c) < p.n - 1 GROUP BY ALL),
+patch AS (SELECT kp.*, (g.c - kp.c)::DOUBLE AS x, (kp.r - g.r)::DOUBLE AS y, sqrt(gx * gx + gy * gy) AS length, (degrees(atan2(gy, gx)) + 360) % 360 AS angle FROM kp JOIN g ON kp.vec_id = g.vec_id AND kp.o = g.o AND kp.k = g.k),
+h AS (SELECT {_KEY}, CAST(floor(angle / 10 + 0.5) AS INTEGER) % 36 AS i, sum(length * exp(-(x * x + y * y) / (4.5 * size * size))) AS h FROM patch WHERE greatest(abs(x), abs(y)) <= round(4.5 * size) GROUP BY ALL),
+f AS (SELECT kp.*, t.i, coalesce(h.h, 0) AS h FROM kp CROSS JOIN range(36) t(i) LEFT JOIN h USING ({_KEY}, i)),
+s AS (SELECT p.vec_id, p.o, p.k, p.r, p.c, p.i, round(sum(q.h * [1, 4, 6, 4, 1][(q.i - p.i + 38) % 36 + 1]) / 16, 9) AS h
+ FROM f p JOIN f q ON p.vec_id = q.vec_id AND p.o = q.o AND p.k = q.k AND p.r = q.r AND p.c = q.c AND (q.i - p.i + 38) % 36 < 5 GROUP BY ALL),
+turns AS (SELECT p.vec_id, p.o, p.k, p.r, p.c, ((p.i + (a.h - b.h) / (2 * (a.h - 2 * p.h + b.h))) * 10 + 360) % 360 AS turn
+ FROM (SELECT *, max(h) OVER (PARTITION BY {_KEY}) AS top FROM s) p
+ JOIN s a ON p.vec_id = a.vec_id AND p.o = a.o AND p.k = a.k AND p.r = a.r AND p.c = a.c AND a.i = (p.i + 35) % 36
+ JOIN s b ON p.vec_id = b.vec_id AND p.o = b.o AND p.k = b.k AND p.r = b.r AND p.c = b.c AND b.i = (p.i + 1) % 36 WHERE p.h > a.h AND p.h > b.h AND p.h >= 0.8 * p.top),
+w AS (SELECT {_KEY}, turn, length, (x * cos(radians(turn)) + y * sin(radians(turn))) / (3 * size) AS u, (y * cos(radians(turn)) - x * sin(radians(turn))) / (3 * size) AS v,
+ ((angle - turn + 360) % 360) / 45 AS b FROM patch JOIN turns USING ({_KEY})),
+z AS (SELECT {_KEY}, turn, length * exp(-(u * u + v * v) / 8) AS x, u + 1.5 AS u, v + 1.5 AS v, b FROM w),
+t AS (SELECT {_KEY}, turn, CAST(((floor(v) + j) * 4 + floor(u) + i) * 8 + (floor(b) + m) % 8 AS INTEGER) AS entry,
+ sum(x * abs(1 - i - u + floor(u)) * abs(1 - j - v + floor(v)) * abs(1 - m - b + floor(b))) AS x FROM z, range(2) t1(i), range(2) t2(j), range(2) t3(m)
+ WHERE floor(u) + i BETWEEN 0 AND 3 AND floor(v) + j BETWEEN 0 AND 3 GROUP BY ALL),
+cutoff AS (SELECT {_KEY}, turn, entry, least(x / sqrt(sum(x * x) OVER (PARTITION BY {_KEY}, turn)), 0.2) AS x FROM t WHERE x > 0),
+full_size AS (SELECT vec_id, entry, least(512 * x / sqrt(sum(x * x) OVER (PARTITION BY {_KEY}, turn)), 255) AS x FROM cutoff),
+n AS (SELECT vec_id, count(*) AS n FROM turns GROUP BY vec_id)
+SELECT vec_id, entry, round(sum(x) / any_value(n), 3) AS x FROM full_size JOIN n USING (vec_id) GROUP BY vec_id, entry HAVING round(sum(x) / any_value(n), 3) <> 0"""
 BASE = f"WITH {sub_sql(DOUBLE)}, {book_sql()}, {assign_sql()}"
 _SIGN16 = f"WITH {sub_sql(SIGNS, 16)}, {book_sql(4)}, points AS (SELECT m, sv, count(*) AS n FROM sub GROUP BY m, sv), {assign_sql('jaccard0', points='points')}"
 
@@ -629,6 +673,7 @@ SQL = {
     f" {top_sql('SELECT qid, vec_id, round(list_sum(list(l.d ORDER BY m)), 9) AS dist FROM found3 f JOIN lut l USING (m, k) GROUP BY qid, vec_id')} {TOP_OUT}",
     "descriptor_edges": EDGES,
     "descriptor_gradients": GRADIENTS,
+    "descriptor_keypoints": KEYPOINTS,
     "fix_dimension": f"WITH {DOUBLE} SELECT vec_id, CAST(80 AS INTEGER) AS n_long, CAST(48 AS INTEGER) AS n_short, round(list_sum(v), 6) AS sum_long, round(list_sum(v[1:48]), 6) AS sum_short FROM e",
     "customer_adc_gjaccard": f"{adc_sql(CUSTOMERS, 'gjaccard', 'gjaccard', 16, 4)} {TOP_OUT}",
 }

@@ -20,7 +20,7 @@ def shown(v):
     return f"[{','.join(map(shown, v))}]" if isinstance(v, list) else str(v)
 
 
-@pytest.mark.parametrize("name", ["adc_topk_l2", "hamming_topk", "recall_stats", "exact_medoid", "zorder_sparse", "dbscan_core_points", "descriptor_edges", "descriptor_gradients", "model_search_2iter", "kmedoids_one_step", "dbscan_codebook", "sparse_adc_topk", "sparse_kmedoids_step", "sparse_means_step", "kmeans_parallel_candidates", "dense_text_round_trip", "sparse_text_round_trip", "int_vecs_round_trip", "mixed_folder", "first_rows_of_files", "query_files", "numbered_files", "ground_truth_round_trip", "ground_truth_files", "saved_model_search", "recall_2iter", "assign_ties_high", "empty_cluster_rules", "snapped_2iter", "kmeans_midrange_2iter", "exact_topk_user"])
+@pytest.mark.parametrize("name", ["adc_topk_l2", "hamming_topk", "recall_stats", "exact_medoid", "zorder_sparse", "dbscan_core_points", "descriptor_edges", "descriptor_gradients", "descriptor_keypoints", "model_search_2iter", "kmedoids_one_step", "dbscan_codebook", "sparse_adc_topk", "sparse_kmedoids_step", "sparse_means_step", "kmeans_parallel_candidates", "dense_text_round_trip", "sparse_text_round_trip", "int_vecs_round_trip", "mixed_folder", "first_rows_of_files", "query_files", "numbered_files", "ground_truth_round_trip", "ground_truth_files", "saved_model_search", "recall_2iter", "assign_ties_high", "empty_cluster_rules", "snapped_2iter", "kmeans_midrange_2iter", "exact_topk_user"])
 def test_sql_agrees(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -44,24 +44,25 @@ def octave_plan(side: int, octaves: int) -> list[tuple[int, int, int, int, list[
     return out
 
 
-def share(d: Column, variance: Column) -> Column:
-    return F.exp(-d * d / (2 * variance)) / F.sqrt(2 * pi * variance)
-
-
 def levels(vectors: DataFrame, side: int, octaves: int) -> DataFrame:
-    """(vec_id, o, r, c, l0 .. l5): blurred levels at the pixels that active cells of (vec_id, cells) reach; r and c count steps."""
-    cell = vectors.select("vec_id", "cells").repartition("vec_id").select("vec_id", F.explode(F.array_distinct("cells")).alias("cell"))
-    plan = F.array(*[
-        F.struct(F.lit(o).alias("o"), F.lit(step).alias("step"), F.lit(n).alias("n"), F.lit(reach).alias("reach"), *[F.lit(v).alias(f"v{k}") for k, v in enumerate(variances)])
-        for o, step, n, reach, variances in octave_plan(side, octaves)
-    ])
-    at = cell.select("vec_id", F.floor(F.col("cell") / side).cast("int").alias("y"), (F.col("cell") % side).cast("int").alias("x"), F.explode(plan).alias("p")).select("vec_id", "y", "x", "p.*")
-    near = lambda x: F.sequence(F.greatest(F.lit(0), F.ceil((F.col(x) - F.col("reach")) / F.col("step")).cast("int")), F.least(F.col("n") - 1, F.floor((F.col(x) + F.col("reach")) / F.col("step")).cast("int")))
-    fixed = ["step", "n", "reach", *[f"v{k}" for k in LEVELS]]
-    weight = lambda g, x, k: share((F.col(g) * F.col("step") - F.col(x)).cast("double"), F.col(f"v{k}"))
-    down = at.withColumn("r", F.explode(near("y"))).groupBy("vec_id", "o", "r", "x", *fixed).agg(*[F.sum(weight("r", "y", k)).alias(f"a{k}") for k in LEVELS])
-    across = down.withColumn("c", F.explode(near("x")))
-    return across.groupBy("vec_id", "o", "r", "c").agg(*[F.sum(F.col(f"a{k}") * weight("c", "x", k)).alias(f"l{k}") for k in LEVELS])
+    """(vec_id, o, r, c, l0 .. l5): blurred levels at the pixels that active cells of (vec_id, cells) reach; r and c count steps.
+
+    Cells are dealt to as many partitions as the session shuffles to: they are few bytes, what they become is not.
+    """
+    octave = octave_plan(side, octaves)
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("o") + 1)
+    step, n, reach = (of([x[i] for x in octave]) for i in (1, 2, 3))
+    rate, top = [of([-0.5 / x[4][k] for x in octave]) for k in LEVELS], [of([1 / sqrt(2 * pi * x[4][k]) for x in octave]) for k in LEVELS]
+    named = lambda df: df.select("*", step.alias("step"), *[rate[k].alias(f"e{k}") for k in LEVELS], *[top[k].alias(f"t{k}") for k in LEVELS])
+    near = lambda x: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(x) - reach) / step).cast("int")), F.least(n - 1, F.floor((F.col(x) + reach) / step).cast("int"))))
+    away = lambda df, g, x: named(df).withColumn("d", (F.col(g) * F.col("step") - F.col(x)).cast("double"))
+    weight = lambda k: F.exp(F.col("d") * F.col("d") * F.col(f"e{k}")) * F.col(f"t{k}")
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = vectors.select("vec_id", "cells").repartition(partitions, "vec_id").select("vec_id", F.explode(F.array_distinct("cells")).alias("cell"))
+    place = cell.select("vec_id", F.floor(F.col("cell") / side).cast("int").alias("y"), (F.col("cell") % side).cast("int").alias("x"), F.explode(F.array(*[F.lit(x[0]) for x in octave])).alias("o"))
+    down = away(place.withColumn("r", near("y")), "r", "y").groupBy("vec_id", "o", "r", "x").agg(*[F.sum(weight(k)).alias(f"a{k}") for k in LEVELS])
+    across = away(down.withColumn("c", near("x")), "c", "x")
+    return across.groupBy("vec_id", "o", "r", "c").agg(*[F.sum(F.col(f"a{k}") * weight(k)).alias(f"l{k}") for k in LEVELS])
 
 
 def slopes(blurred: DataFrame, side: int, octaves: int, border: int = BORDER) -> DataFrame:

@@ -277,12 +277,189 @@ class Training:
     converged: bool
 
 
-#: Steps with the same number of changes after which training stops.
-SAME_CHANGES = 20
+#: Steps with the same number of changes after which training stops, and steps at most.
+SAME_CHANGES, MAX_STEPS = 20, 500
+#: Bytes of a codebook whose sums a task may return to the driver, of the subvectors near a border that all tasks return, and of subvectors in a block.
+PASS_BYTES, BORDER_BYTES, PACK_BYTES = 1 << 20, 16 << 20, 1 << 20
+PASS = "task int, m int, sums binary, counts binary, changes long, limit double, xs binary, ks binary, gaps binary"
 
 
-def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_steps: int = 500, empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
-    """Lloyd steps until no assignment changes, the changes stay equal SAME_CHANGES times more, or max_steps."""
+def _packed_blocks(sub: DataFrame) -> DataFrame:
+    """(m, n, xs): subvectors as the bytes of a matrix, written once and read by every step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, lists = batch["m"].to_numpy(), batch["sv"]
+            for p in np.unique(m).tolist():
+                own = np.flatnonzero(m == p)
+                x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                step = max(1, PACK_BYTES // max(8, 8 * x.shape[1]))
+                for i in range(0, len(x), step):
+                    part = x[i : i + step]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["m", "n", "xs"])
+
+    # Dealt out, so that a pass has work for all cores even where the input is one file.
+    dealt = sub.select(F.col("m").cast("int").alias("m"), F.transform("sv", lambda x: x.cast("double")).alias("sv")).repartition(sub.sparkSession.sparkContext.defaultParallelism)
+    return cut(dealt.mapInArrow(run, "m int, n int, xs binary"))
+
+
+def nearest_two(x: np.ndarray, c: np.ndarray, by: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest centroid, how much farther the second is) under a Euclidean metric; what rounding might turn is measured as `nearest_centroids` does."""
+    square, own = (c * c).sum(1), (x * x).sum(1)
+    if len(c) == 1:
+        return np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    found = x @ (-2 * c.T)
+    found += square
+    rows, at = np.arange(len(x)), found.argmin(1)
+    first = found[rows, at]
+    found[rows, at] = np.inf
+    second = found.min(1)
+    sure = 1e-10 * (own + square.max() + 1e-300)
+    close = np.flatnonzero(~(second - first > sure))
+    if len(close):
+        at[close] = nearest_centroids(x[close], c, by)[0]
+    gap = (second - first) / (np.sqrt(np.maximum(first + own, 0)) + np.sqrt(np.maximum(second + own, 0)) + 1e-300)
+    gap[close] = 0.0
+    return at, gap
+
+
+def lloyd_pass(blocks: DataFrame, book: dict[int, tuple[np.ndarray, np.ndarray]], before: dict[int, tuple[np.ndarray, np.ndarray]] | None, by: str, most: int) -> pa.Table:
+    """PASS rows: per task and subspace the sums and counts of each centroid's subvectors, how many were nearest to another one `before`,
+
+    and the `most` subvectors whose nearest two centroids are about as near, with that gap; all others have a gap of `limit` at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        state: dict[int, list] = {}
+        for batch in batches:
+            for p, n, xs in zip(batch["m"].to_pylist(), batch["n"].to_pylist(), batch["xs"], strict=True):
+                if p not in book:
+                    continue
+                c = book[p][0]
+                x = np.frombuffer(xs.as_buffer(), np.float64).reshape(n, -1)
+                if x.shape[1] != c.shape[1]:
+                    raise ValueError(f"subvectors of {x.shape[1]} entries, centroids of {c.shape[1]}")
+                at, gap = nearest_two(x, c, by)
+                if p not in state:
+                    state[p] = [np.zeros(c.shape), np.zeros(len(c), np.int64), 0, np.inf, np.zeros((0, c.shape[1])), np.zeros(0, np.int64), np.zeros(0)]
+                own = state[p]
+                own[0] += np.stack([np.bincount(at, x[:, j], len(c)) for j in range(x.shape[1])], 1)
+                own[1] += np.bincount(at, minlength=len(c))
+                if before is not None:
+                    own[2] += int((nearest_two(x, before[p][0], by)[0] != at).sum())
+                few = np.flatnonzero(gap < own[3])
+                xs_, ks_, gaps = np.concatenate([own[4], x[few]]), np.concatenate([own[5], at[few]]), np.concatenate([own[6], gap[few]])
+                if len(gaps) > most:
+                    order = np.argsort(gaps, kind="stable")
+                    own[3] = float(gaps[order[most]])
+                    xs_, ks_, gaps = xs_[order[:most]], ks_[order[:most]], gaps[order[:most]]
+                own[4:] = xs_, ks_, gaps
+        task = TaskContext.get().partitionId()
+        for p, (sums, counts, changes, limit, xs_, ks_, gaps) in state.items():
+            yield pa.RecordBatch.from_pylist([{"task": task, "m": p, "sums": sums.tobytes(), "counts": counts.tobytes(), "changes": changes, "limit": limit, "xs": xs_.tobytes(), "ks": ks_.tobytes(), "gaps": gaps.tobytes()}], schema=kind)
+
+    kind = pa.schema([("task", pa.int32()), ("m", pa.int32()), ("sums", pa.binary()), ("counts", pa.binary()), ("changes", pa.int64()), ("limit", pa.float64()), ("xs", pa.binary()), ("ks", pa.binary()), ("gaps", pa.binary())])
+    return blocks.mapInArrow(run, PASS).toArrow().sort_by([("m", "ascending"), ("task", "ascending")])
+
+
+class _Border:
+    """One subspace between two passes: sums under the pass's codebook, and the subvectors near a border of its cells, by gap."""
+
+    def __init__(self, rows: list[dict], centroids: np.ndarray):
+        shape = centroids.shape
+        self.start, self.sums = centroids, sum((np.frombuffer(r["sums"]).reshape(shape) for r in rows), np.zeros(shape))
+        self.counts = sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(len(centroids), np.int64))
+        x = np.concatenate([np.zeros((0, shape[1])), *(np.frombuffer(r["xs"]).reshape(-1, shape[1]) for r in rows)])
+        at, gap = (np.concatenate([np.zeros(0, t), *(np.frombuffer(r[c], t) for r in rows)]) for c, t in (("ks", np.int64), ("gaps", np.float64)))
+        order = np.argsort(gap, kind="stable")
+        self.x, self.at, self.gap = x[order], at[order], gap[order]
+        self.now, self.limit = self.at.copy(), min((r["limit"] for r in rows), default=np.inf)
+
+    def reach(self, c: np.ndarray) -> float:
+        """A subvector with a larger gap is still nearest to its centroid if these are the centroids."""
+        moved = np.sqrt(((c - self.start) ** 2).sum(1).max())
+        return 2 * moved * (1 + 1e-9) + 1e-9 * (1e-3 + np.abs(c).max()) if moved else 0.0
+
+    def assign(self, c: np.ndarray, by: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """(changes, sums, counts) under centroids whose reach is below the limit."""
+        n = int(np.searchsorted(self.gap, self.reach(c), "right"))
+        now = self.at.copy()
+        now[:n] = nearest_two(self.x[:n], c, by)[0] if n else now[:n]
+        changes, self.now = int((now != self.now).sum()), now
+        moved = np.flatnonzero(now != self.at)
+        sums, counts = self.sums.copy(), self.counts.copy()
+        for at, sign in ((self.at[moved], -1), (now[moved], 1)):
+            np.add.at(sums, at, sign * self.x[moved])
+            np.add.at(counts, at, sign)
+        return changes, sums, counts
+
+
+def _farthest(sub: DataFrame, codebook: DataFrame, by: str) -> dict[int, np.ndarray]:
+    far = assign(sub.select("vec_id", "m", "sv"), codebook, by).groupBy("m").agg(F.max_by("sv", F.struct("d", -F.col("vec_id"))).alias("far"))
+    return {r.m: np.array(r.far, float) for r in far.collect()}  # one subvector a subspace
+
+
+def _trained_in_passes(sub: DataFrame, codebook: DataFrame, by: str, max_steps: int, empty: str) -> Training:
+    """Lloyd steps of `train`, several to a pass over the subvectors.
+
+    A pass returns sums of each centroid and the subvectors nearest to a border between two, BORDER_BYTES at most of all. While no
+    centroid has moved by half of what any other subvector would need to change, only those can: steps up to there are taken
+    with them, and are the steps that passes would take. Where not even one is sure, each step is a pass of one job.
+    """
+    spark = sub.sparkSession
+    blocks, schema = _packed_blocks(sub), codebook.schema
+    rows = codebook.toArrow().sort_by([("m", "ascending"), ("k", "ascending")]).combine_chunks()  # of a size that was checked
+    m = rows["m"].to_numpy()
+    book = {}
+    for p in np.unique(m).tolist():
+        own = rows.filter(pa.array(m == p)).combine_chunks()
+        book[p] = own["centroid"].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, -1), own["k"].to_numpy()
+    each = sum(8 * c.shape[1] + 16 for c, _ in book.values()) * max(1, blocks.rdd.getNumPartitions())
+
+    def frame() -> DataFrame:
+        flat = [(p, int(k), c.tolist()) for p, (cs, ks) in book.items() for c, k in zip(cs, ks, strict=True)]
+        return cut(spark.createDataFrame(flat, schema))
+
+    before, border, last, same = None, None, None, 0
+    for step in range(1, max_steps + 1):
+        if border is None or any(b.reach(book[p][0]) >= b.limit for p, b in border.items()):
+            table = lloyd_pass(blocks, book, before, by, BORDER_BYTES // each)
+            found: dict[int, list] = {p: [] for p in book}
+            for r in table.to_pylist():
+                found[r["m"]].append(r)
+            border = {p: _Border(rs, book[p][0]) for p, rs in found.items()}
+            changes, made = sum(r["changes"] for rs in found.values() for r in rs), {p: (b.sums, b.counts) for p, b in border.items()}
+        else:
+            each_changes = {p: b.assign(book[p][0], by) for p, b in border.items()}
+            changes, made = sum(c for c, _, _ in each_changes.values()), {p: (s, n) for p, (_, s, n) in each_changes.items()}
+        if before is not None:
+            same = same + 1 if changes == last else 0
+            last = changes
+            if changes == 0 or same >= SAME_CHANGES:
+                done = frame()
+                return Training(done, cut(assign(sub, done, by)), step, changes == 0)
+        far = _farthest(sub, frame(), by) if empty == "farthest" and any((n == 0).any() for _, n in made.values()) else {}
+        before, book = book, {p: (_moved(c, *made[p], empty, far.get(p)), k) for p, (c, k) in book.items()}
+    done = frame()
+    return Training(done, assign(sub, done, by), max_steps, False)
+
+
+def _moved(c: np.ndarray, sums: np.ndarray, counts: np.ndarray, empty: str, far: np.ndarray | None) -> np.ndarray:
+    fallback = np.zeros_like(c) if empty == "zeros" else np.broadcast_to(far, c.shape) if far is not None else c
+    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], fallback)
+
+
+def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_steps: int = MAX_STEPS, empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
+    """Lloyd steps until no assignment changes, the changes stay equal SAME_CHANGES times more, or max_steps.
+
+    Euclidean trainings of small codebooks take their steps as `_trained_in_passes` says; others write codes and centroids each step.
+    """
+    if by in ("l2sq", "l2") and centroid is None and empty in ("keep", "zeros", "farthest") and "vec_id" in sub.columns:
+        codebook = cut(codebook.select("m", "k", "centroid"))
+        if 0 < book_bytes(codebook) <= PASS_BYTES:
+            return _trained_in_passes(sub, codebook, by, max_steps, empty)
     before, last, same = None, None, 0
     for step in range(1, max_steps + 1):
         codes = cut(assign(sub, codebook, by))

@@ -64,6 +64,29 @@ def test_kmeans_converges_beyond_30_steps(spark, tmp_path, monkeypatch):
         queries.kmeans_converged(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("empty", ["farthest", "zeros"])
+def test_steps_of_a_pass_are_those_of_single_jobs(spark, monkeypatch, empty):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(400, 2, 3)), 2)
+    rows = [(i, m, x[i, m].tolist()) for i in range(400) for m in range(2)]
+    sub = spark.createDataFrame(rows, "vec_id long, m int, sv array<double>").repartition(3)
+    lost = spark.createDataFrame([(0, 99, [1e6] * 3)], "m int, k int, centroid array<double>")
+    start = quantize.first_centroids(sub, 12).unionByName(lost)
+    key = lambda done: (done.steps, done.converged, sorted((r.vec_id, r.m, r.k) for r in done.codes.collect()), sorted((r.m, r.k, tuple(np.round(r.centroid, 9))) for r in done.codebook.collect()))
+    got = {}
+    for name, border in (("passes", quantize.BORDER_BYTES), ("few", 1 << 13), ("single", 0)):
+        monkeypatch.setattr(quantize, "BORDER_BYTES", border)
+        spark.sparkContext.setJobGroup(f"{name}{empty}", "")
+        got[name] = key(quantize.train(sub, start, empty=empty, max_steps=12))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{name}{empty}"))
+        spark.sparkContext.setJobGroup("", "")
+        # Each step was a dozen jobs.
+        assert got[name][0] > 8
+        assert name != "passes" or empty == "farthest" or jobs < 2 * got[name][0] + 20
+    monkeypatch.setattr(quantize, "PASS_BYTES", 0)
+    assert got["passes"] == got["few"] == got["single"] == key(quantize.train(sub, start, empty=empty, max_steps=12))
+
+
 def test_search_matches_numpy(spark):
     rng = np.random.default_rng(4)
     data, k = rng.normal(size=(60, 8)), 5

@@ -14,19 +14,24 @@ results carry the sum per query as `seconds`: no driver or scheduling time is in
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.metrics import EPS, Metric, metric
+from .lineage import cut
 
 #: Bytes of lookup tables or query vectors that are sent, or stand in a block; bytes of rows in a block.
 BLOCK_BYTES = 32 << 20
 ROW_BLOCK_BYTES = 128 << 20
 DIGITS = 9
+#: Rows that a scan of vectors, and of codes, takes at once; entries of tables of several subspaces together; pairs (m, k) up to which long codes are scanned.
+ROWS_AT_ONCE, CODES_AT_ONCE = 2048, 1 << 18
+JOINT_ENTRIES, MOST_PAIRS = 4096, 100_000
 NEAR = "qid long, vec_id long, dist double, seconds double"
 
 
@@ -60,13 +65,25 @@ class _Best:
         self.seconds = np.zeros(len(self.qids))
 
     def scan(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        for q, query in enumerate(self.queries):
-            began = time.perf_counter()
-            d, i = self.best[q]
-            d, i = np.concatenate([d, np.round(self.distances(vectors, query), DIGITS)]), np.concatenate([i, ids])
-            at = nearest_rows(d, i, self.k)
-            self.best[q] = d[at], i[at]
-            self.seconds[q] += time.perf_counter() - began
+        codes = _Codes(ids, vectors, self.queries[0], self.k) if self.queries and self.distances is _table_sums else None
+        for j in range(0, len(ids) if codes is None else 1, ROWS_AT_ONCE):
+            some, own = (vectors[j : j + ROWS_AT_ONCE], ids[j : j + ROWS_AT_ONCE]) if codes is None else (None, ids)
+            for q, query in enumerate(self.queries):
+                began = time.perf_counter()
+                d, i = self.best[q]
+                # What is farther than the k-th so far, by more than rounding, is left out.
+                most = d[-1] + 2 * 10.0**-DIGITS + 1e-12 * abs(d[-1]) if len(d) == self.k else np.inf
+                if codes is None:
+                    found = self.distances(some, query)
+                    few = np.flatnonzero(~(found > most))
+                    found, near = found[few], own[few]
+                else:
+                    found, near = codes.near(query, most)
+                if len(found):
+                    d, i = np.concatenate([d, np.round(found, DIGITS)]), np.concatenate([i, near])
+                    at = nearest_rows(d, i, self.k)
+                    self.best[q] = d[at], i[at]
+                self.seconds[q] += time.perf_counter() - began
 
     def table(self) -> pa.Table:
         """NEAR rows; a query's seconds stand at its first row here."""
@@ -86,12 +103,12 @@ def _scan(rows: DataFrame, queries: DataFrame, bytes_each: int, k: int, prepared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(sent.value, k, prepared, distances)
-        for batch in batches:
-            if batch.num_rows:
-                best.scan(batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column]))
+        for batch in _joined(batches, CODES_AT_ONCE if distances is _table_sums else 1):
+            best.scan(batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column]))
         yield from best.table().to_batches()
 
-    return top_k(rows.mapInArrow(run, NEAR), k, timed)
+    # Rows are few beside the pairs: dealt out, every core scans a share, however few files or row groups hold them.
+    return top_k(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, NEAR), k, timed)
 
 
 def _blocked(rows: DataFrame, queries: DataFrame, query_blocks: int, k: int, prepared: Callable[[pa.Table], list], distances: Callable[[np.ndarray, object], np.ndarray]) -> DataFrame:
@@ -111,7 +128,7 @@ def _blocked(rows: DataFrame, queries: DataFrame, query_blocks: int, k: int, pre
             return pa.table({"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "seconds": pa.array([], pa.float64())})
         asked = asked.select([f"asked_{c}" for c in names]).rename_columns(names)
         best = _Best(asked, k, prepared, distances)
-        for batch in some.to_batches(max_chunksize=10_000):
+        for batch in _joined(some.to_batches(max_chunksize=10_000), CODES_AT_ONCE if distances is _table_sums else 1):
             best.scan(batch["vec_id"].cast(pa.int64()).to_numpy(), _matrix(batch[column]))
         return best.table()
 
@@ -133,6 +150,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _joined(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches, put together until they have so many rows."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some += [batch] * (batch.num_rows > 0)
+        if sum(b.num_rows for b in some) >= rows:
+            yield pa.Table.from_batches(some)
+            some = []
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def _lut(table: pa.Table) -> list[list[np.ndarray]]:
     return [[np.asarray(row, float) for row in lut] for lut in table["lut"].to_pylist()]
 
@@ -144,6 +173,56 @@ def _table_sums(codes: np.ndarray, lut: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+class _Codes:
+    """Codes of some rows: equal ones stand once, with the k smallest ids, since ties go to those; some subspaces' tables are looked up together."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, lut: list[np.ndarray], k: int):
+        sizes = [len(row) for row in lut]
+        codes = codes[:, : len(sizes)]
+        if codes.shape[1] < len(sizes) or len(codes) and ((codes < 0) | (codes >= np.array(sizes))).any():
+            raise IndexError("a code is outside its lookup table")
+        order = np.argsort(ids, kind="stable")
+        ids, codes, self.k = ids[order], codes[order], k
+        if np.prod(np.array(sizes, float)) < 2.0**62:
+            key = np.zeros(len(codes), np.int64)
+            for m, n in enumerate(sizes):
+                key = key * n + codes[:, m]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.count = np.minimum(np.diff(np.append(first, len(key))), k)
+            self.ids, self.first, self.codes = ids[order], first, codes[order[first]]
+        else:
+            self.ids, self.first, self.count, self.codes = ids, np.arange(len(ids)), np.ones(len(ids), np.int64), codes
+        self.groups, at = [], 0
+        while at < len(sizes):
+            end, n = at + 1, sizes[at]
+            while end < len(sizes) and n * sizes[end] <= min(JOINT_ENTRIES, max(1, len(self.codes))):
+                n, end = n * sizes[end], end + 1
+            joint = np.zeros(len(self.codes), np.intp)
+            for m in range(at, end):
+                joint = joint * sizes[m] + self.codes[:, m]
+            self.groups.append((at, end, joint))
+            at = end
+
+    def near(self, lut: list[np.ndarray], most: float) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, ids) of all rows at most so far, or of the k nearest at least, by sums in the order of the subspaces."""
+        total, scale = None, 0.0
+        for at, end, joint in self.groups:
+            table = lut[at]
+            for m in range(at + 1, end):
+                table = np.add.outer(table, lut[m]).ravel()
+            scale += np.abs(table).max()
+            total = table.astype(np.float32)[joint] if total is None else total + table.astype(np.float32)[joint]
+        slack = 1e-6 * (len(self.groups) + 1) * scale
+        if len(total) > self.k:
+            most = min(most, float(np.partition(total, self.k - 1)[self.k - 1]) + slack) if not np.isfinite(most) else most
+        few = np.flatnonzero(~(total > most + slack)) if len(total) else np.zeros(0, np.int64)
+        exact, n = _table_sums(self.codes[few], lut), self.count[few]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[few], n)
+        return np.repeat(exact, n), self.ids[place]
+
+
 def adc_topk(codes: DataFrame, tables: DataFrame, k: int, timed: bool = False) -> DataFrame:
     """The k nearest codes (vec_id, codes) per query by sums of lookup-table entries (qid, lut)."""
     width = tables.select(F.aggregate("lut", F.lit(0), lambda acc, r: acc + F.size(r)).alias("n")).agg(F.max("n")).first()[0] or 1
@@ -151,7 +230,25 @@ def adc_topk(codes: DataFrame, tables: DataFrame, k: int, timed: bool = False) -
 
 
 def adc_long(codes: DataFrame, tables: DataFrame, k: int) -> DataFrame:
-    """The same from long codes (vec_id, m, k) and tables (qid, m, k, d), as a join and a sum."""
+    """The same from long codes (vec_id, m, k) and tables (qid, m, k, d).
+
+    Where all queries have a distance for the same pairs (m, k), codes become places in the list of these and are scanned;
+    other tables are joined and summed, with a row for each code and query.
+    """
+    each = tables.groupBy("qid").agg(F.count("d").alias("n"), F.count("*").alias("rows"), F.count_distinct("m", "k").alias("pairs"))
+    low, high = each.agg(F.min(F.least("n", "pairs")), F.max("rows")).first()
+    if high is not None and low == high <= MOST_PAIRS:
+        known = tables.select("m", "k").distinct()
+        pairs = sorted(tuple(r) for r in known.limit(high + 1).collect())
+        if len(pairs) == high:
+            places = F.broadcast(codes.sparkSession.createDataFrame([(*p, at) for at, p in enumerate(pairs)], known.schema.add("at", IntegerType(), False)))
+            lists = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda e: e[c])
+            rows = cut(codes.join(places, ["m", "k"]).select("vec_id", F.col("at").alias("code"), "at").groupBy("vec_id").agg(lists("code").alias("codes")))
+            parts = rows.agg(F.max(F.size("codes"))).first()[0] or 1
+            padded = rows.select("vec_id", F.concat("codes", F.array_repeat(F.lit(high), F.lit(parts) - F.size("codes"))).alias("codes"))
+            # One row of distances a query, looked up for each of a vector's codes; what pads a list adds nothing.
+            asked = tables.join(places, ["m", "k"]).groupBy("qid").agg(F.concat(lists("d"), F.array(F.lit(0.0))).alias("row"))
+            return _scan(padded, asked, 8 * (high + 1), k, lambda table: [[np.asarray(row, float)] * parts for row in table["row"].to_pylist()], _table_sums, False)
     total = codes.join(tables, ["m", "k"]).groupBy("qid", "vec_id").agg(F.round(F.sum("d"), DIGITS).alias("dist"))
     return top_k(total, k)
 
@@ -201,10 +298,16 @@ EXACT: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 }
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str | Callable[[np.ndarray, np.ndarray], float] = "l2sq", timed: bool = False) -> DataFrame:
-    """The k nearest of (vec_id, embedding) to each of (qid, embedding), by full scan under a metric of EXACT or a function of two arrays."""
+def of_rows(distance: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Marks a user's metric that takes a matrix and one vector, and returns the distances of all rows: no call of Python for each pair."""
+    distance.of_rows = True
+    return distance
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str | Callable[[np.ndarray, np.ndarray], float | np.ndarray] = "l2sq", timed: bool = False) -> DataFrame:
+    """The k nearest of (vec_id, embedding) to each of (qid, embedding), by full scan under a metric of EXACT, a function of two arrays, or one marked by `of_rows`."""
     if not callable(by) and by not in EXACT:
         raise ValueError(f"unknown metric {by!r}; known: {', '.join(EXACT)}")
-    distances = EXACT[by] if not callable(by) else lambda rows, query: np.array([float(by(row, query)) for row in rows])
+    distances = EXACT[by] if not callable(by) else by if getattr(by, "of_rows", False) else lambda rows, query: np.array([float(by(row, query)) for row in rows])
     width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
     return _scan(vectors.select("vec_id", "embedding"), queries, 8 * width, k, lambda table: list(_matrix(table["embedding"])), distances, timed)

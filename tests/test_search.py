@@ -37,6 +37,45 @@ def test_exact_search_by_a_function(spark):
         search.exact_topk(rows, queries, 5, "nothing")
 
 
+def test_a_function_of_all_rows_is_called_once_for_many(spark):
+    _, rows = data(spark)
+    queries = rows.where("vec_id < 3").select(F.col("vec_id").alias("qid"), "embedding")
+    calls = spark.sparkContext.accumulator(0)
+
+    @search.of_rows
+    def far(some, query):
+        calls.add(1)
+        return np.abs(some - query).max(-1)
+
+    assert rows_of(search.exact_topk(rows, queries, 5, far)) == rows_of(search.exact_topk(rows, queries, 5, lambda a, b: np.abs(a - b).max()))
+    assert 0 < calls.value < 91
+
+
+def test_long_codes_are_scanned_without_a_row_for_each_pair(spark):
+    rng = np.random.default_rng(8)
+    codes = spark.createDataFrame([(v, m, int(rng.integers(5, 9))) for v in range(60) for m in (1, 4, 7) if (v + m) % 11], "vec_id long, m int, k int").unionByName(spark.createDataFrame([(99, 1, 77)], "vec_id long, m int, k int"))
+    whole = [(q, m, k, round(float(rng.integers(0, 4)) / 3, 3)) for q in range(4) for m in (1, 4, 7) for k in range(5, 9)]
+    for some in (whole, whole[:-1]):
+        tables = spark.createDataFrame(some, "qid long, m int, k int, d double")
+        want = search.top_k(codes.join(tables, ["m", "k"]).groupBy("qid", "vec_id").agg(F.round(F.sum("d"), 9).alias("dist")), 6)
+        found = search.adc_long(codes, tables, 6)
+        assert rows_of(found) == rows_of(want)
+        assert ("MapInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (some is whole)
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 50])
+def test_equal_codes_are_looked_up_once(spark, monkeypatch, at_once):
+    rng = np.random.default_rng(9)
+    x, tables = rng.integers(0, 3, (500, 4)), np.round(rng.integers(0, 3, (5, 4, 3)) / 7, 3)
+    codes = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(500), x, strict=True)], "vec_id long, codes array<int>").repartition(2)
+    luts = spark.createDataFrame([(q, t.tolist()) for q, t in enumerate(tables)], "qid long, lut array<array<double>>")
+    pairs = codes.join(luts).select("qid", "vec_id", F.round(sum(F.element_at(F.element_at("lut", m + 1), F.element_at("codes", m + 1) + 1) for m in range(4)), 9).alias("dist"))
+    monkeypatch.setattr(search, "CODES_AT_ONCE", at_once)
+    assert rows_of(search.adc_topk(codes, luts, 7)) == rows_of(search.top_k(pairs, 7))
+    held = search._Codes(np.arange(500), x, list(tables[0]), 7)
+    assert len(held.codes) <= 81 and len(held.near(list(tables[0]), np.inf)[0]) < 500
+
+
 @pytest.mark.parametrize("row_bytes", [128 << 20, 2000])
 def test_blocks_find_what_a_scan_finds(spark, monkeypatch, row_bytes):
     _, rows = data(spark)

@@ -175,9 +175,10 @@ def kmeans_midrange_2iter(spark: SparkSession, sf: str) -> DataFrame:
     return done.codes.select("vec_id", "k")
 
 
-def manhattan(a: np.ndarray, b: np.ndarray) -> float:
-    """A user's metric."""
-    return float(np.abs(a.astype(float) - b.astype(float)).sum())
+@search.of_rows
+def manhattan(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """A user's metric, of all rows of a matrix to a query."""
+    return np.abs(rows.astype(float) - query.astype(float)).sum(-1)
 
 
 def exact_topk_user(spark: SparkSession, sf: str) -> DataFrame:

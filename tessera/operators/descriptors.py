@@ -187,19 +187,46 @@ def edge_histograms(vectors: DataFrame, side: int) -> DataFrame:
     return _vector(entries, unit=True)
 
 
+def _gradient_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(bin, magnitude) of the gradients (x, y) of 0/1 rasters, at 3 (x + 1) + y + 1."""
+    x, y = VALUE * (np.arange(9) // 3 - 1.0), VALUE * (np.arange(9) % 3 - 1.0)
+    angle = np.mod(np.degrees(np.arctan2(y, x)), 180.0)
+    return np.mod(np.floor(angle / (180.0 / BINS)), BINS).astype(np.int64), np.sqrt(x * x + y * y)
+
+
 def gradient_histograms(vectors: DataFrame, side: int) -> DataFrame:
-    """(vec_id, v): unsigned gradient directions by magnitude in CELL x CELL cells; active rasters with a cell only."""
-    cells = side // CELL
-    inner = lambda x: (F.col(x) > 0) & (F.col(x) < side - 1)  # noqa: E731  at a border the mirrored neighbours are equal
-    add = lambda dr, dc, x, y: F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    shares = F.array(add(0, -1, VALUE, 0.0), add(0, 1, -VALUE, 0.0), add(-1, 0, 0.0, VALUE), add(1, 0, 0.0, -VALUE))
-    at = _pixels(vectors, side).select("vec_id", F.explode(shares).alias("s")).select("vec_id", "s.*")
-    at = at.where(((F.col("x") != 0) & inner("c") | (F.col("y") != 0) & inner("r")) & F.col("r").between(0, cells * CELL - 1) & F.col("c").between(0, cells * CELL - 1))
-    slope = at.groupBy("vec_id", "r", "c").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    angle = F.pmod(F.degrees(F.atan2("y", "x")), F.lit(180.0))
-    kind = F.pmod(F.floor(angle / (180.0 / BINS)), F.lit(BINS))
-    where = ((F.floor(F.col("r") / CELL) * cells + F.floor(F.col("c") / CELL)) * BINS + kind).cast("int")
-    return _vector(slope.groupBy("vec_id", where.alias("at")).agg(F.sum(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("x")))
+    """(vec_id, v): unsigned gradient directions by magnitude in CELL x CELL cells; active rasters with a cell only.
+
+    A map over rasters with distinct ids: pixels are neither exploded into rows nor shuffled, and no raster becomes dense.
+    """
+    cells, (kinds, sizes) = side // CELL, _gradient_kinds()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(batch["cells"].value_lengths().fill_null(0))
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            cell = batch["cells"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row, cell = np.divmod(np.unique(row * np.int64(side * side) + cell), side * side)
+            r, c = cell // side, cell % side
+            keys, shares = [], []
+            # At a border the mirrored neighbours are equal, so that only inner places have a share.
+            for dr, dc, share in ((0, -1, 3), (0, 1, -3), (-1, 0, 1), (1, 0, -1)):
+                at_r, at_c = r + dr, c + dc
+                inner = at_c if dc else at_r
+                own = (inner > 0) & (inner < side - 1) & (at_r < cells * CELL) & (at_c < cells * CELL)
+                keys.append(((row * side + at_r) * side + at_c)[own])
+                shares.append(np.full(int(own.sum()), share))
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            slope = np.bincount(at, np.concatenate(shares), len(key)).astype(np.int64) + 4
+            row, place = np.divmod(key, side * side)
+            entry = (place // side // CELL * cells + place % side // CELL) * BINS + kinds[slope]
+            found, number = np.unique(row, return_inverse=True)
+            few = entry < SIZE
+            v = np.bincount(number[few] * SIZE + entry[few], sizes[slope[few]], len(found) * SIZE)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * SIZE), pa.array(v.astype(float)))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].cast(pa.int64()).take(pa.array(found)), lists], names=["vec_id", "v"])
+
+    return vectors.select("vec_id", F.col("cells").cast("array<long>").alias("cells")).mapInArrow(run, "vec_id long, v array<double>")
 
 
 def _zeros(v: Column, size: int = SIZE) -> Column:

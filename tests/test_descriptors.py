@@ -114,3 +114,21 @@ def test_descriptors_of_rasters(spark, side):
         assert list(found[k].gist) == pytest.approx(ds.gist(image), rel=1e-5) and list(found[k].fourier) == pytest.approx(ds.fourier(ds.contour(image)), rel=1e-5, abs=1e-5)
     for k in (4, 99):
         assert not any(any(found[k][f]) for f in ds.FIELDS) and [len(found[k][f]) for f in ds.FIELDS] == [512] * 5 + [128]
+
+
+def test_gradients_are_a_map_over_rasters(spark):
+    rows = spark.createDataFrame([(1, [0, 44, 45, 45, 900]), (2, [1763]), (3, []), (4, None), (5, [50, 52])], "vec_id long, cells array<int>")
+    found = ds.gradient_histograms(rows, 42)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    got = {r.vec_id: np.array(r.v) for r in found.collect()}
+    for i, cells in ((1, [0, 44, 45, 900]), (5, [50, 52])):
+        image = np.zeros(42 * 42)
+        image[cells] = 255.0
+        gy, gx = np.zeros((2, 42, 42))
+        image = image.reshape(42, 42)
+        gx[:, 1:-1], gy[1:-1] = image[:, 2:] - image[:, :-2], image[2:] - image[:-2]
+        kind = (np.degrees(np.arctan2(gy, gx)) % 180 // 20 % 9).astype(int)
+        r, c = np.mgrid[:42, :42] // 21
+        assert np.allclose(got[i][:36], np.bincount(((r * 2 + c) * 9 + kind).ravel(), np.hypot(gx, gy).ravel(), 36)) and len(got[i]) == 512
+    assert 3 not in got and 4 not in got

@@ -73,17 +73,49 @@ def summed_medoids(members: DataFrame, by: str | Metric, skip_self: bool = True,
     to = set_metric(by) if sets else metric(by)
     if by not in TRIANGLE:
         return _best(_all_pairs(members, to, skip_self)).drop("best")
-    return _best(measured_members(members, to, skip_self, first)).drop("best")
+    members = cut(members) if sets and by in ("jaccard", "jaccard0") else members
+    known = overlap_bounds(members, 1.0 if by == "jaccard" else 0.0) if sets and by in ("jaccard", "jaccard0") else None
+    return _best(measured_members(members, to, skip_self, first, known)).drop("best")
 
 
-def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, first: int = FIRST_PIVOTS) -> DataFrame:
-    """(m, k, sv, total) of the members that had to be measured to be sure of each cluster's best."""
+def overlap_bounds(members: DataFrame, empty_value: float) -> DataFrame:
+    """(m, k, sv, low, high) of sets: bounds of the sum of Jaccard distances to all members, from counts of cells and pairs of cells.
+
+    Sets of s and z cells with t in common have a similarity f(t) = t / (s + z - t). How many members of z cells have a cell, or two,
+    of a set gives the sums of t and of t (t - 1) / 2 over these. All derivatives of f being positive, the quadratic through f at
+    0, 1 and 2 is nowhere above it, and that through 0, 1 and the most that t may be, nowhere below. Both are f where t is 2 at most.
+    """
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    own = F.transform("sv", lambda a: pair(a, F.lit(-1)))
+    both = F.flatten(F.transform("sv", lambda a: F.transform(F.filter("sv", lambda b: b > a), lambda b: pair(a, b))))
+    parts = members.select("m", "k", "sv", "n", F.size("sv").alias("s"), F.explode(F.concat(own, both)).alias("p")).select("m", "k", "sv", "n", "s", "p.a", "p.b")
+    counts = parts.groupBy("m", "k", "a", "b", F.col("s").alias("z")).agg(F.sum("n").alias("n"))
+    table = counts.groupBy("m", "k", "a", "b").agg(F.collect_list(F.struct("z", "n")).alias("t"))
+    f = lambda t, e: t / (F.col("s") + e["z"] - t)
+    most = lambda e: F.least(F.col("s"), e["z"])
+    single, less = lambda e: f(F.lit(1), e), lambda e: f(F.lit(2), e) - 2 * f(F.lit(1), e)
+    more = lambda e: (f(most(e), e) - most(e) * f(F.lit(1), e)) / (most(e) * (most(e) - 1) / 2)
+    total = lambda each: F.aggregate(F.transform("t", lambda e: e["n"] * each(e)), F.lit(0.0), lambda x, y: x + y)
+    near = parts.join(table, ["m", "k", "a", "b"]).select("m", "k", "sv", *[F.when(F.col("b") < 0, total(single)).otherwise(total(each)).alias(c) for c, each in (("least", less), ("most", more))])
+    near = near.groupBy("m", "k", "sv").agg(F.sum("least").alias("least"), F.sum("most").alias("most"))
+    size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
+    alone = F.when(F.size("sv") == 0, F.col("n") * (1.0 - empty_value)).otherwise(0.0)
+    joined = members.join(near, ["m", "k", "sv"], "left").join(size, ["m", "k"])
+    return joined.select("m", "k", "sv", (F.col("size") - F.coalesce("most", alone)).alias("low"), (F.col("size") - F.coalesce("least", alone)).alias("high"))
+
+
+def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, first: int = FIRST_PIVOTS, known: DataFrame | None = None) -> DataFrame:
+    """(m, k, sv, total) of the members that had to be measured to be sure of each cluster's best; `known` are bounds (m, k, sv, low, high) of their sums."""
     own = to(F.col("sv"), F.col("sv"))
     whole = Window.partitionBy("m", "k")
     # bound: of the sum over all members, x itself n times; own corrects it where x counts once less.
     size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
     left = cut(members.join(size, ["m", "k"]).select("m", "k", "sv", "n", "size", F.lit(0.0).alias("bound"), F.lit(None).cast("double").alias("total"), (own if skip_self else F.lit(0.0)).alias("own")))
     points, totals, count, before = left.select("m", "k", "sv", "n"), None, first, None
+    if known is not None:
+        left = cut(left.drop("bound").join(known.withColumnRenamed("low", "bound"), ["m", "k", "sv"]))
+        least = left.groupBy("m", "k").agg(F.min(F.col("high") - F.col("own")).alias("least"))
+        left = cut(left.join(least, ["m", "k"]).where(F.col("bound") - F.col("own") <= F.col("least") + SLACK * (F.col("size") + 1)).select("m", "k", "sv", "n", "size", "bound", "total", "own"))
     while True:
         # A group limit: each task ranks and keeps `count` members a cluster before they are shuffled.
         order = F.row_number().over(whole.orderBy("bound", F.xxhash64("sv"), "sv"))

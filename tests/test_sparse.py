@@ -154,3 +154,20 @@ def test_jobs_of_a_start_do_not_grow_with_ks(spark, ks):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"start{ks}"))
     spark.sparkContext.setJobGroup("", "")
     assert 0 < jobs < 70
+
+
+@pytest.mark.parametrize("by", ["jaccard", "jaccard0"])
+def test_overlap_bounds_leave_few_members(spark, by):
+    rng = np.random.default_rng(4)
+    sets = {(m, tuple(sorted(set(rng.integers(0, 20, rng.integers(0, 9)).tolist())))) for m in range(2) for _ in range(150)} | {(0, ()), (1, tuple(range(12)))}
+    df = spark.createDataFrame([(m, 0, list(c), int(rng.integers(1, 5))) for m, c in sorted(sets)], "m int, k int, sv array<int>, n long")
+    empty = 1.0 if by == "jaccard" else 0.0
+    totals = {(r.m, tuple(r.sv)): r.total for r in medoids._all_pairs(df, set_metric(by), False).collect()}
+    bounds = medoids.overlap_bounds(df, empty)
+    rows = bounds.collect()
+    assert len(rows) == len(totals) and all(r.low - 1e-9 <= totals[r.m, tuple(r.sv)] <= r.high + 1e-9 for r in rows)
+    assert all(abs(r.low - r.high) < 1e-9 for r in rows if len(r.sv) <= 2)
+    want = medoids._best(medoids._all_pairs(df, set_metric(by), True)).drop("best")
+    assert collected(medoids.summed_medoids(df, by, sets=True)) == collected(want)
+    measured = medoids.measured_members(df, set_metric(by), known=bounds).count()
+    assert measured < medoids.measured_members(df, set_metric(by)).count() / 2

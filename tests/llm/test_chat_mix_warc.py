@@ -3,10 +3,12 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, mixing, warc
+from tessera.llm.textkit import word_counts
 
 TURNS = "conv_id long, turn int, role string, text string"
 
@@ -122,3 +124,9 @@ def test_warc_pages_of_one_id(spark, tmp_path):
     got = sorted(tuple(r) for r in warc.digest(spark, warc.read_warc(spark, f"file://{tmp_path}/r", payload=False)).collect() if r.record_type == "revisit")
     sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
     assert got == [(k, len(h), sha(h), "revisit", 5) for k, h in sorted(rows) if k < 5]
+
+
+def test_word_counts():
+    texts = ["a b", None, "", " \n ", "x", "\x1fé\xa0ü \x0b1\t2", "a\x85b  c ", "end", "end"]
+    assert word_counts(pa.array(texts)).to_pylist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert word_counts(pa.array([], pa.string())).to_pylist() == []

@@ -1,11 +1,15 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard
 from tessera.llm.graph import components
+from tessera.llm.textkit import set_runs
 
 
 def sets_of(rows):
@@ -153,3 +157,31 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {k: v for k, v in label.items() if k != v}
+
+
+def test_rows_and_frequent_shingles_come_from_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB_DF", 10)
+    rows = made(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).select("doc_id", "text", F.xxhash64("text").alias("t"))
+    described, counted = jaccard.described(spark, docs, 6)
+    texts = pa.array([t for _, t in rows], pa.string())
+    sets = [s[a:b] for _, s, e in set_runs(texts) for a, b in zip(e[:-1], e[1:], strict=True)]
+    assert sorted(len(s) for s in sets) == sorted(r.n for r in described.collect())
+    classes = {s.tobytes(): s for s in sets}.values()
+    times = Counter(int(k >> np.uint64(26)) for s in classes for k in s)
+    assert {r.key: r.df for r in counted.collect()} == {k: n for k, n in times.items() if n > 10}
+
+
+def test_representatives_shuffle_no_text(spark):
+    rows = made(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = jaccard.representatives(spark, df)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        names = {c for _, _, c in brute(rows)}
+        assert sorted(r.doc_id for r in left.collect()) == sorted(names)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

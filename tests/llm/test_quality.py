@@ -1,6 +1,8 @@
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import quality
 
@@ -43,3 +45,19 @@ def test_odd_rows(spark):
     assert quality.train(docs, labels.limit(0)).tables == []
     assert quality.scored_digest(docs.limit(0), model).count() == 0
     assert [r.held_out for r in quality.scored_digest(docs, model).collect() if r.doc_id is None] == [False]
+
+
+def test_measures_match_plain_counts():
+    texts = ["The CAT sat, the CAT sat on 12 mats!\nThe end.\n\nThe end.", "", "x", "é è É | a;b", "AB cd AB cd " * 300 + "#*"]
+    data, offsets = quality.text_bytes(pa.array(texts))
+    got = dict(zip(quality.FEATURES, quality.measures(data, offsets).T, strict=True))
+    for k, text in enumerate(texts):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+        n = max(len(ws), 1)
+        want = {
+            "capitals": len(re.findall("[A-Z]", text)) / max(len(re.findall("[A-Za-z]", text)), 1), "all_caps": sum(len(re.findall("[A-Z]", w)) > 1 and 2 * len(re.findall("[A-Z]", w)) > len(w.encode()) for w in ws) / n,
+            "digits": len(re.findall("[0-9]", text)) / n, "commas": len(re.findall("[,;:]", text)) / n, "bars": text.count("|") / n, "distinct_words": len(set(ws)) / n, "line_words": len(ws) / (text.count("\n") + 1),
+        }
+        assert {m: got[m][k] for m in want} == (want if ws else dict.fromkeys(want, 0))
+    w = quality.words(data, offsets)
+    assert quality.distinct_words(w).tolist() == [len(set(re.findall(r"[^\x20\x09-\x0D]+", t))) for t in texts]

@@ -232,3 +232,13 @@ def test_columns_of_any_name_are_kept(spark, monkeypatch, sent):
     assert out.columns == [*docs.columns, "n_dropped_"] and tp.free_name("N", ["n", "n_"]) == "N__"
     found = out.collect()
     assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in names) and sum(r[count] for r in found) > 40
+
+
+def test_outlines_hash_only_what_is_asked():
+    texts = ["a b c d\nx 12 yy z 9\n\n  one two", None, "", "Item 7 of the list: 55 pieces\n1 2 3 4\nab 1\n" * 3, "word " * 400 + "\nlast 1 line here"]
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    x, y = tp.Outline(data, offsets), tp.Lines(data, offsets)
+    assert x.leaf.tolist() == y.leaf.tolist() and len(set(y.line.tolist())) > 4
+    which = np.arange(0, len(y.line), 2)
+    assert x.lines_at(which).tolist() == y.line[which].tolist()
+    assert not hasattr(x, "masked")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import Metric, metric, set_metric
 from .lineage import cut
 from .neighbours import near_sets
-from .quantize import assign, distinct_subvectors, spread_centroids, updated_centroids
+from .quantize import assign, distinct_subvectors, numbered_steps, spread_centroids, updated_centroids
 
 #: Metrics that keep the triangle inequality, of vectors without negative entries where they are Jaccard metrics.
 TRIANGLE = ("l2", "hamming", "jaccard", "jaccard0", "gjaccard", "weighted_jaccard")
@@ -139,7 +139,7 @@ def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, fir
         count, before = min(max(count, first), MOST_PIVOTS), most
 
 
-def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str = "sum", max_steps: int = 50, seed: int = 0, scale: bool = False, start: str = "random") -> tuple[DataFrame, DataFrame]:
+def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str = "sum", max_steps: int | None = 50, seed: int = 0, scale: bool = False, start: str = "random") -> tuple[DataFrame, DataFrame]:
     """(codebook, codes) by alternating assignment and medoid choice until the codebook stays.
 
     `form` is "sum" (least summed distance) or "snap" (the member nearest the mean);
@@ -153,7 +153,7 @@ def kmedoids(sub: DataFrame, ks: int, by: str | Metric = "jaccard0", form: str =
     sub = cut(autoscale(sub) if scale else sub)
     points = cut(distinct_subvectors(sub))
     book = cut(random_start(sub, ks, seed)) if start == "random" else spread_centroids(sub, ks, seed, by)
-    for _ in range(max_steps):
+    for _ in numbered_steps(max_steps):
         if form == "sum":
             new = summed_medoids(assign(points, book, by), by)
             new = book.select("m", "k", F.col("centroid").alias("old")).join(new, ["m", "k"], "left").select("m", "k", F.coalesce("centroid", "old").alias("centroid"))

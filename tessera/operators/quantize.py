@@ -9,8 +9,10 @@ vector where it is read: nothing is shuffled there.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -277,13 +279,18 @@ class Training:
     converged: bool
 
 
-#: Steps with the same number of changes after which training stops, and steps at most.
+#: Steps with the same number of changes after which a training with a limit of steps stops, and that limit in models.
 SAME_CHANGES, MAX_STEPS = 20, 500
 #: Bytes of a codebook whose sums a task may return to the driver, of the subvectors near a border that all tasks return, and of subvectors in a block.
 PASS_BYTES, BORDER_BYTES, PACK_BYTES = 1 << 20, 16 << 20, 1 << 20
 PASS = "task int, m int, sums binary, counts binary, changes long, limit double, xs binary, ks binary, gaps binary"
 
 
+def numbered_steps(most: int | None) -> Iterable[int]:
+    """1, 2, ... up to the limit, or without end."""
+    return count(1) if most is None else range(1, most + 1)
+
+
 def _packed_blocks(sub: DataFrame) -> DataFrame:
     """(m, n, xs): subvectors as the bytes of a matrix, written once and read by every step."""
 
@@ -401,7 +408,7 @@ def _farthest(sub: DataFrame, codebook: DataFrame, by: str) -> dict[int, np.ndar
     return {r.m: np.array(r.far, float) for r in far.collect()}  # one subvector a subspace
 
 
-def _trained_in_passes(sub: DataFrame, codebook: DataFrame, by: str, max_steps: int, empty: str) -> Training:
+def _trained_in_passes(sub: DataFrame, codebook: DataFrame, by: str, max_steps: int | None, empty: str) -> Training:
     """Lloyd steps of `train`, several to a pass over the subvectors.
 
     A pass returns sums of each centroid and the subvectors nearest to a border between two, BORDER_BYTES at most of all. While no
@@ -422,8 +429,8 @@ def _trained_in_passes(sub: DataFrame, codebook: DataFrame, by: str, max_steps:
         flat = [(p, int(k), c.tolist()) for p, (cs, ks) in book.items() for c, k in zip(cs, ks, strict=True)]
         return cut(spark.createDataFrame(flat, schema))
 
-    before, border, last, same = None, None, None, 0
-    for step in range(1, max_steps + 1):
+    before, border, last, same, seen = None, None, None, 0, set()
+    for step in numbered_steps(max_steps):
         if border is None or any(b.reach(book[p][0]) >= b.limit for p, b in border.items()):
             table = lloyd_pass(blocks, book, before, by, BORDER_BYTES // each)
             found: dict[int, list] = {p: [] for p in book}
@@ -437,7 +444,12 @@ def _trained_in_passes(sub: DataFrame, codebook: DataFrame, by: str, max_steps:
         if before is not None:
             same = same + 1 if changes == last else 0
             last = changes
-            if changes == 0 or same >= SAME_CHANGES:
+            stuck = same >= SAME_CHANGES
+            if max_steps is None:  # the same centroids again: a circle, without an end
+                state = hashlib.sha256(b"".join(c.tobytes() for c, _ in book.values())).digest()
+                stuck = state in seen
+                seen.add(state)
+            if changes == 0 or stuck:
                 done = frame()
                 return Training(done, cut(assign(sub, done, by)), step, changes == 0)
         far = _farthest(sub, frame(), by) if empty == "farthest" and any((n == 0).any() for _, n in made.values()) else {}
@@ -451,8 +463,10 @@ def _moved(c: np.ndarray, sums: np.ndarray, counts: np.ndarray, empty: str, far:
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], fallback)
 
 
-def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_steps: int = MAX_STEPS, empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
-    """Lloyd steps until no assignment changes, the changes stay equal SAME_CHANGES times more, or max_steps.
+def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_steps: int | None = None, empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
+    """Lloyd steps until no assignment changes, however many that takes, or until centroids come again.
+
+    With max_steps they also end after so many, or where the changes stay equal SAME_CHANGES times more.
 
     Euclidean trainings of small codebooks take their steps as `_trained_in_passes` says; others write codes and centroids each step.
     """
@@ -460,22 +474,27 @@ def train(sub: DataFrame, codebook: DataFrame, by: str | Metric = "l2sq", max_st
         codebook = cut(codebook.select("m", "k", "centroid"))
         if 0 < book_bytes(codebook) <= PASS_BYTES:
             return _trained_in_passes(sub, codebook, by, max_steps, empty)
-    before, last, same = None, None, 0
-    for step in range(1, max_steps + 1):
+    before, last, same, seen = None, None, 0, set()
+    for step in numbered_steps(max_steps):
         codes = cut(assign(sub, codebook, by))
         if before is not None:
             moved = codes.select("vec_id", "m", "k").join(before.select("vec_id", "m", F.col("k").alias("was")), ["vec_id", "m"])
             changes = moved.where("k <> was").count()
             same = same + 1 if changes == last else 0
             last = changes
-            if changes == 0 or same >= SAME_CHANGES:
+            stuck = same >= SAME_CHANGES
+            if max_steps is None:
+                state = codebook.agg(F.sum(F.xxhash64("m", "k", "centroid").cast("decimal(38, 0)"))).first()[0]
+                stuck = state in seen
+                seen.add(state)
+            if changes == 0 or stuck:
                 return Training(codebook, codes, step, changes == 0)
         before = codes
         codebook = cut(updated_centroids(codes, codebook, empty, centroid=centroid))
     return Training(codebook, assign(sub, codebook, by), max_steps, False)
 
 
-def train_restarted(sub: DataFrame, ks: int, restarts: int = 10, seed: int = 42, max_steps: int = 500, empty: str = "farthest") -> Training:
+def train_restarted(sub: DataFrame, ks: int, restarts: int = 10, seed: int = 42, max_steps: int | None = MAX_STEPS, empty: str = "farthest") -> Training:
     """The best of several k-means trainings: per subspace the codebook with the least summed squared distance (ties: the earliest).
 
     Each training starts from k-means++ centroids of its own seed, seed + ks r. All run as one: a restart's subspaces
@@ -530,7 +549,7 @@ def quantization_error(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("m").agg(F.avg("d").alias("error"))
 
 
-def kmeans(points: DataFrame, centers: DataFrame, max_steps: int = 1000, by: str | Metric = "l2", empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
+def kmeans(points: DataFrame, centers: DataFrame, max_steps: int | None = 1000, by: str | Metric = "l2", empty: str = "farthest", centroid: Aggregate | None = None) -> Training:
     """Clusters points (vec_id, point) from given centers (k, center); a null point has label -1 in `codes`."""
     sub = points.where("point is not null").select("vec_id", F.lit(0).alias("m"), F.transform("point", lambda x: x.cast("double")).alias("sv"))
     sizes = {r[0] for r in sub.select(F.size("sv")).union(centers.select(F.size("center"))).distinct().limit(2).collect()}

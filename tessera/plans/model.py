@@ -11,7 +11,7 @@ from ..functions.metrics import metric
 from ..functions.vectors import subvectors, zorder_cells, zorder_dense
 from ..operators import sparse
 from ..operators.medoids import dbscan_codebook, kmedoids
-from ..operators.quantize import book_bytes, encode, first_centroids, parallel_centroids, spread_centroids, train, train_restarted
+from ..operators.quantize import MAX_STEPS, book_bytes, encode, first_centroids, parallel_centroids, spread_centroids, train, train_restarted
 from ..operators.search import adc_topk, hamming_topk, lookup_tables, packed_tables
 
 
@@ -26,7 +26,7 @@ class PQModel:
     `method` is kmeans (start "first", "k-means||" or "k-means++", of which the best
     of `restarts`), kmedoids (start "first", which is a hash order, or "k-medoids++")
     or dbscan; `by` names the metric of training, and `zorder` permutes square
-    grids first.
+    grids first. With max_steps None training ends when it has converged.
     """
 
     dimension: int
@@ -36,7 +36,7 @@ class PQModel:
     method: str = "kmeans"
     start: str = "first"
     zorder: bool = False
-    max_steps: int = 500
+    max_steps: int | None = MAX_STEPS
     seed: int = 42
     eps: float = 0.3
     min_samples: int = 5
@@ -122,7 +122,9 @@ class PQModel:
         self._book().write.mode("overwrite").partitionBy("m").parquet(f"{path}/codebook")
         fields = {k: v for k, v in self.__dict__.items() if k != "codebook"}
         spark = self._book().sparkSession
-        spark.createDataFrame([tuple(fields.values())], list(fields)).write.mode("overwrite").parquet(f"{path}/model")
+        kinds = {"int": "int", "int | None": "int", "float": "double", "str": "string", "bool": "boolean"}
+        schema = ", ".join(f"{k} {kinds[str(self.__dataclass_fields__[k].type)]}" for k in fields)
+        spark.createDataFrame([tuple(fields.values())], schema).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PQModel:

@@ -314,7 +314,7 @@ def customer_adc_gjaccard(spark, sf):
 def model_search(spark, sf):
     """Fit, encode and search through the model's interface."""
     vectors = embeddings(spark, sf)
-    model = PQModel(DIM, parts=4, ks=KS).fit(vectors)
+    model = PQModel(DIM, parts=4, ks=KS, max_steps=None).fit(vectors)
     if not model.converged:
         raise RuntimeError("the model's training has not converged")
     return shown(model.search(model.encode(vectors), as_queries(vectors), TOP))
@@ -354,7 +354,7 @@ def descriptor_gradients(spark, sf):
 def trained_recall(spark, sf):
     """Recall of the true nearest neighbours by codes of a codebook that is trained until it converges."""
     vectors = embeddings(spark, sf)
-    model = PQModel(DIM, parts=PARTS, ks=KS).fit(vectors)
+    model = PQModel(DIM, parts=PARTS, ks=KS, max_steps=None).fit(vectors)
     if not model.converged:
         raise RuntimeError("the model's training has not converged")
     queries = as_queries(vectors)

@@ -149,3 +149,19 @@ def test_ground_truth(spark, tmp_path):
     (tmp_path / "g.csv").write_text("1,2,3,x,3\nq,1\n2,9\n1,7\n")
     got = {r.qid: r.neighbors for r in text.read_ground_truth(spark, str(tmp_path)).collect()}
     assert got == {1: [7], 2: [9]}
+
+
+def test_converged_queries_take_as_many_steps_as_they_need(spark, tmp_path):
+    # Sixteen centroids spread from the left end of 12,000 places: more steps than qz.MAX_STEPS.
+    spark.range(12000).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, c, was, at, steps = np.arange(12000.0), np.arange(16.0), None, np.zeros(12000, int), 0
+    while was is None or (at != was).any():
+        was, at = at, np.searchsorted((c[1:] + c[:-1]) / 2, x)
+        c, steps = np.bincount(at, x) / np.bincount(at), steps + 1
+    assert steps > quantize.MAX_STEPS
+    got = queries.kmeans_converged(spark, str(tmp_path)).toPandas()
+    assert len(got) == 8 * 12000
+    for m in range(8):
+        assert (got[got.m == m].sort_values("vec_id").k.to_numpy() == at).all()
+    sub = queries.subs(spark, str(tmp_path))
+    assert not quantize.train(sub, quantize.first_centroids(sub, 16), max_steps=40).converged

@@ -7,18 +7,24 @@ neighbourhoods by an index of prefixes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, metric, set_metric
 from .lineage import cut
 from .neighbours import near_sets
-from .quantize import assign, distinct_subvectors, numbered_steps, spread_centroids, updated_centroids
+from .quantize import BROADCAST_BYTES, assign, distinct_subvectors, numbered_steps, spread_centroids, updated_centroids
 
 #: Metrics that keep the triangle inequality, of vectors without negative entries where they are Jaccard metrics.
 TRIANGLE = ("l2", "hamming", "jaccard", "jaccard0", "gjaccard", "weighted_jaccard")
 #: Members measured in the first round of a search for medoids, and in any; relative slack of bounds against rounding.
 FIRST_PIVOTS, MOST_PIVOTS, SLACK = 8, 4096, 1e-8
+#: Of bounds from counts: pairs of cells that a task counts at once, counts in a slice of a cluster's table, and members that meet a slice in a task.
+PAIRS_AT_ONCE, SLICE_COUNTS, SHARD_MEMBERS = 1 << 21, 1 << 22, 1 << 18
 
 
 def autoscale(sub: DataFrame) -> DataFrame:
@@ -78,42 +84,138 @@ def summed_medoids(members: DataFrame, by: str | Metric, skip_self: bool = True,
     return _best(measured_members(members, to, skip_self, first, known)).drop("best")
 
 
+def _by_size(cells: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their cells as a matrix) of the sets of each size."""
+    size = np.asarray(cells.value_lengths().fill_null(0)).astype(np.int64)
+    flat, start = cells.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(size) - size
+    for s in np.unique(size).tolist():
+        rows = np.flatnonzero(size == s)
+        yield rows, flat[start[rows, None] + np.arange(s)]
+
+
+def _pairs(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each cell, one for each pair of cells) of sets of one size, as matrices."""
+    a, b = np.triu_indices(cells.shape[1], 1)
+    return cells << 32 | cells, cells[:, a] << 32 | cells[:, b]
+
+
+def _counted(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct keys in their order, the last one first, with their summed n."""
+    order = np.lexsort(keys)
+    keys = [x[order] for x in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [x[at] for x in keys], np.add.reduceat(n[order], at)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(m, k, z, pair, n): how many of a portion's members of z cells have a cell or a pair of cells."""
+    names, held, most = ["m", "k", "z", "pair", "n"], [], 0
+
+    def summed() -> pa.RecordBatch:
+        m, k, z, pair, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        (pair, z, k, m), n = _counted([pair, z, k, m], n)
+        return pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(z, pa.int32()), pa.array(pair), pa.array(n)], names=names)
+
+    for batch in batches:
+        m, k, n = (batch[c].to_numpy() for c in ("m", "k", "n"))
+        for rows, cells in _by_size(batch["sv"]):
+            step = max(1, PAIRS_AT_ONCE // max(1, cells.shape[1] * (cells.shape[1] + 1) // 2))
+            for i in range(0, len(rows) if cells.shape[1] else 0, step):
+                own, pair = rows[i : i + step], np.hstack(_pairs(cells[i : i + step]))
+                each = pair.shape[1]
+                held.append([np.repeat(m[own], each), np.repeat(k[own], each), np.full(pair.size, cells.shape[1]), pair.ravel(), np.repeat(n[own], each)])
+                most += pair.size
+                if most >= PAIRS_AT_ONCE:
+                    yield summed()
+                    held, most = [], 0
+    if held:
+        yield summed()
+
+
+def _packed_counts(rows: pa.Table) -> pa.Table:
+    """A slice of a cluster's counts as bytes, by pair."""
+    z, pair, n = (rows[c].to_numpy() for c in ("z", "pair", "n"))
+    order = np.argsort(pair, kind="stable")
+    packed = [pa.array([x[order].astype(t).tobytes()], pa.binary()) for x, t in ((z, np.int32), (pair, np.int64), (n, np.int64))]
+    return pa.table([rows["m"][:1], rows["k"][:1], rows["slice"][:1], *packed], names=["m", "k", "slice", "zs", "pairs", "ns"])
+
+
+def _similarities(slices: int, empty_value: float):
+    """(m, k, sv, n, size, least, most) of a cluster's members and a slice of its counts: bounds of what the slice adds to the sums of similarities."""
+
+    def run(members: pa.Table, table: pa.Table) -> pa.Table:
+        sets, count = members["sv"].combine_chunks(), members["n"].to_numpy()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        least, most = np.zeros(len(count)), np.zeros(len(count))
+        if table.num_rows:
+            z, pair, n = (np.frombuffer(table[c][0].as_py(), t) for c, t in (("zs", np.int32), ("pairs", np.int64), ("ns", np.int64)))
+            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            known = pair[start]
+            part = table["slice"][0].as_py()
+        for rows, cells in _by_size(sets):
+            s = cells.shape[1]
+            if s == 0:
+                # No other member is empty. It counts once, whatever the slices.
+                own = count[rows] * (1.0 - empty_value) / slices
+                least[rows], most[rows] = own, own
+            elif table.num_rows:
+                top = np.minimum(s, z)
+                f = lambda t: t / (s + z - t)  # noqa: B023, E731
+                one, two, each = f(1), f(2) if s > 1 else 0.0, np.maximum(top * (top - 1) / 2, 1)
+                kinds = [np.add.reduceat(n * c, start) for c in (one, two - 2 * one, (f(top) - top * one) / each)]
+                step = max(1, PAIRS_AT_ONCE // (s * s))
+                for i in range(0, len(rows), step):
+                    single, double = _pairs(cells[i : i + step])
+                    for found, add in ((single, (kinds[0], kinds[0])), (double, kinds[1:])):
+                        here = (found >> 32) % slices == part
+                        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        least[rows[i : i + step]] += np.where(here, add[0][at], 0.0).sum(1)
+                        most[rows[i : i + step]] += np.where(here, add[1][at], 0.0).sum(1)
+        return pa.table([*[members[c] for c in ("m", "k", "sv", "n", "size")], pa.array(least), pa.array(most)], names=["m", "k", "sv", "n", "size", "least", "most"])
+
+    return run
+
+
 def overlap_bounds(members: DataFrame, empty_value: float) -> DataFrame:
-    """(m, k, sv, low, high) of sets: bounds of the sum of Jaccard distances to all members, from counts of cells and pairs of cells.
+    """(m, k, sv, n, size, low, high) of sets: bounds of the sum of Jaccard distances to all members, from counts of cells and pairs of cells.
 
     Sets of s and z cells with t in common have a similarity f(t) = t / (s + z - t). How many members of z cells have a cell, or two,
     of a set gives the sums of t and of t (t - 1) / 2 over these. All derivatives of f being positive, the quadratic through f at
     0, 1 and 2 is nowhere above it, and that through 0, 1 and the most that t may be, nowhere below. Both are f where t is 2 at most.
+
+    Members stay whole: pairs are counted where a task reads them, and shards of a cluster's members meet its counts, or slices
+    of them. How many counts there are depends on the cells of a subspace, not on the members. sv must be sorted, m and k ints.
     """
-    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    own = F.transform("sv", lambda a: pair(a, F.lit(-1)))
-    both = F.flatten(F.transform("sv", lambda a: F.transform(F.filter("sv", lambda b: b > a), lambda b: pair(a, b))))
-    parts = members.select("m", "k", "sv", "n", F.size("sv").alias("s"), F.explode(F.concat(own, both)).alias("p")).select("m", "k", "sv", "n", "s", "p.a", "p.b")
-    counts = parts.groupBy("m", "k", "a", "b", F.col("s").alias("z")).agg(F.sum("n").alias("n"))
-    table = counts.groupBy("m", "k", "a", "b").agg(F.collect_list(F.struct("z", "n")).alias("t"))
-    f = lambda t, e: t / (F.col("s") + e["z"] - t)
-    most = lambda e: F.least(F.col("s"), e["z"])
-    single, less = lambda e: f(F.lit(1), e), lambda e: f(F.lit(2), e) - 2 * f(F.lit(1), e)
-    more = lambda e: (f(most(e), e) - most(e) * f(F.lit(1), e)) / (most(e) * (most(e) - 1) / 2)
-    total = lambda each: F.aggregate(F.transform("t", lambda e: e["n"] * each(e)), F.lit(0.0), lambda x, y: x + y)
-    near = parts.join(table, ["m", "k", "a", "b"]).select("m", "k", "sv", *[F.when(F.col("b") < 0, total(single)).otherwise(total(each)).alias(c) for c, each in (("least", less), ("most", more))])
-    near = near.groupBy("m", "k", "sv").agg(F.sum("least").alias("least"), F.sum("most").alias("most"))
-    size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
-    alone = F.when(F.size("sv") == 0, F.col("n") * (1.0 - empty_value)).otherwise(0.0)
-    joined = members.join(near, ["m", "k", "sv"], "left").join(size, ["m", "k"])
-    return joined.select("m", "k", "sv", (F.col("size") - F.coalesce("most", alone)).alias("low"), (F.col("size") - F.coalesce("least", alone)).alias("high"))
+    members = members.select(F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k"), F.col("sv").cast("array<int>").alias("sv"), F.col("n").cast("long").alias("n"))
+    counts = members.mapInArrow(_pair_counts, "m int, k int, z int, pair long, n long").groupBy("m", "k", "z", "pair").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    slices = -(-(counts.groupBy("m", "k").count().agg(F.max("count")).first()[0] or 1) // SLICE_COUNTS)
+    sizes = cut(members.groupBy("m", "k").agg(F.sum("n").alias("size"), F.ceil(F.count("*") / SHARD_MEMBERS).cast("int").alias("shards")))
+    packed = counts.withColumn("slice", (F.shiftright("pair", 32) % slices).cast("int")).groupBy("m", "k", "slice").applyInArrow(_packed_counts, "m int, k int, slice int, zs binary, pairs binary, ns binary")
+    tables = packed.join(sizes.select("m", "k", "shards"), ["m", "k"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    dealt = members.join(sizes, ["m", "k"]).withColumn("shard", F.pmod(F.xxhash64("sv"), F.col("shards")).cast("int")).drop("shards")
+    dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    keys = ["m", "k", "shard", "slice"]
+    found = dealt.groupBy(*keys).cogroup(tables.groupBy(*keys)).applyInArrow(_similarities(slices, empty_value), "m int, k int, sv array<int>, n long, size long, least double, most double")
+    if slices > 1:
+        found = found.groupBy("m", "k", "sv", "n", "size").agg(F.sum("least").alias("least"), F.sum("most").alias("most"))
+    return found.select("m", "k", "sv", "n", "size", (F.col("size") - F.col("most")).alias("low"), (F.col("size") - F.col("least")).alias("high"))
 
 
 def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, first: int = FIRST_PIVOTS, known: DataFrame | None = None) -> DataFrame:
-    """(m, k, sv, total) of the members that had to be measured to be sure of each cluster's best; `known` are bounds (m, k, sv, low, high) of their sums."""
-    own = to(F.col("sv"), F.col("sv"))
+    """(m, k, sv, total) of the members that had to be measured to be sure of each cluster's best; `known` are their bounds (m, k, sv, n, size, low, high)."""
+    own = (to(F.col("sv"), F.col("sv")) if skip_self else F.lit(0.0)).cast("double").alias("own")
     whole = Window.partitionBy("m", "k")
     # bound: of the sum over all members, x itself n times; own corrects it where x counts once less.
-    size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
-    left = cut(members.join(size, ["m", "k"]).select("m", "k", "sv", "n", "size", F.lit(0.0).alias("bound"), F.lit(None).cast("double").alias("total"), (own if skip_self else F.lit(0.0)).alias("own")))
-    points, totals, count, before = left.select("m", "k", "sv", "n"), None, first, None
-    if known is not None:
-        left = cut(left.drop("bound").join(known.withColumnRenamed("low", "bound"), ["m", "k", "sv"]))
+    none, totals, count, before = F.lit(None).cast("double").alias("total"), None, first, None
+    if known is None:
+        size = members.groupBy("m", "k").agg(F.sum("n").alias("size"))
+        left = cut(members.join(size, ["m", "k"]).select("m", "k", "sv", "n", "size", F.lit(0.0).alias("bound"), none, own))
+        points = left.select("m", "k", "sv", "n")
+    else:
+        points, left = members.select("m", "k", "sv", "n"), cut(known.select("m", "k", "sv", "n", "size", F.col("low").alias("bound"), "high", none, own))
         least = left.groupBy("m", "k").agg(F.min(F.col("high") - F.col("own")).alias("least"))
         left = cut(left.join(least, ["m", "k"]).where(F.col("bound") - F.col("own") <= F.col("least") + SLACK * (F.col("size") + 1)).select("m", "k", "sv", "n", "size", "bound", "total", "own"))
     while True:
@@ -121,7 +223,9 @@ def measured_members(members: DataFrame, to: Metric, skip_self: bool = True, fir
         order = F.row_number().over(whole.orderBy("bound", F.xxhash64("sv"), "sv"))
         pivots = cut(left.where("total is null").withColumn("at", order).where(F.col("at") <= count).select("m", "k", F.col("sv").alias("pivot"), "own"))
         packed = pivots.groupBy("m", "k").agg(F.collect_list(F.struct("pivot", "own")).alias("pivots"))
-        measured = points.join(packed, ["m", "k"]).select("m", "k", "n", F.explode("pivots").alias("p"), "sv").select("m", "k", F.col("p.pivot").alias("pivot"), (to(F.col("p.pivot"), F.col("sv")) * F.col("n")).alias("d"))
+        # Sent, unless they are many: clusters differ in size, and a join on them would put a large one into one task.
+        small = (pivots.agg(F.sum(F.size("pivot") * 8 + 32)).first()[0] or 0) <= BROADCAST_BYTES
+        measured = points.join(F.broadcast(packed) if small else packed, ["m", "k"]).select("m", "k", "n", F.explode("pivots").alias("p"), "sv").select("m", "k", F.col("p.pivot").alias("pivot"), (to(F.col("p.pivot"), F.col("sv")) * F.col("n")).alias("d"))
         sums = measured.groupBy("m", "k", "pivot").agg(F.sum("d").alias("s"))
         sums = cut(sums.join(pivots, ["m", "k", "pivot"]).select("m", "k", F.col("pivot").alias("sv"), "s", (F.col("s") - F.col("own")).alias("total")))
         totals = sums.select("m", "k", "sv", "total") if totals is None else cut(totals.unionByName(sums.select("m", "k", "sv", "total")))

@@ -171,3 +171,19 @@ def test_overlap_bounds_leave_few_members(spark, by):
     assert collected(medoids.summed_medoids(df, by, sets=True)) == collected(want)
     measured = medoids.measured_members(df, set_metric(by), known=bounds).count()
     assert measured < medoids.measured_members(df, set_metric(by)).count() / 2
+
+
+def test_overlap_bounds_in_slices_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = {(k, tuple(sorted(set(rng.integers(0, 25, rng.integers(0, 10)).tolist())))) for k in range(2) for _ in range(200)} | {(0, ()), (1, tuple(range(14))), (2, (3,))}
+    df = spark.createDataFrame([(0, k, list(c), int(rng.integers(1, 5))) for k, c in sorted(sets)], "m int, k int, sv array<int>, n long").repartition(3)
+    key = lambda rows: {(r.k, tuple(r.sv)): (r.n, r.size, round(r.low, 9), round(r.high, 9)) for r in rows}
+    whole = key(medoids.overlap_bounds(df, 0.0).collect())
+    for name, value in (("SLICE_COUNTS", 300), ("SHARD_MEMBERS", 40), ("PAIRS_AT_ONCE", 500)):
+        monkeypatch.setattr(medoids, name, value)
+    bounds = medoids.overlap_bounds(df, 0.0)
+    rows = bounds.collect()
+    assert len(rows) == len(sets) and key(rows) == whole
+    # Members travel whole: neither they nor their pairs are met with a table by cell.
+    plan = bounds._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "flatten" not in plan

@@ -18,9 +18,11 @@ Before that, anchors that only one document has are screened out by a bitmap
 that is built in slices from all documents' anchors.  It has about a bit for
 each anchor, up to 2^MOST_SCREEN_BITS; in larger corpora it only lets more pass.
 Equal segments stand once in a packet and in a bucket's text, with all their
-holders.  Segments of hot anchors, those in more than `HOT` packets, are cut
-into their single suffixes, which are dealt by anchor, distance and content, so
-that no bucket has to hold all that surrounds a frequent passage.
+holders.  Segments of hot anchors, those of `HOT` segments or more in all, are
+cut into their single suffixes, which are dealt by anchor, distance and content,
+so that no bucket has to hold all that surrounds a frequent passage.  That takes
+ten times the bytes, so HOT is what a bucket can hold beside its own share: it
+does not depend on the size of the corpus, or on how many packets that makes.
 
 Nulls and odd rows: a null text is empty and loses nothing; texts under SIZE
 bytes lose nothing; a null doc_id counts as larger than all others; rows of
@@ -50,7 +52,8 @@ MOST_SCREEN_BITS = 29
 ANCHOR_BYTES = 14  # of text for each anchor, about
 PACKET_BYTES = 16 << 20  # of text that one set of packets is made of
 BUCKET_BYTES = 4 << 20
-HOT = 256
+HOT = 1 << 15  # segments of an anchor, about 2 MB
+MANY = 8  # segments in a portion from which they are counted one by one
 MOST_HOT = 1 << 18
 LAST = np.int64(2**63 - 1)
 
@@ -119,7 +122,7 @@ def _deal(rows: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 
 def _anchor_keys(bits: int):
-    """Each document's distinct anchors as 32-bit keys by bucket, none more than twice from a portion."""
+    """Each document's distinct anchors as 32-bit keys by bucket, none more than twice from a portion; and of those that more than MANY of its documents have, the number of the others."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +140,21 @@ def _anchor_keys(bits: int):
             again = np.zeros(len(key), bool)
             again[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1])
             key = key[~again]
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
+            count = np.diff(edges)
             third = np.zeros(len(key), bool)
             third[2:] = key[2:] == key[:-2]
+            often = np.flatnonzero(count > MANY)
+            more = {b: r.tobytes() for b, r in _deal(np.stack([key[edges[often]] >> np.uint64(26 - bits) & np.uint64(0xFFFFFFFF), count[often] - 2], 1).astype(np.uint32), (key[edges[often]] >> np.uint64(58 - bits)).astype(np.int64))}
             key = key[~third]
             rows = list(_deal((key >> np.uint64(26 - bits)).astype(np.uint32), (key >> np.uint64(58 - bits)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([r.tobytes() for _, r in rows], pa.binary())], names=["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([r.tobytes() for _, r in rows], pa.binary()), pa.array([more.get(b, b"") for b, _ in rows], pa.binary())], names=["bucket", "data", "more"])
 
     return run
 
 
 def _screen_slice(bits: int, screen_bits: int, hot: int):
-    """(bucket, flags, hot): a slice of the bitmap, and the bucket's keys that are in most packets, with how many."""
+    """(bucket, flags, hot): a slice of the bitmap, and the bucket's keys of `hot` segments or more, those of most if they are too many."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         value = np.sort(np.concatenate([np.frombuffer(d.as_py(), np.uint32) for d in rows["data"]]))
@@ -155,7 +162,9 @@ def _screen_slice(bits: int, screen_bits: int, hot: int):
         flags = np.zeros(1 << (screen_bits - bits), np.uint8)
         flags[shared >> np.uint32(32 - screen_bits + bits)] = 1
         many, count = np.unique(shared, return_counts=True)
-        at = np.flatnonzero(count >= hot)
+        more = np.concatenate([np.frombuffer(d.as_py(), np.uint32) for d in rows["more"]]).reshape(-1, 2)
+        np.add.at(count, np.searchsorted(many, more[:, 0]), more[:, 1])
+        at = np.flatnonzero(count + 1 >= hot)
         at = at[np.argsort(-count[at], kind="stable")][: max(1, MOST_HOT >> bits)]
         return pa.table({"bucket": [key[0].as_py()], "flags": pa.array([np.packbits(flags).tobytes()], pa.binary()), "hot": pa.array([many[at].tobytes()], pa.binary())})
 
@@ -164,7 +173,7 @@ def _screen_slice(bits: int, screen_bits: int, hot: int):
 
 def screen(docs: DataFrame, bits: int, screen_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A bitmap of the anchors that two documents share, of 2^screen_bits bits, and the sorted keys, cut to 32 + bits bits, of hot anchors."""
-    dealt = docs.select("text").mapInArrow(_anchor_keys(bits), "bucket long, data binary")
+    dealt = docs.select("text").mapInArrow(_anchor_keys(bits), "bucket long, data binary, more binary")
     slices = dealt.groupBy("bucket").applyInArrow(_screen_slice(bits, screen_bits, HOT), "bucket long, flags binary, hot binary").toArrow()
     whole = np.zeros(1 << (screen_bits - 3), np.uint8)
     part, hot = len(whole) >> bits, [np.zeros(0, np.uint64)]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import suffixes as sx
@@ -103,3 +104,19 @@ def test_rows_without_id_keep_their_names_apart(spark):
     a, b = pairs.orderBy("h").first().ts[:2]
     rows = [(1, a), (None, a), (None, b)]
     assert got(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_anchors_are_hot_by_their_segments():
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    passage, batch = letters(200), lambda texts: pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def hot(batches, least):
+        keys = pa.Table.from_batches(sx._anchor_keys(0)(iter(batches)))
+        return len(sx._screen_slice(0, 20, least)((pa.scalar(0),), keys)["hot"][0].as_py()) // 4
+
+    # A passage in many packets, but in few documents of each: a bucket can hold its segments.
+    many = [batch([letters(30) + passage + letters(30) for _ in range(2)]) for _ in range(300)]
+    assert hot(many, sx.HOT) == 0 and hot(many, 600) > 0 and hot(many, 601) == 0
+    # One that a single packet has in very many documents.
+    assert hot([batch([letters(30) + passage + letters(30) for _ in range(500)])] * 2, 1000) > 0
